@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from repoaudit.functions.regex import matches
 from repoaudit.rules import surface as S
+from repoaudit.rules.categories import TEST_FILE
 
 
 def name(path: Column) -> Column:
@@ -74,10 +75,7 @@ def is_test(path: Column) -> Column:
 
 def is_test_by_parts(path: Column) -> Column:
     """Second variant: a test directory anywhere, or a test-like file name."""
-    low = F.lower(path)
-    in_dir = F.arrays_overlap(directories(low), strings(["tests", "test", "__tests__", "spec", "specs"]))
-    n = name(low)
-    return in_dir | n.startswith("test_") | n.rlike(r"_test\.py$|\.(?:test|spec)\.(?:ts|tsx|js|jsx|mjs|cjs)$")
+    return matches(path, TEST_FILE)
 
 
 def is_generated(path: Column) -> Column:

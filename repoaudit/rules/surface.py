@@ -76,6 +76,18 @@ SURFACES = {
     },
     "module-shape": {"skip": [], "suffixes": [".py", ".ts", ".tsx"], "names": [], "first_party_only": True},
     "pythonic-ddd-drift": {"skip": [], "suffixes": [".py"], "names": [], "first_party_only": True},
+    "text": {
+        "skip": VCS_AND_CACHE_DIRS,
+        "suffixes": CODE + [
+            ".md", ".mdx", ".rst", ".txt", ".adoc", ".yaml", ".yml", ".json", ".jsonc", ".toml", ".ini", ".cfg", ".sh",
+            ".bash", ".zsh", ".html", ".css", ".scss", ".vue", ".svelte", ".lock",
+        ],
+        "names": [
+            "CODEOWNERS", "Makefile", "justfile", "Pipfile", ".npmrc", ".flake8", ".bandit", ".gitignore", ".env",
+            ".eslintrc", ".prettierrc",
+        ],
+        "first_party_only": True,
+    },
     "doc-links": {
         "skip": [
             ".git", "node_modules", ".venv", "venv", "dist", "build", "target", "coverage", ".next", ".cache",
