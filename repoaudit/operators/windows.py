@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoaudit.functions.text import normalized_lines
+from repoaudit.operators.findings import number_within
+from repoaudit.session import stage
 
 SHINGLE_LINES = 8
 SHINGLE_MIN_CHARS = 60
@@ -47,20 +49,49 @@ def shingles(files: DataFrame, language: Column, n: int = SHINGLE_LINES, min_cha
     return norm.select("repo_id", "path", F.explode(hashed).alias("w")).select("repo_id", "path", "w.start", "w.digest")
 
 
+def repeated(windows: DataFrame) -> DataFrame:
+    """Occurrences of digests seen at least twice in their repository."""
+    counts = windows.groupBy("repo_id", "digest").agg(F.count(F.lit(1)).alias("occurrences"))
+    return windows.join(counts.where(F.col("occurrences") >= 2).select("repo_id", "digest"), ["repo_id", "digest"])
+
+
 def duplicate_stats(windows: DataFrame) -> DataFrame:
-    """Per file: number of windows whose digest occurs again in its repository, and distinct partner files.
+    """Per file: windows whose digest occurs again, and distinct partner files that share one."""
+    hits = stage(repeated(windows), "repeated")
+    own = hits.groupBy("repo_id", "path").agg(F.countDistinct("start").cast("int").alias("duplicate_windows"))
+    return own.join(partner_counts(hits.select("repo_id", "path", "digest").distinct()), ["repo_id", "path"])
+
 
-    Partner counting must not pair all members of a group: a block copied into a third of
-    all files would emit a quadratic number of pairs. For every digest the sorted distinct
-    file list is therefore never materialised; partners are counted by
-    ``partner_counts`` below, which works on groups of files that share the same set of
-    digests.
+def partner_counts(members: DataFrame) -> DataFrame:
+    """Number of other files sharing at least one digest with each file, without pairing files.
+
+    A block copied into very many files would give a quadratic number of pairs. Instead
+    every file gets a dense number inside its repository and every digest a bitmap of the
+    files that hold it; a file's partners are the bits of the union of its digests'
+    bitmaps. Files with the same set of digests share one such union.
     """
-    grouped = windows.groupBy("repo_id", "digest").agg(
-        F.count(F.lit(1)).alias("occurrences"), F.countDistinct("path").alias("files")
+    files = members.select("repo_id", "path").distinct()
+    numbered = stage(number_within(files, "repo_id", ["path"], "file_no"), "file-no")
+    keyed = members.join(numbered, ["repo_id", "path"])
+    bits = (
+        keyed.select(
+            "repo_id",
+            "digest",
+            F.bitmap_bucket_number("file_no").alias("bucket"),
+            F.bitmap_bit_position("file_no").alias("bit"),
+        )
+        .groupBy("repo_id", "digest", "bucket")
+        .agg(F.bitmap_construct_agg("bit").alias("bits"))
+    )
+    classes = members.groupBy("repo_id", "path").agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_set("digest")), ","), 256).alias("class")
     )
-    repeated = grouped.where(F.col("occurrences") >= 2)
-    marked = windows.join(repeated, ["repo_id", "digest"])
-    return marked.groupBy("repo_id", "path").agg(
-        F.countDistinct("start").alias("duplicate_windows"), F.max("files").alias("largest_group")
+    class_digests = members.join(classes, ["repo_id", "path"]).select("repo_id", "class", "digest").distinct()
+    unions = (
+        class_digests.join(bits, ["repo_id", "digest"])
+        .groupBy("repo_id", "class", "bucket")
+        .agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+        .groupBy("repo_id", "class")
+        .agg((F.sum("n") - 1).cast("int").alias("duplicate_partners"))
     )
+    return classes.join(unions, ["repo_id", "class"]).select("repo_id", "path", "duplicate_partners")

@@ -176,3 +176,134 @@ def lines_cte(source: str = "files") -> str:
         "lines AS (SELECT repo_id, path, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM "
         f"(SELECT repo_id, path, string_split(CASE WHEN text LIKE '%' || chr(10) THEN text[:-2] ELSE text END, chr(10)) AS ls FROM {source}))"
     )
+
+
+# ---- other derived inputs ---------------------------------------------------------------------------------------
+
+TOOLS = ["tach", "dependency-cruiser", "knip", "ruff", "basedpyright", "semgrep", "ast-grep"]
+PAYLOADS = [
+    '{"issues": [{"file": "a.ts", "files": ["a"], "exports": ["x", "y"]}]}',
+    '{"issues": [{"file": "b.ts", "dependencies": ["left-pad"], "unlisted": []}, {"file": "c.ts", "files": ["c"], "types": ["t"]}]}',
+    '{"issues": []}',
+    '{"issues": [{"file": "d.ts", "unresolved": ["./gone"]}], "note": "Circular import"}',
+    "not json",
+]
+
+
+def tool_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tool_runs`` over the events table: one run per event, one repository per user."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n = F.col("event_id")
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type").isin("click", "purchase"), "issues").otherwise("passed")
+    details = F.transform(
+        F.slice(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4)), 1, (n % 5).cast("int")),
+        lambda i: F.concat(F.lit("detail "), n.cast("string"), F.lit("-"), i.cast("string")),
+    )
+    return e.select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("repo_id"),
+        n.cast("int").alias("batch"),
+        pick(TOOLS).alias("tool"),
+        status.alias("status"),
+        F.lit("run").alias("command"),
+        F.when(status == "failed", (n % 3 + 2)).when(status == "issues", 1).otherwise(0).cast("int").alias("exit_code"),
+        F.when(status == "issues", n % 4).otherwise(0).cast("int").alias("issue_count"),
+        F.concat(F.lit("run "), n.cast("string")).alias("summary"),
+        F.when(n % 41 == 0, F.array(F.lit("Configuration file not found"))).otherwise(details).alias("details"),
+        pick(PAYLOADS).alias("payload"),
+    )
+
+
+def tool_runs_cte() -> str:
+    pick = lambda values: f"({sql_list(values)})[event_id % {len(values)} + 1]"
+    status = "CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type IN ('click', 'purchase') THEN 'issues' ELSE 'passed' END"
+    return (
+        "tool_runs AS (SELECT *, CASE status WHEN 'failed' THEN event_id % 3 + 2 WHEN 'issues' THEN 1 ELSE 0 END AS exit_code, "
+        "CASE WHEN status = 'issues' THEN event_id % 4 ELSE 0 END AS issue_count FROM (SELECT 'u' || user_id AS repo_id, event_id, "
+        f"event_id AS batch, {pick(TOOLS)} AS tool, {status} AS status, 'run ' || event_id AS summary, "
+        "CASE WHEN event_id % 41 = 0 THEN ['Configuration file not found'] ELSE list_transform(range(1, event_id % 5 + 1), lambda i: 'detail ' || event_id || '-' || i) END AS details, "
+        f"{pick(PAYLOADS)} AS payload FROM events))"
+    )
+
+
+def merged_runs_cte() -> str:
+    """Independent statement of the batch merge."""
+    return """fl AS (SELECT repo_id, tool, batch, unnest(details[:3]) AS d, generate_subscripts(details[:3], 1) AS i FROM tool_runs),
+ md AS (SELECT repo_id, tool, list(d ORDER BY batch, i) AS all_details FROM fl GROUP BY 1, 2),
+ mr AS (SELECT repo_id, tool, max(CASE status WHEN 'failed' THEN 2 WHEN 'issues' THEN 1 ELSE 0 END) AS k, count(*) AS batches, sum(issue_count) AS issue_count,
+  coalesce(max_by(exit_code, batch) FILTER (WHERE status = 'failed'), max_by(exit_code, batch) FILTER (WHERE status = 'issues'), 0) AS exit_code FROM tool_runs GROUP BY 1, 2),
+ merged AS (SELECT mr.repo_id, mr.tool, ['passed', 'issues', 'failed'][k + 1] AS status, CAST(issue_count AS INTEGER) AS issue_count, CAST(exit_code AS INTEGER) AS exit_code,
+  mr.tool || CASE WHEN k = 2 THEN ' execution failed in at least one first-party target batch.' WHEN k = 1 AND issue_count > 0 THEN ' reported ' || issue_count || ' finding(s) across first-party targets.'
+   WHEN k = 1 THEN ' returned a non-zero audit result across first-party targets.' ELSE ' ran successfully with no machine-detected findings across first-party targets.' END AS summary,
+  mr.tool || ' batched first-party targets (' || batches || ' chunk(s))' AS command, coalesce(all_details[:5], []) AS details
+  FROM mr LEFT JOIN md ON mr.repo_id = md.repo_id AND mr.tool = md.tool)"""
+
+
+def part_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File metrics shaped from the line items of a part, covering all threshold bands."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    k = F.col("l_partkey")
+    agg = li.groupBy("l_partkey").agg(
+        F.sum("l_quantity").cast("int").alias("q"),
+        F.count_distinct("l_suppkey").cast("int").alias("s"),
+        F.count(F.lit(1)).cast("int").alias("n"),
+        F.count_if(F.col("l_returnflag") == "R").cast("int").alias("r"),
+        F.max("l_quantity").cast("int").alias("m"),
+        F.count_distinct("l_linenumber").cast("int").alias("d"),
+    )
+    tags = F.array(*[F.lit(t) for t in ("cli", "db", "http", "schema", "ui")])
+    return agg.select(
+        F.concat(F.lit("r"), (k % 20).cast("string")).alias("repo_id"),
+        part_path().alias("path"),
+        F.lit("python").alias("language"),
+        (F.col("q") * 2).alias("total_lines"),
+        (F.col("q") * (k % 4)).cast("int").alias("code_lines"),
+        (k % 5 == 1).alias("test_like"),
+        (k % 11 == 0).alias("generated_like"),
+        (k % 13 == 0).alias("migration_like"),
+        (k % 7 == 0).alias("barrel_like"),
+        F.when(k % 97 == 0, "invalid syntax").alias("parse_error"),
+        F.when(k % 97 == 0, 3).alias("error_line"),
+        F.col("s").alias("fan_out"),
+        F.col("n").alias("exports"),
+        F.slice(tags, 1, (k % 6).cast("int")).alias("tags"),
+        (F.col("m") * 4).alias("max_function_nloc"),
+        (F.col("d") * 5).alias("max_function_complexity"),
+        (k % 3).cast("int").alias("n_functions"),
+        F.col("r").alias("duplicate_windows"),
+        F.col("d").alias("duplicate_partners"),
+    )
+
+
+def part_path():
+    k = F.col("l_partkey")
+    return F.concat(F.when(k % 5 == 1, "tests").otherwise("src"), F.lit("/part_"), k.cast("string"), F.lit(".py"))
+
+
+def part_metrics_cte() -> str:
+    return """pm AS (SELECT *, 'r' || (k % 20) AS repo_id, CASE WHEN k % 5 = 1 THEN 'tests' ELSE 'src' END || '/part_' || k || '.py' AS path, q * (k % 4) AS code_lines,
+  k % 5 = 1 AS test_like, k % 11 = 0 AS generated_like, k % 13 = 0 AS migration_like, k % 7 = 0 AND q * (k % 4) < 150 AND k % 3 = 0 AS small_barrel, k % 97 = 0 AS broken,
+  ['cli', 'db', 'http', 'schema', 'ui'][:k % 6] AS tags, k % 6 AS nt, s AS fan_out, n AS exports, m * 4 AS fn, d * 5 AS fc, r AS dup, d AS partners FROM
+  (SELECT l_partkey AS k, CAST(sum(l_quantity) AS INTEGER) AS q, count(DISTINCT l_suppkey) AS s, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS r,
+   CAST(max(l_quantity) AS INTEGER) AS m, count(DISTINCT l_linenumber) AS d FROM lineitem GROUP BY 1))"""
+
+
+def item_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Function rows shaped from single line items."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return li.select(
+        F.concat(F.lit("r"), (F.col("l_partkey") % 20).cast("string")).alias("repo_id"),
+        part_path().alias("path"),
+        F.concat(F.lit("f_"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string")).alias("name"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("int").alias("line"),
+        F.lit(0).alias("end_line"),
+        (F.col("l_quantity") * 3).cast("int").alias("nloc"),
+        F.round(F.col("l_discount") * 400).cast("int").alias("complexity"),
+        F.col("l_linenumber").cast("int").alias("params"),
+    )
+
+
+def item_functions_cte() -> str:
+    return """fns AS (SELECT 'r' || (l_partkey % 20) AS repo_id, CASE WHEN l_partkey % 5 = 1 THEN 'tests' ELSE 'src' END || '/part_' || l_partkey || '.py' AS path,
+  'f_' || l_orderkey || '_' || l_linenumber AS name, CAST(l_orderkey * 10 + l_linenumber AS INTEGER) AS line, CAST(l_quantity * 3 AS INTEGER) AS nloc,
+  CAST(round(l_discount * 400) AS INTEGER) AS complexity, CAST(l_linenumber AS INTEGER) AS params FROM lineitem)"""
