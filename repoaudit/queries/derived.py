@@ -307,3 +307,53 @@ def item_functions_cte() -> str:
     return """fns AS (SELECT 'r' || (l_partkey % 20) AS repo_id, CASE WHEN l_partkey % 5 = 1 THEN 'tests' ELSE 'src' END || '/part_' || l_partkey || '.py' AS path,
   'f_' || l_orderkey || '_' || l_linenumber AS name, CAST(l_orderkey * 10 + l_linenumber AS INTEGER) AS line, CAST(l_quantity * 3 AS INTEGER) AS nloc,
   CAST(round(l_discount * 400) AS INTEGER) AS complexity, CAST(l_linenumber AS INTEGER) AS params FROM lineitem)"""
+
+
+RUN_ID = "run-7"
+SUMMARY_JSON = """'{"schema_version": "1.0", "run_id": "' || CASE WHEN k % 23 = 2 THEN 'run-6' ELSE 'run-7' END
+ || '", "skill": "' || CASE WHEN k % 23 = 1 THEN 'other-audit' ELSE domain || '-audit' END || '", "domain": "' || domain
+ || '", "repo_root": "/r", "generated_at": "t", "overall_verdict": "' || CASE k % 23 WHEN 4 THEN '' WHEN 16 THEN 'triage' WHEN 17 THEN 'verified' ELSE 'ok' END
+ || '", "rollup_bucket": "' || CASE k % 23 WHEN 5 THEN 'purple' WHEN 11 THEN 'not-applicable' WHEN 12 THEN 'blocked' WHEN 13 THEN 'red' WHEN 14 THEN 'yellow' WHEN 15 THEN 'yellow' WHEN 16 THEN 'yellow' ELSE 'green' END
+ || '", "dependency_status": "' || CASE k % 23 WHEN 6 THEN 'weird' WHEN 7 THEN 'blocked' WHEN 8 THEN 'blocked' ELSE 'ready' END
+ || '", "bootstrap_actions": ' || CASE WHEN k % 23 = 18 THEN '{}' ELSE '[]' END
+ || ', "dependency_failures": ' || CASE k % 23 WHEN 8 THEN '[{"name": "tool-a", "kind": "cli", "failure_reason": "no network", "attempted_command": "get tool-a"}]' WHEN 19 THEN '"none"' ELSE '[]' END
+ || ', "severity_counts": ' || CASE WHEN k % 23 = 9 THEN '{"critical": 0, "high": 1}' ELSE '{"critical": 0, "high": ' || (k % 3) || ', "medium": ' || (k % 5) || ', "low": 0}' END
+ || CASE WHEN k % 23 = 3 THEN '' ELSE ', "findings": ' || CASE k % 23 WHEN 10 THEN '{}' WHEN 20 THEN '[1, 2]' ELSE '[{"category": "c' || (k % 2) || '"}, {"gate": "g' || (k % 3) || '"}, {"category": "c1"}, {"kind": "k"}, {"domain": "d' || (k % 4) || '"}, {"kind": "k"}]' END END
+ || ', "summary_path": "s", "report_path": "r", "agent_brief_path": "b"}'"""
+SUMMARY_TEXT = f"CASE WHEN k % 23 = 0 THEN '{{bad' WHEN k % 46 = 21 THEN '{{}}' ELSE {SUMMARY_JSON} END"
+
+
+def summary_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest order per (repository, domain): key ``k`` of a generated summary."""
+    from repoaudit.rules.catalog import DOMAINS
+
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    domains = F.array(*[F.lit(d) for d in DOMAINS])
+    return (
+        o.select(
+            F.concat(F.lit("c"), F.floor(F.col("o_custkey") / 3).cast("string")).alias("repo_id"),
+            F.element_at(domains, (F.col("o_orderkey") % len(DOMAINS) + 1).cast("int")).alias("domain"),
+            "o_orderkey",
+        )
+        .groupBy("repo_id", "domain")
+        .agg(F.max("o_orderkey").alias("k"))
+    )
+
+
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary_keys(spark, sf_dir).select("repo_id", "domain", F.expr(SUMMARY_TEXT).alias("json"))
+
+
+def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    kinds = F.array_compact(F.array(F.when(k % 29 != 0, F.lit("report")), F.when(k % 31 != 0, F.lit("brief"))))
+    return summary_keys(spark, sf_dir).select("repo_id", "domain", F.explode(kinds).alias("kind"))
+
+
+def summaries_cte() -> str:
+    from repoaudit.rules.catalog import DOMAINS
+
+    return (
+        f"sk AS (SELECT repo_id, domain, max(o_orderkey) AS k FROM (SELECT 'c' || (o_custkey // 3) AS repo_id, ({sql_list(list(DOMAINS))})[o_orderkey % {len(DOMAINS)} + 1] AS domain, o_orderkey FROM orders) GROUP BY 1, 2),\n"
+        f"summaries AS (SELECT repo_id, domain, {SUMMARY_TEXT} AS json FROM sk)"
+    )
