@@ -52,26 +52,22 @@ def python_list(items: Column) -> Column:
 
 
 def parse_summaries(rows: DataFrame) -> DataFrame:
-    """Fields of the JSON documents that the roll-up needs; the document is parsed once per row."""
+    """Fields of the JSON documents that the roll-up needs; text and parsed form end here."""
     v = F.col("v")
-    parsed = rows.withColumn("v", F.try_parse_json("json"))
+    parsed = rows.select("repo_id", "domain", "json", F.try_parse_json("json").alias("v"))
     failures = F.try_variant_get(v, "$.dependency_failures", FAILURES)
     findings = F.try_variant_get(v, "$.findings", "array<variant>")
-    categories = F.transform(
-        findings,
-        lambda f: F.coalesce(*[F.when(F.schema_of_variant(F.try_variant_get(f, f"$.{k}", "variant")) == "STRING", at(f, f"$.{k}")) for k in ("category", "gate", "domain", "kind")]),
-    )
+    text = lambda f, k: F.when(F.schema_of_variant(F.try_variant_get(f, f"$.{k}", "variant")) == "STRING", at(f, f"$.{k}"))
+    categories = F.transform(findings, lambda f: F.coalesce(*[text(f, k) for k in ("category", "gate", "domain", "kind")]))
     objects = F.forall(findings, lambda f: F.schema_of_variant(f).startswith("OBJECT"))
     return parsed.select(
-        *[c for c in rows.columns if c != "json"],
-        F.col("json").isNotNull().alias("has_file"),
-        v.isNotNull().alias("is_json"),
+        "repo_id",
+        "domain",
         F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("is_object"),
         F.coalesce(F.json_object_keys("json"), strings([])).alias("keys"),
-        *[F.coalesce(at(v, f"$.{k}"), F.lit("")).alias(k) for k in ("run_id", "overall_verdict", "rollup_bucket")],
+        *[F.coalesce(at(v, f"$.{k}"), F.lit("")).alias(k) for k in ("run_id", "overall_verdict", "rollup_bucket", "dependency_status")],
         F.coalesce(at(v, "$.skill"), F.lit("")).alias("actual_skill"),
         (F.coalesce(kind_of(v, "$.overall_verdict"), F.lit("")) == "STRING").alias("verdict_is_text"),
-        F.coalesce(at(v, "$.dependency_status"), F.lit("")).alias("dependency_status"),
         is_list(v, "$.bootstrap_actions").alias("actions_list"),
         is_list(v, "$.dependency_failures").alias("failures_list"),
         (is_list(v, "$.findings") & F.coalesce(objects, F.lit(False))).alias("findings_list"),
@@ -100,7 +96,7 @@ def classify_runs(summaries: DataFrame, run_id: Column | str, repos: DataFrame,
     The checks run in a fixed order; the first that fails names the note.
     """
     expected = F.lit(run_id) if isinstance(run_id, str) else run_id
-    rows = parse_summaries(catalog_rows(repos, skills).join(summaries, ["repo_id", "domain"], "left"))
+    rows = catalog_rows(repos, skills).join(parse_summaries(summaries), ["repo_id", "domain"], "left")
     missing_keys = F.array_sort(F.array_except(strings(R.REQUIRED_SUMMARY_KEYS), F.col("keys")))
     dash = lambda c: F.when(F.col(c) == "", F.lit("-")).otherwise(F.col(c))
     blocked = F.col("dependency_status") == "blocked"
@@ -110,8 +106,8 @@ def classify_runs(summaries: DataFrame, run_id: Column | str, repos: DataFrame,
     for s in SEVERITIES:
         no_severity = no_severity | F.col(s).isNull()
     result = (
-        F.when(~F.col("has_file"), of("missing", "summary file not found"))
-        .when(~F.col("is_json") | ~F.col("is_object"), of("invalid", "invalid: not a JSON object"))
+        F.when(F.col("is_object").isNull(), of("missing", "summary file not found"))
+        .when(~F.col("is_object"), of("invalid", "invalid: not a JSON object"))
         .when(F.size("keys") == 0, of("missing", "summary file not found"))
         .when((F.col("actual_skill") != "") & (F.col("actual_skill") != F.col("skill")), bad(F.concat(F.lit("summary skill mismatch: expected "), F.col("skill"), F.lit(", got "), F.col("actual_skill"))))
         .when((expected != "") & (F.col("run_id") != expected), bad(F.concat(F.lit("run_id mismatch: expected "), expected, F.lit(", got "), dash("run_id"))))
@@ -153,7 +149,7 @@ def annotate(rows: DataFrame) -> DataFrame:
     blank = status.isin("missing", "invalid")
     verdict = F.when(blank, "").otherwise(F.col("overall_verdict"))
     bucket = F.when(blank, "").otherwise(F.col("rollup_bucket"))
-    dependency = F.when(F.col("dependency_status") == "", "ready").otherwise(F.col("dependency_status"))
+    dependency = F.coalesce(F.nullif("dependency_status", F.lit("")), F.lit("ready"))
     first = F.try_element_at("failures", F.lit(1))
     base_note = F.when(gated, gap).otherwise(F.col("r.note"))
     note = (
@@ -181,7 +177,7 @@ def annotate(rows: DataFrame) -> DataFrame:
         verdict.alias("child_verdict"),
         bucket.alias("rollup_bucket"),
         *[F.when(incomplete, 0).otherwise(F.col(s)).alias(s) for s in SEVERITIES],
-        "top_categories",
+        F.coalesce("top_categories", strings([])).alias("top_categories"),
         note.alias("notes"),
         "has_report",
         "has_brief",

@@ -1,6 +1,6 @@
 """Registered queries. Importing this package fills the registry."""
 
-from repoaudit.queries import base, category, code, contracts, health  # noqa: F401
+from repoaudit.queries import base, category, code, contracts, docs, health  # noqa: F401
 from repoaudit.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
