@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from repoaudit.functions import paths as P
 from repoaudit.functions.regex import jvm, strip
 from repoaudit.functions.text import line_of, slug
+from repoaudit.session import stage
 from repoaudit.sources.corpus import select_surface
 
 # fixed values
@@ -69,7 +70,8 @@ def check_links(files: DataFrame) -> DataFrame:
     Each link offers up to three candidate paths (itself, two index files); they meet the
     file table in one equi join on (repo, path). Only keys of files take part, no texts.
     """
-    links = resolve(extract_links(files)).where(~F.col("external"))
+    # written once: three branches below read the narrow link rows instead of the texts
+    links = stage(resolve(extract_links(files)), "links").where(~F.col("external"))
     path = F.col("resolved")
     bare = P.suffix(path) == ""
     fallback = F.when(bare, F.array(*[F.concat(path, F.lit("/" + n)) for n in FALLBACKS])).otherwise(P.strings([]))
@@ -90,7 +92,7 @@ def check_links(files: DataFrame) -> DataFrame:
     )
     placed = keyed.join(hit, ["repo_id", "link"], "left")
     known = placed.where("found is not null")
-    named = anchors(files.where(F.col("path").isNotNull()))
+    named = anchors(files)
     lost = known.where("anchor is not null").join(
         named, (known.repo_id == named.repo_id) & (known.found == named.path) & (known.anchor == named.anchor), "left_anti"
     )

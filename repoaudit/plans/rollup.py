@@ -60,7 +60,7 @@ def parse_summaries(rows: DataFrame) -> DataFrame:
     text = lambda f, k: F.when(F.schema_of_variant(F.try_variant_get(f, f"$.{k}", "variant")) == "STRING", at(f, f"$.{k}"))
     categories = F.transform(findings, lambda f: F.coalesce(*[text(f, k) for k in ("category", "gate", "domain", "kind")]))
     objects = F.forall(findings, lambda f: F.schema_of_variant(f).startswith("OBJECT"))
-    return parsed.select(
+    fields = parsed.select(
         "repo_id",
         "domain",
         F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("is_object"),
@@ -73,13 +73,17 @@ def parse_summaries(rows: DataFrame) -> DataFrame:
         (is_list(v, "$.findings") & F.coalesce(objects, F.lit(False))).alias("findings_list"),
         F.coalesce(failures, F.array().cast(FAILURES)).alias("failures"),
         *[at(v, f"$.severity_counts.{s}", "int").alias(s) for s in SEVERITIES],
-        top_categories(F.coalesce(categories, strings([])), 3).alias("top_categories"),
+        F.filter(F.coalesce(categories, strings([])), lambda c: c.isNotNull()).alias("names"),
+    )
+    # the list is projected first: inlined below, it would be rebuilt for every element
+    return fields.select(
+        *[c for c in fields.columns if c != "names"], top_categories(F.col("names"), 3).alias("top_categories")
     )
 
 
 def top_categories(names: Column, n: int) -> Column:
-    """Most frequent names of one summary's list, first occurrence breaking ties."""
-    present = F.filter(names, lambda c: c.isNotNull())
+    """Most frequent names of one short list without nulls, first occurrence breaking ties."""
+    present = names
     ranked = F.array_sort(
         F.transform(
             F.array_distinct(present),
@@ -309,7 +313,7 @@ def clusters(records: DataFrame) -> DataFrame:
         F.bool_or(risk.isin("dependency-blocked", "high-risk")).alias("blocked"),
         F.bool_or(risk.isin("watch", "trust-gap", "coverage-gap")).alias("watch"),
         ordered.alias("m"),
-    )
+    ).withColumn("names", F.flatten(F.transform("m", lambda x: x["top_categories"])))
     status = F.when(F.col("na"), "not-applicable").when(F.col("blocked"), "blocked").when(F.col("watch"), "watch").otherwise("healthy")
     title = lookup(F.col("cluster"), R.CLUSTERS)
     names = F.array_join(F.transform("m", lambda x: x["domain"]), ", ")
@@ -322,7 +326,7 @@ def clusters(records: DataFrame) -> DataFrame:
     order = F.array_position(strings(list(R.CLUSTERS)), F.col("cluster")).cast("int")
     return agg.select(
         "repo_id", "cluster", order.alias("ord"), title.alias("title"), status.alias("status"),
-        top_categories(F.flatten(F.transform("m", lambda x: x["top_categories"])), 4).alias("top_categories"),
+        top_categories(F.col("names"), 4).alias("top_categories"),
         summary.alias("summary"),
     )
 

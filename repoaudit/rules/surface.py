@@ -76,6 +76,18 @@ SURFACES = {
     },
     "module-shape": {"skip": [], "suffixes": [".py", ".ts", ".tsx"], "names": [], "first_party_only": True},
     "pythonic-ddd-drift": {"skip": [], "suffixes": [".py"], "names": [], "first_party_only": True},
+    "api-surfaces": {
+        "skip": VCS_AND_CACHE_DIRS + [
+            ".next", ".nuxt", ".turbo", ".cache", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", "coverage",
+            ".repo-harness", "vendor", "target", "out", ".idea", ".vscode",
+        ],
+        "suffixes": CODE + [
+            ".sh", ".yaml", ".yml", ".json", ".toml", ".ini", ".cfg", ".conf", ".env", ".txt", ".properties", ".lock", ".xml",
+            ".md", ".mdx", ".rst",
+        ],
+        "names": [],
+        "max_bytes": MAX_FILE_BYTES,
+    },
     "text": {
         "skip": VCS_AND_CACHE_DIRS,
         "suffixes": CODE + [
