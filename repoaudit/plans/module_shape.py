@@ -177,33 +177,39 @@ def function_level(row_nloc: Column, complexity: Column) -> Column:
     return F.when(over(2), "critical").when(over(1), "high").when(over(0), "medium")
 
 
-def detect_functions(functions: DataFrame) -> DataFrame:
-    """Every long or branch-heavy function outside generated and migration trees."""
+def long_function_rows(functions: DataFrame) -> DataFrame:
+    """Functions over a threshold, outside generated and migration trees."""
     path = F.col("path")
     raw = function_level(F.col("nloc"), F.col("complexity"))
-    rows = functions.where(~P.is_generated(path) & ~P.is_migration(path)).withColumn("raw", raw).where("raw is not null")
-    severity = demote(F.col("raw"), P.is_test(path))
+    return functions.where(~P.is_generated(path) & ~P.is_migration(path)).withColumn("raw", raw).where("raw is not null")
+
+
+def function_findings(rows: DataFrame) -> DataFrame:
+    severity = demote(F.col("raw"), P.is_test(F.col("path")))
     extreme = (F.col("nloc") >= R.FUNCTION_NLOC[2]) | (F.col("complexity") >= R.COMPLEXITY[2])
     text = F.concat(
         F.col("nloc").cast("string"), F.lit(" code lines, approx complexity "), F.col("complexity").cast("string"),
         F.lit(", "), F.col("params").cast("string"), F.lit(" parameters."),
     )
-    keep = ["repo_id", "path", "raw", "nloc", "complexity"]
-    return per_file(
-        rows,
-        finding(
-            "long-function", severity, "high",
-            F.concat(F.lit("Function '"), F.col("name"), F.lit("' is too large or too branch-heavy")), F.col("line"),
-            F.array(text), merge_gate=merge_gate(severity, extreme), decision="extract",
-        ),
-        keep=keep,
+    body = finding(
+        "long-function", severity, "high",
+        F.concat(F.lit("Function '"), F.col("name"), F.lit("' is too large or too branch-heavy")), F.col("line"),
+        F.array(text), merge_gate=merge_gate(severity, extreme), decision="extract",
+    )
+    return rows.select("repo_id", "path", F.col("line").alias("emit_ord"), body.alias("f")).select(
+        "repo_id", "path", "emit_ord", "f.*"
     )
 
 
-def longest_functions(found: DataFrame, n: int = R.LONG_FUNCTIONS_SHOWN) -> DataFrame:
-    """Report: the worst ``n`` functions of each repository."""
+def detect_functions(functions: DataFrame) -> DataFrame:
+    """A finding for every long or branch-heavy function."""
+    return function_findings(long_function_rows(functions))
+
+
+def longest_functions(functions: DataFrame, n: int = R.LONG_FUNCTIONS_SHOWN) -> DataFrame:
+    """Report: the worst ``n`` functions of each repository, ranked before findings are built."""
     order = [severity_rank("raw"), F.desc("nloc"), F.desc("complexity"), F.col("path"), F.col("line")]
-    return cap(found, ["repo_id"], order, n)
+    return function_findings(cap(long_function_rows(functions), ["repo_id"], order, n))
 
 
 def with_ids(found: DataFrame) -> DataFrame:
@@ -247,7 +253,7 @@ def audit(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     facts = stage(python_facts(src), "python-facts")
     functions = stage(function_rows(src, facts), "functions")
     metrics = stage(file_metrics(files, facts, functions), "file-metrics")
-    found = union_findings(detect_files(metrics), detect_functions(functions).drop("raw", "nloc", "complexity"))
+    found = union_findings(detect_files(metrics), detect_functions(functions))
     return metrics, found, verdict_rows(metrics, found, files)
 
 

@@ -406,7 +406,7 @@ def long_functions(spark, sf):
     "WITH " + ",\n".join(FN_CTES) + " SELECT repo_id, path, line, severity FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY CASE raw WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, nloc DESC, complexity DESC, path, line) AS rn FROM ff) WHERE rn <= 12",
 )
 def long_functions_report(spark, sf):
-    found = MS.longest_functions(MS.detect_functions(D.item_functions(spark, sf)))
+    found = MS.longest_functions(D.item_functions(spark, sf))
     return found.select("repo_id", "path", "line", "severity")
 
 

@@ -290,7 +290,7 @@ def part_metrics_cte() -> str:
 
 def item_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Function rows shaped from single line items."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    li = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey")
     return li.select(
         F.concat(F.lit("r"), (F.col("l_partkey") % 20).cast("string")).alias("repo_id"),
         part_path().alias("path"),
