@@ -21,6 +21,8 @@ def build_session(app: str = "repoaudit", master: str | None = None, shuffle_par
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64kb")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # rows that go to Python workers hold whole files
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

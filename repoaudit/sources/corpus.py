@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoaudit.functions import paths as P
 from repoaudit.rules.surface import MAX_FILE_BYTES, SURFACES
+from repoaudit.schemas import FILES
 
 
 def read_corpus(
@@ -14,40 +20,64 @@ def read_corpus(
 ) -> DataFrame:
     """Read checkouts below ``root`` into the ``files`` schema.
 
-    The first ``repo_depth`` path components below ``root`` name the repository.
-    Size is pruned in the scan; NUL-bearing (binary) files are dropped; bytes are
-    read as UTF-8 where valid, else as Latin-1.
+    The first ``repo_depth`` path components below ``root`` name the repository. Spark's own
+    file sources skip names that start with ``.`` or ``_``, which source trees are full of, so
+    the tree is listed and read by tasks through Arrow file systems (local, HDFS, object
+    stores): directories are expanded level by level, names are shuffled by path, and only
+    then are contents read, so that one huge repository is read by many tasks.
     """
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .where(F.col("length") <= max_bytes)
-        .select("path", "content", "length")
-    )
-    anchor = root.rstrip("/").split("/")[-1]
-    tail = F.substring_index(F.col("path"), f"/{anchor}/", -1)
-    steps = F.split(tail, "/")
-    return (
-        raw.where(~has_nul(F.col("content")))
-        .select(
-            F.array_join(F.slice(steps, 1, repo_depth), "/").alias("repo_id"),
-            F.array_join(F.slice(steps, repo_depth + 1, F.size(steps)), "/").alias("path"),
-            decode_text(F.col("content")).alias("text"),
-            F.col("length").alias("size_bytes"),
-        )
-    )
-
-
-def has_nul(content: Column) -> Column:
-    return F.decode(content, "ISO-8859-1").contains("\x00")
-
-
-def decode_text(content: Column) -> Column:
-    """UTF-8 when the bytes are valid UTF-8, else Latin-1."""
-    return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(
-        F.decode(content, "ISO-8859-1")
-    )
+    level = spark.createDataFrame([("", root.rstrip("/"))], "repo_id string, place string")
+    for _ in range(repo_depth):
+        level = level.mapInPandas(list_directories, "repo_id string, place string").repartition("repo_id")
+    listed = level.mapInPandas(partial(list_files, max_bytes=max_bytes), "repo_id string, path string, place string, size_bytes long")
+    return listed.repartition("repo_id", "path").mapInPandas(read_files, FILES)
+
+
+def list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for repo, place in zip(batch["repo_id"], batch["place"]):
+            fs, base = open_place(place)
+            found = [i for i in fs.get_file_info(pafs.FileSelector(base)) if i.type == pafs.FileType.Directory]
+            names = [i.base_name for i in found]
+            yield pd.DataFrame({"repo_id": [f"{repo}/{n}".lstrip("/") for n in names], "place": [f"{place}/{n}" for n in names]})
+
+
+def list_files(batches: Iterator[pd.DataFrame], max_bytes: int) -> Iterator[pd.DataFrame]:
+    """Names and sizes below each repository; oversized files stop here."""
+    for batch in batches:
+        for repo, place in zip(batch["repo_id"], batch["place"]):
+            fs, base = open_place(place)
+            kept = [i for i in fs.get_file_info(pafs.FileSelector(base, recursive=True)) if i.is_file and i.size <= max_bytes]
+            paths = [i.path[len(base) :].lstrip("/") for i in kept]
+            yield pd.DataFrame({"repo_id": repo, "path": paths, "place": [f"{place}/{p}" for p in paths], "size_bytes": [i.size for i in kept]})
+
+
+def read_files(batches: Iterator[pd.DataFrame], chunk: int = 64) -> Iterator[pd.DataFrame]:
+    """Texts in small chunks, so that a batch of large files stays small; binary files are dropped."""
+    for batch in batches:
+        for start in range(0, len(batch), chunk):
+            part = batch.iloc[start : start + chunk]
+            rows = []
+            for r in part.itertuples():
+                fs, base = open_place(r.place)
+                text = decode_text(fs.open_input_file(base).read())
+                if text is not None:
+                    rows.append((r.repo_id, r.path, text, r.size_bytes))
+            yield pd.DataFrame(rows, columns=["repo_id", "path", "text", "size_bytes"])
+
+
+def open_place(place: str):
+    return pafs.FileSystem.from_uri(place)
+
+
+def decode_text(data: bytes) -> str | None:
+    """UTF-8 where valid, else Latin-1; None for content with NUL bytes."""
+    if b"\x00" in data:
+        return None
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
 
 
 def select_surface(files: DataFrame, surface: str) -> DataFrame:
