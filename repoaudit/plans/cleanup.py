@@ -144,51 +144,42 @@ def docs_roots(files: DataFrame) -> DataFrame:
 
 
 def repo_profile(files: DataFrame) -> DataFrame:
-    """Languages, manifests, documentation roots and tool hints per repository.
+    """Source languages and tool hints per repository, with manifest and documentation root counts.
 
-    Lists hold distinct names only; texts are never read for this.
+    The lists here are bounded by the rule tables. Names that grow with a repository are
+    rows of ``manifests`` and ``docs_roots``. Texts are never read for this.
     """
     slim = files.select("repo_id", "path")
-    m = manifests(slim)
-    facts = (
-        m.select("repo_id", F.lit("manifest").alias("k"), F.col("path").alias("v"))
-        .unionByName(m.select("repo_id", F.lit("hint").alias("k"), F.col("kind").alias("v")))
-        .unionByName(docs_roots(slim).select("repo_id", F.lit("docs").alias("k"), F.col("docs_root").alias("v")))
-        .unionByName(
-            slim.where(~F.col("path").rlike(r"(?:^|/)\.[^/]*/"))
-            .select("repo_id", F.lit("language").alias("k"), P.language(F.col("path")).alias("v"))
-            .where(F.col("v").isNotNull() & ~F.col("v").isin(NON_SOURCE_LANGUAGES))
-        )
-        .distinct()
+    name = F.substring_index("path", "/", -1)
+    source = slim.where(~F.col("path").rlike(r"(?:^|/)\.[^/]*/")).select("repo_id", P.language(F.col("path")).alias("v"))
+    languages = (
+        source.where(F.col("v").isNotNull() & ~F.col("v").isin(NON_SOURCE_LANGUAGES))
+        .groupBy("repo_id")
+        .agg(F.array_sort(F.collect_set("v")).alias("languages"))
     )
-    collected = facts.groupBy("repo_id").agg(
-        *[
-            F.array_sort(F.collect_set(F.when(F.col("k") == k, F.col("v")))).alias(out)
-            for k, out in (
-                ("language", "languages"), ("manifest", "manifests"), ("docs", "docs_roots"), ("hint", "hints"),
-            )
-        ]
+    found = manifests(slim).groupBy("repo_id").agg(
+        F.collect_set("kind").alias("hints"),
+        F.countDistinct("path").alias("n_manifests"),
+        F.bool_or(name.isin("package.json", "tsconfig.json")).alias("js"),
+        F.bool_or(name.isin("pyproject.toml", "requirements.txt", "setup.py", "Pipfile")).alias("py"),
+        F.bool_or(F.col("path").contains("docusaurus") | F.col("path").endswith("mkdocs.yml")).alias("site"),
     )
-    js = F.exists("manifests", lambda x: x.rlike(r"(?:package|tsconfig)\.json$"))
-    py = F.exists("manifests", lambda x: x.rlike(r"(?:pyproject\.toml|requirements\.txt|setup\.py|Pipfile)$"))
-    docs = (F.size("docs_roots") > 0) | F.exists(
-        "manifests", lambda x: x.contains("docusaurus") | x.endswith("mkdocs.yml")
+    roots = docs_roots(slim).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_docs_roots"))
+    rows = (
+        repositories(slim).join(languages, "repo_id", "left").join(found, "repo_id", "left").join(roots, "repo_id", "left")
+        .fillna(0).fillna(False)
     )
     none = P.strings([])
-    tools = F.array_sort(
-        F.array_distinct(
-            F.concat(
-                "hints",
-                F.when(js, P.strings(TOOLS_FOR_JS)).otherwise(none),
-                F.when(py, P.strings(TOOLS_FOR_PYTHON)).otherwise(none),
-                F.when(docs, P.strings(TOOLS_FOR_DOCS)).otherwise(none),
-            )
+    tools = F.array_distinct(
+        F.concat(
+            F.coalesce("hints", none),
+            F.when(F.col("js"), P.strings(TOOLS_FOR_JS)).otherwise(none),
+            F.when(F.col("py"), P.strings(TOOLS_FOR_PYTHON)).otherwise(none),
+            F.when(F.col("site") | (F.col("n_docs_roots") > 0), P.strings(TOOLS_FOR_DOCS)).otherwise(none),
         )
     )
-    empty = {c: none for c in ("languages", "manifests", "docs_roots", "tool_hints")}
-    found = collected.select("repo_id", "languages", "manifests", "docs_roots", tools.alias("tool_hints"))
-    return repositories(slim).join(found, "repo_id", "left").select(
-        "repo_id", *[F.coalesce(c, e).alias(c) for c, e in empty.items()]
+    return rows.select(
+        "repo_id", F.coalesce("languages", none).alias("languages"), "n_manifests", "n_docs_roots", F.array_sort(tools).alias("tool_hints")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from repoaudit.functions import paths as P
 from repoaudit.operators.findings import expand, finding, per_repo, union_findings
 from repoaudit.operators.tool_runs import issue_totals
-from repoaudit.rules.surface import APPLICATION_LANGUAGE_BY_SUFFIX, PACKAGE_MANAGERS, SURFACES
+from repoaudit.rules.surface import APPLICATION_LANGUAGE_BY_SUFFIX, PACKAGE_MANAGERS
 from repoaudit.sources.corpus import select_surface
 
 EXPORT_KEYS = ["exports", "nsExports", "types", "nsTypes", "enumMembers", "namespaceMembers"]
@@ -50,50 +50,42 @@ def manifest_managers(files: DataFrame, table: list[tuple[str, str]]) -> DataFra
     return flags.select("repo_id", F.array_distinct(picks).alias("managers"))
 
 
+def workspace_roots(files: DataFrame) -> DataFrame:
+    """Distinct package and project directories below the root, and the root itself with a workspace file."""
+    src = select_surface(files, "structure").select("repo_id", "path")
+    path = F.col("path")
+    place = F.when(path == "pnpm-workspace.yaml", F.lit(".")).when(
+        P.name(path).isin("package.json", "pyproject.toml") & path.contains("/"), P.parent(path)
+    )
+    return src.select("repo_id", place.alias("root")).where("root is not null").distinct()
+
+
 def repo_profile(files: DataFrame) -> DataFrame:
-    """Languages, roots, workspace roots, manifests and shape per repository (distinct names only)."""
+    """Languages, root counts, shape and declaration flags per repository.
+
+    Roots are counted, not listed: their rows are ``source_roots`` and ``workspace_roots``.
+    """
     src = select_surface(files, "structure").select("repo_id", "path")
     path = F.col("path")
     lang = P.lookup(P.suffix(path), APPLICATION_LANGUAGE_BY_SUFFIX)
-    facts = [
-        ("language", lang),
-        ("root", P.source_root(path)),
-        ("py", F.when(lang == "python", P.source_root(path))),
-        ("js", F.when(lang.isin("typescript", "javascript"), P.source_root(path))),
-        ("manifest", F.when(P.name(path).isin(SURFACES["structure"]["names"]), path)),
-        ("package_dir", F.when(P.name(path) == "package.json", P.parent(path))),
-        ("project_dir", F.when(P.name(path) == "pyproject.toml", P.parent(path))),
-        ("workspace", F.when(path == "pnpm-workspace.yaml", F.lit("."))),
-    ]
-    pairs = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in facts])
-    distinct = (
-        src.select("repo_id", F.explode(pairs).alias("p"))
-        .select("repo_id", "p.*")
-        .where("v is not null")
-        .distinct()
-    )
-    lists = distinct.groupBy("repo_id").agg(
-        *[
-            F.array_sort(F.collect_set(F.when(F.col("k") == k, F.col("v")))).alias(k)
-            for k, _ in facts
-        ]
-    )
-    none = P.strings([])
-    rows = files.select("repo_id").distinct().join(lists, "repo_id", "left")
-    rows = rows.select("repo_id", *[F.coalesce(k, none).alias(k) for k, _ in facts])
-    workspace = F.array_sort(
-        F.array_union("workspace", F.filter(F.array_union("package_dir", "project_dir"), lambda d: d != "."))
+    base = src.groupBy("repo_id").agg(
+        F.array_sort(F.collect_set(lang)).alias("languages"),
+        F.countDistinct(P.source_root(path)).alias("n_source_roots"),
+        F.bool_or(path == "package.json").alias("root_package"),
+        F.bool_or(path == "pnpm-workspace.yaml").alias("root_workspace"),
+        F.bool_or(path.isin(LOCKS)).alias("root_lock"),
+    )
+    spaces = workspace_roots(files).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_workspace_roots"))
+    rows = (
+        files.select("repo_id").distinct().join(base, "repo_id", "left").join(spaces, "repo_id", "left").fillna(0).fillna(False)
     )
+    known = F.coalesce("languages", P.strings([]))
     return rows.select(
         "repo_id",
-        F.when(F.size("language") > 0, F.col("language")).otherwise(P.strings(["non-application"])).alias("languages"),
-        F.col("root").alias("source_roots"),
-        F.col("py").alias("python_targets"),
-        F.col("js").alias("js_targets"),
-        F.col("manifest").alias("manifests"),
-        workspace.alias("workspace_roots"),
-        F.when(F.size(workspace) > 1, "workspace-monorepo")
-        .when(F.size("root") > 0, "single-package")
+        F.when(F.size(known) > 0, known).otherwise(P.strings(["non-application"])).alias("languages"),
+        "n_source_roots", "n_workspace_roots", "root_package", "root_workspace", "root_lock",
+        F.when(F.col("n_workspace_roots") > 1, "workspace-monorepo")
+        .when(F.col("n_source_roots") > 0, "single-package")
         .otherwise("repo-without-app-surface")
         .alias("shape"),
     )
@@ -107,7 +99,6 @@ def dep(category, severity, confidence, title, evidence: Column, scope: str, dec
 
 def profile_findings(profile: DataFrame) -> DataFrame:
     """Findings from repository shape alone."""
-    has = lambda name: F.array_contains("manifests", name)
     applies = ~F.array_contains("languages", "non-application")
     return per_repo(
         profile,
@@ -121,7 +112,7 @@ def profile_findings(profile: DataFrame) -> DataFrame:
             ),
         ),
         F.when(
-            applies & has("package.json") & ~F.arrays_overlap("manifests", P.strings(LOCKS)),
+            applies & F.col("root_package") & ~F.col("root_lock"),
             dep(
                 "dependency-declaration-gap", "medium", "high", "JS/TS dependency metadata has no visible lockfile",
                 F.lit("A package.json is present but no npm, pnpm, or yarn lockfile was detected."),
@@ -129,7 +120,7 @@ def profile_findings(profile: DataFrame) -> DataFrame:
             ),
         ),
         F.when(
-            applies & (F.size("workspace_roots") > 1) & ~(has("pnpm-workspace.yaml") | has("package.json")),
+            applies & (F.col("n_workspace_roots") > 1) & ~(F.col("root_workspace") | F.col("root_package")),
             dep(
                 "orphan-or-isolated-module", "medium", "medium",
                 "The repo looks multi-root, but workspace ownership is under-specified",

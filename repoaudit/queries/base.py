@@ -67,11 +67,6 @@ def cleanup_findings(spark, sf):
     return shown(cleanup.detect_files(corpus(spark, sf), AS_OF))
 
 
-@query("cleanup_evidence_gaps", with_files(GAP_CTE, select=f"SELECT {FOUND_COLS} FROM gaps"))
-def cleanup_evidence_gaps(spark, sf):
-    return shown(cleanup.evidence_gaps(corpus(spark, sf)))
-
-
 @query(
     "cleanup_verdict",
     with_files(

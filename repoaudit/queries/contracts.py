@@ -221,13 +221,13 @@ def structure_source_roots(spark, sf):
     with_files(
         ST_SRC,
         f"x AS (SELECT repo_id, path, {_ROOT} AS root, CASE WHEN {SFX} IN ('.py', '.pyi') THEN 'python' WHEN {SFX} IN ('.ts', '.tsx') THEN 'typescript' WHEN {CODE} THEN 'javascript' END AS lang, {S.NAME} AS nm FROM src)",
-        select="SELECT repo_id, coalesce(array_to_string(list_sort(list(DISTINCT lang) FILTER (WHERE lang IS NOT NULL)), ','), 'non-application') AS languages, array_to_string(list_sort(list(DISTINCT root) FILTER (WHERE root IS NOT NULL)), ',') AS source_roots, "
+        select="SELECT repo_id, coalesce(array_to_string(list_sort(list(DISTINCT lang) FILTER (WHERE lang IS NOT NULL)), ','), 'non-application') AS languages, count(DISTINCT root) AS n_source_roots, "
         "CASE WHEN count(root) > 0 THEN 'single-package' ELSE 'repo-without-app-surface' END AS shape FROM x GROUP BY 1",
     ),
 )
 def structure_profile(spark, sf):
     p = ST.repo_profile(corpus(spark, sf))
-    return p.select("repo_id", F.array_join("languages", ",").alias("languages"), F.array_join("source_roots", ",").alias("source_roots"), "shape")
+    return p.select("repo_id", F.array_join("languages", ",").alias("languages"), "n_source_roots", "shape")
 
 
 # manifests are placed in repositories by document id, so that lock and workspace rules fire

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from repoaudit.functions import paths as P
 from repoaudit.operators import documents as DO
 from repoaudit.operators import links as L
-from repoaudit.plans.cleanup import docs_roots, manifests, stale_links
+from repoaudit.plans.cleanup import docs_roots, evidence_gaps, manifests, repo_profile, stale_links
 from repoaudit.queries import derived as D
 from repoaudit.queries import sqlgen as S
 from repoaudit.queries.contracts import MANIFEST_FILES, manifest_files
@@ -250,3 +250,23 @@ def packaging_noise(spark, sf):
     return DO.packaging_noise(d.select(F.col("source").alias("repo_id"), path.alias("path")))
 
 
+
+
+@query(
+    "cleanup_evidence_gaps",
+    "WITH " + MANIFEST_FILES + ", g AS (SELECT repo_id, bool_or(path <> 'docs/index.md' AND path <> 'pnpm-lock.yaml') AS manifest FROM mf GROUP BY 1) "
+    "SELECT repo_id, '.' AS path, 'evidence-gap' AS category, 'high' AS severity FROM g UNION ALL SELECT repo_id, '.', 'evidence-gap', 'medium' FROM g UNION ALL SELECT repo_id, '.', 'scan-blocker', 'medium' FROM g WHERE NOT manifest",
+)
+def cleanup_evidence_gaps(spark, sf):
+    """Repositories without tests, CI or known manifests."""
+    return evidence_gaps(manifest_files(spark, sf)).select("repo_id", "path", "category", "severity")
+
+
+@query(
+    "cleanup_repo_profile",
+    "WITH " + MANIFEST_FILES + """, g AS (SELECT repo_id, count(DISTINCT path) FILTER (WHERE path NOT IN ('docs/index.md', 'pnpm-lock.yaml')) AS n_manifests, bool_or(path LIKE '%package.json') AS js, bool_or(regexp_matches(path, '(?:pyproject.toml|requirements.txt|Pipfile)$')) AS py, bool_or(path LIKE 'docs/%') AS docs,
+ bool_or(regexp_matches(path, '(?:package.json|package-lock.json|yarn.lock)$')) AS node, bool_or(regexp_matches(path, '(?:pyproject.toml|requirements.txt|Pipfile|poetry.lock)$')) AS python FROM mf GROUP BY 1)
+ SELECT repo_id, n_manifests, CASE WHEN docs THEN 1 ELSE 0 END::BIGINT AS n_docs_roots, array_to_string(list_sort(list_concat(CASE WHEN node THEN ['node'] ELSE [] END, CASE WHEN python THEN ['python'] ELSE [] END, CASE WHEN js THEN ['tsc', 'eslint', 'knip', 'ast-grep'] ELSE [] END, CASE WHEN py THEN ['ruff', 'basedpyright', 'tach'] ELSE [] END, CASE WHEN docs THEN ['lychee', 'vale', 'built-in-link-check'] ELSE [] END)), ',') AS tool_hints FROM g""",
+)
+def cleanup_repo_profile(spark, sf):
+    return repo_profile(manifest_files(spark, sf)).select("repo_id", "n_manifests", "n_docs_roots", F.array_join("tool_hints", ",").alias("tool_hints"))
