@@ -417,3 +417,35 @@ def module_shape_audit(spark, sf):
     return severity_counts(found, verdicts).join(verdicts.select("repo_id", "verdict"), "repo_id")
 
 
+
+
+# snippet, line, bare, broad, passes, continues, returns a default, loses the cause
+HANDLERS = [
+    (25, 4, "false", "true", "true", "false", "false", "false"), (26, 4, "true", "true", "false", "false", "true", "false"),
+    (27, 4, "false", "true", "false", "true", "false", "false"), (31, 3, "false", "false", "false", "false", "false", "true"),
+]
+# snippet, line, name, shell, thin, public methods, non-trivial methods
+CLASSES = [
+    (15, 1, "OrderConsumer", "false", "false", 1, 1), (37, 2, "OrderCommand", "false", "false", 0, 0), (37, 4, "OrderQuery", "false", "true", 1, 0),
+    (38, 2, "Port", "true", "false", 2, 2), (61, 3, "W", "false", "false", 1, 1),
+]
+# snippet, line, call, positional arguments, result dropped
+CALLS = [
+    (7, 1, "getattr", 3, "false"), (29, 1, "cast", 2, "false"), (29, 2, "d.get", 2, "false"), (29, 3, "hasattr", 2, "false"),
+    (30, 1, "contextlib.suppress", 1, "false"), (30, 2, "loop.create_task", 1, "true"),
+]
+
+
+@query("python_handlers", with_code(py_base("silent-failure"), select=f"SELECT repo_id, path, CAST(p + n AS INTEGER) AS line, bare = 'true' AS bare, broad = 'true' AS broad, passes = 'true' AS passes, continues = 'true' AS continues, rd = 'true' AS returns_default, lc = 'true' AS loses_cause FROM py JOIN {values(HANDLERS)} t(k, n, bare, broad, passes, continues, rd, lc) USING (k)"))
+def python_handlers(spark, sf):
+    return X.rows_of(py_facts(spark, sf, "silent-failure"), "handlers").drop("src")
+
+
+@query("python_classes", with_code(py_base("pythonic-ddd-drift"), select=f"SELECT repo_id, path, name, CAST(p + n AS INTEGER) AS line, shell = 'true' AS shell, thin = 'true' AS thin, public, nontrivial FROM py JOIN {values(CLASSES)} t(k, n, name, shell, thin, public, nontrivial) USING (k)"))
+def python_classes(spark, sf):
+    return X.rows_of(py_facts(spark, sf, "pythonic-ddd-drift"), "classes")
+
+
+@query("python_calls", with_code(py_base("silent-failure"), select=f"SELECT repo_id, path, name, CAST(p + n AS INTEGER) AS line, args, dropped = 'true' AS dropped FROM py JOIN {values(CALLS)} t(k, n, name, args, dropped) USING (k)"))
+def python_calls(spark, sf):
+    return X.rows_of(py_facts(spark, sf, "silent-failure"), "calls").select("repo_id", "path", "name", "line", "args", "dropped")

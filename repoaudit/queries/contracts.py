@@ -9,6 +9,7 @@ from repoaudit.operators.facts import python_facts
 from repoaudit.plans import contract_gates as CG
 from repoaudit.plans import durable_agents as DA
 from repoaudit.plans import error_contract as EC
+from repoaudit.plans import side_effects as SE
 from repoaudit.plans import structure as ST
 from repoaudit.queries import derived as D
 from repoaudit.queries import sqlgen as S
@@ -19,6 +20,7 @@ from repoaudit.queries.sqlgen import rx, sql_text, surface_where, with_files
 from repoaudit.rules import contract_gates as CR
 from repoaudit.rules import durable_agents as DR
 from repoaudit.rules import error_contract as R
+from repoaudit.rules.api_surfaces import MANAGERS
 from repoaudit.rules.surface import PACKAGE_MANAGERS
 from repoaudit.sources.corpus import select_surface
 
@@ -415,3 +417,54 @@ def durable_findings_report(spark, sf):
     return found.select("repo_id", "category", "severity", "confidence", "title", "rank")
 
 
+
+
+# ---- findings of tools in other audits --------------------------------------------------------------------------
+
+
+@query(
+    "side_effect_tool_findings",
+    RUNS + """SELECT repo_id, CASE WHEN status = 'failed' THEN 'scan-blocker' WHEN tool = 'ast-grep' THEN 'dynamic-dispatch-signal' ELSE 'side-effect-pattern-signal' END AS category,
+ CASE WHEN status = 'failed' THEN tool || ' did not complete cleanly' ELSE tool || ' reported additional distributed side-effect evidence' END AS title, array_to_string(list_concat([summary], details[:CASE WHEN status = 'failed' THEN 2 ELSE 3 END]), ' | ') AS evidence
+ FROM merged WHERE status IN ('failed', 'issues')""",
+)
+def side_effect_tool_findings(spark, sf):
+    found = SE.tool_findings(T.merge_tool_runs(D.tool_runs(spark, sf)))
+    return found.select("repo_id", "category", "title", F.array_join("evidence", " | ").alias("evidence"))
+
+
+_TOOLROWS = ", ".join(f"('{t}', {i}, '{v[0]}', '{v[1]}', '{v[2]}', {sql_text(v[3])}, '{v[4]}', '{v[5]}')" for i, (t, v) in enumerate(DR.TOOL_FINDINGS.items()))
+
+
+@query(
+    "durable_tool_findings",
+    RUNS + f"""SELECT repo_id, category, severity, confidence, title, decision, merge_gate, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY i) AS INTEGER) AS rank FROM merged JOIN (VALUES {_TOOLROWS}) t(tool, i, category, severity, confidence, title, decision, merge_gate) USING (tool) WHERE status = 'issues'""",
+)
+def durable_tool_findings(spark, sf):
+    """Tool findings alone: all gates of the applicable repositories are sound here."""
+    merged = T.merge_tool_runs(D.tool_runs(spark, sf))
+    sound = merged.select("repo_id").distinct().select(
+        "repo_id", F.lit(True).alias("applicable"), F.lit("tool-contracts").alias("gate"), F.lit("sound").alias("state"), F.lit("low").alias("severity"), F.lit("medium").alias("confidence")
+    )
+    return DA.detect(sound, merged).select("repo_id", "category", "severity", "confidence", "title", "decision", "merge_gate", "rank")
+
+
+@query(
+    "durable_docs_ready",
+    "WITH e AS (SELECT source AS repo_id, (['Temporal SDK', 'pydantic-ai', 'other'])[doc_id % 3 + 1] AS subject, doc_id % 4 = 0 AS ok FROM documents) SELECT repo_id, bool_or(ok AND contains(lower(subject), 'temporal')) AND bool_or(ok AND contains(lower(subject), 'pydantic')) AS docs_ready FROM e GROUP BY 1",
+)
+def durable_docs_ready(spark, sf):
+    n = F.col("doc_id")
+    subject = F.element_at(F.array(F.lit("Temporal SDK"), F.lit("pydantic-ai"), F.lit("other")), (n % 3 + 1).cast("int"))
+    rows = D.documents(spark, sf).select(F.col("source").alias("repo_id"), subject.alias("subject"), F.when(n % 4 == 0, "verified").otherwise("failed").alias("status"))
+    return DA.docs_ready(rows)
+
+
+@query(
+    "manifest_managers",
+    "WITH " + MANIFEST_FILES + " SELECT repo_id, string_agg(m, ',' ORDER BY i) AS managers FROM (SELECT repo_id, m, min(i) AS i FROM mf JOIN (VALUES "
+    + ", ".join(f"({i}, '{n}', '{m}')" for i, (n, m) in enumerate(MANAGERS))
+    + ") t(i, n, m) ON regexp_extract(path, '[^/]*$') = n GROUP BY 1, 2) GROUP BY 1",
+)
+def manifest_managers(spark, sf):
+    return ST.manifest_managers(manifest_files(spark, sf), MANAGERS).select("repo_id", F.array_join("managers", ",").alias("managers"))
