@@ -9,12 +9,19 @@ from repoaudit.functions.regex import Bank, has_any, jvm, strip
 
 # fixed value: every line boundary that a text line split recognises
 LINE_BREAK = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85" + chr(0x2028) + chr(0x2029) + "]"
+RARE_BREAK = "[\r\x0b\x0c\x1c\x1d\x1e\x85" + chr(0x2028) + chr(0x2029) + "]"
 
 
 def line_array(text: Column) -> Column:
     """Lines of a text without their terminators; a final terminator opens no extra line."""
-    body = F.regexp_replace(text, f"(?:{LINE_BREAK})\\z", "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK, -1))
+    # most texts hold line feeds only, and a one-character split needs no regular expression
+    plain = F.split(text, "\n", -1)
+    pieces = F.array(F.when(text.rlike(RARE_BREAK), F.split(text, LINE_BREAK, -1)).otherwise(plain))
+    # bound by a one-element transform, so that the split runs once
+    whole = F.transform(
+        pieces, lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
+    )
+    return F.element_at(whole, 1)
 
 
 def explode_lines(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
