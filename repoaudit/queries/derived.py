@@ -341,7 +341,10 @@ def summary_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary_keys(spark, sf_dir).select("repo_id", "domain", F.expr(SUMMARY_TEXT).alias("json"))
+    # the keys are tiny, so adaptive coalescing would leave the JSON work that follows to one task
+    cores = spark.sparkContext.defaultParallelism
+    keys = summary_keys(spark, sf_dir).repartition(cores, "repo_id", "domain")
+    return keys.select("repo_id", "domain", F.expr(SUMMARY_TEXT).alias("json"))
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from repoaudit.queries import sqlgen as S
 from repoaudit.queries.derived import sql_text
 from repoaudit.queries.registry import query
 from repoaudit.rules import catalog as C
+from repoaudit.session import stage
 
 CATALOG = "cat(ord, domain, cluster) AS (VALUES " + ", ".join(f"({i}, '{d}', '{c}')" for i, (d, c) in enumerate(C.DOMAINS.items())) + ")"
 _KEYS = S.sql_array(C.REQUIRED_SUMMARY_KEYS)
@@ -166,7 +167,8 @@ def rollup_clusters(spark, sf):
  CASE WHEN priority_rank <= 1 THEN 'now' WHEN priority_rank <= 3 THEN 'next' ELSE 'later' END AS tier FROM oc""",
 )
 def rollup_ordered_actions(spark, sf):
-    runs = runs_of(spark, sf)
+    # written once: records and health both read it
+    runs = stage(runs_of(spark, sf), "runs")
     return R.ordered_actions(R.domain_records(runs), R.health(runs))
 
 
