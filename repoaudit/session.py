@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +22,7 @@ def build_session(app: str = "repoaudit", master: str | None = None, shuffle_par
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # rows that go to Python workers hold whole files
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(16 * 1024 * 1024))
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -34,14 +34,29 @@ def build_session(app: str = "repoaudit", master: str | None = None, shuffle_par
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a private one only where none is set."""
-    configured = spark.conf.get(CHECKPOINT_KEY, None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_KEY, configured)
-    return configured
+    """The shared folder named by the cluster; beside the warehouse on a local master that names none."""
+    configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
+    return os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "stages")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables."""
+    return os.path.join(checkpoint_root(spark), f"run-{spark.sparkContext.applicationId}")
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new place for an intermediate table."""
+    return os.path.join(run_folder(spark), f"stage-{name}-{uuid.uuid4().hex}")
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every intermediate table of this application; results that still read one must be written first."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -49,9 +64,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     Used where a pass over file texts feeds several later branches: the texts are
     read once, the narrow result is reliable against executor loss, and the
-    read-back table has exact statistics for join planning.
+    read-back table has exact statistics for join planning. ``release`` removes
+    the tables of an application.
     """
     spark = df.sparkSession
-    target = os.path.join(checkpoint_root(spark), f"stage-{name}-{uuid.uuid4().hex}")
+    target = stage_path(spark, name)
     df.write.mode("overwrite").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
