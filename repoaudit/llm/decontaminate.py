@@ -14,17 +14,16 @@ item; a null item id is written ``null``.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repoaudit.llm.common import documents, narrow_batches, texts
+from repoaudit.llm.common import documents, keyed, real_id, texts
 
 WINDOW = 10
 #: Item words in one automaton: about 10 trie nodes of 60 bytes a word.
@@ -34,8 +33,6 @@ FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-FOUND = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>"
-
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
@@ -82,53 +79,113 @@ def offsets(text: str, ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
 
 
 def item_blocks(benchmark: DataFrame, most_words: int = AUTOMATON_WORDS) -> Iterator[list[tuple[str, bytes]]]:
-    """Benchmark items in blocks that one automaton may hold. A single longer item is a block of its own."""
+    """Benchmark items in blocks that one automaton may hold; a single longer item is a block of its own."""
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"),
         F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("size", F.length("text"))
-    chars = most_words * 4
-    spread = items.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(1024)))
-    sums = spread.groupBy("part").agg(F.sum("size").alias("size"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most 1024 rows
-    blocks = sums.select("part", F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / chars).alias("block"))
-    parts: dict[int, list[int]] = {}
-    for part, block in blocks.collect():
-        parts.setdefault(block, []).append(part)
-    for block in sorted(parts):
-        rows = spread.where(F.col("part").isin(parts[block])).select("item", "text").toLocalIterator()
-        held, size = [], 0
-        for item, text in rows:  # a part that is larger by itself is cut here
-            if held and size + len(text) > 2 * chars:
-                yield held
-                held, size = [], 0
-            held.append((item, text.encode()))
-            size += len(text)
-        if held:
+    ).orderBy("item", "text")
+    held, size = [], 0
+    for item, text in items.toLocalIterator():  # one partition of the benchmark at a time
+        n = text.count(" ") + 1
+        if held and size + n > most_words:
             yield held
+            held, size = [], 0
+        held.append((item, text.encode()))
+        size += n
+    if held:
+        yield held
 
 
 def _scan(shared):
     def run(batches):
         matcher = Matcher(shared.value)
         for batch in batches:
-            n_words, n_hit, items, spans = [], [], [], []
-            for text in texts(batch.column(1)):
+            n_words, found_ranges, items = [], [], []
+            for text in texts(batch.column(2)):
                 found = words(text)
                 ranges, names = matcher.scan(found)
                 n_words.append(len(found))
-                n_hit.append(sum(b - a for a, b in ranges))
+                found_ranges.append([x for r in ranges for x in r])
                 items.append(sorted(names))
-                spans.append(offsets(text.decode("utf-8", "replace"), ranges) if ranges else [])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns[:2],
                     pa.array(n_words, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
+                    pa.array(found_ranges, pa.list_(pa.int32())),
                     pa.array(items, pa.list_(pa.string())),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                 ],
-                names=["doc_id", "n_words", "n_hit", "items", "spans"],
+                names=["doc", "row_key", "n_words", "ranges", "items"],
             )
 
     return run
+
+
+SCANNED = "doc long, row_key int, n_words long, ranges array<int>, items array<string>"
+
+
+def union(ranges: list[int]) -> list[tuple[int, int]]:
+    """Sorted, disjoint ranges that cover the given ones (starts and ends in turn)."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(zip(ranges[::2], ranges[1::2], strict=True)):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _finish(batches):
+    for batch in batches:
+        ranges = [union(r) for r in batch.column(3).to_pylist()]
+        items = [sorted(set(x)) for x in batch.column(4).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [
+                *batch.columns[:3],
+                pa.array([sum(b - a for a, b in r) for r in ranges], pa.int64()),
+                pa.array([[x for ab in r for x in ab] for r in ranges], pa.list_(pa.int32())),
+                pa.array(items, pa.list_(pa.string())),
+            ],
+            names=["doc", "row_key", "n_words", "n_hit", "ranges", "items"],
+        )
+
+
+def scanned(docs: DataFrame, benchmark: DataFrame, most_words: int = AUTOMATON_WORDS) -> DataFrame:
+    """``doc, row_key, n_words, n_hit, ranges, items`` of every row; ``ranges`` are starts and ends in words."""
+    spark = docs.sparkSession
+    texts_of = keyed(docs)
+    parts = [
+        texts_of.mapInArrow(_scan(spark.sparkContext.broadcast(block)), SCANNED)
+        for block in item_blocks(benchmark, most_words)
+    ] or [texts_of.mapInArrow(_scan(spark.sparkContext.broadcast([])), SCANNED)]
+    if len(parts) == 1:
+        both = parts[0]
+    else:  # every block sees every row; identical rows stay apart by their number
+        number = Window.partitionBy("doc", "row_key").orderBy("n_words")
+        both = reduce(DataFrame.unionAll, [p.withColumn("copy", F.row_number().over(number)) for p in parts])
+        both = both.groupBy("doc", "row_key", "copy").agg(
+            F.first("n_words").alias("n_words"),
+            F.flatten(F.collect_list("ranges")).alias("ranges"),
+            F.flatten(F.collect_list("items")).alias("items"),
+        ).drop("copy")
+    return both.mapInArrow(
+        _finish, "doc long, row_key int, n_words long, n_hit long, ranges array<int>, items array<string>"
+    )
+
+
+def spans(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """``doc_id, spans`` of contaminated rows: offsets of the hits in the original text."""
+    place = F.udf(lambda text, r: offsets(text, list(zip(r[::2], r[1::2], strict=True))), "array<struct<start: int, end: int>>")
+    rows = keyed(docs).join(hits.where(F.col("n_hit") > 0).select("doc", "row_key", "ranges").distinct(), ["doc", "row_key"])
+    return rows.select(real_id(F.col("doc")).alias("doc_id"), place("text", "ranges").alias("spans"))
+
+
+def op7_decontamination(spark, sf_dir):
+    hits = scanned(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return hits.select(
+        real_id(F.col("doc")).alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )

@@ -60,7 +60,7 @@ def _bitmaps(batches):
     for batch in batches:
         maps = []
         for gone in batch.column(2).to_pylist():
-            bits = np.ones(max(gone) + 1, bool)
+            bits = np.ones(max(gone) // 8 * 8 + 8, bool)  # whole bytes
             bits[gone] = False
             maps.append(zlib.compress(np.packbits(bits).tobytes(), 1))
         yield pa.RecordBatch.from_arrays(

@@ -16,4 +16,43 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
 
-ORACLES = {"op2_line_dedup": LINE_DEDUP}
+WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+MIXING = f"""
+WITH sized AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5(doc_id::VARCHAR || ':' || md5(coalesce(text, ''))) AS place FROM documents),
+ sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+ weighed AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1]::DOUBLE AS weight FROM sources),
+ levels AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS budget,
+  coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given,
+  sum(weight) OVER (ORDER BY source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM weighed),
+ lines AS (SELECT *, (budget - given) / rest AS level FROM levels),
+ shares AS (SELECT *, (SELECT level FROM lines WHERE level * weight <= 2 * source_size ORDER BY given LIMIT 1) AS share FROM lines),
+ goals AS (SELECT source, source_size, budget, least(coalesce(share * weight, 2.0::DOUBLE * source_size), 2.0::DOUBLE * source_size) AS target FROM shares),
+ sent AS (SELECT s.*, g.source_size, g.target, g.budget, sum(size) OVER (PARTITION BY s.source ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) AS sent
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
+ passes AS (SELECT *, 0 AS pass, sent / target AS finish FROM sent UNION ALL SELECT *, 1, (sent + source_size) / target FROM sent),
+ queue AS (SELECT *, sum(size) OVER (ORDER BY finish, source, place, doc_id, pass ROWS UNBOUNDED PRECEDING) AS used FROM passes)
+SELECT doc_id, size, source_size, target, (count(*) FILTER (WHERE used <= budget) * size)::BIGINT AS taken
+FROM queue GROUP BY doc_id, size, source_size, target"""
+
+BENCH_WORDS = f"regexp_extract_all({FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+DECONTAMINATION = f"""
+WITH item AS (SELECT item_id::VARCHAR AS item_id, {BENCH_WORDS} AS w FROM benchmark),
+ win AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS key
+  FROM (SELECT item_id, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM item WHERE len(w) > 0)),
+ doc AS (SELECT doc_id, {BENCH_WORDS} AS w FROM documents),
+ gram AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS key
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc, (SELECT DISTINCT size FROM win) WHERE len(w) >= size)),
+ hit AS (SELECT g.doc_id, g.i, g.size, v.item_id FROM gram g JOIN win v ON g.key = v.key AND g.size = v.size),
+ covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hit) GROUP BY doc_id),
+ named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(n.n_items, 0)::BIGINT AS n_items,
+ sha256(coalesce(n.names, '')) AS items_sha256, c.n_hit IS NOT NULL AS contaminated
+FROM doc d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id"""
+
+ORACLES = {
+    "op2_line_dedup": LINE_DEDUP,
+    "op6_mixing": MIXING,
+    "op7_decontamination": DECONTAMINATION,
+}

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from repoaudit.llm.decontaminate import op7_decontamination
 from repoaudit.llm.line_dedup import op2_line_dedup
+from repoaudit.llm.mixing import op6_mixing
 from repoaudit.llm.oracles import ORACLES  # noqa: F401
+from repoaudit.llm.quality import op5_quality
 from repoaudit.llm.token_counts import op3_token_counts
 from repoaudit.llm.token_output import op8_token_output
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
+    "op5_quality": op5_quality,
+    "op6_mixing": op6_mixing,
+    "op7_decontamination": op7_decontamination,
     "op8_token_output": op8_token_output,
 }
 
