@@ -31,18 +31,16 @@ class _Group:
 
 
 def _stream(min_docs: int, with_owner: bool):
-    def rows(doc, slot, owner, key=(0, 0), kind=DECIDED):
-        n = len(doc)
-        full = lambda v, t=np.int64: np.full(n, v, t)
-        owner = owner if isinstance(owner, np.ndarray) else full(owner)
+    def rows(doc, slot, owner, key, kind=DECIDED):
+        full = lambda v, t=np.int64: v if isinstance(v, np.ndarray) else np.full(len(doc), v, t)
         return pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (doc, slot, owner, full(key[0]), full(key[1]), full(kind, np.int8))],
+            [pa.array(x) for x in (doc, slot, full(owner), full(key[0]), full(key[1]), full(kind, np.int8))],
             names=["doc", "slot", "owner", "hi", "lo", "kind"],
         )
 
-    def decided(doc, slot, owner):
+    def decided(doc, slot, owner, key):
         keep = slice(None) if with_owner else doc != owner
-        return rows(doc[keep], slot[keep], owner)
+        return rows(doc[keep], slot[keep], owner, key)
 
     def feed(group: _Group, doc, slot):
         """More rows of the group; what can be said about them now."""
@@ -55,7 +53,7 @@ def _stream(min_docs: int, with_owner: bool):
             yield rows(doc, slot, 0, group.key, OPEN)
         elif len(group.docs) >= min_docs:
             for held in [*group.held, (doc, slot)]:
-                yield decided(*held, group.docs[0])
+                yield decided(*held, group.docs[0], group.key)
             group.held = []
         else:
             group.held.append((doc, slot))
@@ -83,7 +81,7 @@ def _stream(min_docs: int, with_owner: bool):
                     group = _Group(key, group is None)
                 if a and first_end < last:  # the whole groups between the two ends, once
                     inner = starts[1:-1]
-                    d, s = doc[first_end:last], slot[first_end:last]
+                    d = doc[first_end:last]
                     sizes = np.diff(np.r_[inner, last])
                     new = np.r_[True, turn[first_end : last - 1] | (d[1:] != d[:-1])]
                     many = np.add.reduceat(new.astype(np.int64), inner - first_end) >= min_docs
@@ -92,7 +90,8 @@ def _stream(min_docs: int, with_owner: bool):
                     if not with_owner:
                         keep &= d != owner
                     if keep.any():
-                        yield rows(d[keep], s[keep], owner[keep])
+                        at = np.flatnonzero(keep) + first_end
+                        yield rows(doc[at], slot[at], owner[keep], (hi[at], lo[at]))
                 yield from feed(group, doc[a:b], slot[a:b])
         if group is not None:
             yield from summary(group)
@@ -104,7 +103,7 @@ def _stream(min_docs: int, with_owner: bool):
 
 
 def shared(found: DataFrame, name: str, min_docs: int = 2, with_owner: bool = False) -> tuple[DataFrame, str]:
-    """``doc, slot, owner`` of the rows whose hash at least ``min_docs`` documents hold, and the table's place.
+    """``hi, lo, doc, slot, owner`` of the rows whose hash at least ``min_docs`` documents hold, and the table's place.
 
     ``owner`` is the smallest document of the hash; its own rows are left out unless ``with_owner``.
     """
@@ -124,7 +123,8 @@ def shared(found: DataFrame, name: str, min_docs: int = 2, with_owner: bool = Fa
     late = said.where(F.col("kind") == OPEN).join(F.broadcast(ends), ["hi", "lo"])
     if not with_owner:
         late = late.where(F.col("doc") != F.col("first"))
-    both = said.where(F.col("kind") == DECIDED).select("doc", "slot", "owner").unionAll(
-        late.select("doc", "slot", F.col("first").alias("owner"))
+    names = ["hi", "lo", "doc", "slot"]
+    both = said.where(F.col("kind") == DECIDED).select(*names, "owner").unionAll(
+        late.select(*names, F.col("first").alias("owner"))
     )
     return both, place

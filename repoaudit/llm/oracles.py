@@ -51,8 +51,20 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_
  sha256(coalesce(n.names, '')) AS items_sha256, c.n_hit IS NOT NULL AS contaminated
 FROM doc d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id"""
 
+SUBSTRINGS = f"""
+WITH doc AS (SELECT doc_id, {WORDS} AS w FROM documents),
+ win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM doc WHERE len(w) >= 50)),
+ first AS (SELECT key, min(doc_id) AS doc_id FROM win GROUP BY key),
+ gone AS (SELECT DISTINCT doc_id, p FROM (SELECT v.doc_id, unnest(range(v.i, v.i + 50)) AS p FROM win v JOIN first f ON v.key = f.key WHERE v.doc_id > f.doc_id)),
+ word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM doc),
+ kept AS (SELECT k.doc_id, string_agg(k.word, ' ' ORDER BY k.p) AS left_over FROM word k LEFT JOIN gone g ON k.doc_id = g.doc_id AND k.p = g.p WHERE g.p IS NULL GROUP BY k.doc_id),
+ lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(l.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.left_over, '')) AS kept_sha256
+FROM doc d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN lost l ON d.doc_id = l.doc_id"""
+
 ORACLES = {
     "op2_line_dedup": LINE_DEDUP,
     "op6_mixing": MIXING,
     "op7_decontamination": DECONTAMINATION,
+    "op9_substring_dedup": SUBSTRINGS,
 }

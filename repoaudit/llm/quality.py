@@ -15,11 +15,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoaudit.llm.common import documents, narrow_batches, stage, texts
+from repoaudit.llm.wordhash import window_hashes, word_numbers
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -33,43 +33,13 @@ SLACK = {"symbol_rate": 1000, "dup_line_rate": 3000, "repeat_rate": 2000, "mean_
 #: The greatest lower fence of the mean word length, in tenths of a character.
 LOW_MEAN = 25
 COUNTED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-MULTIPLIER = 0x9E3779B97F4A7C15
 
 
-class _Numbers(dict):
-    """Word to a 64-bit number; starts anew when it holds a million words."""
-
-    def __missing__(self, word):
-        if len(self) >= 1_000_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def word_numbers(found: list[bytes], numbers: dict) -> np.ndarray:
-    return np.fromiter(map(numbers.__getitem__, found), np.uint64, len(found))
-
-
-def window_hashes(numbers: np.ndarray, size: int, multiplier: int = MULTIPLIER) -> np.ndarray:
-    """A 64-bit hash of every window of ``size`` consecutive words."""
-    n = len(numbers) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out, m = numbers[:n].copy(), np.uint64(multiplier)
-    for k in range(1, size):
-        out *= m
-        out += numbers[k : k + n]
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(32)
-    return out
-
-
-def repeated_words(found: list[bytes], numbers: dict, size: int = WINDOW) -> int:
+def repeated_words(found: list[bytes], size: int = WINDOW) -> int:
     """Words in windows that occur at least twice in the text."""
     if len(found) <= size:
         return 0
-    hashes = window_hashes(word_numbers(found, numbers), size)
+    hashes = window_hashes(word_numbers(found), size)
     order = np.argsort(hashes, kind="stable")
     same = hashes[order[1:]] == hashes[order[:-1]]
     if not same.any():
@@ -82,7 +52,6 @@ def repeated_words(found: list[bytes], numbers: dict, size: int = WINDOW) -> int
 
 
 def _counts(batches):
-    numbers = _Numbers()
     for batch in batches:
         rows = []
         for text in texts(batch.column(3)):
@@ -90,7 +59,7 @@ def _counts(batches):
             lines = [x for x in text.split(b"\n") if x.strip(WHITE)]
             chars = len(text.decode("utf-8", "replace")) - sum(text.count(bytes([w])) for w in WHITE)
             symbols = len(text) - len(text.translate(None, SYMBOLS))
-            rows.append((len(found), chars, symbols, len(lines) - len(set(lines)), repeated_words(found, numbers)))
+            rows.append((len(found), chars, symbols, len(lines) - len(set(lines)), repeated_words(found)))
         columns = np.array(rows, np.int64).reshape(-1, 5).T
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:3], *(pa.array(c) for c in columns)],

@@ -7,6 +7,7 @@ from repoaudit.llm.line_dedup import op2_line_dedup
 from repoaudit.llm.mixing import op6_mixing
 from repoaudit.llm.oracles import ORACLES  # noqa: F401
 from repoaudit.llm.quality import op5_quality
+from repoaudit.llm.substrings import op9_substring_dedup
 from repoaudit.llm.token_counts import op3_token_counts
 from repoaudit.llm.token_output import op8_token_output
 
@@ -17,5 +18,6 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_decontamination": op7_decontamination,
     "op8_token_output": op8_token_output,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
