@@ -62,8 +62,19 @@ WITH doc AS (SELECT doc_id, {WORDS} AS w FROM documents),
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(l.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.left_over, '')) AS kept_sha256
 FROM doc d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN lost l ON d.doc_id = l.doc_id"""
 
+NGRAM_JOIN = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({FOLDED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ shingle AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+ size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+ common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+ link AS (SELECT a, b FROM common JOIN size p ON a = p.doc_id JOIN size q ON b = q.doc_id WHERE 100 * c >= 80 * (p.n + q.n - c)),
+ reach AS (SELECT doc_id, doc_id AS r FROM doc UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON reach.r = link.a)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, min(r.r) AS component_id
+FROM doc d LEFT JOIN size s ON d.doc_id = s.doc_id JOIN reach r ON d.doc_id = r.doc_id GROUP BY d.doc_id, s.n"""
+
 ORACLES = {
     "op2_line_dedup": LINE_DEDUP,
+    "op4_ngram_join": NGRAM_JOIN,
     "op6_mixing": MIXING,
     "op7_decontamination": DECONTAMINATION,
     "op9_substring_dedup": SUBSTRINGS,

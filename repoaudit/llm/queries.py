@@ -5,6 +5,7 @@ from __future__ import annotations
 from repoaudit.llm.decontaminate import op7_decontamination
 from repoaudit.llm.line_dedup import op2_line_dedup
 from repoaudit.llm.mixing import op6_mixing
+from repoaudit.llm.ngram_join import op4_ngram_join
 from repoaudit.llm.oracles import ORACLES  # noqa: F401
 from repoaudit.llm.quality import op5_quality
 from repoaudit.llm.substrings import op9_substring_dedup
@@ -14,6 +15,7 @@ from repoaudit.llm.token_output import op8_token_output
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_ngram_join": op4_ngram_join,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op7_decontamination": op7_decontamination,
