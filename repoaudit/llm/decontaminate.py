@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -179,6 +180,25 @@ def spans(docs: DataFrame, hits: DataFrame) -> DataFrame:
     return rows.select(real_id(F.col("doc")).alias("doc_id"), place("text", "ranges").alias("spans"))
 
 
+def _free(shared):
+    """A filter for texts without any window of a block of items."""
+
+    @F.pandas_udf("boolean")
+    def free(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scan = Matcher(shared.value).scan
+        for column in columns:
+            yield pd.Series([not scan(words((x or "").encode()))[0] for x in column], dtype=bool)
+
+    return free
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, most_words: int = AUTOMATON_WORDS) -> DataFrame:
+    """The rows of ``docs`` that hold no window of any item, one filter for each block of items."""
+    for block in item_blocks(benchmark, most_words):
+        docs = docs.where(_free(docs.sparkSession.sparkContext.broadcast(block))("text"))
+    return docs
+
+
 def op7_decontamination(spark, sf_dir):
     hits = scanned(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return hits.select(

@@ -28,6 +28,12 @@ CUT_BITS = 6
 WORD = "[^ \\t-\\r]+"
 
 
+def place(doc_id: Column, text: Column) -> Column:
+    """Position in the shuffled order: a hash of the id and the text."""
+    key = F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), F.md5(text.cast("binary")))
+    return F.md5(key.cast("binary"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """``doc_id, source, size, place, row`` of every row; ``place`` is its position in the shuffled order."""
     text = F.coalesce("text", F.lit(""))
@@ -35,9 +41,7 @@ def sized(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long"),
         F.col("source").cast("string"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.md5(
-            F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(text.cast("binary"))).cast("binary")
-        ).alias("place"),
+        place(F.col("doc_id"), text).alias("place"),
         F.monotonically_increasing_id().alias("row"),
     )
 
@@ -111,6 +115,20 @@ def mixed(docs: DataFrame) -> DataFrame:
     )
 
 
+def taken(docs: DataFrame) -> DataFrame:
+    """The mix: the rows of ``docs``, each as often as it is taken."""
+    often = mixed(docs).groupBy("place").agg(F.sort_array(F.collect_list("copies"), False).alias("often"))
+    own = docs.columns
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row")).select(
+        "row", place(F.col("row.doc_id"), F.coalesce(F.col("row.text"), F.lit(""))).alias("place")
+    )
+    same = Window.partitionBy("place").orderBy(F.lit(1))  # identical rows share a place
+    each = packed.join(often, "place").withColumn("nth", F.row_number().over(same))
+    copies = each.select("row", F.element_at("often", F.col("nth")).alias("copies")).where("copies > 0")
+    sent = copies.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return sent.select(*(F.col(f"row.`{c}`").alias(c) for c in own))
+
+
 def op6_mixing(spark, sf_dir):
     return mixed(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")

@@ -21,10 +21,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repoaudit.llm.common import discard, documents, keyed, real_id, stage, texts, written
+from repoaudit.llm.common import NO_ID, discard, documents, keyed, real_id, stage, texts, written
 from repoaudit.llm.graph import components
 from repoaudit.llm.groups import ROWS, shared
 from repoaudit.llm.wordhash import SECOND, mix, window_hashes, word_numbers
@@ -243,6 +243,21 @@ def clusters(docs: DataFrame) -> DataFrame:
     return both.select("doc", "row_key", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component"))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` of the smallest id of each component; of identical rows one."""
+    kept = clusters(docs).where(F.col("doc") == F.col("component")).select("doc", "row_key").distinct()
+    own = docs.columns
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row")).select(
+        "row",
+        F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
+        F.xxhash64(text).bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("row_key"),
+    )
+    same = Window.partitionBy("doc", "row_key").orderBy(F.lit(1))
+    once = packed.join(kept, ["doc", "row_key"], "left_semi").withColumn("nth", F.row_number().over(same)).where("nth = 1")
+    return once.select(*(F.col(f"row.`{c}`").alias(c) for c in own))
+
+
 def op4_ngram_join(spark, sf_dir):
     found = clusters(documents(spark, sf_dir))
     return found.select(

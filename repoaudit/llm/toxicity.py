@@ -223,6 +223,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
     return Model(shared, trees, calibration, toxic / n)
 
 
+def accepted(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) -> DataFrame:
+    """The rows of ``docs`` whose score is below the limit."""
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return fit(docs, labels).score(docs, name).where(F.col(name) < limit).drop(name)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
