@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoaudit.session import stage, stage_path
+from repoaudit.session import shuffles_removed, stage, stage_path
 
 #: Stands for a null document id in sort keys and joins.
 NO_ID = -(2**63)
@@ -50,7 +50,8 @@ def texts(column: pa.Array) -> list[bytes]:
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` as a table in the shared folder, and its place."""
     path = stage_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -18,7 +18,7 @@ from repoaudit.llm.common import discard, written
 
 ROWS = "hi long, lo long, doc long, slot long"
 DECIDED, OPEN, SUMMARY = 0, 1, 2
-OUT = "doc long, slot long, owner long, hi long, lo long, kind byte"
+OUT = "doc long, slot long, owner long, owner_slot long, hi long, lo long, kind byte"
 
 
 class _Group:
@@ -27,40 +27,40 @@ class _Group:
     def __init__(self, key, is_open):
         self.key, self.open = key, is_open
         self.docs: list[int] = []
+        self.slots: list[int] = []
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _stream(min_docs: int, with_owner: bool):
-    def rows(doc, slot, owner, key, kind=DECIDED):
+    def rows(doc, slot, owner, owner_slot, key, kind=DECIDED):
         full = lambda v, t=np.int64: v if isinstance(v, np.ndarray) else np.full(len(doc), v, t)
         return pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (doc, slot, full(owner), full(key[0]), full(key[1]), full(kind, np.int8))],
-            names=["doc", "slot", "owner", "hi", "lo", "kind"],
+            [pa.array(x) for x in (doc, slot, full(owner), full(owner_slot), full(key[0]), full(key[1]), full(kind, np.int8))],
+            names=["doc", "slot", "owner", "owner_slot", "hi", "lo", "kind"],
         )
 
-    def decided(doc, slot, owner, key):
-        keep = slice(None) if with_owner else doc != owner
-        return rows(doc[keep], slot[keep], owner, key)
+    def decided(doc, slot, group):
+        keep = slice(None) if with_owner else doc != group.docs[0]
+        return rows(doc[keep], slot[keep], group.docs[0], group.slots[0], group.key)
 
     def feed(group: _Group, doc, slot):
         """More rows of the group; what can be said about them now."""
         if group.open or len(group.docs) < min_docs:
-            seen = group.docs
-            for d in doc[np.r_[True, doc[1:] != doc[:-1]]][: min_docs + 1]:
-                if len(seen) < min_docs and (not seen or d != seen[-1]):
-                    seen.append(int(d))
+            for i in np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])[: min_docs + 1]:
+                if len(group.docs) < min_docs and (not group.docs or doc[i] != group.docs[-1]):
+                    group.docs.append(int(doc[i]))
+                    group.slots.append(int(slot[i]))
         if group.open:
-            yield rows(doc, slot, 0, group.key, OPEN)
+            yield rows(doc, slot, 0, 0, group.key, OPEN)
         elif len(group.docs) >= min_docs:
             for held in [*group.held, (doc, slot)]:
-                yield decided(*held, group.docs[0], group.key)
+                yield decided(*held, group)
             group.held = []
         else:
             group.held.append((doc, slot))
 
     def summary(group: _Group):
-        docs = np.array(group.docs, np.int64)
-        yield rows(docs, docs, 0, group.key, SUMMARY)
+        yield rows(np.array(group.docs, np.int64), np.array(group.slots, np.int64), 0, 0, group.key, SUMMARY)
 
     def run(batches):
         group = None
@@ -86,26 +86,26 @@ def _stream(min_docs: int, with_owner: bool):
                     new = np.r_[True, turn[first_end : last - 1] | (d[1:] != d[:-1])]
                     many = np.add.reduceat(new.astype(np.int64), inner - first_end) >= min_docs
                     keep = np.repeat(many, sizes)
-                    owner = np.repeat(doc[inner], sizes)
+                    owner, owner_slot = np.repeat(doc[inner], sizes), np.repeat(slot[inner], sizes)
                     if not with_owner:
                         keep &= d != owner
                     if keep.any():
                         at = np.flatnonzero(keep) + first_end
-                        yield rows(doc[at], slot[at], owner[keep], (hi[at], lo[at]))
+                        yield rows(doc[at], slot[at], owner[keep], owner_slot[keep], (hi[at], lo[at]))
                 yield from feed(group, doc[a:b], slot[a:b])
         if group is not None:
             yield from summary(group)
             if not group.open:
                 for held in group.held:
-                    yield rows(*held, 0, group.key, OPEN)
+                    yield rows(*held, 0, 0, group.key, OPEN)
 
     return run
 
 
 def shared(found: DataFrame, name: str, min_docs: int = 2, with_owner: bool = False) -> tuple[DataFrame, str]:
-    """``hi, lo, doc, slot, owner`` of the rows whose hash at least ``min_docs`` documents hold, and the table's place.
+    """``hi, lo, doc, slot, owner, owner_slot`` of the rows whose hash at least ``min_docs`` documents hold, and the table's place.
 
-    ``owner`` is the smallest document of the hash; its own rows are left out unless ``with_owner``.
+    ``owner`` is the smallest document of the hash, ``owner_slot`` its first slot there; the owner's own rows are left out unless ``with_owner``.
     """
     spark = found.sparkSession
     rows, at = written(found.select("hi", "lo", "doc", "slot"), f"{name}-rows")
@@ -116,15 +116,15 @@ def shared(found: DataFrame, name: str, min_docs: int = 2, with_owner: bool = Fa
     ends = (
         said.where(F.col("kind") == SUMMARY)
         .groupBy("hi", "lo")
-        .agg(F.collect_set("doc").alias("docs"))
-        .where(F.size("docs") >= min_docs)
+        .agg(F.collect_set(F.struct("doc", "slot")).alias("docs"))
+        .where(F.size(F.array_distinct("docs.doc")) >= min_docs)
         .select("hi", "lo", F.array_min("docs").alias("first"))
     )
     late = said.where(F.col("kind") == OPEN).join(F.broadcast(ends), ["hi", "lo"])
     if not with_owner:
-        late = late.where(F.col("doc") != F.col("first"))
+        late = late.where(F.col("doc") != F.col("first.doc"))
     names = ["hi", "lo", "doc", "slot"]
-    both = said.where(F.col("kind") == DECIDED).select(*names, "owner").unionAll(
-        late.select(*names, F.col("first").alias("owner"))
+    both = said.where(F.col("kind") == DECIDED).select(*names, "owner", "owner_slot").unionAll(
+        late.select(*names, F.col("first.doc").alias("owner"), F.col("first.slot").alias("owner_slot"))
     )
     return both, place

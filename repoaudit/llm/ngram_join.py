@@ -3,6 +3,8 @@
 Method: several global orders of the shingles. Two sets of similarity 0.8 share a shingle in the first fifth of each
 under every global order. Postings of the first order (frequent shingles last, the others by hash) give candidates;
 candidates must share a prefix shingle under two further orders as well, and what is left is verified on whole sets.
+Before sets are built, candidates are filtered by size, by the rank of the shared shingle, and by counts of shingles in
+256 ranges of their hash, whose common part is no smaller than the sets'.
 
 Frequent shingles: those seen in at least three texts of one batch are counted, and those whose count reaches
 ``FREQUENT`` of all documents come last in every order. There are at most (mean set size / ``FREQUENT``) of them, at
@@ -32,7 +34,7 @@ from repoaudit.llm.wordhash import SECOND, mix, window_hashes, word_numbers
 WORDS = 5
 #: A shingle in more than this share of all documents comes last in the orders.
 FREQUENT = 2e-4
-PROFILE = "doc long, row_key int, n long, hi long, lo long, count long"
+PROFILE = "doc long, row_key int, n long, hi long, lo long, ranges binary, count long"
 SETS = "doc long, n long, hi long, lo long, tokens binary, second binary, third binary"
 
 
@@ -69,7 +71,7 @@ def _signed(values) -> pa.Array:
 def _profile(batches):
     """Set size and fingerprint of every row; then the shingles that three texts of the batch share, with counts."""
     for batch in batches:
-        sizes, hi, lo, sets = [], [], [], []
+        sizes, hi, lo, sets, ranges = [], [], [], [], []
         for text in texts(batch.column(2)):
             tokens = shingles(text)
             mark = xxhash.xxh3_128_intdigest(tokens.tobytes())
@@ -77,17 +79,19 @@ def _profile(batches):
             hi.append(mark >> 64)
             lo.append(mark & (2**64 - 1))
             sets.append(tokens)
+            in_range = np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=256)
+            ranges.append(np.minimum(in_range, 255).astype(np.uint8).tobytes())
         nothing = pa.nulls(len(sizes), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:2], pa.array(sizes, pa.int64()), _signed(hi), _signed(lo), nothing],
-            names=["doc", "row_key", "n", "hi", "lo", "count"],
+            [*batch.columns[:2], pa.array(sizes, pa.int64()), _signed(hi), _signed(lo), pa.array(ranges, pa.binary()), nothing],
+            names=["doc", "row_key", "n", "hi", "lo", "ranges", "count"],
         )
         tokens, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0), np.empty(0))
         often = counts >= 3
         n = int(often.sum())
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), _signed(tokens[often]), pa.nulls(n, pa.int64()), pa.array(counts[often].astype(np.int64))],
-            names=["doc", "row_key", "n", "hi", "lo", "count"],
+            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), _signed(tokens[often]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(counts[often].astype(np.int64))],
+            names=["doc", "row_key", "n", "hi", "lo", "ranges", "count"],
         )
 
 
@@ -156,20 +160,41 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keep, pa.bool_())], names=["a", "b", "linked"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """``a, b, linked`` of the candidate pairs, by the further orders and then by whole sets."""
-    size = lambda k: sets.select(F.col("doc").alias(k), F.col("n").alias(f"n_{k}"))
-    near = (
-        pairs.join(size("a"), "a").join(size("b"), "b")
-        .where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").select("a", "b").distinct()
-    )
-    side = lambda k: sets.select(
-        F.col("doc").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("tokens", "second", "third"))
-    )
-    full = near.join(side("b"), "b").join(side("a"), "a")
-    columns = [f"{c}_{k}" for c in ("tokens", "second", "third") for k in ("a", "b")]
-    judged = full.select("a", "b", *columns).mapInArrow(_verify, "a long, b long, linked boolean")
-    return stage(judged.groupBy("a", "b").agg(F.max("linked").alias("linked")), name)
+def _near(batches):
+    """Pairs whose sets may be similar by the counts in hash ranges; a full count may stand for any number."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 256) for i in (4, 5))
+        both = np.minimum(a, b)
+        most = both.sum(1, dtype=np.int64)
+        sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        keep = (9 * most >= 4 * sizes) | (both == 255).any(1)
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
+
+
+class _Classes:
+    """Classes of equal sets, and the verification of candidate pairs of them."""
+
+    def __init__(self, docs: DataFrame, own: DataFrame, frequent):
+        self.docs, self.own, self.frequent = docs, own, frequent
+
+    def linked(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The linked ones of the candidate pairs: by ranges of hashes, by further orders, by whole sets."""
+        side = lambda k: self.own.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("ranges").alias(f"ranges_{k}"))
+        sized = pairs.join(side("a"), "a").join(side("b"), "b").where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+        near, near_at = written(
+            sized.select("a", "b", "n_a", "n_b", "ranges_a", "ranges_b").mapInArrow(_near, "a long, b long").distinct(), f"{name}-near"
+        )
+        ends = near.select("a").unionAll(near.select("b")).distinct().withColumnRenamed("a", "end")
+        wanted = self.own.join(ends, F.col("node") == F.col("end"), "left_semi").select("doc", "row_key", "node")
+        rows = keyed(self.docs).join(wanted.distinct(), ["doc", "row_key"]).select("node", "row_key", "text")
+        sets, sets_at = written(rows.mapInArrow(_sets(self.frequent), SETS), f"{name}-sets")
+        side = lambda k: sets.select(F.col("doc").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("tokens", "second", "third")))
+        columns = [f"{c}_{k}" for c in ("tokens", "second", "third") for k in ("a", "b")]
+        full = near.join(side("b"), "b").join(side("a"), "a").select("a", "b", *columns)
+        judged = full.mapInArrow(_verify, "a long, b long, linked boolean")
+        links = stage(judged.where("linked").select("a", "b").distinct(), name)
+        discard(self.docs.sparkSession, near_at, sets_at)
+        return links
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -177,7 +202,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     rows = keyed(docs)
     said = stage(rows.mapInArrow(_profile, PROFILE), "shingle-profile")
-    profile = said.where("count IS NULL").select("doc", "row_key", "n", "hi", "lo")
+    profile = said.where("count IS NULL").select("doc", "row_key", "n", "hi", "lo", "ranges")
     total = profile.count()
     often = said.where("count IS NOT NULL").groupBy("hi").agg(F.sum("count").alias("count"))
     often = often.where(F.col("count") >= F.lit(max(3.0, FREQUENT * total))).toPandas()
@@ -190,49 +215,51 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies, _ = shared(whole, "equal-sets")
     copies = copies.select("doc", F.shiftright("slot", 32).cast("int").alias("row_key"), "owner").distinct()
     owner = stage(copies.groupBy("doc").agg(F.min("owner").alias("owner")), "set-owner")
-    node_of = lambda df, doc, out: (
-        df.join(owner.select(F.col("doc").alias("_doc"), F.col("owner").alias("_owner")), F.col(doc) == F.col("_doc"), "left")
-        .withColumn(out, F.coalesce("_owner", doc)).drop("_doc", "_owner")
-    )
+
+    def node_of(df: DataFrame, doc: str, out: str) -> DataFrame:
+        owners = owner.select(F.col("doc").alias("_doc"), F.col("owner").alias("_owner"))
+        return df.join(owners, F.col(doc) == F.col("_doc"), "left").withColumn(out, F.coalesce("_owner", doc)).drop("_doc", "_owner")
+
     joined = copies.join(owner.withColumnRenamed("owner", "node"), "doc").where("owner <> node").select(
         F.col("owner").alias("a"), F.col("node").alias("b")
     )
+    single = profile.where("n > 0").join(copies.select("doc", "row_key"), ["doc", "row_key"], "left_anti")
+    own = stage(node_of(single.select("doc", "row_key", "n", "ranges"), "doc", "node"), "set-classes")
+    classes = _Classes(docs, own, frequent)
 
     met, met_at = shared(rows.mapInArrow(_postings(frequent), ROWS), "postings", with_owner=True)
-    met = node_of(node_of(met, "doc", "node"), "owner", "first")
-    buckets, buckets_at = written(
-        met.groupBy("hi", "node").agg(F.min("slot").alias("slot"), F.min("first").alias("first")), "buckets"
-    )
+    met = node_of(node_of(met, "doc", "node"), "owner", "first").where("node <> first OR doc = owner")
+    buckets, buckets_at = written(met.select("hi", "node", "slot", "first", "owner_slot"), "buckets")
     discard(spark, met_at)
-    pairs = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    star = stage(pairs(buckets.select(F.col("node").alias("a"), F.col("first").alias("b"))), "star-pairs")
-    ends = star.select("a").unionAll(star.select("b")).distinct().withColumnRenamed("a", "end")
-    own = node_of(rows.join(copies.select("doc", "row_key"), ["doc", "row_key"], "left_anti"), "doc", "node")
-    wanted = own.join(ends, F.col("node") == F.col("end"), "left_semi").select("node", "row_key", "text")
-    sets = stage(wanted.mapInArrow(_sets(frequent), SETS).where("n > 0"), "shingle-sets")
-
-    first = verified(star, sets, "star-links")
-    links = first.where("linked").select("a", "b").unionAll(joined)
+
+    def fits(slot_a: str, slot_b: str):
+        """Size and rank filters of a pair that shares a shingle."""
+        n = [F.col(s).bitwiseAND(F.lit(2**32 - 1)) for s in (slot_a, slot_b)]
+        rest = [k - F.shiftright(s, 32) for k, s in zip(n, (slot_a, slot_b), strict=True)]
+        return (5 * F.least(*n) >= 4 * F.greatest(*n)) & (9 * F.least(*rest) >= 4 * (n[0] + n[1]))
+
+    def pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+        return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+
+    star = stage(pairs(buckets.where(fits("slot", "owner_slot")), "node", "first"), "star-pairs")
+    links = classes.linked(star, "star-links").unionAll(joined)
     labels = components(links, "star")
     named = buckets.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(
         "hi", "node", "slot", F.coalesce("label", "node").alias("label")
     )
     open_buckets = named.groupBy("hi").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    left = stage(named.join(open_buckets.select("hi"), "hi"), "open-buckets")
+    left, left_at = written(named.join(open_buckets.select("hi"), "hi").distinct(), "open-buckets")
     discard(spark, buckets_at)
-    rank, n = (lambda p: F.shiftright(f"slot_{p}", 32)), (lambda p: F.col(f"slot_{p}").bitwiseAND(F.lit(2**32 - 1)))
     side = lambda p: left.select("hi", *(F.col(c).alias(f"{c}_{p}") for c in ("node", "slot", "label")))
-    reach = 1 + F.least(n("a") - rank("a") - 1, n("b") - rank("b") - 1)
     crossed = side("a").join(side("b"), "hi").where(
-        (F.col("node_a") < F.col("node_b"))
-        & (F.col("label_a") != F.col("label_b"))
-        & (5 * F.least(n("a"), n("b")) >= 4 * F.greatest(n("a"), n("b")))
-        & (9 * reach >= 4 * (n("a") + n("b")))
+        (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & fits("slot_a", "slot_b")
     )
-    rest = pairs(crossed.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = verified(rest, sets, "rest-links").where("linked").select("a", "b")
-    if second.limit(1).count():
-        labels = components(links.unionAll(second), "all")
+    rest = stage(pairs(crossed, "node_a", "node_b").join(star, ["a", "b"], "left_anti"), "rest-pairs")
+    discard(spark, left_at)
+    if rest.limit(1).count():
+        second = classes.linked(rest, "rest-links")
+        if second.limit(1).count():
+            labels = components(links.unionAll(second), "all")
     return node_of(profile.select("doc", "row_key", "n"), "doc", "node"), labels
 
 
