@@ -20,8 +20,11 @@ PLAIN_WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 OTHER_WHITE = "".join(map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)))
 CUT = re.compile(f"[ ](?![ {PLAIN_WHITE}{OTHER_WHITE}]|$)")
 AFTER_SPACE = tuple(" " + c for c in " " + PLAIN_WHITE)
-#: Chunks, and pieces of chunks, remembered by one Python worker (about 200 bytes each).
-CHUNKS_KEPT, PIECES_KEPT = 250_000, 700_000
+#: Words and other pieces remembered by one Python worker (about 200 bytes each).
+WORDS_KEPT, OTHERS_KEPT = 900_000, 100_000
+#: Marks that often end a chunk; each is a piece of its own behind a letter.
+END_MARKS = frozenset(".,;:!?")
+AFTER_SPACE = tuple(" " + c for c in " " + PLAIN_WHITE)
 
 
 def chunks(text: str) -> list[str]:
@@ -33,35 +36,56 @@ def chunks(text: str) -> list[str]:
 
 
 class Memory(dict):
-    """Chunk to value. ``fill`` computes a missing value; a full memory starts anew."""
+    """Key to value. ``fill`` computes a missing value; a full memory starts anew."""
 
     def __init__(self, fill, most: int):
         super().__init__()
         self.fill, self.most = fill, most
 
-    def __missing__(self, chunk):
-        value = self.fill(chunk)
+    def __missing__(self, key):
+        value = self.fill(key)
         if len(self) >= self.most:
             self.clear()
-        self[chunk] = value
+        self[key] = value
         return value
 
 
-class Chunked:
-    """Values of texts as a sum over their pieces: ``of_piece`` gives a piece's, ``zero`` is an empty text's."""
+class Words(Memory):
+    """Values of chunks behind a space. Words are remembered; a chunk of several pieces is put together."""
 
     def __init__(self, of_piece, join):
+        super().__init__(of_piece, WORDS_KEPT)
         self.join = join
-        self.piece = Memory(of_piece, PIECES_KEPT)
-        self.first = Memory(self._chunk, CHUNKS_KEPT // 10)
-        self.next = Memory(lambda c: self._chunk(" " + c), CHUNKS_KEPT)
+        self.other = Memory(of_piece, OTHERS_KEPT)
+        self.mixed = Memory(lambda chunk: self.pieces(" " + chunk), OTHERS_KEPT)
+
+    def __missing__(self, chunk):
+        if chunk.isalpha():
+            value = self.fill(" " + chunk)
+            if len(self) >= self.most:
+                self.clear()
+            self[chunk] = value
+            return value
+        mark = chunk[-1:]
+        if mark in END_MARKS and chunk[:-1].isalpha():
+            return self[chunk[:-1]] + self.other[mark]
+        return self.mixed[chunk]
+
+    def pieces(self, text: str):
+        found = PIECES.findall(text)
+        return self.join([self[p[1:]] if p[0] == " " and p[1:].isalpha() else self.other[p] for p in found])
 
-    def _chunk(self, chunk: str):
-        return self.join(map(self.piece.__getitem__, PIECES.findall(chunk)))
+
+class Chunked:
+    """Values of texts as a sum over their pieces, whose values ``of_piece`` gives."""
+
+    def __init__(self, of_piece, join):
+        self.join = join
+        self.words = Words(of_piece, join)
 
     def __call__(self, text: str):
         head, *rest = chunks(text)
-        return self.join((self.first[head], self.join(map(self.next.__getitem__, rest))))
+        return self.words.pieces(head) + self.join(map(self.words.__getitem__, rest))
 
 
 def byte_letters() -> dict[int, str]:

@@ -45,17 +45,9 @@ def count_symbols(piece: bytes, table: dict[int, tuple[int, int]]) -> int:
     symbol = list(piece)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     due = [-1] * n  # rank of the merge that waits at a symbol, none: -1
-    heap = []
-
-    def look(at: int, other: int) -> None:
-        found = table.get(symbol[at] << SHIFT | symbol[other])
-        due[at] = found[0] if found else -1
-        if found:
-            heappush(heap, found[0] << SHIFT | at)
-
+    heap, get = [], table.get
     for i in range(n - 1):
-        found = table.get(symbol[i] << SHIFT | symbol[i + 1])
-        if found:
+        if found := get(symbol[i] << SHIFT | symbol[i + 1]):
             due[i] = found[0]
             heap.append(found[0] << SHIFT | i)
     heapify(heap)
@@ -69,13 +61,17 @@ def count_symbols(piece: bytes, table: dict[int, tuple[int, int]]) -> int:
         due[b] = -1
         left -= 1
         after[a] = c = after[b]
+        due[a] = -1
         if c < n:
             before[c] = a
-            look(a, c)
-        else:
-            due[a] = -1
-        if before[a] >= 0:
-            look(before[a], a)
+            if found := get(symbol[a] << SHIFT | symbol[c]):
+                due[a] = found[0]
+                heappush(heap, found[0] << SHIFT | a)
+        if (z := before[a]) >= 0:
+            due[z] = -1
+            if found := get(symbol[z] << SHIFT | symbol[a]):
+                due[z] = found[0]
+                heappush(heap, found[0] << SHIFT | z)
     return left
 
 

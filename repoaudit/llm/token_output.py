@@ -14,6 +14,7 @@ each other in text order, each with a place of its own.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from functools import lru_cache
 
@@ -39,11 +40,15 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
+        self.space = self.letters[32]
         self.plain = Chunked(self._piece, b"".join)
 
     def _piece(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.lib.model.tokenize(letters)], "<i4").tobytes()
+        if piece[0] == " " and piece.isascii() and piece[1:].isalpha():
+            letters = self.space + piece[1:]
+        else:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
+        return struct.pack(f"<{len(found := self.lib.model.tokenize(letters))}i", *[t.id for t in found])
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
