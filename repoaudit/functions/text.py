@@ -53,13 +53,14 @@ def line_at(lines: Column, line_no: Column) -> Column:
     return F.when(line_no >= 1, F.try_element_at(lines, line_no))
 
 
-def snippet(line: Column, limit: int = 240) -> Column:
-    return F.substring(strip(F.coalesce(line, F.lit(""))), 1, limit)
+def snippet(line: Column) -> Column:
+    """A whole line without outer white space; empty when there is none."""
+    return strip(F.coalesce(line, F.lit("")))
 
 
-def collapse_snippet(text: Column, limit: int = 240) -> Column:
-    """White space runs become one blank, then the text is cut to ``limit`` characters."""
-    return F.substring(strip(F.regexp_replace(text, jvm(r"\s+"), " ")), 1, limit)
+def collapse_snippet(text: Column) -> Column:
+    """White space runs become one blank."""
+    return strip(F.regexp_replace(text, jvm(r"\s+"), " "))
 
 
 def line_of(text: Column, needle: Column) -> Column:

@@ -153,10 +153,10 @@ def number_within(df: DataFrame, group: str, order: list[str], out: str = "seq")
 
 
 def numbered_ids(found: DataFrame, prefix: str) -> DataFrame:
-    """Ids ``prefix-001`` in (path, line, emit order), per repository."""
+    """Ids ``prefix-001`` in (path, line, emit order, category, title), per repository."""
     keyed = found.withColumn("_line", F.coalesce("line", F.lit(0)))
     return (
-        number_within(keyed, "repo_id", ["path", "_line", "emit_ord"])
+        number_within(keyed, "repo_id", ["path", "_line", "emit_ord", "category", "title"])
         .withColumn("id", F.format_string(f"{prefix}-%03d", "seq"))
         .drop("_line", "seq")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoaudit.functions.paths import strings
@@ -11,12 +11,11 @@ ISSUES_SCHEMA = "struct<issues: array<map<string, string>>>"
 
 
 def merge_tool_runs(runs: DataFrame, expected: DataFrame | None = None) -> DataFrame:
-    """One run per repository and tool: worst status, summed issues, first details.
+    """One run per repository and tool: worst status, summed issues, all details in order.
 
     ``failed`` beats ``issues`` beats ``passed``. The exit code is that of the last run
-    with the winning status. Each batch gives at most three details, five in all; they
-    are ranked, not collected, so a tool with very many batches stays cheap. ``expected``
-    (repo_id, tool) adds skipped rows for tools without any run.
+    with the winning status. The details of one tool run are one list, as in its batches.
+    ``expected`` (repo_id, tool) adds skipped rows for tools without any run.
     """
     keys = ["repo_id", "tool"]
     rank = F.when(F.col("status") == "failed", 2).when(F.col("status") == "issues", 1).otherwise(0)
@@ -25,17 +24,11 @@ def merge_tool_runs(runs: DataFrame, expected: DataFrame | None = None) -> DataF
         F.sum("issue_count").cast("int").alias("issue_count"),
         F.count(F.lit(1)).alias("batches"),
     )
-    lines = runs.select(*keys, "batch", F.posexplode(F.slice("details", 1, 3)).alias("pos", "detail"))
-    w = Window.partitionBy(*keys).orderBy("batch", "pos")
-    first = (
-        lines.withColumn("rn", F.row_number().over(w))
-        .where(F.col("rn") <= 5)
-        .groupBy(*keys)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "detail"))), lambda s: s["detail"]).alias("details"))
-    )
+    lists = runs.where(F.size("details") > 0).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("batch", "details"))).alias("lists"))
+    whole = lists.select(*keys, F.flatten(F.transform("lists", lambda b: b["details"])).alias("details"))
     status = F.element_at(F.array(F.lit("passed"), F.lit("issues"), F.lit("failed")), F.col("worst.rank") + 1)
     tool, n = F.col("tool"), F.col("issue_count")
-    out = merged.join(first, keys, "left").select(
+    out = merged.join(whole, keys, "left").select(
         *keys,
         status.alias("status"),
         F.concat(tool, F.lit(" batched first-party targets ("), F.col("batches").cast("string"), F.lit(" chunk(s))")).alias("command"),

@@ -63,7 +63,7 @@ def file_signals(files: DataFrame, audit: CategoryAudit) -> DataFrame:
 
     def first(rule: LineRule) -> Column:
         at = F.try_element_at(F.col(f"h_{rule.id}"), F.lit(1))
-        text = hide(snippet(line_at(F.col("lines"), at), 160))
+        text = hide(snippet(line_at(F.col("lines"), at)))
         return F.when(at.isNotNull(), F.struct("path", at.alias("line"), text.alias("text"))).alias(f"at_{rule.id}")
 
     return hits.select(
@@ -182,7 +182,7 @@ def collect_matches(files: DataFrame, rules: list[LineRule], limit: int | None =
 
     per_rule = F.flatten(F.array(*[located(r) for r in rules]))
     out = hits.select("repo_id", "path", F.explode(per_rule).alias("m")).select(
-        "repo_id", "path", "m.rule", "m.line_no", snippet(F.col("m.line"), 160).alias("text")
+        "repo_id", "path", "m.rule", "m.line_no", snippet(F.col("m.line")).alias("text")
     )
     if limit is None:
         return out

@@ -229,8 +229,11 @@ def detect(files: DataFrame, as_of) -> DataFrame:
     return union_findings(detect_files(files, as_of), evidence_gaps(files))
 
 
-def removal_gate(found: DataFrame, as_of, strict: bool = False) -> DataFrame:
-    """Re-check of finding rows at a date: expired targets, and incomplete marks in strict mode."""
+def removal_gate(found: DataFrame, as_of, repos: DataFrame, strict: bool = False) -> DataFrame:
+    """Re-check of finding rows at a date: expired targets, and incomplete marks in strict mode.
+
+    ``repos`` has one row per repository; one without findings passes.
+    """
     by_category = F.col("category") == "expired-removal-target"
     expired = by_category | F.coalesce(iso_date(F.col("removal_target")) < F.lit(as_of).cast("date"), F.lit(False))
     marks = F.col("category").isin("deprecated-surface", "compatibility-shim", "marker-gap")
@@ -239,7 +242,8 @@ def removal_gate(found: DataFrame, as_of, strict: bool = False) -> DataFrame:
     counts = found.groupBy("repo_id").agg(
         F.count_if(expired).alias("expired"), F.count_if(incomplete).alias("incomplete")
     )
-    return counts.withColumn("gate_failed", (F.col("expired") > 0) | (F.col("incomplete") > 0))
+    every = repos.join(counts, "repo_id", "left").fillna(0)
+    return every.withColumn("gate_failed", (F.col("expired") > 0) | (F.col("incomplete") > 0))
 
 
 def verdict() -> Column:

@@ -115,8 +115,8 @@ def gate_states(signals: DataFrame) -> DataFrame:
     )
 
 
-def detect(states: DataFrame, shown: int | None = R.SHOWN) -> DataFrame:
-    """Findings of weak gates, ordered by state then gate; the report shows the first ``shown``."""
+def detect(states: DataFrame) -> DataFrame:
+    """Findings of weak gates, ordered by state then gate; a report cuts them by ``rank``."""
     gate, state, severity = F.col("gate"), F.col("state"), F.col("severity")
     rank = P.lookup(state, {k: str(v) for k, v in R.STATE_PRIORITY.items()}).cast("int")
     decision = (
@@ -133,14 +133,13 @@ def detect(states: DataFrame, shown: int | None = R.SHOWN) -> DataFrame:
     )
     # eight gates per repository at most, so this window never sees a large group
     w = Window.partitionBy("repo_id").orderBy(rank, "gate")
-    ranked = (
+    return (
         states.where(~state.isin("enforced", "hardened"))
         .withColumn("rank", F.row_number().over(w))
         .withColumn("autofix", gate.isin("contract-surface", "compile-time-gates") & (state == "partial"))
         .select("repo_id", F.lit(".").alias("path"), "rank", "autofix", body.alias("f"))
         .select("repo_id", "path", "rank", "autofix", "f.*")
     )
-    return ranked.where(F.col("rank") <= shown) if shown else ranked
 
 
 def verdicts(states: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ def tool_findings(merged: DataFrame) -> DataFrame:
     table = lambda i: P.lookup(tool, {k: v[i] for k, v in TOOLS.items() if v[i]})
     counts = (status == "issues") | ((status == "failed") & (tool == "tach"))
     severity = F.when(status == "issues", table(1)).otherwise(table(2))
-    shown = F.when(F.size("details") > 0, F.slice("details", 1, 3)).otherwise(F.array("summary"))
+    shown = F.when(F.size("details") > 0, F.col("details")).otherwise(F.array("summary"))
     body = finding(table(0), severity, table(3), table(4), 1, shown, merge_gate=table(5))
     rows = merged.where(tool.isin(list(TOOLS)) & counts).withColumn("path", F.lit("."))
     return expand(rows, F.array(body))

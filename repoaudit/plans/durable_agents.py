@@ -20,7 +20,7 @@ def file_signals(files: DataFrame, raw_agent_word: str = "agent(") -> DataFrame:
     The raw-agent test is case-sensitive by the rule's definition; pass ``"Agent("`` for
     the stricter reading.
     """
-    src = select_surface(files, "durable-agents").where(~F.col("path").startswith("skills/"))
+    src = select_surface(files, "durable-agents")
     src = src.withColumn("low", F.lower("text"))
     path, low, text = F.col("path"), F.col("low"), F.col("text")
     name = P.name(path)
@@ -112,8 +112,8 @@ def gate_states(signals: DataFrame) -> DataFrame:
     )
 
 
-def detect(states: DataFrame, merged: DataFrame | None = None, shown: int | None = R.SHOWN) -> DataFrame:
-    """Findings of weak gates, worst first, then findings of tools; the report shows the first ``shown``."""
+def detect(states: DataFrame, merged: DataFrame | None = None) -> DataFrame:
+    """Findings of weak gates, worst first, then findings of tools; a report cuts them by ``rank``."""
     gate, state, severity = F.col("gate"), F.col("state"), F.col("severity")
     replace = state.isin("broken", "unsafe") & gate.isin("workflow-determinism", "durable-agent-path", "tool-contracts")
     body = finding(
@@ -136,8 +136,7 @@ def detect(states: DataFrame, merged: DataFrame | None = None, shown: int | None
     flat = rows.select("repo_id", "path", "part", "f.*")
     # thirteen rows per repository at most
     w = Window.partitionBy("repo_id").orderBy("part", severity_rank(), "category")
-    ranked = flat.withColumn("rank", F.row_number().over(w)).drop("part")
-    return ranked.where(F.col("rank") <= shown) if shown else ranked
+    return flat.withColumn("rank", F.row_number().over(w)).drop("part")
 
 
 def verdicts(states: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from repoaudit.functions.text import first_match_line, line_array, line_at, snip
 from repoaudit.operators.findings import expand, finding, per_repo, severity_counts, union_findings
 from repoaudit.rules import error_contract as R
 from repoaudit.session import stage
-from repoaudit.sources.corpus import select_surface
+from repoaudit.sources.corpus import repositories, select_surface
 
 ALL_CATEGORIES = list(R.FILE_FINDINGS) + list(R.REPO_FINDINGS)
 
@@ -77,18 +77,22 @@ def file_signals(files: DataFrame) -> DataFrame:
     )
 
 
-def counters(signals: DataFrame) -> DataFrame:
-    """Files with each surface or field, and repository-wide flags. All combine map-side."""
+def counters(signals: DataFrame, repos: DataFrame) -> DataFrame:
+    """Files with each surface or field, and repository-wide flags. All combine map-side.
+
+    ``repos`` has one row per repository; one without files of the surface keeps its row, with nothing counted.
+    """
     names = signals.columns
     counted = [c for c in names if c.startswith(("n_", "core_", "ext_"))]
     flags = [c for c in names if c.startswith(("l_", "fw_"))] + [
         "problem_media", "async_structured", "global_handler", "ci_guard",
     ]
-    return signals.groupBy("repo_id").agg(
+    found = signals.groupBy("repo_id").agg(
         F.count(F.lit(1)).alias("files_scanned"),
         *[F.count_if(c).alias(c) for c in counted],
         *[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in flags],
     )
+    return repos.join(found, "repo_id", "left").fillna(0).fillna(False)
 
 
 def repo_findings(rows: DataFrame) -> DataFrame:
@@ -144,6 +148,6 @@ def profile(rows: DataFrame) -> DataFrame:
 def audit(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Findings and verdict rows; file texts are read once."""
     signals = stage(file_signals(files), "error-contract")
-    rows = counters(signals)
+    rows = counters(signals, repositories(files))
     found = union_findings(expand(signals, F.col("found")), repo_findings(rows))
     return found, verdict_rows(rows, found)

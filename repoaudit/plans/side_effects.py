@@ -195,7 +195,7 @@ def tool_findings(runs: DataFrame) -> DataFrame:
     """Findings from merged structural tool runs."""
     r = runs.where(F.col("status").isin("failed", "issues")).withColumn("path", F.lit("."))
     failed = F.col("status") == "failed"
-    head = lambda n: F.concat(F.array("summary"), F.slice("details", 1, n))
+    said = F.concat(F.array("summary"), "details")
     return r.select(
         "repo_id",
         "path",
@@ -203,7 +203,7 @@ def tool_findings(runs: DataFrame) -> DataFrame:
         F.when(
             failed,
             finding(
-                "scan-blocker", "medium", "high", F.concat("tool", F.lit(" did not complete cleanly")), 1, head(2),
+                "scan-blocker", "medium", "high", F.concat("tool", F.lit(" did not complete cleanly")), 1, said,
                 merge_gate="warn-only",
             ),
         )
@@ -211,7 +211,7 @@ def tool_findings(runs: DataFrame) -> DataFrame:
             finding(
                 F.when(F.col("tool") == "ast-grep", "dynamic-dispatch-signal").otherwise("side-effect-pattern-signal"),
                 "medium", "medium",
-                F.concat("tool", F.lit(" reported additional distributed side-effect evidence")), 1, head(3),
+                F.concat("tool", F.lit(" reported additional distributed side-effect evidence")), 1, said,
                 merge_gate="warn-only",
             )
         )

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from repoaudit.functions import paths as P
 from repoaudit.functions.regex import jvm, matches
 from repoaudit.functions.text import line_array, line_at, snippet
-from repoaudit.operators.facts import is_js_comment, js_code, js_comments, js_pieces, match_lines, python_facts
+from repoaudit.operators.facts import MARK, is_js_comment, js_code, js_comments, js_pieces, match_lines, python_facts
 from repoaudit.operators.findings import finding, per_file_lists, severity_counts, union_findings
 from repoaudit.schemas import FINDING
 from repoaudit.session import stage
 from repoaudit.sources.corpus import select_surface
 
-SIGNAL_CAP = 4
 
 # fixed values: pattern, category, severity, confidence, title, gate
 JS_RULES = [
@@ -94,8 +93,8 @@ def call_findings(boundary: Column):
     return rules
 
 
-def detect_python(facts: DataFrame, cap: int = SIGNAL_CAP) -> DataFrame:
-    """Python findings from fact rows; the optional-type signal is limited per file by its own rule."""
+def detect_python(facts: DataFrame) -> DataFrame:
+    """Python findings from fact rows."""
     boundary = P.is_boundary(F.col("path"))
     flat = lambda field, rule: F.flatten(F.transform(field, rule))
     comments = F.transform(
@@ -111,7 +110,7 @@ def detect_python(facts: DataFrame, cap: int = SIGNAL_CAP) -> DataFrame:
         .otherwise(none()),
     )
     optional = F.transform(
-        F.slice("optionals", 1, cap),
+        "optionals",
         lambda o: py("optionality-leak", "low", "low", "Nullable type appears in a non-boundary path", o["line"], o["src"], "unverified"),
     )
     empty = F.array().cast(f"array<{FINDING.simpleString()}>")
@@ -149,7 +148,7 @@ def js_view(files: DataFrame) -> DataFrame:
     )
 
 
-def detect_js(files: DataFrame, cap: int = SIGNAL_CAP) -> DataFrame:
+def detect_js(files: DataFrame) -> DataFrame:
     lines, code, language = F.col("lines"), F.col("code"), F.col("language")
     raw = lambda n: snippet(line_at(lines, n))
 
@@ -173,20 +172,20 @@ def detect_js(files: DataFrame, cap: int = SIGNAL_CAP) -> DataFrame:
             ),
         )
     )
-    # every match counts towards the signal limit, also several on one line
-    marked = F.split(F.regexp_replace(code, jvm(f"({NON_NULL})"), "\u0001$1"), "\n", -1)
+    # every match counts, also several on one line
+    marked = F.split(F.regexp_replace(F.translate(code, MARK, " "), jvm(f"({NON_NULL})"), f"{MARK}$1"), "\n", -1)
     spots = F.flatten(
-        F.transform(marked, lambda s, i: F.array_repeat(i + 1, F.length(s) - F.length(F.replace(s, F.lit("\u0001"), F.lit("")))))
+        F.transform(marked, lambda s, i: F.array_repeat(i + 1, F.length(s) - F.length(F.replace(s, F.lit(MARK), F.lit("")))))
     )
     non_null = F.transform(
-        F.slice(F.filter(spots, lambda n: ~raw(n).contains("!=")), 1, cap),
+        F.filter(spots, lambda n: ~raw(n).contains("!=")),
         lambda n: js("type-escape-hatch", "medium", "medium", "Non-null assertion removes a nullish safety check at compile time", n, "warn-only"),
     )
     chained = F.filter(
         F.transform("code_lines", lambda s, i: F.when(F.regexp_count(s, F.lit(r"\?\.")) >= 2, i + 1)), lambda n: n.isNotNull()
     )
     chains = F.transform(
-        F.slice(chained, 1, cap),
+        chained,
         lambda n: js("optionality-leak", "low", "low", "Optional chaining is stacked on a core access path", n, "unverified"),
     )
     defaults = F.flatten(
@@ -199,7 +198,7 @@ def detect_js(files: DataFrame, cap: int = SIGNAL_CAP) -> DataFrame:
         )
     )
     softened = F.transform(
-        F.slice(F.filter(defaults, lambda d: d.isNotNull()), 1, cap),
+        F.filter(defaults, lambda d: d.isNotNull()),
         lambda d: F.when(d["truthy"], js("truthiness-fallback", "medium", "low", "`||` fallback may overwrite legitimate falsy values", d["n"], "warn-only")).otherwise(
             js("silent-default", "low", "low", "Nullish fallback may be softening a required contract", d["n"], "unverified")
         ),

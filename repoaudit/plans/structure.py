@@ -154,7 +154,7 @@ def tool_findings(merged: DataFrame, runs: DataFrame) -> DataFrame:
     )
     tool, status, summary = F.col("tool"), F.col("status"), F.col("summary")
     unconfigured = F.lower(F.array_join("details", " ")).contains("configuration file not found")
-    note = lambda n: F.array_join(F.slice("details", 1, n), " | ")
+    note = F.array_join("details", " | ")
     tach_bad = (status == "failed") | unconfigured
     issues = status == "issues"
     cycle = F.col("circular")
@@ -164,26 +164,26 @@ def tool_findings(merged: DataFrame, runs: DataFrame) -> DataFrame:
         F.array(
             F.when(
                 (tool == "tach") & tach_bad,
-                dep("config-gap", "high", "high", "Python boundary governance is not runnable yet", summary, "python", "fix-config", note(2)),
+                dep("config-gap", "high", "high", "Python boundary governance is not runnable yet", summary, "python", "fix-config", note),
             ),
             F.when(
                 (tool == "tach") & ~tach_bad & issues,
-                dep("architecture-violation", "high", "high", "Tach reported Python boundary or interface violations", summary, "python", "harden", note(3)),
+                dep("architecture-violation", "high", "high", "Tach reported Python boundary or interface violations", summary, "python", "harden", note),
             ),
             F.when(
                 (tool == "dependency-cruiser") & (status == "failed"),
-                dep("config-gap", "medium", "high", "Dependency Cruiser did not complete successfully", summary, "js-ts", "fix-config", note(2)),
+                dep("config-gap", "medium", "high", "Dependency Cruiser did not complete successfully", summary, "js-ts", "fix-config", note),
             ),
             F.when(
                 (tool == "dependency-cruiser") & issues,
                 dep(
                     F.when(cycle, "cycle").otherwise("architecture-violation"), F.when(cycle, "high").otherwise("medium"),
-                    "medium", "Dependency Cruiser reported JS/TS graph violations", summary, "js-ts", "harden", note(3),
+                    "medium", "Dependency Cruiser reported JS/TS graph violations", summary, "js-ts", "harden", note,
                 ),
             ),
             F.when(
                 (tool == "knip") & (status == "failed"),
-                dep("config-gap", "medium", "high", "Knip did not complete successfully", summary, "js-ts", "fix-config", note(2)),
+                dep("config-gap", "medium", "high", "Knip did not complete successfully", summary, "js-ts", "fix-config", note),
             ),
             F.when(knip_issue & (F.col("t_files") > 0), dep("unused-file", "medium", "high", "Knip reported unused files", total("t_files", "unused file"), "js-ts", "remove")),
             F.when(knip_issue & (F.col("t_dependencies") > 0), dep("unused-dependency", "medium", "high", "Knip reported unused dependencies", total("t_dependencies", "unused dependency"), "js-ts", "remove")),

@@ -96,14 +96,14 @@ def cleanup_category_counts(spark, sf):
     with_files(
         CLEAN_CTE,
         select=f"""SELECT repo_id, count(*) FILTER (WHERE e) AS expired, count(*) FILTER (WHERE i) AS incomplete,
- count(*) FILTER (WHERE e) > 0 OR count(*) FILTER (WHERE i) > 0 AS gate_failed FROM (
+ count(*) FILTER (WHERE e) > 0 OR count(*) FILTER (WHERE i) > 0 AS gate_failed FROM (SELECT DISTINCT repo_id FROM files) LEFT JOIN (
  SELECT m.repo_id, found.category = 'expired-removal-target' OR (found.category <> 'dynamic-entrypoint-risk' AND coalesce(regexp_matches(target, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') AND TRY_CAST(target AS DATE) < DATE '{AS_OF}', false)) AS e,
   found.category IN ('deprecated-surface', 'compatibility-shim', 'marker-gap') AND gaps <> '' AS i
- FROM found JOIN m ON found.repo_id = m.repo_id AND found.path = m.path) GROUP BY 1""",
+ FROM found JOIN m ON found.repo_id = m.repo_id AND found.path = m.path) USING (repo_id) GROUP BY 1""",
     ),
 )
 def cleanup_removal_gate(spark, sf):
-    return cleanup.removal_gate(cleanup.detect_files(corpus(spark, sf), AS_OF), AS_OF, strict=True)
+    return cleanup.removal_gate(cleanup.detect_files(corpus(spark, sf), AS_OF), AS_OF, repositories(corpus(spark, sf)), strict=True)
 
 
 # ---- side effects -----------------------------------------------------------------------------------------------

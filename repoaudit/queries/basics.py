@@ -22,7 +22,7 @@ from repoaudit.queries.sqlgen import rx, with_files
 from repoaudit.rules import categories as CR
 from repoaudit.rules import cleanup as CL
 from repoaudit.rules import surface as SU
-from repoaudit.sources.corpus import spread, surface_coverage, surface_note
+from repoaudit.sources.corpus import surface_coverage, surface_note
 
 _P = "string_split(path, '/')"
 _LP = "string_split(lower(path), '/')"
@@ -117,7 +117,7 @@ TODO = bank(r"\bdef\s+\w+", r"\bclass\s+\w+")
 
 @query(
     "first_matching_lines",
-    "WITH " + D.files_cte() + ", " + D.lines_cte() + f" SELECT repo_id, path, CAST(line_no AS INTEGER) AS line_no, substr({S.strip('line')}, 1, 240) AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY line_no) AS rn FROM lines WHERE {rx('line', TODO)}) WHERE rn = 1",
+    "WITH " + D.files_cte() + ", " + D.lines_cte() + f" SELECT repo_id, path, CAST(line_no AS INTEGER) AS line_no, {S.strip('line')} AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY line_no) AS rn FROM lines WHERE {rx('line', TODO)}) WHERE rn = 1",
 )
 def first_matching_lines(spark, sf):
     f = corpus(spark, sf).select("repo_id", "path", T.line_array(F.col("text")).alias("lines"))
@@ -149,13 +149,13 @@ def token_counts(spark, sf):
     return corpus(spark, sf).select("repo_id", "path", T.count_literals(F.col("text"), TOKENS).alias("n"))
 
 
-HEADS = "hd AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?m)^#{1,6}\\s+(.+?)\\s*$', 1)) AS heading FROM files UNION SELECT DISTINCT substr(text, 1, 40) FROM documents)"
+HEADS = "hd AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?m)^#{1,6}\\s+(.+?)\\s*$', 1)) AS heading FROM files UNION SELECT DISTINCT text FROM documents)"
 
 
 @query("heading_slugs", with_files(HEADS, select=f"SELECT heading, {SLUG.format(S.strip('heading'))} AS slug FROM hd"))
 def heading_slugs(spark, sf):
     c = corpus(spark, sf).select(F.explode(F.regexp_extract_all("text", F.lit(r"(?md)^#{1,6}\s+(.+?)\s*$"), F.lit(1))).alias("heading"))
-    d = D.documents(spark, sf).select(F.substring("text", 1, 40).alias("heading"))
+    d = D.documents(spark, sf).select(F.col("text").alias("heading"))
     return c.unionByName(d).distinct().select("heading", heading_slug(F.col("heading")).alias("slug"))
 
 
@@ -301,7 +301,7 @@ RULE = CR.SECRETS.lines[0]
 )
 def secret_exposure(spark, sf):
     """High-signal secret material per source, every source kept: the flagship query."""
-    d = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text"), "doc_id")
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text")
     files = d.select(
         F.col("source").alias("repo_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text",
     ).withColumn("size_bytes", F.octet_length("text").cast("long"))

@@ -60,7 +60,7 @@ def counter_ctes(audit: CategoryAudit) -> list[str]:
 
 
 def snip(col: str) -> str:
-    return f"substr({S.strip(col)}, 1, 160)"
+    return S.strip(col)
 
 
 def states_cte(audit: CategoryAudit) -> str:

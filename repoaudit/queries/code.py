@@ -148,10 +148,10 @@ JS_CTES = [
     + " UNION SELECT repo_id, path, 'type-escape-hatch', 'high', 'high', 'ts-comment suppression hides a type problem', n, raw FROM cn WHERE regexp_matches(c, '@ts-(?:ignore|expect-error|nocheck)\\b')"
     + " UNION SELECT repo_id, path, 'lint-escape-hatch', 'medium', 'high', 'eslint-disable suppresses rule feedback', n, raw FROM cn WHERE contains(c, 'eslint-disable')"
     + " UNION SELECT repo_id, path, 'type-escape-hatch', 'medium', 'medium', 'Non-null assertion removes a nullish safety check at compile time', n, raw FROM nn"
-    + " UNION SELECT repo_id, path, 'optionality-leak', 'low', 'low', 'Optional chaining is stacked on a core access path', n, raw FROM ch WHERE rn <= 4"
-    + " UNION SELECT repo_id, path, CASE kind WHEN 1 THEN 'truthiness-fallback' ELSE 'silent-default' END, CASE kind WHEN 1 THEN 'medium' ELSE 'low' END, 'low', CASE kind WHEN 1 THEN '`||` fallback may overwrite legitimate falsy values' ELSE 'Nullish fallback may be softening a required contract' END, n, raw FROM df WHERE rn <= 4)",
+    + " UNION SELECT repo_id, path, 'optionality-leak', 'low', 'low', 'Optional chaining is stacked on a core access path', n, raw FROM ch"
+    + " UNION SELECT repo_id, path, CASE kind WHEN 1 THEN 'truthiness-fallback' ELSE 'silent-default' END, CASE kind WHEN 1 THEN 'medium' ELSE 'low' END, 'low', CASE kind WHEN 1 THEN '`||` fallback may overwrite legitimate falsy values' ELSE 'Nullish fallback may be softening a required contract' END, n, raw FROM df)",
 ]
-JS_SELECT = f"SELECT repo_id, path, category, severity, confidence, title, CAST(line AS INTEGER) AS line, substr({S.strip('raw')}, 1, 240) AS evidence FROM jf"
+JS_SELECT = f"SELECT repo_id, path, category, severity, confidence, title, CAST(line AS INTEGER) AS line, {S.strip('raw')} AS evidence FROM jf"
 
 
 @query("silent_failure_js", with_code(*JS_CTES, select=JS_SELECT))
@@ -221,7 +221,7 @@ def domain_drift_verdict(spark, sf):
 
 
 DRIFT_TOOLS = "WITH " + D.tool_runs_cte() + ", " + D.merged_runs_cte() + """ SELECT repo_id, CASE tool WHEN 'tach' THEN 'boundary-tool-signal' WHEN 'ruff' THEN 'lint-drift' ELSE 'type-contract-drift' END AS category,
- CASE WHEN tool = 'tach' AND status = 'issues' THEN 'high' ELSE 'medium' END AS severity, CASE WHEN len(details) > 0 THEN array_to_string(details[:3], ' | ') ELSE summary END AS evidence
+ CASE WHEN tool = 'tach' AND status = 'issues' THEN 'high' ELSE 'medium' END AS severity, CASE WHEN len(details) > 0 THEN array_to_string(details, ' | ') ELSE summary END AS evidence
  FROM merged WHERE (tool = 'tach' AND status IN ('issues', 'failed')) OR (tool IN ('ruff', 'basedpyright') AND status = 'issues')"""
 
 
@@ -295,7 +295,7 @@ DOC_SHINGLES = [
 @query("duplicate_documents", "WITH " + ",\n".join(DOC_SHINGLES) + " SELECT * FROM own JOIN pt USING (repo_id, path)")
 def duplicate_documents(spark, sf):
     """A few very large repositories: one per language."""
-    docs = D.spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text"), "doc_id")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
     files = docs.select(F.col("lang").alias("repo_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), "text")
     return duplicate_stats(shingles(files, F.lit("python")))
 

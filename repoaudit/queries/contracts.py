@@ -22,7 +22,7 @@ from repoaudit.rules import durable_agents as DR
 from repoaudit.rules import error_contract as R
 from repoaudit.rules.api_surfaces import MANAGERS
 from repoaudit.rules.surface import PACKAGE_MANAGERS
-from repoaudit.sources.corpus import select_surface
+from repoaudit.sources.corpus import repositories, select_surface
 
 # ---- error contract ---------------------------------------------------------------------------------------------
 
@@ -51,11 +51,15 @@ BOOLS = {
 }
 EC_CTES = [
     f"src AS (SELECT * FROM files WHERE {surface_where('error-governance')} AND text <> '')",
-    "rows AS (SELECT repo_id, count(*) AS files_scanned, "
+    "rows AS (SELECT r.repo_id, coalesce(files_scanned, 0) AS files_scanned, "
+    + ", ".join(f"coalesce({k}, 0) AS {k}" for k in FLAGS)
+    + ", "
+    + ", ".join(f"coalesce({k}, false) AS {k}" for k in BOOLS)
+    + " FROM (SELECT DISTINCT repo_id FROM files) r LEFT JOIN (SELECT repo_id, count(*) AS files_scanned, "
     + ", ".join(f"count(*) FILTER (WHERE {e}) AS {k}" for k, e in FLAGS.items())
     + ", "
     + ", ".join(f"bool_or({e}) AS {k}" for k, e in BOOLS.items())
-    + " FROM src GROUP BY 1)",
+    + " FROM src GROUP BY 1) c USING (repo_id))",
     "pc AS (SELECT * FROM src WHERE " + CODE + " AND '/' || lower(path) NOT LIKE '%/tests/%' AND NOT contains(lower(" + S.NAME + "), 'test_'))",
     "pl AS (SELECT repo_id, path, text, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM (SELECT *, string_split(text, chr(10)) AS ls FROM pc))",
 ]
@@ -65,7 +69,7 @@ def _first(category: str, rules, extra: str = "true") -> str:
     severity, confidence, title, _, _ = R.FILE_FINDINGS[category]
     return (
         f"SELECT repo_id, path, '{category}' AS category, '{severity}' AS severity, '{confidence}' AS confidence, {sql_text(title)} AS title, n AS line, "
-        f"substr({S.strip('line')}, 1, 240) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY n) AS rn FROM pl WHERE {rx('line', rules)} AND {extra}) WHERE rn = 1"
+        f"{S.strip('line')} AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY n) AS rn FROM pl WHERE {rx('line', rules)} AND {extra}) WHERE rn = 1"
     )
 
 
@@ -100,7 +104,7 @@ EC_VERDICT = (
 
 @query("error_contract_counters", with_files(*EC_CTES[:2], select="SELECT * FROM rows"))
 def error_contract_counters(spark, sf):
-    rows = EC.counters(EC.file_signals(corpus(spark, sf)))
+    rows = EC.counters(EC.file_signals(corpus(spark, sf)), repositories(corpus(spark, sf)))
     return rows.select("repo_id", "files_scanned", *FLAGS, *BOOLS)
 
 
@@ -132,7 +136,7 @@ def error_contract_gates(spark, sf):
     ),
 )
 def error_contract_profile(spark, sf):
-    p = EC.profile(EC.counters(EC.file_signals(corpus(spark, sf))))
+    p = EC.profile(EC.counters(EC.file_signals(corpus(spark, sf)), repositories(corpus(spark, sf))))
     return p.select("repo_id", *[F.array_join(c, ",").alias(c) for c in ("languages", "frameworks", "protocols")])
 
 
@@ -316,42 +320,27 @@ def contract_gate_states(spark, sf):
     return CG.gate_states(CG.repo_signals(corpus(spark, sf)))
 
 
-@query(
-    "contract_findings_report",
-    with_files(
-        *CG_CTES,
-        "tt(gate, title) AS (VALUES " + ", ".join(f"('{g}', {sql_text(t)})" for g, t in CR.TITLES.items()) + ")",
-        "rk AS (SELECT repo_id, gate, state, severity, confidence, title, row_number() OVER (PARTITION BY repo_id ORDER BY CASE state WHEN 'missing' THEN 0 WHEN 'theater' THEN 1 WHEN 'partial' THEN 2 ELSE 3 END, gate) AS rank FROM st JOIN lv USING (gate, state) JOIN tt USING (gate) WHERE state NOT IN ('enforced', 'hardened'))",
-        select="""SELECT repo_id, gate AS category, severity, confidence, title, CAST(rank AS INTEGER) AS rank, state AS evidence,
+_CG_FOUND = (
+    *CG_CTES,
+    "tt(gate, title) AS (VALUES " + ", ".join(f"('{g}', {sql_text(t)})" for g, t in CR.TITLES.items()) + ")",
+    "rk AS (SELECT repo_id, gate, state, severity, confidence, title, row_number() OVER (PARTITION BY repo_id ORDER BY CASE state WHEN 'missing' THEN 0 WHEN 'theater' THEN 1 WHEN 'partial' THEN 2 ELSE 3 END, gate) AS rank FROM st JOIN lv USING (gate, state) JOIN tt USING (gate) WHERE state NOT IN ('enforced', 'hardened'))",
+)
+_CG_ROWS = """SELECT repo_id, gate AS category, severity, confidence, title, CAST(rank AS INTEGER) AS rank, state AS evidence,
  CASE WHEN gate IN ('architecture-boundaries', 'compile-time-gates') AND state = 'theater' THEN 'replace' WHEN state IN ('partial', 'unverified') THEN 'harden' ELSE 'adopt' END AS decision,
  CASE WHEN state = 'unverified' THEN 'unverified' WHEN severity IN ('critical', 'high') THEN 'block-now' ELSE 'block-changed-files' END AS merge_gate,
- gate IN ('contract-surface', 'compile-time-gates') AND state = 'partial' AS autofix FROM rk WHERE rank <= 6""",
-    ),
-)
-def contract_findings_report(spark, sf):
-    found = CG.detect(CG.gate_states(CG.repo_signals(corpus(spark, sf))))
-    return found.select("repo_id", "category", "severity", "confidence", "title", "rank", F.array_join("evidence", " | ").alias("evidence"), "decision", "merge_gate", "autofix")
-
-
-_WIDE = ", ".join(f"max(state) FILTER (WHERE gate = '{g}') AS {g.replace('-', '_')}" for g in CR.STATES)
-
-
-@query("contract_verdict", with_files(*CG_CTES, f"w AS (SELECT repo_id, {_WIDE}, count(*) FILTER (WHERE state IN ('enforced', 'hardened')) AS n_strong FROM st GROUP BY 1)", select=f"SELECT repo_id, {CR.VERDICT} AS verdict FROM w"))
-def contract_verdict(spark, sf):
-    return CG.verdicts(CG.gate_states(CG.repo_signals(corpus(spark, sf))))
+ gate IN ('contract-surface', 'compile-time-gates') AND state = 'partial' AS autofix FROM rk"""
 
 
-UP_SQL = RUNS + """SELECT repo_id, bool_or(tool = 'basedpyright' AND status IN ('passed', 'issues')) AS python_strict, bool_or(tool IN ('tach', 'dependency-cruiser') AND status IN ('passed', 'issues')) AS architecture_config,
- CAST(coalesce(sum(CASE WHEN tool = 'semgrep' THEN issue_count ELSE 0 END), 0) AS BIGINT) AS escape_hatches FROM merged GROUP BY 1"""
+@query("contract_findings", with_files(*_CG_FOUND, select=_CG_ROWS))
+def contract_findings(spark, sf):
+    found = CG.detect(CG.gate_states(CG.repo_signals(corpus(spark, sf))))
+    return found.select("repo_id", "category", "severity", "confidence", "title", "rank", F.array_join("evidence", " | ").alias("evidence"), "decision", "merge_gate", "autofix")
 
 
-@query("contract_tool_upgrades", UP_SQL)
-def contract_tool_upgrades(spark, sf):
-    merged = T.merge_tool_runs(D.tool_runs(spark, sf))
-    base = merged.select("repo_id").distinct().select(
-        "repo_id", *[F.lit(False).alias(c) for c in ("python_strict", "ts_strict", "typed_lint", "architecture_config")], F.lit(0).cast("long").alias("escape_hatches")
-    )
-    return CG.with_tool_runs(base, merged).select("repo_id", "python_strict", "architecture_config", "escape_hatches")
+@query("contract_findings_report", with_files(*_CG_FOUND, select=f"{_CG_ROWS} WHERE rank <= 6"))
+def contract_findings_report(spark, sf):
+    """The first six findings of each repository."""
+    return contract_findings(spark, sf).where("rank <= 6")
 
 
 # ---- durable agents ---------------------------------------------------------------------------------------------
@@ -360,7 +349,7 @@ _PY = "regexp_matches(path, '\\.py$')"
 _CT = f"({_PY} OR {S.NAME} = 'pyproject.toml')"
 _WF = f"{_PY} AND (contains(low, '@workflow.defn') OR contains(low, 'temporalio.workflow'))"
 DA_CTES = [
-    f"src AS (SELECT *, lower(text) AS low FROM files WHERE {surface_where('durable-agents')} AND path NOT LIKE 'skills/%')",
+    f"src AS (SELECT *, lower(text) AS low FROM files WHERE {surface_where('durable-agents')})",
     f"fs AS (SELECT repo_id, {_PY} AND {words('low', DR.WORKFLOW_WORDS)} AS ws, {_PY} AND {words('low', DR.AGENT_WORDS)} AS ag, "
     f"(starts_with({S.NAME}, 'README') OR starts_with({S.NAME}, 'AGENTS') OR list_contains(string_split(path, '/'), 'docs')) AND {words('low', DR.DOC_WORDS)} AS dc, "
     + ", ".join(f"{_PY} AND contains(low, '{w}') AS {k}" for k, w in DR.OFFICIAL.items())
@@ -401,22 +390,26 @@ def durable_verdict(spark, sf):
     return DA.verdicts(DA.gate_states(durable_signals_of(spark, sf)))
 
 
-@query(
-    "durable_findings_report",
-    with_files(
-        *DA_CTES,
-        "lv(gate, state, severity, confidence) AS (VALUES " + ", ".join(f"('{g}', '{s}', '{v[0]}', '{v[1]}')" for (g, s), v in DR.LEVELS.items()) + ")",
-        "tt(gate, title) AS (VALUES " + ", ".join(f"('{g}', {sql_text(t)})" for g, t in DR.TITLES.items()) + ")",
-        "x AS (SELECT repo_id, gate, state, CASE WHEN gate = 'doc-grounding' AND state = 'fragile' AND wrong_docs = 0 THEN 'low' ELSE severity END AS severity, CASE WHEN gate = 'doc-grounding' AND state = 'fragile' AND wrong_docs = 0 THEN 'low' ELSE confidence END AS confidence, title FROM st JOIN lv USING (gate, state) JOIN tt USING (gate) WHERE state NOT IN ('sound', 'hardened'))",
-        "rk AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, gate) AS rank FROM x)",
-        select="SELECT repo_id, gate AS category, severity, confidence, title, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 8",
-    ),
+_DA_FOUND = (
+    *DA_CTES,
+    "lv(gate, state, severity, confidence) AS (VALUES " + ", ".join(f"('{g}', '{s}', '{v[0]}', '{v[1]}')" for (g, s), v in DR.LEVELS.items()) + ")",
+    "tt(gate, title) AS (VALUES " + ", ".join(f"('{g}', {sql_text(t)})" for g, t in DR.TITLES.items()) + ")",
+    "x AS (SELECT repo_id, gate, state, CASE WHEN gate = 'doc-grounding' AND state = 'fragile' AND wrong_docs = 0 THEN 'low' ELSE severity END AS severity, CASE WHEN gate = 'doc-grounding' AND state = 'fragile' AND wrong_docs = 0 THEN 'low' ELSE confidence END AS confidence, title FROM st JOIN lv USING (gate, state) JOIN tt USING (gate) WHERE state NOT IN ('sound', 'hardened'))",
+    "rk AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, gate) AS rank FROM x)",
 )
-def durable_findings_report(spark, sf):
+_DA_ROWS = "SELECT repo_id, gate AS category, severity, confidence, title, CAST(rank AS INTEGER) AS rank FROM rk"
+
+
+@query("durable_findings", with_files(*_DA_FOUND, select=_DA_ROWS))
+def durable_findings(spark, sf):
     found = DA.detect(DA.gate_states(durable_signals_of(spark, sf)))
     return found.select("repo_id", "category", "severity", "confidence", "title", "rank")
 
 
+@query("durable_findings_report", with_files(*_DA_FOUND, select=f"{_DA_ROWS} WHERE rank <= 8"))
+def durable_findings_report(spark, sf):
+    """The first eight findings of each repository."""
+    return durable_findings(spark, sf).where("rank <= 8")
 
 
 # ---- findings of tools in other audits --------------------------------------------------------------------------
@@ -425,7 +418,7 @@ def durable_findings_report(spark, sf):
 @query(
     "side_effect_tool_findings",
     RUNS + """SELECT repo_id, CASE WHEN status = 'failed' THEN 'scan-blocker' WHEN tool = 'ast-grep' THEN 'dynamic-dispatch-signal' ELSE 'side-effect-pattern-signal' END AS category,
- CASE WHEN status = 'failed' THEN tool || ' did not complete cleanly' ELSE tool || ' reported additional distributed side-effect evidence' END AS title, array_to_string(list_concat([summary], details[:CASE WHEN status = 'failed' THEN 2 ELSE 3 END]), ' | ') AS evidence
+ CASE WHEN status = 'failed' THEN tool || ' did not complete cleanly' ELSE tool || ' reported additional distributed side-effect evidence' END AS title, array_to_string(list_concat([summary], details), ' | ') AS evidence
  FROM merged WHERE status IN ('failed', 'issues')""",
 )
 def side_effect_tool_findings(spark, sf):

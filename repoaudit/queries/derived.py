@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoaudit.sources.corpus import spread
 
 DIRS = [
     "src", "tests", "docs", ".github/workflows", "src/legacy", "contexts/orders/domain", "generated",
@@ -103,7 +102,7 @@ SNIPPETS = [
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"), "doc_id")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,14 +227,14 @@ def tool_runs_cte() -> str:
 
 def merged_runs_cte() -> str:
     """Independent statement of the batch merge."""
-    return """fl AS (SELECT repo_id, tool, batch, unnest(details[:3]) AS d, generate_subscripts(details[:3], 1) AS i FROM tool_runs),
+    return """fl AS (SELECT repo_id, tool, batch, unnest(details) AS d, generate_subscripts(details, 1) AS i FROM tool_runs),
  md AS (SELECT repo_id, tool, list(d ORDER BY batch, i) AS all_details FROM fl GROUP BY 1, 2),
  mr AS (SELECT repo_id, tool, max(CASE status WHEN 'failed' THEN 2 WHEN 'issues' THEN 1 ELSE 0 END) AS k, count(*) AS batches, sum(issue_count) AS issue_count,
   coalesce(max_by(exit_code, batch) FILTER (WHERE status = 'failed'), max_by(exit_code, batch) FILTER (WHERE status = 'issues'), 0) AS exit_code FROM tool_runs GROUP BY 1, 2),
  merged AS (SELECT mr.repo_id, mr.tool, ['passed', 'issues', 'failed'][k + 1] AS status, CAST(issue_count AS INTEGER) AS issue_count, CAST(exit_code AS INTEGER) AS exit_code,
   mr.tool || CASE WHEN k = 2 THEN ' execution failed in at least one first-party target batch.' WHEN k = 1 AND issue_count > 0 THEN ' reported ' || issue_count || ' finding(s) across first-party targets.'
    WHEN k = 1 THEN ' returned a non-zero audit result across first-party targets.' ELSE ' ran successfully with no machine-detected findings across first-party targets.' END AS summary,
-  mr.tool || ' batched first-party targets (' || batches || ' chunk(s))' AS command, coalesce(all_details[:5], []) AS details
+  mr.tool || ' batched first-party targets (' || batches || ' chunk(s))' AS command, coalesce(all_details, []) AS details
   FROM mr LEFT JOIN md ON mr.repo_id = md.repo_id AND mr.tool = md.tool)"""
 
 
@@ -290,7 +289,7 @@ def part_metrics_cte() -> str:
 
 def item_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Function rows shaped from single line items."""
-    li = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return li.select(
         F.concat(F.lit("r"), (F.col("l_partkey") % 20).cast("string")).alias("repo_id"),
         part_path().alias("path"),

@@ -193,7 +193,7 @@ def derived_copy_drift(spark, sf):
     return DO.diff_derived(canonical, copies)
 
 
-SETS = """a AS (SELECT DISTINCT 'p' || l_partkey AS name FROM lineitem WHERE l_quantity > 45), m AS (SELECT 'p' || p_partkey AS name FROM part WHERE p_size > 20), e AS (SELECT 'p' || p_partkey AS name FROM part WHERE p_size < 5)"""
+SETS = """a AS (SELECT DISTINCT 'p' || l_partkey AS name FROM lineitem ), m AS (SELECT 'p' || p_partkey + CASE WHEN p_size % 7 = 0 THEN 1000000 ELSE 0 END AS name FROM part WHERE p_size % 2 = 0), e AS (SELECT 'p' || p_partkey + CASE WHEN p_size % 5 = 0 THEN 2000000 ELSE 0 END AS name FROM part WHERE p_size % 4 = 1)"""
 
 
 @query(
@@ -204,7 +204,12 @@ def set_drift(spark, sf):
     part = spark.read.parquet(f"{sf}/part.parquet")
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string")).alias("name")
-    return DO.set_drift(li.where("l_quantity > 45").select(name("l_partkey")).distinct(), part.where("p_size > 20").select(name("p_partkey")), part.where("p_size < 5").select(name("p_partkey")))
+    # every part is managed, exempt or neither by its size; some names have no line item
+    part = part.withColumn("managed", F.col("p_partkey") + F.when(F.col("p_size") % 7 == 0, 1_000_000).otherwise(0)).withColumn(
+        "exempt", F.col("p_partkey") + F.when(F.col("p_size") % 5 == 0, 2_000_000).otherwise(0)
+    )
+    actual = li.select(name("l_partkey")).distinct()
+    return DO.set_drift(actual, part.where("p_size % 2 = 0").select(name("managed")), part.where("p_size % 4 = 1").select(name("exempt")))
 
 
 @query("shared_paths", f"WITH a AS (SELECT source AS repo_id, 'doc_' || doc_id AS path FROM documents), {TREE_B} SELECT DISTINCT repo_id, path FROM a JOIN b USING (repo_id, path)")

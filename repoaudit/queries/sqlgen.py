@@ -51,8 +51,6 @@ def surface_where(surface: str) -> str:
         keep += f" AND NOT list_has_any(string_split(path, '/')[:-2], {sql_array(rule['skip'])})"
     if rule.get("prune_dot_dirs"):
         keep += r" AND NOT regexp_matches(path, '(?:^|/)\.[^/]*/')"
-    if rule.get("max_bytes"):
-        keep += f" AND size_bytes <= {rule['max_bytes']}"
     if rule.get("first_party_only"):
         keep += r" AND NOT regexp_matches(path, '(?:^|/)\.council-runtime/(?:.*/)?site-packages/')"
     return keep

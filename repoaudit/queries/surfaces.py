@@ -26,7 +26,7 @@ from repoaudit.streaming import scan
 
 # ---- evidence and candidates ------------------------------------------------------------------------------------
 
-_SNIP = "substr(trim(regexp_replace({0}, '\\s+', ' ', 'g')), 1, 240)"
+_SNIP = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 _LIT = lambda v: sql_text(v) if v is not None else "NULL"
 
 

@@ -58,7 +58,6 @@ TITLES = {
     "merge-governance": "Merge governance exists only as a local hint",
 }
 STATE_PRIORITY = {"missing": 0, "theater": 1, "partial": 2, "unverified": 3, "enforced": 4, "hardened": 5}
-SHOWN = 6
 # over one column per gate, dashes replaced
 VERDICT = """CASE WHEN contract_surface IN ('missing', 'theater') AND runtime_boundary_validation = 'missing' THEN 'contract-theater'
  WHEN compile_time_gates IN ('missing', 'theater') OR runtime_boundary_validation IN ('missing', 'theater') OR architecture_boundaries IN ('missing', 'theater') THEN 'soft-gates'

@@ -77,7 +77,6 @@ TOOL_FINDINGS = {
     "basedpyright": ("dependency-contracts", "medium", "high", "BasedPyright reported Python type contract issues in the durable surface", "harden", "block-changed-files"),
     "semgrep": ("workflow-determinism", "high", "medium", "Semgrep matched workflow or raw-agent hazard patterns", "replace", "block-now"),
 }
-SHOWN = 8
 VERDICT = """CASE WHEN NOT applicable THEN 'not-applicable'
  WHEN workflow_determinism = 'broken' OR durable_agent_path = 'broken' OR sandbox_discipline = 'unsafe' OR tool_contracts = 'broken' THEN 'workflow-time-bomb'
  WHEN durable_agent_path = 'fragile' AND verification_harness IN ('unsafe', 'fragile') THEN 'paper-guardrails'

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-MAX_FILE_BYTES = 1_000_000
-
 CODE = [".py", ".pyi", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]
 VCS_AND_CACHE_DIRS = [".git", ".hg", ".svn", ".venv", "venv", "__pycache__", "node_modules", "dist", "build"]
 
@@ -24,7 +22,6 @@ SURFACES = {
             "pyproject.toml", "requirements.txt", "setup.py", "poetry.lock", "Pipfile", "mkdocs.yml",
             "docusaurus.config.js", "docusaurus.config.ts", "sidebars.js", "sidebars.ts",
         ],
-        "max_bytes": MAX_FILE_BYTES,
         "prune_dot_dirs": True,
     },
     "structure": {
@@ -59,7 +56,6 @@ SURFACES = {
         ],
         "suffixes": [".py", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"],
         "names": [],
-        "max_bytes": MAX_FILE_BYTES,
         "reject_minified": True,
     },
     "contracts": {
@@ -86,7 +82,6 @@ SURFACES = {
             ".md", ".mdx", ".rst",
         ],
         "names": [],
-        "max_bytes": MAX_FILE_BYTES,
     },
     "text": {
         "skip": VCS_AND_CACHE_DIRS,

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -11,14 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoaudit.functions import paths as P
-from repoaudit.rules.surface import MAX_FILE_BYTES, SURFACES
+from repoaudit.rules.surface import SURFACES
 from repoaudit.schemas import FILES
 
 
-def read_corpus(
-    spark: SparkSession, root: str, repo_depth: int = 1, max_bytes: int = MAX_FILE_BYTES
-) -> DataFrame:
-    """Read checkouts below ``root`` into the ``files`` schema.
+def read_corpus(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFrame:
+    """Read checkouts below ``root`` into the ``files`` schema, files of any size.
 
     The first ``repo_depth`` path components below ``root`` name the repository. Spark's own
     file sources skip names that start with ``.`` or ``_``, which source trees are full of, so
@@ -29,7 +26,7 @@ def read_corpus(
     level = spark.createDataFrame([("", root.rstrip("/"))], "repo_id string, place string")
     for _ in range(repo_depth):
         level = level.mapInPandas(list_directories, "repo_id string, place string").repartition("repo_id")
-    listed = level.mapInPandas(partial(list_files, max_bytes=max_bytes), "repo_id string, path string, place string, size_bytes long")
+    listed = level.mapInPandas(list_files, "repo_id string, path string, place string, size_bytes long")
     return listed.repartition("repo_id", "path").mapInPandas(read_files, FILES)
 
 
@@ -42,12 +39,12 @@ def list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"repo_id": [f"{repo}/{n}".lstrip("/") for n in names], "place": [f"{place}/{n}" for n in names]})
 
 
-def list_files(batches: Iterator[pd.DataFrame], max_bytes: int) -> Iterator[pd.DataFrame]:
-    """Names and sizes below each repository; oversized files stop here."""
+def list_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Names and sizes below each repository."""
     for batch in batches:
         for repo, place in zip(batch["repo_id"], batch["place"]):
             fs, base = open_place(place)
-            kept = [i for i in fs.get_file_info(pafs.FileSelector(base, recursive=True)) if i.is_file and i.size <= max_bytes]
+            kept = [i for i in fs.get_file_info(pafs.FileSelector(base, recursive=True)) if i.is_file]
             paths = [i.path[len(base) :].lstrip("/") for i in kept]
             yield pd.DataFrame({"repo_id": repo, "path": paths, "place": [f"{place}/{p}" for p in paths], "size_bytes": [i.size for i in kept]})
 
@@ -91,8 +88,6 @@ def select_surface(files: DataFrame, surface: str) -> DataFrame:
         keep = keep & ~F.arrays_overlap(P.directories(path), P.strings(rule["skip"]))
     if rule.get("prune_dot_dirs"):
         keep = keep & ~path.rlike(r"(?:^|/)\.[^/]*/")
-    if rule.get("max_bytes"):
-        keep = keep & (F.col("size_bytes") <= rule["max_bytes"])
     if rule.get("reject_minified"):
         keep = keep & ~F.lower(path).endswith(".min.js")
     if rule.get("first_party_only"):
@@ -132,15 +127,6 @@ def surface_note(
     return F.concat(F.lit("surface: "), F.concat_ws(" | ", *bits))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores where a scan came out in fewer pieces than there are cores.
-
-    Large inputs are cut by the scan itself and pass through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def repositories(files: DataFrame) -> DataFrame:
     """One row per repository, so that a repository without findings keeps its row."""
     return files.select("repo_id").distinct()
