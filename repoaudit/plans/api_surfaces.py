@@ -1,18 +1,16 @@
-"""API surfaces: evidence rows, candidates, collapse, surface ids, findings, verdict."""
+"""API surfaces: evidence rows, candidates, homes, surface ids, findings, verdict."""
 
 from __future__ import annotations
 
 from functools import reduce
 from operator import or_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repoaudit.functions import paths as P
 from repoaudit.functions.regex import fold, guard, jvm, matches
 from repoaudit.functions.text import collapse_snippet, line_array
-from repoaudit.operators.findings import cap
 from repoaudit.operators.manifests import manifest_deps
 from repoaudit.rules import api_surfaces as R
 from repoaudit.session import stage
@@ -168,96 +166,89 @@ def candidates(ev: DataFrame) -> DataFrame:
     )
 
 
-def shown_evidence(ev: DataFrame, n: int = R.EVIDENCE_SHOWN) -> DataFrame:
-    """First ``n`` evidence rows per candidate: what a surface quotes."""
-    return cap(keyed(ev), KEY, ["at"], n)
+RANK = {"high": 0, "medium": 1, "low": 2}
+LOOSE = ("custom-http-llm", "unknown")
+WEAK, FIRM = ("family-resolved", "ambiguous"), ("provider-resolved", "wrapper-resolved")
+SAME = ["repo_id", "own_provider", "wrapper", "family", "level"]
 
 
-SURFACES = (
-    "repo_id string, provider string, wrapper string, family string, surface int, surface_family string, surface_provider string, "
-    "surface_wrapper string, level string, confidence string, language string, primary_sdk string"
-)
-RANK = {"high": 0, "medium": 1, "low": 2}
+def classes(cands: DataFrame) -> DataFrame:
+    """Candidates with the number of their class; a class is what is alike once unresolved providers are left out.
+
+    Classes are numbered by their first evidence. A repository has no more of them than the rule table has keys.
+    """
+    own = cands.withColumn("own_provider", F.when(F.col("level") == "provider-resolved", F.col("provider")).otherwise(""))
+    starts = own.groupBy(*SAME).agg(F.min("first").alias("start"))
+    numbers = starts.withColumn("class", F.row_number().over(Window.partitionBy("repo_id").orderBy("start", *SAME[1:])))
+    return own.join(numbers.drop("start"), SAME)
+
+
+def homes(members: DataFrame, ev: DataFrame) -> DataFrame:
+    """``repo_id, class, home``: the class that each class is part of, itself where it stands alone.
+
+    A weak class joins the first firm one of its family, or any generic wrapper, or, where its own family says
+    little, one that shares a file with it. What is left of such families joins the first telling family-level class
+    that shares a file. All of it is decided on the classes as they are found; pairs come from equi-joins by
+    repository and by file, and the first home is a minimum.
+    """
+    whole = members.select("repo_id", "class", "level", "family").distinct()
+    files = keyed(ev).join(members.select(*KEY, "class"), KEY).select("repo_id", "path", "class").distinct()
+    meets = files.join(files.withColumnRenamed("class", "other"), ["repo_id", "path"]).select("repo_id", "class", "other")
+    meets = meets.where(F.col("class") != F.col("other")).distinct().withColumn("meets", F.lit(True))
+    other = whole.select("repo_id", *(F.col(c).alias(f"to_{c}") for c in ("class", "level", "family")))
+    pairs = (
+        whole.where(F.col("level").isin(*WEAK))
+        .join(other, "repo_id")
+        .where(F.col("class") != F.col("to_class"))
+        .join(meets.withColumnRenamed("other", "to_class"), ["repo_id", "class", "to_class"], "left")
+        .fillna(False)
+    )
+    loose = F.col("family").isin(*LOOSE)
+    near = (F.col("to_family") == F.col("family")) | (F.col("to_family") == "generic-wrapper") | (loose & F.col("meets"))
+    firm = pairs.where(F.col("to_level").isin(*FIRM) & near).groupBy("repo_id", "class").agg(F.min("to_class").alias("home"))
+    peer = (F.col("level") == "family-resolved") & loose & F.col("meets")
+    peer = peer & (F.col("to_level") == "family-resolved") & ~F.col("to_family").isin(*LOOSE)
+    moved = firm.select("repo_id", F.col("class").alias("to_class"))
+    second = (
+        pairs.where(peer)
+        .join(firm, ["repo_id", "class"], "left_anti")
+        .join(moved, ["repo_id", "to_class"], "left_anti")
+        .groupBy("repo_id", "class")
+        .agg(F.min("to_class").alias("home"))
+    )
+    found = firm.unionByName(second)
+    return whole.select("repo_id", "class").join(found, ["repo_id", "class"], "left").withColumn("home", F.coalesce("home", "class"))
+
+
+def surfaces(cands: DataFrame, ev: DataFrame) -> DataFrame:
+    """Candidate key to final surface, with the surface's attributes.
 
+    The home's own values count first, then those of its members in order of class; a value that says nothing gives
+    way to the next.
+    """
+    members = classes(cands)
+    placed = members.join(homes(members, ev), ["repo_id", "class"]).withColumn(
+        "turn", F.struct((F.col("class") != F.col("home")).alias("joined"), F.col("class").alias("class"), F.col("first").alias("first"))
+    )
 
-def merge(target: dict, source: dict) -> None:
-    """Fold one candidate into another: vague values give way, quotes stay the first eight."""
-    target["quotes"] = sorted(target["quotes"] + source["quotes"])[: R.EVIDENCE_SHOWN]
-    target["keys"] += source["keys"]
-    if target["family"] in R.VAGUE and source["family"] not in R.VAGUE:
-        target["family"] = source["family"]
-    for field in ("provider", "wrapper"):
-        target[field] = target[field] or source[field]
-    if target["sdk"] in ("unknown", "generic-wrapper") and source["sdk"] not in ("unknown", "generic-wrapper"):
-        target["sdk"] = source["sdk"]
-    if target["language"] == "unknown":
-        target["language"] = source["language"]
-    target["confidence"] = min(target["confidence"], source["confidence"], key=RANK.get)
-
-
-def pages(c: dict) -> set:
-    return {q[0] for q in c["quotes"]}
-
-
-def collapse(items: list[dict]) -> list[dict]:
-    """Merge weaker candidates of one repository until nothing moves."""
-    kept: dict[tuple, dict] = {}
-    for c in items:
-        same = (c["provider"], c["wrapper"], c["family"], c["level"])
-        if same in kept:
-            merge(kept[same], c)
-        else:
-            kept[same] = c
-    live = list(kept.values())
-    loose = ("custom-http-llm", "unknown")
-
-    def home(c: dict) -> dict | None:
-        if c["level"] not in ("family-resolved", "ambiguous"):
-            return None
-        for t in live:
-            firm = t is not c and t["level"] in ("provider-resolved", "wrapper-resolved")
-            if firm and (t["family"] in (c["family"], "generic-wrapper") or (c["family"] in loose and pages(c) & pages(t))):
-                return t
-        return None
-
-    while (move := next(((c, t) for c in live if (t := home(c))), None)) is not None:
-        merge(move[1], move[0])
-        live.remove(move[0])
-    for c in [x for x in live if x["level"] == "family-resolved" and x["family"] in loose]:
-        peers = [t for t in live if t is not c and t["level"] == "family-resolved" and t["family"] not in loose and pages(c) & pages(t)]
-        if peers:
-            merge(peers[0], c)
-            live.remove(c)
-    return sorted(live, key=lambda c: (R.LEVEL_RANK[c["level"]], c["family"], c["sdk"]))
-
-
-def resolve_repo(rows: pd.DataFrame) -> pd.DataFrame:
-    items = []
-    for r in rows.sort_values("place").itertuples():
-        resolved = r.level == "provider-resolved"
-        items.append(
-            {
-                "provider": r.provider if resolved else "", "wrapper": r.wrapper, "family": r.family, "level": r.level,
-                "confidence": r.confidence, "language": r.language, "sdk": r.primary_sdk,
-                "quotes": [(q["path"], q["line"], q["label"]) for q in r.quotes], "keys": [(r.provider, r.wrapper, r.family)],
-            }
-        )
-    repo = rows["repo_id"].iloc[0]
-    out = [
-        (repo, *key, i, c["family"], c["provider"], c["wrapper"], c["level"], c["confidence"], c["language"], c["sdk"])
-        for i, c in enumerate(collapse(items), 1)
-        for key in c["keys"]
-    ]
-    return pd.DataFrame(out, columns=[f.split()[0] for f in SURFACES.split(", ")])
-
-
-def surfaces(cands: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Candidate key to final surface. A group holds a repository's candidates: bounded by the rule table."""
-    lists = quotes.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("path", "line", "label"))).alias("quotes"))
-    first = F.col("first")
-    place = F.concat_ws("\u0001", first["path"], first["late"].cast("string"), F.lpad(first["line"].cast("string"), 9, "0"), F.lpad(first["ord"].cast("string"), 6, "0"))
-    rows = cands.join(lists, KEY).select(*KEY, "level", "confidence", "language", "primary_sdk", "quotes", place.alias("place"))
-    return rows.groupBy("repo_id").applyInPandas(resolve_repo, SURFACES)
+    def telling(value: str, says_nothing: Column) -> Column:
+        """The first value that says something, else the home's."""
+        return F.coalesce(F.min_by(value, F.when(~says_nothing, F.col("turn"))), F.min_by(value, "turn"))
+
+    rank = P.lookup(F.col("confidence"), {k: str(v) for k, v in RANK.items()}).cast("int")
+    rows = placed.groupBy("repo_id", "home").agg(
+        telling("family", F.col("family").isin(*R.VAGUE)).alias("surface_family"),
+        telling("own_provider", F.col("own_provider") == "").alias("surface_provider"),
+        telling("wrapper", F.col("wrapper") == "").alias("surface_wrapper"),
+        F.min_by("level", "turn").alias("level"),
+        F.min_by("confidence", rank).alias("confidence"),
+        telling("language", F.col("language") == "unknown").alias("language"),
+        telling("primary_sdk", F.col("primary_sdk").isin("unknown", "generic-wrapper")).alias("primary_sdk"),
+    )
+    level = P.lookup(F.col("level"), {k: str(v) for k, v in R.LEVEL_RANK.items()}).cast("int")
+    order = Window.partitionBy("repo_id").orderBy(level, "surface_family", "primary_sdk", "home")
+    numbered = rows.withColumn("surface", F.row_number().over(order))
+    return placed.select(*KEY, "home").join(numbered, ["repo_id", "home"]).drop("home")
 
 
 def surface_rows(resolved: DataFrame) -> DataFrame:
@@ -279,8 +270,8 @@ def hints(ev: DataFrame, resolved: DataFrame) -> DataFrame:
     )
 
 
-def detect(resolved: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Ambiguity, gateway and legacy findings. Legacy quotes map to the last surface that quotes them."""
+def detect(resolved: DataFrame, ev: DataFrame) -> DataFrame:
+    """Ambiguity, gateway and legacy findings. Legacy evidence maps to the last surface that holds it."""
     s = surface_rows(resolved)
     gaps = s.select(
         "repo_id", "surface_id",
@@ -289,13 +280,7 @@ def detect(resolved: DataFrame, quotes: DataFrame) -> DataFrame:
         .alias("kind"),
         F.lit(".").alias("path"), F.lit(0).alias("line"), F.lit("").alias("label"),
     ).where("kind is not null")
-    # a merged surface quotes the first eight of all its candidates' quotes
-    w = Window.partitionBy("repo_id", "surface").orderBy("path", "line", "label")
-    own = (
-        quotes.join(resolved.select(*KEY, "surface"), KEY)
-        .withColumn("rn", F.row_number().over(w))
-        .where(F.col("rn") <= R.EVIDENCE_SHOWN)
-    )
+    own = keyed(ev).join(resolved.select(*KEY, "surface"), KEY)
     legacy = (
         own.groupBy("repo_id", "path", "line", "label")
         .agg(F.max("surface").alias("surface"), F.bool_or(F.col("kind") == "legacy-suspicion").alias("legacy"))

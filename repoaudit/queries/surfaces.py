@@ -78,31 +78,85 @@ def api_candidates(spark, sf):
     return A.candidates(evidence_of(spark, sf)).drop("first")
 
 
-@query("api_surfaces")
+_TURN = "ORDER BY joined, k, f"
+
+
+def _telling(value: str, out: str, nothing: str) -> str:
+    return f"coalesce(first({value} {_TURN}) FILTER (WHERE NOT ({nothing})), first({value} {_TURN})) AS {out}"
+
+
+_LOOSE = S.sql_in(A.LOOSE)
+SURFACE_CTES = [
+    "cf AS (SELECT repo_id, provider, wrapper, family, min((path, line, ord)) AS f FROM ck GROUP BY 1, 2, 3, 4)",
+    "co AS (SELECT cd.*, f, CASE WHEN level = 'provider-resolved' THEN provider ELSE '' END AS own, CASE WHEN score >= 3 THEN 0 WHEN score >= 2 THEN 1 ELSE 2 END AS conf FROM cd JOIN cf USING (repo_id, provider, wrapper, family))",
+    "cl AS (SELECT repo_id, own, wrapper, family, level, row_number() OVER (PARTITION BY repo_id ORDER BY min(f), own, wrapper, family, level) AS k FROM co GROUP BY 1, 2, 3, 4, 5)",
+    "mb AS (SELECT co.*, k FROM co JOIN cl USING (repo_id, own, wrapper, family, level))",
+    "pg AS (SELECT DISTINCT ck.repo_id, ck.path, k FROM ck JOIN mb USING (repo_id, provider, wrapper, family))",
+    "mt AS (SELECT DISTINCT x.repo_id, x.k, y.k AS k2 FROM pg x JOIN pg y ON x.repo_id = y.repo_id AND x.path = y.path AND x.k <> y.k)",
+    "pr AS (SELECT v.repo_id, v.k, v.level, v.family, t.k AS k2, t.level AS level2, t.family AS family2, mt.k IS NOT NULL AS meets FROM cl v JOIN cl t ON v.repo_id = t.repo_id AND v.k <> t.k LEFT JOIN mt ON mt.repo_id = v.repo_id AND mt.k = v.k AND mt.k2 = t.k)",
+    f"h1 AS (SELECT repo_id, k, min(k2) AS home FROM pr WHERE level IN {S.sql_in(A.WEAK)} AND level2 IN {S.sql_in(A.FIRM)} AND (family2 = family OR family2 = 'generic-wrapper' OR (family IN {_LOOSE} AND meets)) GROUP BY 1, 2)",
+    f"h2 AS (SELECT repo_id, k, min(k2) AS home FROM pr WHERE level = 'family-resolved' AND family IN {_LOOSE} AND meets AND level2 = 'family-resolved' AND family2 NOT IN {_LOOSE}"
+    " AND NOT EXISTS (SELECT 1 FROM h1 WHERE h1.repo_id = pr.repo_id AND h1.k IN (pr.k, pr.k2)) GROUP BY 1, 2)",
+    "pl AS (SELECT mb.*, coalesce(h1.home, h2.home, mb.k) AS home, (coalesce(h1.home, h2.home, mb.k) <> mb.k)::INT AS joined FROM mb LEFT JOIN h1 ON h1.repo_id = mb.repo_id AND h1.k = mb.k LEFT JOIN h2 ON h2.repo_id = mb.repo_id AND h2.k = mb.k)",
+    "sr AS (SELECT repo_id, home, "
+    + ", ".join(
+        [
+            _telling("family", "surface_family", f"family IN {S.sql_in(R.VAGUE)}"),
+            _telling("own", "surface_provider", "own = ''"),
+            _telling("wrapper", "surface_wrapper", "wrapper = ''"),
+            f"first(level {_TURN}) AS level",
+            "['high', 'medium', 'low'][min(conf) + 1] AS confidence",
+            _telling("language", "language", "language = 'unknown'"),
+            _telling("primary_sdk", "primary_sdk", "primary_sdk IN ('unknown', 'generic-wrapper')"),
+        ]
+    )
+    + " FROM pl GROUP BY 1, 2)",
+    "sn AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY CASE level " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in R.LEVEL_RANK.items()) + " END, surface_family, primary_sdk, home) AS INTEGER) AS surface FROM sr)",
+    "se AS (SELECT ck.*, surface FROM ck JOIN pl USING (repo_id, provider, wrapper, family) JOIN sn ON sn.repo_id = ck.repo_id AND sn.home = pl.home)",
+]
+
+
+@query(
+    "api_surfaces",
+    with_files(*EV_CTES, *SURFACE_CTES, select="SELECT repo_id, surface, surface_family, surface_provider, surface_wrapper, level, confidence, language, primary_sdk, format('surface-{:03d}', surface) AS surface_id FROM sn"),
+)
 def api_surfaces(spark, sf):
-    """Collapsed surfaces; the merge is order dependent and checked on fixtures."""
+    """Surfaces with their homes resolved."""
     ev = evidence_of(spark, sf)
-    return A.surface_rows(A.surfaces(A.candidates(ev), A.shown_evidence(ev)))
+    return A.surface_rows(A.surfaces(A.candidates(ev), ev))
 
 
-@query("api_surface_findings")
+@query(
+    "api_surface_findings",
+    with_files(
+        *EV_CTES, *SURFACE_CTES,
+        select="""SELECT repo_id, format('surface-{:03d}', surface) AS surface_id, CASE WHEN level = 'ambiguous' THEN 'provider-ambiguous' ELSE 'gateway-resolution-gap' END AS kind, '.' AS path, 0 AS line, '' AS label, 'low' AS severity
+ FROM sn WHERE level = 'ambiguous' OR (level = 'wrapper-resolved' AND surface_provider = '')
+ UNION ALL SELECT repo_id, format('surface-{:03d}', max(surface)), 'legacy-suspicion', path, CAST(line AS INTEGER), label, 'low' FROM se GROUP BY repo_id, path, line, label HAVING bool_or(kind = 'legacy-suspicion')""",
+    ),
+)
 def api_surface_findings(spark, sf):
     ev = evidence_of(spark, sf)
-    quotes = A.shown_evidence(ev)
-    return A.detect(A.surfaces(A.candidates(ev), quotes), quotes)
+    return A.detect(A.surfaces(A.candidates(ev), ev), ev)
 
 
-@query("api_surface_hints")
+@query(
+    "api_surface_hints",
+    with_files(
+        *EV_CTES, *SURFACE_CTES,
+        select="SELECT DISTINCT repo_id, surface, hint, value FROM (SELECT repo_id, surface, 'model' AS hint, model_hint AS value FROM se UNION ALL SELECT repo_id, surface, 'base_url', base_url_hint FROM se) WHERE value <> ''",
+    ),
+)
 def api_surface_hints(spark, sf):
     ev = evidence_of(spark, sf)
-    return A.hints(ev, A.surfaces(A.candidates(ev), A.shown_evidence(ev)))
+    return A.hints(ev, A.surfaces(A.candidates(ev), ev))
 
 
 @query("api_freshness_verdict", with_files(*EV_CTES[:7], select="SELECT r.repo_id, CASE WHEN count(ck.path) = 0 THEN 'not-applicable' ELSE 'triage' END AS verdict FROM (SELECT DISTINCT repo_id FROM files) r LEFT JOIN ck USING (repo_id) GROUP BY 1"))
 def api_freshness_verdict(spark, sf):
     files = corpus(spark, sf)
     ev = A.collect(files)
-    return A.verdicts(files, A.surfaces(A.candidates(ev), A.shown_evidence(ev))).select("repo_id", "verdict")
+    return A.verdicts(files, A.surfaces(A.candidates(ev), ev)).select("repo_id", "verdict")
 
 
 # ---- manifests --------------------------------------------------------------------------------------------------

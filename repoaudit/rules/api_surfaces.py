@@ -137,4 +137,3 @@ ALIASES = [
 ]
 VAGUE = ["unknown", "generic-wrapper", "custom-http-llm"]
 LEVEL_RANK = {"provider-resolved": 0, "family-resolved": 1, "wrapper-resolved": 2, "ambiguous": 3}
-EVIDENCE_SHOWN = 8

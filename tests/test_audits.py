@@ -12,7 +12,7 @@ from repoaudit.operators.findings import dedupe, number_within, severity_counts
 from repoaudit.operators.links import check_links
 from repoaudit.operators.windows import duplicate_stats
 from repoaudit.plans import categories, cleanup, domain_drift, module_shape, side_effects, silent_failure
-from repoaudit.plans.api_surfaces import alias_table, candidates, collapse, collect, detect, shown_evidence, surface_rows, surfaces
+from repoaudit.plans.api_surfaces import alias_table, candidates, collect, detect, surface_rows, surfaces
 from repoaudit.sources.corpus import repositories, surface_coverage
 
 NOISE = {".council-runtime/x/site-packages/mod.py": "import os\n# noqa\nassert True\n"}
@@ -200,20 +200,33 @@ def test_api_surfaces(make_files, spark):
         }
     )
     ev = collect(files, alias_table(spark))
-    quotes = shown_evidence(ev)
-    resolved = surfaces(candidates(ev), quotes)
+    resolved = surfaces(candidates(ev), ev)
     got = [(r.repo_id, r.surface_id, r.level, r.surface_provider, r.surface_wrapper, r.confidence) for r in surface_rows(resolved).orderBy("surface").collect()]
     # the family surface joins the provider; the custom one joins the wrapper it shares a file with
     assert got == [("r", "surface-001", "provider-resolved", "openai", "", "high"), ("r", "surface-002", "wrapper-resolved", "", "litellm", "low")]
-    assert {(r.surface_id, r.kind) for r in detect(resolved, quotes).collect()} == {("surface-002", "gateway-resolution-gap"), ("surface-001", "legacy-suspicion")}
-
-
-def test_collapse_order():
-    def c(provider, wrapper, family, level, page):
-        return {"provider": provider, "wrapper": wrapper, "family": family, "level": level, "confidence": "low", "language": "unknown", "sdk": "unknown", "quotes": [(page, 1, "x")], "keys": [(provider, wrapper, family)]}
-
-    out = collapse([c("", "", "custom-http-llm", "family-resolved", "a"), c("", "", "google-genai", "family-resolved", "a"), c("", "", "anthropic-messages", "family-resolved", "b")])
-    assert [(o["family"], len(o["keys"])) for o in out] == [("anthropic-messages", 1), ("google-genai", 2)]
+    assert {(r.surface_id, r.kind) for r in detect(resolved, ev).collect()} == {("surface-002", "gateway-resolution-gap"), ("surface-001", "legacy-suspicion")}
+
+
+def test_homes_of_classes(spark):
+    from repoaudit.plans.api_surfaces import classes, homes
+
+    at = lambda path, n: (path, 1, n, 0)
+    rows = [
+        ("r", "", "", "custom-http-llm", "family-resolved", at("a", 1)), ("r", "", "", "google-genai", "family-resolved", at("a", 2)),
+        ("r", "", "", "anthropic-messages", "family-resolved", at("b", 1)), ("s", "openai", "", "openai-chat", "provider-resolved", at("a", 1)),
+        ("s", "", "", "openai-chat", "family-resolved", at("z", 1)), ("s", "", "", "unknown", "ambiguous", at("a", 9)),
+    ]
+    place = "struct<path: string, late: int, line: int, ord: int>"
+    cands = spark.createDataFrame(rows, f"repo_id string, provider string, wrapper string, family string, level string, first {place}")
+    ev = spark.createDataFrame(
+        [(r[0], r[1], r[2], r[3], r[5][0], r[5][2], i, "code") for i, r in enumerate(rows)],
+        "repo_id string, provider string, wrapper string, family string, path string, line int, ord int, source string",
+    )
+    members = classes(cands)
+    family = {(r.repo_id, r["class"]): r.family for r in members.collect()}
+    got = {(r.repo_id, family[r.repo_id, r["class"]]): family[r.repo_id, r.home] for r in homes(members, ev).collect()}
+    assert got[("r", "custom-http-llm")] == "google-genai" and got[("r", "anthropic-messages")] == "anthropic-messages"
+    assert got[("s", "unknown")] == "openai-chat"
 
 
 def test_foreign_files_are_counted(make_files):
@@ -238,3 +251,39 @@ def test_line_split(spark, text):
 
 def test_deep_source_is_a_parse_error():
     assert parse_file("(" * 5000)["parse_error"]
+
+
+def test_every_repository_keeps_its_verdict(make_files):
+    """A repository that holds nothing of an audit's surface still gets one row."""
+    from repoaudit.plans import categories, cleanup, error_contract
+    from repoaudit.sources.corpus import repositories
+
+    files = make_files({"empty": {"logo.png": ""}, "old": {"src/a.py": "# @deprecated remove by 2020-01-01\n"}})
+    assert {(r.repo_id, r.verdict) for r in error_contract.audit(files)[1].collect()} == {("empty", "not-applicable"), ("old", "not-applicable")}
+    found = cleanup.detect_files(files, datetime.date(2024, 1, 1))
+    gates = cleanup.removal_gate(found, datetime.date(2024, 1, 1), repositories(files)).collect()
+    assert {(r.repo_id, r.gate_failed) for r in gates if r.repo_id == "empty"} == {("empty", False)} and len(gates) == 2
+    for audit in ("test-quality", "security-posture"):
+        assert {r.repo_id for r in categories.audit(files, audit)[2].collect()} == {"empty", "old"}
+
+
+def test_no_limits_on_findings(spark, make_files):
+    """Nine signals, long lines and many tool details all come out."""
+    from repoaudit.operators.tool_runs import merge_tool_runs
+    from repoaudit.plans.silent_failure import detect_js
+
+    long_line = "const x" + "y" * 400 + " = a!.b;"
+    files = make_files({"r": {"a.ts": "\n".join(["foo(a!.b);"] * 9 + [long_line])}})
+    found = [r for r in detect_js(files).collect() if r.title.startswith("Non-null")]
+    assert len(found) == 10 and any(r.evidence == [long_line] for r in found)
+    runs = spark.createDataFrame(
+        [("r", "tach", i, "issues", 1, 1, [f"detail {i}-{j}" for j in range(10)], "") for i in range(5)],
+        "repo_id string, tool string, batch int, status string, exit_code int, issue_count int, details array<string>, payload string",
+    )
+    assert merge_tool_runs(runs).first().details == [f"detail {i}-{j}" for i in range(5) for j in range(10)]
+
+
+def test_match_mark_in_a_source(make_files):
+    from repoaudit.plans.silent_failure import detect_js
+
+    assert detect_js(make_files({"r": {"a.ts": "let \u0001x = 2\n"}})).collect() == []

@@ -20,16 +20,16 @@ def test_read_corpus(spark, tmp_path):
     root = tmp_path / "trees"
     for name, data in {
         "r1/src/a.py": b"x = 1\n", "r1/src/__init__.py": b"", "r1/.github/workflows/c.yml": b"a: 1\n", "r1/.git/config.py": b"y\n", "r1/bin.py": b"a\x00b", "r2/deep/er/b.md": "é\n".encode(), "r2/latin.py": b"caf\xe9\n",
-        "r2/big.py": b"#" * 1_000_001, "r2/web/a.min.js": b"x\n",
+        "r2/big.py": b"#" * 2_000_000, "r2/web/a.min.js": b"x\n",
     }.items():
         p = root / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_bytes(data)
     files = read_corpus(spark, str(root)).cache()
     got = {(r.repo_id, r.path): r.text for r in files.collect()}
-    assert got == {("r1", "src/a.py"): "x = 1\n", ("r1", "src/__init__.py"): "", ("r1", ".github/workflows/c.yml"): "a: 1\n", ("r1", ".git/config.py"): "y\n", ("r2", "deep/er/b.md"): "é\n", ("r2", "latin.py"): "café\n", ("r2", "web/a.min.js"): "x\n"}
-    assert {r.path for r in select_surface(files, "cleanup").collect()} == {"src/a.py", "src/__init__.py", "deep/er/b.md", "latin.py", "web/a.min.js"}
-    assert {r.path for r in select_surface(files, "silent-failure").collect()} == {"src/a.py", "src/__init__.py", "latin.py"}
+    assert got == {("r1", "src/a.py"): "x = 1\n", ("r1", "src/__init__.py"): "", ("r1", ".github/workflows/c.yml"): "a: 1\n", ("r1", ".git/config.py"): "y\n", ("r2", "deep/er/b.md"): "é\n", ("r2", "latin.py"): "café\n", ("r2", "web/a.min.js"): "x\n", ("r2", "big.py"): "#" * 2_000_000}
+    assert {r.path for r in select_surface(files, "cleanup").collect()} == {"src/a.py", "src/__init__.py", "deep/er/b.md", "latin.py", "big.py", "web/a.min.js"}
+    assert {r.path for r in select_surface(files, "silent-failure").collect()} == {"src/a.py", "src/__init__.py", "latin.py", "big.py"}
 
 
 def test_lookup_documents_and_sink(spark, tmp_path):
