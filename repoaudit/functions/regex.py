@@ -131,9 +131,6 @@ def has_any(col: Column, rules: Bank, low: Column | None = None) -> Column:
     return reduce(or_, tests)
 
 
-def count_matches(col: Column, pattern: str) -> Column:
-    return F.regexp_count(col, F.lit(jvm(pattern)))
-
 
 def extract_first(col: Column, rules: Bank, low: Column | None = None) -> Column:
     """First pattern in bank order that occurs: group 1 if it has one, else the match, trimmed."""

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoaudit.functions import paths as P
 from repoaudit.functions.regex import jvm, matches, strip
 from repoaudit.functions.text import line_array
 
@@ -154,7 +153,3 @@ def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
 def shared(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Keys present on both sides."""
     return a.select(*keys).distinct().join(b.select(*keys).distinct(), keys, "left_semi")
-
-
-def parent_name(path: Column) -> Column:
-    return F.substring_index(P.parent(path), "/", -1)

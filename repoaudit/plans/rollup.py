@@ -417,12 +417,6 @@ def compact_excerpt(text: Column, limit: int = 320) -> Column:
     return F.when(F.length(joined) <= limit, joined).otherwise(F.concat(F.rtrim(F.substring(joined, 1, limit - 1)), F.lit("…")))
 
 
-def contract_rows(spark) -> DataFrame:
-    """Verdict contract as a table: domain, verdict, bucket."""
-    rows = [(d, v, b) for d, m in R.VERDICT_BUCKETS.items() for v, b in m.items()]
-    return spark.createDataFrame(rows, "domain string, verdict string, bucket string")
-
-
 def bucket_of(domain: Column, verdict: Column) -> Column:
     """Roll-up bucket of a verdict; null when the contract does not know it."""
     return lookup(F.concat_ws("/", domain, verdict), {f"{d}/{v}": b for d, m in R.VERDICT_BUCKETS.items() for v, b in m.items()})

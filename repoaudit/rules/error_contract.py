@@ -32,10 +32,10 @@ PATHS = {
     "schema": r"(?i:schema|spec|contract|openapi|asyncapi)",
 }
 FRAMEWORKS = {
-    "django": r"(?i:\bdjango\b|\bJsonResponse\b)",
-    "express": r"(?i:\bexpress\b|\bres\.status\b)",
     "fastapi": r"(?i:\bfastapi\b|\bAPIRouter\b)",
     "flask": r"(?i:\bflask\b|\bBlueprint\b)",
+    "django": r"(?i:\bdjango\b|\bJsonResponse\b)",
+    "express": r"(?i:\bexpress\b|\bres\.status\b)",
     "nestjs": r"(?i:\b@nestjs\b|\bHttpException\b)",
 }
 GLOBAL_HANDLER = bank(
@@ -51,26 +51,18 @@ TEXT_BRANCH = bank(
 )
 LEAKAGE = bank(
     r"\btraceback\.format_exc\(\)", r"\bformat_exc\(\)", r"\bstr\(exc\)\b", r"\brepr\(exc\)\b", r"\bstack\s*trace\b",
-    r"\bsql(?:state|error)?\b",
+    r"\bsql(state|error)?\b",
     ignore_case=True,
 )
 OUTWARD = bank(
-    r"JSONResponse", r"HttpException", r"HTTPException", r"res\.status",
-    r"return\s+\{[^}]{0,200}(?:detail|message|error)", r"problem\+json",
+    r"(JSONResponse|HttpException|HTTPException|res\.status|return\s+\{[^}]{0,200}(detail|message|error)|problem\+json)",
     ignore_case=True,
 )
 NUMERIC_CODE = bank(r"""["']code["']\s*[:=]\s*\d{3,}""", ignore_case=True)
-ASYNC_STRUCTURED = bank(
-    r"contentType\s*:\s*application/problem\+json", r"payload[^;\n]{0,80}(?:code|type|detail)", r"success/error union",
-    ignore_case=True,
-)
-DOC_CLAIM = bank(r"problem\+json", r"trace_id", r"error catalog", r"generated types?", ignore_case=True)
-CI_GUARD = bank(r"error[_-]?catalog", r"generated.*error", r"problem.*schema", r"codegen", ignore_case=True)
-CODEGEN_HINT = bank(
-    r"generated by", r"openapi-generator", r"datamodel-codegen", r"quicktype", r"as const", r"Literal\[",
-    r"enum\s+[A-Za-z_]+Error",
-    ignore_case=True,
-)
+ASYNC_STRUCTURED = bank(r"(contentType\s*:\s*application/problem\+json|payload[^;\n]{0,80}(code|type|detail)|success/error union)", ignore_case=True)
+DOC_CLAIM = bank(r"(problem\+json|trace_id|error catalog|generated types?)", ignore_case=True)
+CI_GUARD = bank(r"(error[_-]?catalog|generated.*error|problem.*schema|codegen)", ignore_case=True)
+CODEGEN_HINT = bank(r"(generated by|openapi-generator|datamodel-codegen|quicktype|as const|Literal\[|enum\s+[A-Za-z_]+Error)", ignore_case=True)
 CODE_SUFFIXES = CODE
 DOC_SUFFIXES = [".md", ".mdx", ".rst"]
 STRUCTURED_SUFFIXES = [".yaml", ".yml", ".json"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from repoaudit.functions import paths as P
 from repoaudit.rules.surface import SURFACES
 from repoaudit.schemas import FILES
+from repoaudit.session import stage
 
 
 def read_corpus(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFrame:
@@ -25,12 +27,21 @@ def read_corpus(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFram
     """
     level = spark.createDataFrame([("", root.rstrip("/"))], "repo_id string, place string")
     for _ in range(repo_depth):
-        level = level.mapInPandas(list_directories, "repo_id string, place string").repartition("repo_id")
-    listed = level.mapInPandas(list_files, "repo_id string, path string, place string, size_bytes long")
-    return listed.repartition("repo_id", "path").mapInPandas(read_files, FILES)
+        level = level.mapInPandas(list_repositories, "repo_id string, place string").repartition("repo_id")
+    level, files = level.withColumn("path", F.lit("")), []
+    while True:  # one round for each level of directories
+        found = stage(level.repartition("place").mapInPandas(list_entries, ENTRIES), "listing")
+        files.append(found.where("is_file").drop("is_file"))
+        level = found.where("NOT is_file").select("repo_id", "place", "path")
+        if not level.limit(1).count():
+            break
+    return reduce(DataFrame.unionAll, files).repartition("repo_id", "path").mapInPandas(read_files, FILES)
 
 
-def list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+ENTRIES = "repo_id string, path string, place string, size_bytes long, is_file boolean"
+
+
+def list_repositories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for repo, place in zip(batch["repo_id"], batch["place"]):
             fs, base = open_place(place)
@@ -39,14 +50,21 @@ def list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"repo_id": [f"{repo}/{n}".lstrip("/") for n in names], "place": [f"{place}/{n}" for n in names]})
 
 
-def list_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Names and sizes below each repository."""
+def list_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Names and sizes in each directory; a directory is one row of work."""
     for batch in batches:
-        for repo, place in zip(batch["repo_id"], batch["place"]):
+        for repo, place, path in zip(batch["repo_id"], batch["place"], batch["path"]):
             fs, base = open_place(place)
-            kept = [i for i in fs.get_file_info(pafs.FileSelector(base, recursive=True)) if i.is_file]
-            paths = [i.path[len(base) :].lstrip("/") for i in kept]
-            yield pd.DataFrame({"repo_id": repo, "path": paths, "place": [f"{place}/{p}" for p in paths], "size_bytes": [i.size for i in kept]})
+            found = [i for i in fs.get_file_info(pafs.FileSelector(base)) if i.type != pafs.FileType.NotFound]
+            yield pd.DataFrame(
+                {
+                    "repo_id": repo,
+                    "path": [f"{path}/{i.base_name}".lstrip("/") for i in found],
+                    "place": [f"{place}/{i.base_name}" for i in found],
+                    "size_bytes": [i.size or 0 for i in found],
+                    "is_file": [i.is_file for i in found],
+                }
+            )
 
 
 def read_files(batches: Iterator[pd.DataFrame], chunk: int = 64) -> Iterator[pd.DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoaudit.schemas import TOOL_RUNS
+
 
 ALIAS_SCHEMA = "package_aliases map<string, struct<provider: string, wrapper: string, surface_family: string, sdk: string>>, query_seeds map<string, array<string>>"
 CONTRACT_SCHEMA = "skill string, overall_verdicts array<string>, rollup_map map<string, string>"
@@ -30,10 +30,6 @@ def read_contracts(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("skill", F.explode("rollup_map").alias("verdict", "bucket"))
 
 
-def read_tool_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TOOL_RUNS).parquet(path)
-
-
 def read_summaries(spark: SparkSession, root: str) -> DataFrame:
     """``<root>/<repo_id>/<domain>/summary.json`` files as (repo_id, domain, json); absent files give no row."""
     rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="summary.json")
