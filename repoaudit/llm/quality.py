@@ -3,7 +3,7 @@
 Counts of a text are taken in one pass. Each measure (an integer, a rate per 10 000 words where it depends on length)
 goes to a sketch of logarithmic buckets: a value keeps its five leading bits, so a bucket is at most a sixteenth wide
 and sketches merge by adding counts. A group's fences are Tukey's (three interquartile ranges beyond the quartiles,
-never tighter than a slack that clean text needs), read off the sketch of its language and source, or of its language,
+and no nearer to them than a slack that clean text needs), read off the sketch of its language and source, or of its language,
 or of all texts where the finer group has fewer than ``LEAST`` texts. Texts join their group's fences and fail
 outside them. Texts that fail the base rules do not enter sketches.
 
@@ -28,10 +28,8 @@ WHITE = b" \t\n\x0b\x0c\r"
 LEAST = 100
 #: Interquartile ranges beyond the quartiles.
 REACH = 3
-#: Measure: the least upper fence, in the measure's unit. Texts beyond it and beyond their group's fence fail.
-SLACK = {"symbol_rate": 1000, "dup_line_rate": 3000, "repeat_rate": 2000, "mean_chars": 120}
-#: The greatest lower fence of the mean word length, in tenths of a character.
-LOW_MEAN = 25
+#: How far a fence is from its quartile at least, in the measure's unit.
+SLACK = {"symbol_rate": 1000, "dup_line_rate": 3000, "repeat_rate": 3000, "mean_chars": 20}
 COUNTED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -142,13 +140,13 @@ def fences(sketch: DataFrame) -> DataFrame:
         coarse = F.when(F.col("p_n") >= LEAST, F.col(f"p_{c}")).otherwise(F.col(f"a_{c}"))
         return F.when(F.col("n") >= LEAST, F.col(c)).otherwise(coarse)
 
-    reach = REACH * (F.col("q3") - F.col("q1"))
+    reach = lambda m: F.greatest(F.lit(SLACK[m]), REACH * (F.col("q3") - F.col("q1")))
     wide = joined.select("lang", "source", "measure", pick("low").alias("q1"), pick("high").alias("q3"))
     upper = [
-        F.max(F.when(F.col("measure") == m, F.greatest(F.lit(SLACK[m]), F.col("q3") + reach))).alias(f"most_{m}")
+        F.max(F.when(F.col("measure") == m, F.col("q3") + reach(m))).alias(f"most_{m}")
         for m in MEASURES
     ]
-    lower = F.max(F.when(F.col("measure") == "mean_chars", F.least(F.lit(LOW_MEAN), F.col("q1") - reach)))
+    lower = F.max(F.when(F.col("measure") == "mean_chars", F.col("q1") - reach("mean_chars")))
     return wide.groupBy("lang", "source").agg(*upper, lower.alias("least_mean_chars"))
 
 
