@@ -4,7 +4,7 @@ Rows ``(hi, lo, doc, slot)`` are range-partitioned and sorted by all four column
 together with the smallest ``doc`` (its owner) in front. A task streams its range in batches and holds back no more
 than the rows of a group's first documents. A frequent hash is cut into several ranges by the secondary sort; the
 groups at the two ends of a range are left open, and their short summaries (at most two groups of a few rows from
-every range) decide the open rows afterwards. No group is gathered in one task.
+every range, which the driver may hold) decide the open rows afterwards. No group is gathered in one task.
 """
 
 from __future__ import annotations
@@ -102,6 +102,31 @@ def _stream(min_docs: int, with_owner: bool):
     return run
 
 
+def _close(known, with_owner: bool):
+    """Decide the open rows by the summaries of all ranges."""
+
+    def run(batches):
+        firsts = known.value
+        for batch in batches:
+            doc, slot, owner, owner_slot, hi, lo, kind = (batch.column(i).to_numpy() for i in range(7))
+            keep = kind == DECIDED
+            late = np.flatnonzero(~keep)
+            if len(late):
+                keep, owner, owner_slot = keep.copy(), owner.copy(), owner_slot.copy()
+                turn = np.r_[True, (hi[late[1:]] != hi[late[:-1]]) | (lo[late[1:]] != lo[late[:-1]])]
+                starts = np.flatnonzero(turn)
+                for a, b in zip(starts, np.r_[starts[1:], len(late)], strict=True):
+                    first = firsts.get((int(hi[late[a]]), int(lo[late[a]])))
+                    if first:
+                        at = late[a:b]
+                        keep[at] = with_owner | (doc[at] != first[0])
+                        owner[at], owner_slot[at] = first
+            columns = [pa.array(c[keep]) for c in (hi, lo, doc, slot, owner, owner_slot)]
+            yield pa.RecordBatch.from_arrays(columns, names=["hi", "lo", "doc", "slot", "owner", "owner_slot"])
+
+    return run
+
+
 def shared(found: DataFrame, name: str, min_docs: int = 2, with_owner: bool = False) -> tuple[DataFrame, str]:
     """``hi, lo, doc, slot, owner, owner_slot`` of the rows whose hash at least ``min_docs`` documents hold, and the table's place.
 
@@ -120,11 +145,7 @@ def shared(found: DataFrame, name: str, min_docs: int = 2, with_owner: bool = Fa
         .where(F.size(F.array_distinct("docs.doc")) >= min_docs)
         .select("hi", "lo", F.array_min("docs").alias("first"))
     )
-    late = said.where(F.col("kind") == OPEN).join(F.broadcast(ends), ["hi", "lo"])
-    if not with_owner:
-        late = late.where(F.col("doc") != F.col("first.doc"))
-    names = ["hi", "lo", "doc", "slot"]
-    both = said.where(F.col("kind") == DECIDED).select(*names, "owner", "owner_slot").unionAll(
-        late.select(*names, F.col("first.doc").alias("owner"), F.col("first.slot").alias("owner_slot"))
-    )
+    firsts = {(r.hi, r.lo): (r.first.doc, r.first.slot) for r in ends.collect()}  # two for each range at most
+    known = spark.sparkContext.broadcast(firsts)
+    both = said.where(F.col("kind") != SUMMARY).mapInArrow(_close(known, with_owner), f"{ROWS}, owner long, owner_slot long")
     return both, place
