@@ -21,7 +21,7 @@ OTHER_WHITE = "".join(map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200
 CUT = re.compile(f"[ ](?![ {PLAIN_WHITE}{OTHER_WHITE}]|$)")
 AFTER_SPACE = tuple(" " + c for c in " " + PLAIN_WHITE)
 #: Words and other pieces remembered by one Python worker (about 200 bytes each).
-WORDS_KEPT, OTHERS_KEPT = 900_000, 100_000
+WORDS_KEPT, OTHERS_KEPT = 600_000, 60_000
 #: Marks that often end a chunk; each is a piece of its own behind a letter.
 END_MARKS = frozenset(".,;:!?")
 AFTER_SPACE = tuple(" " + c for c in " " + PLAIN_WHITE)

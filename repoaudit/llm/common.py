@@ -11,7 +11,7 @@ from repoaudit.session import shuffles_removed, stage, stage_path
 #: Stands for a null document id in sort keys and joins.
 NO_ID = -(2**63)
 #: Texts handed to one Python call; a single longer text goes alone.
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 8 * 1024 * 1024
 
 __all__ = ["NO_ID", "discard", "documents", "keyed", "narrow_batches", "stage", "stage_path", "texts", "written"]
 

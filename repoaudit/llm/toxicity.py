@@ -83,7 +83,7 @@ class Features:
     def weight(self, word: bytes) -> float:
         value = self.words.get(word)
         if value is None:
-            if len(self.words) > 500_000:
+            if len(self.words) > 150_000:
                 self.words.clear()
             value = self.words[word] = max((self.learned.get(t, 0.0) for t in terms(word)), default=0.0)
         return value

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Words remembered by one Python worker.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 #: Odd multipliers of the window polynomials.
 FIRST, SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
