@@ -14,6 +14,11 @@ No pairs within a group of copies: equal sets are one class. A bucket of a prefi
 its smallest member only; after components are known, only members of different components still meet, filtered by
 size and by the rank of the shared shingle. Buckets are streams over range-sorted hashes (see ``groups``).
 
+Large buckets of unrelated documents (a passage that many share): more shingles than the prefix are posted, so that
+the shingles of buckets above ``BUCKET`` members can be moved to the end of the order once their sizes are known. A
+document whose posted shingles still hold a whole prefix without them needs no pair from such a bucket. Only the few
+documents that consist mostly of such shingles meet the others there. No bucket is cut.
+
 Defined cases: texts without words have an empty set and no links; texts of one to four words have one shingle; several
 rows with one id are one document with the sets of all; a null id is one id, below all others.
 """
@@ -34,6 +39,10 @@ from repoaudit.llm.wordhash import SECOND, mix, window_hashes, word_numbers
 WORDS = 5
 #: A shingle in more than this share of all documents comes last in the orders.
 FREQUENT = 2e-4
+#: Members of a bucket with several components whose shingle is then moved to the end of the order.
+BUCKET = 24
+#: Shingles posted beyond the prefix: a tenth of the set, and no fewer than these.
+RESERVE = 60
 PROFILE = "doc long, row_key int, n long, hi long, lo long, ranges binary, count long"
 SETS = "doc long, n long, hi long, lo long, tokens binary, second binary, third binary"
 
@@ -54,6 +63,11 @@ def prefix_size(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
+def posted_size(n: int) -> int:
+    """Shingles posted of a set: the prefix, and a reserve for those that are moved to the end of the order."""
+    return min(n, prefix_size(n) + max(n // 10, RESERVE))
+
+
 def ordered(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
     """The tokens in one of the global orders: rare ones by a hash of the order, then frequent ones by count."""
     key = tokens if order == 0 else mix(tokens, 2 * order + 0x9E3779B97F4A7C15)
@@ -104,7 +118,7 @@ def _postings(shared_frequent):
                 tokens = shingles(text)
                 n = len(tokens)
                 if n:
-                    first = ordered(tokens, frequent, counts, 0)[: prefix_size(n)]
+                    first = ordered(tokens, frequent, counts, 0)[: posted_size(n)]
                     hi.append(first.view(np.int64))
                     doc.append(np.full(len(first), d, np.int64))
                     slot.append((np.arange(len(first), dtype=np.int64) << 32) | n)
@@ -232,10 +246,13 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets, buckets_at = written(met.select("hi", "node", "slot", "first", "owner_slot"), "buckets")
     discard(spark, met_at)
 
-    def fits(slot_a: str, slot_b: str):
-        """Size and rank filters of a pair that shares a shingle."""
+    def fits(slot_a: str, slot_b: str, *moved: str):
+        """Size and rank filters of a pair that shares a shingle; ranks count less the shingles moved before them."""
         n = [F.col(s).bitwiseAND(F.lit(2**32 - 1)) for s in (slot_a, slot_b)]
-        rest = [k - F.shiftright(s, 32) for k, s in zip(n, (slot_a, slot_b), strict=True)]
+        rank = [F.shiftright(s, 32) for s in (slot_a, slot_b)]
+        if moved:
+            rank = [F.greatest(r - F.col(m), F.lit(0)) for r, m in zip(rank, moved, strict=True)]
+        rest = [k - r for k, r in zip(n, rank, strict=True)]
         return (5 * F.least(*n) >= 4 * F.greatest(*n)) & (9 * F.least(*rest) >= 4 * (n[0] + n[1]))
 
     def pairs(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -247,15 +264,36 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = buckets.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(
         "hi", "node", "slot", F.coalesce("label", "node").alias("label")
     )
-    open_buckets = named.groupBy("hi").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    left, left_at = written(named.join(open_buckets.select("hi"), "hi").distinct(), "open-buckets")
+    open_buckets = named.groupBy("hi").agg(
+        F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high")
+    ).where("low < high")
+    left, left_at = written(
+        named.join(open_buckets.select("hi", (F.col("members") > BUCKET).alias("late")), "hi").distinct(), "open-buckets"
+    )
     discard(spark, buckets_at)
-    side = lambda p: left.select("hi", *(F.col(c).alias(f"{c}_{p}") for c in ("node", "slot", "label")))
-    crossed = side("a").join(side("b"), "hi").where(
-        (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & fits("slot_a", "slot_b")
+    late = left.where("late").groupBy(F.col("node").alias("of")).agg(F.count(F.lit(1)).alias("moved"))
+    n = F.col("slot").bitwiseAND(F.lit(2**32 - 1))
+    prefix = n - F.expr("(4 * (slot & 4294967295) + 4) div 5") + 1
+    posted = F.least(n, prefix + F.greatest(F.expr("(slot & 4294967295) div 10"), F.lit(RESERVE)))
+    moved = F.coalesce("moved", F.lit(0))
+    rows, rows_at = written(
+        left.join(late, F.col("node") == F.col("of"), "left").select(
+            "hi", "node", "slot", "label", "late", moved.alias("moved"), (posted - moved < prefix).alias("short")
+        ),
+        "open-rows",
     )
-    rest = stage(pairs(crossed, "node_a", "node_b").join(star, ["a", "b"], "left_anti"), "rest-pairs")
     discard(spark, left_at)
+
+    def crossed(a: DataFrame, b: DataFrame, filters) -> DataFrame:
+        side = lambda df, p: df.select("hi", *(F.col(c).alias(f"{c}_{p}") for c in ("node", "slot", "label", "moved")))
+        return side(a, "a").join(side(b, "b"), "hi").where((F.col("label_a") != F.col("label_b")) & filters)
+
+    # ranks in the new order are lower by no more than the number of shingles moved
+    small = crossed(rows.where("NOT late"), rows.where("NOT late"), (F.col("node_a") < F.col("node_b")) & fits("slot_a", "slot_b", "moved_a", "moved_b"))
+    large = crossed(rows.where("late AND short"), rows.where("late"), fits("slot_a", "slot_b"))
+    both = small.select("node_a", "node_b").unionAll(large.select("node_a", "node_b"))
+    rest = stage(pairs(both, "node_a", "node_b").join(star, ["a", "b"], "left_anti"), "rest-pairs")
+    discard(spark, rows_at)
     if rest.limit(1).count():
         second = classes.linked(rest, "rest-links")
         if second.limit(1).count():

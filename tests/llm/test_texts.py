@@ -139,7 +139,9 @@ def run_join(docs):
     return [tuple(r) for r in found.select(real_id(F.col("doc")), "n_shingles", real_id(F.col("component"))).collect()]
 
 
-def test_near_duplicates(make_docs):
+@pytest.mark.parametrize("bucket", [2, 24])
+def test_near_duplicates(make_docs, monkeypatch, bucket):
+    monkeypatch.setattr(ngram_join, "BUCKET", bucket)
     rng = random.Random(8)
     word = lambda: f"w{rng.randrange(5000)}"
     rows, n = [], 0
