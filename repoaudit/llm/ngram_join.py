@@ -25,6 +25,8 @@ rows with one id are one document with the sets of all; a null id is one id, bel
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -278,7 +280,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     moved = F.coalesce("moved", F.lit(0))
     rows, rows_at = written(
         left.join(late, F.col("node") == F.col("of"), "left").select(
-            "hi", "node", "slot", "label", "late", moved.alias("moved"), (posted - moved < prefix).alias("short")
+            "hi", "node", "slot", "label", "late", moved.alias("moved"), (posted - moved < prefix).alias("short"), (posted == n).alias("complete")
         ),
         "open-rows",
     )
@@ -290,8 +292,11 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # ranks in the new order are lower by no more than the number of shingles moved
     small = crossed(rows.where("NOT late"), rows.where("NOT late"), (F.col("node_a") < F.col("node_b")) & fits("slot_a", "slot_b", "moved_a", "moved_b"))
-    large = crossed(rows.where("late AND short"), rows.where("late"), fits("slot_a", "slot_b"))
-    both = small.select("node_a", "node_b").unionAll(large.select("node_a", "node_b"))
+    # a set that is posted whole needs partners there only among sets that are short as well
+    among = (F.col("node_a") < F.col("node_b")) & fits("slot_a", "slot_b")
+    whole_sets = crossed(rows.where("late AND short AND complete"), rows.where("late AND short AND complete"), among)
+    large = crossed(rows.where("late AND short AND NOT complete"), rows.where("late"), fits("slot_a", "slot_b"))
+    both = reduce(DataFrame.unionAll, [x.select("node_a", "node_b") for x in (small, whole_sets, large)])
     rest = stage(pairs(both, "node_a", "node_b").join(star, ["a", "b"], "left_anti"), "rest-pairs")
     discard(spark, rows_at)
     if rest.limit(1).count():
