@@ -4,8 +4,10 @@ Base patterns (e-mail, IP, card, phone) are matched in linear time. Nodes of the
 of at least seven digits and words around an at-sign, in any spelling. Its factors: features of a mention with each
 label, neighbouring mentions, and skip edges between distant mentions of a text with the same letters and digits, or
 the same last seven digits (each linked to the one before it, so edges grow with mentions). Labels that a base match
-gives are observed; loopy message passing carries them to repeated or similar mentions, and a mention whose label is
-then sure enough becomes a span of its own, unless it touches a base span.
+gives are observed; message passing carries them to repeated or similar mentions, and a mention whose label is then
+sure enough becomes a span of its own, unless it touches a base span. A sweep takes the edges of a text forward and
+backward once, so a label crosses any number of repeats; it is exact where edges form no loop. Each text is swept until
+its messages stand still.
 
 Factors are fitted piecewise, on the mentions of at most ``FIT_ROWS`` texts chosen by a hash. Mentions of all texts
 are labelled; no text is cut.
@@ -30,8 +32,10 @@ from repoaudit.llm.common import documents, narrow_batches, stage
 KINDS = ("email", "ip", "card", "phone")
 #: Texts with mentions that the field is fitted on, and mentions of each, at most.
 FIT_ROWS, FIT_MENTIONS = 3_000, 50
-#: Least marginal probability of an added span, rounds of message passing, and their damping.
-SURE, ROUNDS, DAMPING = 0.8, 10, 0.5
+#: Least marginal probability of an added span, and the change of a message that counts as none.
+SURE, STILL = 0.8, 1e-4
+#: Undamped sweeps, and the factor of the step from then on, so that messages which swing around a loop come to rest.
+FREE, CALM = 20, 0.9
 #: Characters between neighbours, and the weight of equal labels before any pair has been seen.
 NEAR, PRIOR = 200, 2.0
 
@@ -186,7 +190,7 @@ class Field:
         self.alike = np.eye(size) * np.clip(np.log(share / (1 - share)), 0.5, 6)
 
     def marginals(self, texts: list[list[dict]]) -> np.ndarray:
-        """Label probabilities of the mentions of many texts, by damped sum-product passing."""
+        """Label probabilities of the mentions of many texts, by sum-product sweeps until the messages stand still."""
         nodes = [n for t in texts for n in t]
         x = np.array([n["values"] for n in nodes], float)
         own = np.where(possible(x), x @ self.by_feature, -30.0)
@@ -194,32 +198,51 @@ class Field:
         seen = np.flatnonzero(label)
         own[seen] = -30.0
         own[seen, label[seen]] = 0.0
-        source, target, factor, offset = [], [], [], 0
-        for t in texts:
-            chain, skip = edges(t)
-            for pairs, kind in ((chain, 0), (skip, 1)):
-                for i, j in pairs:
-                    source += [offset + i, offset + j]
-                    target += [offset + j, offset + i]
-                    factor += [2 * kind, 2 * kind + 1]
-            offset += len(t)
-        source, target = np.array(source, int), np.array(target, int)
-        tables = np.stack([self.neighbours, self.neighbours.T, self.alike, self.alike.T])[np.array(factor, int)]
-        message = np.zeros((len(source), own.shape[1]))
-        back = np.arange(len(source)) ^ 1
-        for _ in range(ROUNDS if len(source) else 0):
-            belief = own.copy()
-            np.add.at(belief, target, message)
-            out = (belief[source] - message[back])[:, :, None] + tables
-            top = out.max(1)
-            new = top + np.log(np.exp(out - top[:, None, :]).sum(1))
-            new -= new.max(1, keepdims=True)
-            message = DAMPING * message + (1 - DAMPING) * new
         belief = own.copy()
-        np.add.at(belief, target, message)
+        ends, kind, owner, level = self._ordered(texts)
+        tables = np.stack([[self.neighbours, self.alike], [self.neighbours.T, self.alike.T]])
+        message = np.zeros((2, len(kind), own.shape[1]))
+        live, sweep = np.arange(len(kind)), 0
+        while len(live):
+            step = CALM ** max(0, sweep - FREE)
+            change = np.zeros(len(texts))
+            for way in (0, 1):
+                turn = live[np.argsort(level[way, live], kind="stable")]
+                cuts = np.flatnonzero(np.diff(level[way, turn])) + 1
+                for e in np.split(turn, cuts):
+                    out = (belief[ends[way, e]] - message[1 - way, e])[:, :, None] + tables[way, kind[e]]
+                    top = out.max(1)
+                    new = top + np.log(np.exp(out - top[:, None, :]).sum(1))
+                    new -= new.max(1, keepdims=True)
+                    moved = step * (new - message[way, e])
+                    message[way, e] += moved
+                    np.add.at(belief, ends[1 - way, e], moved)
+                    np.maximum.at(change, owner[e], np.abs(moved).max(1))
+            live = live[change[owner[live]] > STILL]
+            sweep += 1
         p = np.exp(belief - belief.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
+    @staticmethod
+    def _ordered(texts: list[list[dict]]) -> tuple[np.ndarray, ...]:
+        """Edges as earlier and later mention, their factor and text, and the turn of each in either direction.
+
+        An edge's turn comes after those of all edges that lead to its source, so edges of one turn are independent.
+        """
+        rows, offset = [], 0
+        for number, t in enumerate(texts):
+            chain, skip = edges(t)
+            pairs = sorted([(i, j, 0) for i, j in chain] + [(i, j, 1) for i, j in skip])
+            before, behind = [0] * len(t), [0] * len(t)
+            for i, j, _ in pairs:
+                before[j] = max(before[j], before[i] + 1)
+            for i, j, _ in reversed(pairs):
+                behind[i] = max(behind[i], behind[j] + 1)
+            rows += [(offset + i, offset + j, k, number, before[i], behind[j]) for i, j, k in pairs]
+            offset += len(t)
+        columns = np.array(rows, int).reshape(-1, 6).T
+        return columns[:2], columns[2], columns[3], columns[4:]
+
 
 def _labelled(shared):
     def run(batches):

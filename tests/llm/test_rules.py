@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +73,59 @@ def test_field_carries_labels_to_repeated_mentions(make_docs):
     assert all(len(got[i].split(",")) == 2 for i in range(1, 200))
 
 
+def neutral_field(weight, neighbours=None):
+    """A field without local evidence: equal labels along skip edges weigh ``weight``."""
+    field = pii.Field([])
+    size = len(pii.KINDS) + 1
+    field.alike, field.neighbours = np.eye(size) * weight, np.zeros((size, size)) if neighbours is None else neighbours
+    return field
+
+
+def test_labels_cross_any_number_of_repeats():
+    far = " " + "x " * pii.NEAR
+    text = "+1 415-555-2671" + "".join(f"{far}415-555-2671" for _ in range(50))
+    nodes = pii.mentions(text, pii.base_spans(text))
+    assert [n["label"] for n in nodes] == [4] + [0] * 50
+    got = neutral_field(6.0).marginals([nodes])[:, 4]
+    # three labels fit the form of the number; a hop keeps the label with this much more weight than a change to another
+    keep = (np.exp(6) - 1) / (np.exp(6) + 2)
+    assert got == pytest.approx([1 / 3 + 2 / 3 * keep**k for k in range(51)], abs=1e-6)
+    assert sum(got[1:] >= pii.SURE) >= 45
+
+
+def test_sweeps_are_exact_without_loops_and_end_with_them():
+    rng = np.random.default_rng(3)
+    size = len(pii.KINDS) + 1
+    exact = 0
+    for _ in range(60):
+        parts = [str(rng.choice(["+1 415-555-2671", "415-555-2671", "(415) 555 2671", "303-555-0000"])) for _ in range(5)]
+        text = "".join(p + " " + "x " * int(rng.choice([5, pii.NEAR])) for p in parts)
+        nodes = pii.mentions(text, pii.base_spans(text))
+        field = neutral_field(rng.uniform(0.5, 6), rng.uniform(-2, 2, (size, size)))
+        field.by_feature = rng.normal(size=field.by_feature.shape)
+        got = field.marginals([nodes])
+        assert np.isfinite(got).all() and got.sum(1) == pytest.approx(np.ones(len(nodes)))
+        chain, skip = pii.edges(nodes)
+        root = list(range(len(nodes)))
+        for i, j in chain + skip:
+            root = [root[i] if r == root[j] else r for r in root]
+        if len(chain) + len(skip) != len(nodes) - len(set(root)):
+            continue
+        exact += 1
+        x = np.array([n["values"] for n in nodes])
+        own = np.where(pii.possible(x), x @ field.by_feature, -30.0)
+        for n, node in enumerate(nodes):
+            if node["label"]:
+                own[n] = np.where(np.arange(size) == node["label"], 0.0, -30.0)
+        want = np.zeros_like(got)
+        for labels in itertools.product(range(size), repeat=len(nodes)):
+            score = sum(own[n, y] for n, y in enumerate(labels))
+            score += sum(field.neighbours[labels[i], labels[j]] for i, j in chain) + sum(field.alike[labels[i], labels[j]] for i, j in skip)
+            want[np.arange(len(nodes)), labels] += np.exp(score)
+        assert got == pytest.approx(want / want.sum(1, keepdims=True), abs=1e-6)
+    assert exact >= 5
+
+
 def test_personal_data_of_odd_rows(odd_docs, no_docs):
     got = pii.personal_data(odd_docs).collect()
     assert len(got) == odd_docs.count() and {r.spans for r in got} == {""}
