@@ -5,7 +5,8 @@ goes to a sketch of logarithmic buckets: a value keeps its five leading bits, so
 and sketches merge by adding counts. A group's fences are Tukey's (three interquartile ranges beyond the quartiles,
 and no nearer to them than a slack that clean text needs), read off the sketch of its language and source, or of its language,
 or of all texts where the finer group has fewer than ``LEAST`` texts. Texts join their group's fences and fail
-outside them. Texts that fail the base rules do not enter sketches.
+outside them. Texts that fail the base rules do not enter sketches. Repeated words have no fence: the base rule alone
+decides on them.
 
 Defined cases: a null or empty text has no words and fails the base rules; null languages and sources are groups of
 their own.
@@ -29,7 +30,7 @@ LEAST = 100
 #: Interquartile ranges beyond the quartiles.
 REACH = 3
 #: How far a fence is from its quartile at least, in the measure's unit.
-SLACK = {"symbol_rate": 1000, "dup_line_rate": 3000, "repeat_rate": 3000, "mean_chars": 20}
+SLACK = {"symbol_rate": 1000, "dup_line_rate": 3000, "mean_chars": 20}
 COUNTED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -74,7 +75,6 @@ def bucket(value: Column) -> Column:
 MEASURES = {
     "symbol_rate": "n_symbols * 10000 div n_words",
     "dup_line_rate": "n_dup_lines * 100000 div n_words",
-    "repeat_rate": "n_repeat_words * 10000 div n_words",
     "mean_chars": "word_chars * 10 div n_words",
 }
 

@@ -158,6 +158,24 @@ def test_quality_counts_and_fences(make_docs, odd_docs, no_docs):
         )
 
 
+def test_every_fence_can_reject_a_text_that_passes_the_base_rules(make_docs):
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    rows = [(i, " ".join(words(60)), "en", "s") for i in range(200)]
+    beyond = {
+        "symbol_rate": " ".join(f"#{w}" for w in words(60)),
+        "dup_line_rate": "\n".join([*words(60), *["same"] * 7]),
+        "mean_chars": " ".join(w * 9 for w in words(60)),
+    }
+    rows += [(1000 + i, text, "en", "s") for i, text in enumerate(beyond.values())]
+    got = {r.doc_id: r for r in quality.judged(make_docs(rows)).collect()}
+    assert set(quality.MEASURES) == set(quality.SLACK) == set(beyond)
+    for i, own in enumerate(beyond):
+        r = got[1000 + i]
+        assert not r.base_failed and not r.kept
+        assert [m for m in beyond if r[m] > r[f"most_{m}"]] == [own]
+
+
 def test_sketch_buckets(spark):
     values = [*range(200), 1000, 12345, 2**40 + 3]
     rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality.bucket(F.col("v")).alias("b"))
