@@ -16,6 +16,7 @@ training rows; of labels repeated for one id the largest counts.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -61,15 +62,15 @@ def terms(word: bytes) -> list[bytes]:
 
 
 def obfuscated(text: bytes, plain: set[bytes]) -> int:
-    """Words that become an insult when symbols are read as letters, and are none as they stand."""
+    """Occurrences of words that become an insult when symbols are read as letters, and are none as they stand."""
     if not any(c in text for c in b"013457@$*-_.+^~"):
         return 0
     hits = 0
-    for word in set(text.lower().split()):
+    for word, n in Counter(text.lower().split()).items():
         core = word.strip(EDGES)
         if len(core) > 2 and not core.isalpha() and core not in plain:
             read = core.translate(LEET, INNER)
-            hits += read != core and read in INSULTS
+            hits += n * (read != core and read in INSULTS)
     return hits
 
 

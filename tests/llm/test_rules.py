@@ -218,6 +218,14 @@ def test_mix_comes_near_its_targets_and_repeats(spark):
     assert ((per.taken - per.target).abs() <= 2 * per.most).all()
 
 
+def test_obfuscated_insults_count_at_each_occurrence():
+    of = toxicity.Features({}).of
+    at = toxicity.FEATURES.index("obfuscated")
+    once, often = of(b"such an tr@sh here"), of(b"such an tr@sh here " * 50)
+    assert once[at] == often[at] == 1 / 5
+    assert toxicity.obfuscated(b"tr@sh, TR@SH; trash 12345 tr@sh", {b"trash"}) == 3
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     got = toxicity.op10_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
