@@ -119,6 +119,51 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM rows r LEFT JOIN fence f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source"""
 )
 
+FEATURES = f"regexp_extract_all({FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: CRC-32 of a word: eight shifts for each byte of its UTF-8 form, by a table of 256 entries.
+RESAMPLE = f"""
+WITH crc_table AS (SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS t FROM range(0, 256) AS r(n)),
+ doc AS (SELECT doc_id, {FEATURES} AS w FROM documents),
+ item AS (SELECT {FEATURES} AS w FROM benchmark),
+ seen AS (SELECT doc_id, unnest(w) AS word FROM doc),
+ wanted AS (SELECT unnest(w) AS word FROM item),
+ spelled AS (SELECT word, hex(word) AS h FROM (SELECT word FROM seen UNION SELECT word FROM wanted)),
+ hashed AS (SELECT word, xor(list_reduce(list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM spelled, crc_table),
+ source AS (SELECT bucket, count(*) AS s FROM seen JOIN hashed USING (word) GROUP BY bucket),
+ target AS (SELECT bucket, count(*) AS t FROM wanted JOIN hashed USING (word) GROUP BY bucket),
+ totals AS (SELECT (SELECT count(*) FROM seen) AS s_all, (SELECT count(*) FROM wanted) AS t_all),
+ gain AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS g FROM source LEFT JOIN target USING (bucket), totals),
+ weighed AS (SELECT doc_id, count(*) AS n, sum(g)::HUGEINT AS total FROM seen JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+ scored AS (SELECT d.doc_id, len(d.w)::BIGINT AS n_features, (CASE WHEN n IS NULL THEN 0 WHEN ((total % n) + n) % n = 0 THEN total // n WHEN total < 0 THEN -((-total) // n) - 1 ELSE total // n END)::BIGINT AS weight,
+  ('0x' || left(sha256('2024:' || d.doc_id), 8))::BIGINT AS h FROM doc d LEFT JOIN weighed v ON d.doc_id = v.doc_id),
+ final AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM scored),
+ places AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM final WHERE n_features >= 20)
+SELECT f.doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM final f LEFT JOIN places p ON f.doc_id = p.doc_id"""
+
+FILTER_AUDIT = f"""
+WITH doc AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+ first AS (SELECT t, min(doc_id) AS low FROM doc GROUP BY t),
+ said AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+ failed AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN d.doc_id > low THEN 'E' ELSE '' END AS f
+  FROM doc d JOIN first USING (t) LEFT JOIN said s ON d.doc_id = s.doc_id),
+ mask AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, f),
+ letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+ orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+ place AS (SELECT filter_order, step::INT AS step, filter_order[step] AS own, left(filter_order, step - 1) AS earlier FROM orders, range(1, 6) AS r(step)),
+ counted AS (SELECT part, filter_order, step, own,
+  coalesce(sum(n) FILTER (WHERE translate(f, earlier || own, '') = f), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (WHERE contains(f, own) AND translate(f, earlier, '') = f), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (WHERE contains(f, own) AND translate(f, earlier, '') <> f), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (WHERE f = own), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (WHERE contains(f, own) AND translate(f, earlier, '') = f), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (WHERE contains(f, own) AND translate(f, earlier, '') = f), 0)::BIGINT AS toxic_lost
+  FROM mask, place GROUP BY part, filter_order, step, own)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM counted"""
+
 ORACLES = {
     "op2_line_dedup": LINE_DEDUP,
     "op4_ngram_join": NGRAM_JOIN,
@@ -126,4 +171,6 @@ ORACLES = {
     "op6_mixing": MIXING,
     "op7_decontamination": DECONTAMINATION,
     "op9_substring_dedup": SUBSTRINGS,
+    "op12_resample": RESAMPLE,
+    "op13_filter_audit": FILTER_AUDIT,
 }

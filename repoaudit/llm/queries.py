@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from repoaudit.llm.decontaminate import op7_decontamination
+from repoaudit.llm.filter_audit import op13_filter_audit
 from repoaudit.llm.line_dedup import op2_line_dedup
 from repoaudit.llm.mixing import op6_mixing
 from repoaudit.llm.ngram_join import op4_ngram_join
 from repoaudit.llm.oracles import ORACLES  # noqa: F401
 from repoaudit.llm.pii import op1_pii
 from repoaudit.llm.quality import op5_quality
+from repoaudit.llm.resample import op12_resample
 from repoaudit.llm.substrings import op9_substring_dedup
 from repoaudit.llm.token_counts import op3_token_counts
 from repoaudit.llm.token_output import op8_token_output
@@ -25,5 +27,7 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
+    "op12_resample": op12_resample,
+    "op13_filter_audit": op13_filter_audit,
 }
 
