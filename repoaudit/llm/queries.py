@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from repoaudit.llm.decontaminate import op7_decontamination
+from repoaudit.llm.embedding_near import op11_embedding_near
 from repoaudit.llm.filter_audit import op13_filter_audit
 from repoaudit.llm.line_dedup import op2_line_dedup
 from repoaudit.llm.mixing import op6_mixing
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_embedding_near": op11_embedding_near,
     "op12_resample": op12_resample,
     "op13_filter_audit": op13_filter_audit,
 }
