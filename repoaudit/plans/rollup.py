@@ -58,7 +58,12 @@ def parse_summaries(rows: DataFrame) -> DataFrame:
     failures = F.try_variant_get(v, "$.dependency_failures", FAILURES)
     findings = F.try_variant_get(v, "$.findings", "array<variant>")
     text = lambda f, k: F.when(F.schema_of_variant(F.try_variant_get(f, f"$.{k}", "variant")) == "STRING", at(f, f"$.{k}"))
-    categories = F.transform(findings, lambda f: F.coalesce(*[text(f, k) for k in ("category", "gate", "domain", "kind")]))
+    # an entry of a version 2 record stands for all findings of its category
+    counted = F.coalesce(at(v, "$.schema_version", "int"), F.lit(1)) >= 2
+    number = lambda f: F.when(counted, F.greatest(F.coalesce(at(f, "$.count", "long"), F.lit(1)), F.lit(1))).otherwise(1).cast("long")
+    categories = F.transform(
+        findings, lambda f: F.struct(F.coalesce(*[text(f, k) for k in ("category", "gate", "domain", "kind")]).alias("name"), number(f).alias("n"))
+    )
     objects = F.forall(findings, lambda f: F.schema_of_variant(f).startswith("OBJECT"))
     fields = parsed.select(
         "repo_id",
@@ -73,7 +78,7 @@ def parse_summaries(rows: DataFrame) -> DataFrame:
         (is_list(v, "$.findings") & F.coalesce(objects, F.lit(False))).alias("findings_list"),
         F.coalesce(failures, F.array().cast(FAILURES)).alias("failures"),
         *[at(v, f"$.severity_counts.{s}", "int").alias(s) for s in SEVERITIES],
-        F.filter(F.coalesce(categories, strings([])), lambda c: c.isNotNull()).alias("names"),
+        F.filter(F.coalesce(categories, F.array().cast("array<struct<name: string, n: bigint>>")), lambda c: c["name"].isNotNull()).alias("names"),
     )
     # the list is projected first: inlined below, it would be rebuilt for every element
     return fields.select(
@@ -82,12 +87,12 @@ def parse_summaries(rows: DataFrame) -> DataFrame:
 
 
 def top_categories(names: Column, n: int) -> Column:
-    """Most frequent names of one short list without nulls, first occurrence breaking ties."""
-    present = names
+    """Most frequent names of one short list of (name, n) without nulls, first occurrence breaking ties."""
+    times = lambda c: F.aggregate(names, F.lit(0).cast("long"), lambda k, x: k + F.when(x["name"] == c, x["n"]).otherwise(0))
     ranked = F.array_sort(
         F.transform(
-            F.array_distinct(present),
-            lambda c, i: F.struct((-F.size(F.filter(present, lambda x: x == c))).alias("k"), i.alias("i"), c.alias("c")),
+            F.array_distinct(F.transform(names, lambda x: x["name"])),
+            lambda c, i: F.struct((-times(c)).alias("k"), i.alias("i"), c.alias("c")),
         )
     )
     return F.slice(F.transform(ranked, lambda r: r["c"]), 1, n)
@@ -313,7 +318,10 @@ def clusters(records: DataFrame) -> DataFrame:
         F.bool_or(risk.isin("dependency-blocked", "high-risk")).alias("blocked"),
         F.bool_or(risk.isin("watch", "trust-gap", "coverage-gap")).alias("watch"),
         ordered.alias("m"),
-    ).withColumn("names", F.flatten(F.transform("m", lambda x: x["top_categories"])))
+    ).withColumn(
+        "names",
+        F.transform(F.flatten(F.transform("m", lambda x: x["top_categories"])), lambda c: F.struct(c.alias("name"), F.lit(1).cast("long").alias("n"))),
+    )
     status = F.when(F.col("na"), "not-applicable").when(F.col("blocked"), "blocked").when(F.col("watch"), "watch").otherwise("healthy")
     title = lookup(F.col("cluster"), R.CLUSTERS)
     names = F.array_join(F.transform("m", lambda x: x["domain"]), ", ")

@@ -81,6 +81,30 @@ def read_files(batches: Iterator[pd.DataFrame], chunk: int = 64) -> Iterator[pd.
             yield pd.DataFrame(rows, columns=["repo_id", "path", "text", "size_bytes"])
 
 
+def write_tree(rows: DataFrame, root: str) -> None:
+    """Write ``repo_id, path, text`` rows as files ``<root>/<repo_id>/<path>``, by tasks, through Arrow file systems.
+
+    A file is written whole under its final name, so a task that runs again writes the same bytes again. A null text
+    is an empty file. Names are taken as they are; two rows with one name leave one of the two.
+    """
+    out = rows.select("repo_id", "path", "text").withColumn("root", F.lit(root.rstrip("/")))
+    out.mapInPandas(write_files, "written long").write.format("noop").mode("overwrite").save()
+
+
+def write_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    made = set()
+    for batch in batches:
+        for r in batch.itertuples():
+            fs, place = open_place(f"{r.root}/{r.repo_id}/{r.path}")
+            folder = place.rpartition("/")[0]
+            if folder not in made:
+                fs.create_dir(folder, recursive=True)
+                made.add(folder)
+            with fs.open_output_stream(place) as f:
+                f.write((r.text or "").encode())
+        yield pd.DataFrame({"written": [len(batch)]})
+
+
 def open_place(place: str):
     return pafs.FileSystem.from_uri(place)
 

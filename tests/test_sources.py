@@ -32,7 +32,7 @@ def test_read_corpus(spark, tmp_path):
     assert {r.path for r in select_surface(files, "silent-failure").collect()} == {"src/a.py", "src/__init__.py", "latin.py", "big.py"}
 
 
-def test_lookup_documents_and_sink(spark, tmp_path):
+def test_lookup_documents(spark, tmp_path):
     hints = tmp_path / "hints.json"
     hints.write_text(json.dumps({"package_aliases": {"OpenAI": {"provider": "openai", "surface_family": "f"}}, "query_seeds": {"openai": ["a", "b"]}}))
     assert tuple(tables.read_aliases(spark, str(hints)).first()) == ("openai", "openai", None, "f", "OpenAI")
@@ -44,14 +44,8 @@ def test_lookup_documents_and_sink(spark, tmp_path):
         p = tmp_path / "sum" / repo / "cleanup" / "summary.json"
         p.parent.mkdir(parents=True)
         p.write_text(text)
-    got = {(r.repo_id, r.domain): r.json for r in tables.read_summaries(spark, str(tmp_path / "sum")).collect()}
+    got = {(r.repo_id, r.domain): r.json for r in tables.read_summary_tree(spark, str(tmp_path / "sum")).collect()}
     assert got == {("r1", "cleanup"): "{}", ("r2", "cleanup"): "{\nbad"}
-    found = spark.createDataFrame([("r1", "high")], "repo_id string, severity string")
-    verdicts = spark.createDataFrame([("r1", "not-ready"), ("r2", "ok")], "repo_id string, verdict string")
-    out = str(tmp_path / "out")
-    tables.write_summaries(tables.summary_documents(found, verdicts, "cleanup", "run-1"), out)
-    back = {r.repo_id: (r.overall_verdict, r.severity_counts.high, r.domain) for r in spark.read.json(out).collect()}
-    assert back == {"r1": ("not-ready", 1, "cleanup"), "r2": ("ok", 0, "cleanup")}
 
 
 def test_incremental_scan_replaces_changed_files(spark, tmp_path, make_files):
