@@ -12,6 +12,7 @@ from repoaudit.functions import paths as P
 from repoaudit.functions.regex import fold, guard, jvm, matches
 from repoaudit.functions.text import collapse_snippet, line_array
 from repoaudit.operators.manifests import manifest_deps
+from repoaudit.operators.rule_index import RULES, matched_lines
 from repoaudit.rules import api_surfaces as R
 from repoaudit.session import stage
 from repoaudit.sources.corpus import select_surface
@@ -52,8 +53,7 @@ def manifest_evidence(files: DataFrame, aliases: DataFrame) -> DataFrame:
 def line_evidence(files: DataFrame) -> DataFrame:
     """Evidence of every line rule in one pass; lines are cut only where a rule's literal occurs."""
     src = select_surface(files, "api-surfaces").withColumn("low", fold(F.col("text")))
-    low, path = F.col("low"), F.col("path")
-    sfx = P.suffix(path)
+    low = F.col("low")
     patterns = [r.pattern for r in R.LINE_RULES] + [R.ENV_PATTERN]
     gates = [guard(low, p) for p in patterns]
     wanted = reduce(or_, [g for g in gates if g is not None]) if all(g is not None for g in gates) else F.lit(True)
@@ -65,10 +65,6 @@ def line_evidence(files: DataFrame) -> DataFrame:
     kept = F.when(wanted, F.filter(lines, lambda x: matches(x["s"], any_rule))).otherwise(none)
     hit_lines = src.select("repo_id", "path", F.explode(kept).alias("x"))
     line = F.col("x.s")
-    comment = F.when(sfx.isin(".py", ".pyi"), line.rlike(r"^\s*#")).when(
-        sfx.isin(".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"), line.rlike(r"^\s*(?://|/\*|\*)")
-    )
-    weak = sfx.isin(R.DOCS) | F.coalesce(comment, F.lit(False))
     empty = F.array().cast(HITS)
 
     def hits(i: int, r: R.SurfaceRule) -> Column:
@@ -86,16 +82,43 @@ def line_evidence(files: DataFrame) -> DataFrame:
     spread = hit_lines.select("*", F.posexplode(found).alias("pos", "e"))
     # rule attributes are looked up by position after the hits are known
     rows = spread.withColumn("r", F.element_at(rule_array(), F.col("e.rule") + 1))
-    hint = lambda name: F.when(F.col("r.hint") == name, F.col("e.value"))
+    return described(rows.select("repo_id", "path", F.col("x.n").alias("line_no"), line.alias("line"), F.col("pos").alias("ord"), F.col("e.value").alias("value"), "r.*"))
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """Evidence rows of matched lines with their rule: where a line stands decides how strong it is."""
+    path, line, sfx = F.col("path"), F.col("line"), P.suffix(F.col("path"))
+    comment = F.when(sfx.isin(".py", ".pyi"), line.rlike(r"^\s*#")).when(
+        sfx.isin(".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"), line.rlike(r"^\s*(?://|/\*|\*)")
+    )
+    weak = sfx.isin(R.DOCS) | F.coalesce(comment, F.lit(False))
+    hint = lambda name: F.when(F.col("hint") == name, F.col("value"))
     return rows.select(
-        "repo_id", "path", F.col("x.n").alias("line"), F.col("pos").alias("ord"), collapse_snippet(line).alias("snippet"),
-        "r.label", "r.kind", F.when(weak, "weak").otherwise(F.col("r.strength")).alias("strength"),
+        "repo_id", "path", F.col("line_no").alias("line"), "ord", collapse_snippet(line).alias("snippet"),
+        "label", "kind", F.when(weak, "weak").otherwise(F.col("strength")).alias("strength"),
         F.when(weak, "docs").when(sfx.isin(R.CODE), "code").otherwise("config").alias("source"),
-        language(path).alias("language"), "r.provider", "r.wrapper", "r.family", "r.sdk",
+        language(path).alias("language"), "provider", "wrapper", "family", "sdk",
         F.lit(None).cast("string").alias("version_hint"), hint("model").alias("model_hint"), hint("base_url").alias("base_url_hint"),
     )
 
 
+def rule_table(spark: SparkSession) -> DataFrame:
+    """The built-in rules as rows; callers add their own with higher numbers, or read a table of their own."""
+    rows = [
+        (i, r.label, R.TABLE_PATTERNS.get(r.label, r.pattern), r.kind, r.strength, r.provider, r.wrapper, r.family, r.sdk, r.every, r.hint)
+        for i, r in enumerate([*R.LINE_RULES, *ENV_RULES])
+    ]
+    return spark.createDataFrame(rows, RULES)
+
+
+def table_evidence(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Evidence of the rules of a table; a row added to it gives evidence without a change of code."""
+    found = matched_lines(select_surface(files, "api-surfaces"), rules)
+    value = F.when(F.col("every"), F.col("value")).when(F.col("hint").isNotNull(), collapse_snippet(F.col("line")))
+    order = F.row_number().over(Window.partitionBy("repo_id", "path", "line_no").orderBy("ord", "nth"))  # matches of one line
+    return described(found.withColumn("value", value).withColumn("ord", order - 1))
+
+
 HITS = "array<struct<rule: int, value: string>>"
 ENV_RULES = [r for r in R.RULES if r.kind == "env"]
 ENV_INDEX = {r.label[4:]: str(i) for i, r in enumerate(ENV_RULES)}
@@ -109,9 +132,12 @@ def rule_array() -> Column:
     return F.expr("array(" + ", ".join(structs) + ")")
 
 
-def collect(files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """Evidence written once: candidates, quotes and hints all read the narrow rows, not the texts."""
-    rows = line_evidence(files).select(*EVIDENCE)
+def collect(files: DataFrame, aliases: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
+    """Evidence written once: candidates, quotes and hints all read the narrow rows, not the texts.
+
+    ``rules`` takes the place of the built-in rules (see ``rule_table``), ``aliases`` adds declared packages.
+    """
+    rows = (line_evidence(files) if rules is None else table_evidence(files, rules)).select(*EVIDENCE)
     if aliases is not None:
         rows = manifest_evidence(files, aliases).select(*EVIDENCE).unionByName(rows)
     return stage(rows, "api-evidence")
@@ -184,52 +210,68 @@ def classes(cands: DataFrame) -> DataFrame:
 
 
 def homes(members: DataFrame, ev: DataFrame) -> DataFrame:
-    """``repo_id, class, home``: the class that each class is part of, itself where it stands alone.
-
-    A weak class joins the first firm one of its family, or any generic wrapper, or, where its own family says
-    little, one that shares a file with it. What is left of such families joins the first telling family-level class
-    that shares a file. All of it is decided on the classes as they are found; pairs come from equi-joins by
-    repository and by file, and the first home is a minimum.
+    """``repo_id, class, home, turn``: the class that each class ends up in, itself where it stands alone.
+
+    A weak class joins the first firm one of its family, or a generic wrapper, or, where its own family says little,
+    one that shares a file with it. What it brings counts from then on: a firm class with a vague family takes the
+    joining one's, and covers its files. In each round the first weak class of every repository that has a home joins
+    it, until none has; then what is left of vague families joins the first telling family-level class that shares a
+    file. A repository has no more rounds than weak classes, which the rule table bounds. Every round is a join by
+    repository over classes, and its outcome a table in the shared folder; files meet once, before the first round.
     """
-    whole = members.select("repo_id", "class", "level", "family").distinct()
+    keys = ["repo_id", "class"]
+    whole = members.select(*keys, "level", "family").distinct()
     files = keyed(ev).join(members.select(*KEY, "class"), KEY).select("repo_id", "path", "class").distinct()
-    meets = files.join(files.withColumnRenamed("class", "other"), ["repo_id", "path"]).select("repo_id", "class", "other")
-    meets = meets.where(F.col("class") != F.col("other")).distinct().withColumn("meets", F.lit(True))
-    other = whole.select("repo_id", *(F.col(c).alias(f"to_{c}") for c in ("class", "level", "family")))
-    pairs = (
-        whole.where(F.col("level").isin(*WEAK))
-        .join(other, "repo_id")
-        .where(F.col("class") != F.col("to_class"))
-        .join(meets.withColumnRenamed("other", "to_class"), ["repo_id", "class", "to_class"], "left")
-        .fillna(False)
-    )
+    met = files.join(files.withColumnRenamed("class", "other"), ["repo_id", "path"]).select(*keys, "other")
+    met = stage(met.where(F.col("class") != F.col("other")).distinct(), "classes-that-meet")
+    state = stage(whole.withColumn("home", F.col("class")).withColumn("turn", F.lit(0)), "class-homes")
     loose = F.col("family").isin(*LOOSE)
+
+    def pairs(state: DataFrame, own: Column, to: Column) -> DataFrame:
+        """Two classes of a repository that still stand alone, and whether files of the one are files of the other by now."""
+        alone = state.where("home = class")
+        other = alone.select("repo_id", *(F.col(c).alias(f"to_{c}") for c in ("class", "level", "family")))
+        covered = met.join(state.select("repo_id", F.col("class").alias("other"), F.col("home").alias("to_class")), ["repo_id", "other"])
+        meets = covered.select(*keys, "to_class").distinct().withColumn("meets", F.lit(True))
+        both = alone.where(own).join(other.where(to), "repo_id").where("class <> to_class")
+        return both.join(meets, [*keys, "to_class"], "left").fillna(False)
+
+    def moved(state: DataFrame, steps: DataFrame, turn: Column) -> DataFrame:
+        joined = state.join(steps.withColumnRenamed("class", "from"), "repo_id", "left")
+        this = F.col("class").eqNullSafe(F.col("from"))
+        takes = F.col("class").eqNullSafe(F.col("to_class")) & F.col("family").isin(*R.VAGUE) & ~F.col("brings").isin(*R.VAGUE)
+        return joined.select(
+            *keys, "level",
+            F.when(takes, F.col("brings")).otherwise(F.col("family")).alias("family"),
+            F.when(this, F.col("to_class")).otherwise(F.col("home")).alias("home"),
+            F.when(this, turn).otherwise(F.col("turn")).alias("turn"),
+        )
+
+    first = F.min(F.struct("class", "to_class", F.col("family").alias("brings"))).alias("m")
     near = (F.col("to_family") == F.col("family")) | (F.col("to_family") == "generic-wrapper") | (loose & F.col("meets"))
-    firm = pairs.where(F.col("to_level").isin(*FIRM) & near).groupBy("repo_id", "class").agg(F.min("to_class").alias("home"))
-    peer = (F.col("level") == "family-resolved") & loose & F.col("meets")
-    peer = peer & (F.col("to_level") == "family-resolved") & ~F.col("to_family").isin(*LOOSE)
-    moved = firm.select("repo_id", F.col("class").alias("to_class"))
-    second = (
-        pairs.where(peer)
-        .join(firm, ["repo_id", "class"], "left_anti")
-        .join(moved, ["repo_id", "to_class"], "left_anti")
-        .groupBy("repo_id", "class")
-        .agg(F.min("to_class").alias("home"))
+    turn = 0
+    while True:
+        turn += 1
+        found = pairs(state, F.col("level").isin(*WEAK), F.col("to_level").isin(*FIRM)).where(near)
+        steps = stage(found.groupBy("repo_id").agg(first).select("repo_id", "m.*"), "class-steps")
+        if not steps.limit(1).count():
+            break
+        state = stage(moved(state, steps, F.lit(turn)), "class-homes")
+    peers = pairs(state, (F.col("level") == "family-resolved") & loose, (F.col("to_level") == "family-resolved") & ~F.col("to_family").isin(*LOOSE))
+    last = peers.where("meets").groupBy(*keys).agg(F.min("to_class").alias("to"))
+    return state.join(last, keys, "left").select(
+        *keys, F.coalesce("to", "home").alias("home"), F.when(F.col("to").isNotNull(), turn).otherwise(F.col("turn")).alias("turn")
     )
-    found = firm.unionByName(second)
-    return whole.select("repo_id", "class").join(found, ["repo_id", "class"], "left").withColumn("home", F.coalesce("home", "class"))
 
 
 def surfaces(cands: DataFrame, ev: DataFrame) -> DataFrame:
     """Candidate key to final surface, with the surface's attributes.
 
-    The home's own values count first, then those of its members in order of class; a value that says nothing gives
-    way to the next.
+    The home's own values count first, then those of the classes that joined it in the order in which they did; a
+    value that says nothing gives way to the next.
     """
-    members = classes(cands)
-    placed = members.join(homes(members, ev), ["repo_id", "class"]).withColumn(
-        "turn", F.struct((F.col("class") != F.col("home")).alias("joined"), F.col("class").alias("class"), F.col("first").alias("first"))
-    )
+    members = stage(classes(cands), "surface-classes")
+    placed = members.join(homes(members, ev), ["repo_id", "class"]).withColumn("turn", F.struct("turn", "class", "first"))
 
     def telling(value: str, says_nothing: Column) -> Column:
         """The first value that says something, else the home's."""
@@ -306,10 +348,31 @@ def merge_doc_evidence(existing: DataFrame, added: DataFrame) -> DataFrame:
     return first.select(*keys, *[F.col(f"w.{c}").alias(c) for c in rest])
 
 
-def verified_verdicts(rows: DataFrame, doc_evidence: DataFrame) -> DataFrame:
-    """Triage becomes verified where at least one document was verified."""
-    ok = doc_evidence.groupBy("repo_id").agg(F.bool_or(F.col("status") == "verified").alias("ok"))
-    j = rows.join(ok, "repo_id", "left")
-    return j.withColumn(
-        "verdict", F.when((F.col("verdict") == "triage") & F.coalesce("ok", F.lit(False)), "verified").otherwise(F.col("verdict"))
-    ).drop("ok")
+DOC_KEY = ["repo_id", "surface_id", "library_id", "source_ref"]
+
+
+def evidence_as_of(doc_evidence: DataFrame, as_of, valid_days: int | None = None) -> DataFrame:
+    """The last word of each source on a surface and library at a date, where it still holds.
+
+    ``doc_evidence`` has ``checked_at`` (date) and ``status`` beside the keys; of two checks on one day the one that
+    failed counts. Checks after the date, or ``valid_days`` and more before it, say nothing; a later failure takes an
+    earlier success back. One aggregation, combined before the shuffle.
+    """
+    at = F.lit(as_of).cast("date")
+    known = doc_evidence.where(F.col("checked_at") <= at)
+    last = known.groupBy(*DOC_KEY).agg(F.max(F.struct("checked_at", (F.col("status") != "verified").alias("failed"), "status")).alias("w"))
+    rows = last.select(*DOC_KEY, "w.status", "w.checked_at")
+    return rows if valid_days is None else rows.where(F.date_diff(at, F.col("checked_at")) < valid_days)
+
+
+def unknown_surfaces(doc_evidence: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """Evidence rows that name a surface which the repository does not have."""
+    return doc_evidence.join(surfaces.select("repo_id", "surface_id").distinct(), ["repo_id", "surface_id"], "left_anti")
+
+
+def verified_verdicts(rows: DataFrame, doc_evidence: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """Triage becomes verified where a document was verified for a surface that the repository has."""
+    own = doc_evidence.where("status = 'verified'").join(surfaces.select("repo_id", "surface_id").distinct(), ["repo_id", "surface_id"], "left_semi")
+    ok = own.select("repo_id").distinct().withColumn("ok", F.lit(True))
+    verified = (F.col("verdict") == "triage") & F.coalesce("ok", F.lit(False))
+    return rows.join(ok, "repo_id", "left").withColumn("verdict", F.when(verified, "verified").otherwise(F.col("verdict"))).drop("ok")

@@ -16,11 +16,12 @@ from repoaudit.queries.base import AS_OF, CLEAN_CTE, FOUND_COLS, shown
 from repoaudit.queries.derived import corpus, sql_text
 from repoaudit.queries.health import WITH as RUNS_WITH
 from repoaudit.queries.health import runs_of
-from repoaudit.queries.registry import query
+from repoaudit.queries.registry import ORACLES, query
 from repoaudit.queries.sqlgen import rx, surface_where, with_files
 from repoaudit.rules import api_surfaces as R
 from repoaudit.rules import catalog as C
-from repoaudit.session import checkpoint_root
+from repoaudit.session import checkpoint_root, stage, stage_path
+from repoaudit.sources.tables import read_aliases, read_rules
 from repoaudit.streaming import run_state as X
 from repoaudit.streaming import scan
 
@@ -73,6 +74,28 @@ def api_line_evidence(spark, sf):
     return e.withColumns(blank).drop("ord", "version_hint")
 
 
+#: A rule and an alias that the library does not have, as a user would add them.
+USER_RULE = (1000, "event-bus-publish", r"(?i:\bpublish\s*\()", "wrapper-sdk", "medium", None, "event-bus", "generic-wrapper", "event-bus", False, None)
+_USER = R.SurfaceRule(*(USER_RULE[1], USER_RULE[2], USER_RULE[3], USER_RULE[4], USER_RULE[7], USER_RULE[8], USER_RULE[5], USER_RULE[6]))
+RULED_CTES = [EV_CTES[0], EV_CTES[1], EV_CTES[2][:-1] + " UNION ALL " + _rule(len(R.RULES), _USER) + ")", *EV_CTES[3:6]]
+
+
+def user_rules(spark):
+    """The built-in rules and one more, written as JSON lines and read as a user's table."""
+    path = stage_path(spark, "rules")
+    built_in = A.rule_table(spark)
+    built_in.unionByName(spark.createDataFrame([USER_RULE], built_in.schema)).write.json(path)
+    return read_rules(spark, path)
+
+
+@query("api_rule_evidence", with_files(*RULED_CTES, select="SELECT repo_id, path, CAST(line AS INTEGER) AS line, snippet, label, kind, strength, source, language, provider, wrapper, family, sdk, model_hint, base_url_hint FROM ev"))
+def api_rule_evidence(spark, sf):
+    """Evidence by a rule table on storage that holds a rule of the user's own."""
+    e = A.table_evidence(corpus(spark, sf), user_rules(spark))
+    blank = {c: F.coalesce(c, F.lit("")) for c in ("provider", "wrapper", "model_hint", "base_url_hint")}
+    return e.withColumns(blank).drop("ord", "version_hint")
+
+
 @query("api_candidates", with_files(*EV_CTES, select="SELECT repo_id, provider, wrapper, family, n, level, CASE WHEN score >= 3 THEN 'high' WHEN score >= 2 THEN 'medium' ELSE 'low' END AS confidence, language, primary_sdk FROM cd"))
 def api_candidates(spark, sf):
     return A.candidates(evidence_of(spark, sf)).drop("first")
@@ -93,11 +116,18 @@ SURFACE_CTES = [
     "mb AS (SELECT co.*, k FROM co JOIN cl USING (repo_id, own, wrapper, family, level))",
     "pg AS (SELECT DISTINCT ck.repo_id, ck.path, k FROM ck JOIN mb USING (repo_id, provider, wrapper, family))",
     "mt AS (SELECT DISTINCT x.repo_id, x.k, y.k AS k2 FROM pg x JOIN pg y ON x.repo_id = y.repo_id AND x.path = y.path AND x.k <> y.k)",
-    "pr AS (SELECT v.repo_id, v.k, v.level, v.family, t.k AS k2, t.level AS level2, t.family AS family2, mt.k IS NOT NULL AS meets FROM cl v JOIN cl t ON v.repo_id = t.repo_id AND v.k <> t.k LEFT JOIN mt ON mt.repo_id = v.repo_id AND mt.k = v.k AND mt.k2 = t.k)",
-    f"h1 AS (SELECT repo_id, k, min(k2) AS home FROM pr WHERE level IN {S.sql_in(A.WEAK)} AND level2 IN {S.sql_in(A.FIRM)} AND (family2 = family OR family2 = 'generic-wrapper' OR (family IN {_LOOSE} AND meets)) GROUP BY 1, 2)",
-    f"h2 AS (SELECT repo_id, k, min(k2) AS home FROM pr WHERE level = 'family-resolved' AND family IN {_LOOSE} AND meets AND level2 = 'family-resolved' AND family2 NOT IN {_LOOSE}"
-    " AND NOT EXISTS (SELECT 1 FROM h1 WHERE h1.repo_id = pr.repo_id AND h1.k IN (pr.k, pr.k2)) GROUP BY 1, 2)",
-    "pl AS (SELECT mb.*, coalesce(h1.home, h2.home, mb.k) AS home, (coalesce(h1.home, h2.home, mb.k) <> mb.k)::INT AS joined FROM mb LEFT JOIN h1 ON h1.repo_id = mb.repo_id AND h1.k = mb.k LEFT JOIN h2 ON h2.repo_id = mb.repo_id AND h2.k = mb.k)",
+    # one row per class and round; a repository drops out after the round in which nothing joins
+    f"""st AS (SELECT 0 AS it, repo_id, k, level, family, k AS home, 0 AS turn FROM cl UNION ALL
+  SELECT s.it + 1, s.repo_id, s.k, s.level, CASE WHEN s.k = b.k2 AND s.family IN {S.sql_in(R.VAGUE)} AND b.family NOT IN {S.sql_in(R.VAGUE)} THEN b.family ELSE s.family END,
+   CASE WHEN s.k = b.k THEN b.k2 ELSE s.home END, CASE WHEN s.k = b.k THEN s.it + 1 ELSE s.turn END
+  FROM st s JOIN (SELECT v.repo_id, min({{'k': v.k, 'k2': t.k, 'family': v.family}}) AS b FROM st v JOIN st t ON v.repo_id = t.repo_id AND v.k <> t.k
+    LEFT JOIN (SELECT DISTINCT mt.repo_id, mt.k, m.home FROM mt JOIN st m ON m.repo_id = mt.repo_id AND m.k = mt.k2) q ON q.repo_id = v.repo_id AND q.k = v.k AND q.home = t.k
+    WHERE v.home = v.k AND t.home = t.k AND v.level IN {S.sql_in(A.WEAK)} AND t.level IN {S.sql_in(A.FIRM)} AND (t.family = v.family OR t.family = 'generic-wrapper' OR (v.family IN {_LOOSE} AND q.k IS NOT NULL))
+    GROUP BY v.repo_id) p ON s.repo_id = p.repo_id)""",
+    "fi AS (SELECT * FROM (SELECT *, max(it) OVER (PARTITION BY repo_id) AS last FROM st) WHERE it = last)",
+    f"""h2 AS (SELECT v.repo_id, v.k, min(t.k) AS home FROM fi v JOIN mt ON mt.repo_id = v.repo_id AND mt.k = v.k JOIN fi m ON m.repo_id = mt.repo_id AND m.k = mt.k2 JOIN fi t ON t.repo_id = m.repo_id AND t.k = m.home
+  WHERE v.home = v.k AND v.level = 'family-resolved' AND v.family IN {_LOOSE} AND t.k <> v.k AND t.home = t.k AND t.level = 'family-resolved' AND t.family NOT IN {_LOOSE} GROUP BY 1, 2)""",
+    "pl AS (SELECT mb.*, coalesce(h2.home, fi.home) AS home, CASE WHEN h2.home IS NOT NULL THEN 1000000 ELSE fi.turn END AS joined FROM mb JOIN fi ON fi.repo_id = mb.repo_id AND fi.k = mb.k LEFT JOIN h2 ON h2.repo_id = mb.repo_id AND h2.k = mb.k)",
     "sr AS (SELECT repo_id, home, "
     + ", ".join(
         [
@@ -116,9 +146,13 @@ SURFACE_CTES = [
 ]
 
 
+def recursive(*ctes: str, select: str) -> str:
+    return with_files(*ctes, select=select).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @query(
     "api_surfaces",
-    with_files(*EV_CTES, *SURFACE_CTES, select="SELECT repo_id, surface, surface_family, surface_provider, surface_wrapper, level, confidence, language, primary_sdk, format('surface-{:03d}', surface) AS surface_id FROM sn"),
+    recursive(*EV_CTES, *SURFACE_CTES, select="SELECT repo_id, surface, surface_family, surface_provider, surface_wrapper, level, confidence, language, primary_sdk, format('surface-{:03d}', surface) AS surface_id FROM sn"),
 )
 def api_surfaces(spark, sf):
     """Surfaces with their homes resolved."""
@@ -128,7 +162,7 @@ def api_surfaces(spark, sf):
 
 @query(
     "api_surface_findings",
-    with_files(
+    recursive(
         *EV_CTES, *SURFACE_CTES,
         select="""SELECT repo_id, format('surface-{:03d}', surface) AS surface_id, CASE WHEN level = 'ambiguous' THEN 'provider-ambiguous' ELSE 'gateway-resolution-gap' END AS kind, '.' AS path, 0 AS line, '' AS label, 'low' AS severity
  FROM sn WHERE level = 'ambiguous' OR (level = 'wrapper-resolved' AND surface_provider = '')
@@ -142,7 +176,7 @@ def api_surface_findings(spark, sf):
 
 @query(
     "api_surface_hints",
-    with_files(
+    recursive(
         *EV_CTES, *SURFACE_CTES,
         select="SELECT DISTINCT repo_id, surface, hint, value FROM (SELECT repo_id, surface, 'model' AS hint, model_hint AS value FROM se UNION ALL SELECT repo_id, surface, 'base_url', base_url_hint FROM se) WHERE value <> ''",
     ),
@@ -198,6 +232,64 @@ def manifest_evidence(spark, sf):
     return e.select("repo_id", "path", "line", "label", "strength", "family", "version_hint")
 
 
+@query("manifest_alias_evidence", ORACLES["manifest_evidence"])
+def manifest_alias_evidence(spark, sf):
+    """Declared packages by an alias table read from a hints document on storage."""
+    path = stage_path(spark, "hints")
+    alias = F.struct("provider", "wrapper", F.col("family").alias("surface_family"), "sdk")
+    whole = A.alias_table(spark).agg(F.map_from_entries(F.collect_list(F.struct(F.upper("name"), alias))).alias("package_aliases"))
+    whole.write.json(path)
+    e = A.manifest_evidence(dep_files(spark, sf), read_aliases(spark, path))
+    return e.select("repo_id", "path", "line", "label", "strength", "family", "version_hint")
+
+
+DATED = """de AS (SELECT source AS repo_id, format('surface-{:03d}', doc_id % 6 + 1) AS surface_id, 'lib' || (doc_id % 2) AS library_id, 'ref' || (doc_id // 2 % 2) AS source_ref,
+  CASE WHEN doc_id % 3 = 0 THEN 'verified' ELSE 'failed' END AS status, DATE '2024-01-01' + CAST(doc_id * 37 % 500 AS INTEGER) AS checked_at FROM documents),
+ da AS (SELECT repo_id, surface_id, library_id, source_ref, status, checked_at FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, surface_id, library_id, source_ref ORDER BY checked_at DESC, status) AS rn
+   FROM de WHERE checked_at <= DATE '2025-01-01') WHERE rn = 1 AND DATE '2025-01-01' - checked_at < 90)"""
+
+
+def dated_evidence(spark, sf):
+    """Checks of documents at days before and after the date of the audit, some of surfaces that do not exist."""
+    n = F.col("doc_id")
+    rows = D.documents(spark, sf).select(
+        F.col("source").alias("repo_id"), F.format_string("surface-%03d", n % 6 + 1).alias("surface_id"), F.concat(F.lit("lib"), (n % 2).cast("string")).alias("library_id"),
+        F.concat(F.lit("ref"), F.floor(n / 2 % 2).cast("string")).alias("source_ref"), F.when(n % 3 == 0, "verified").otherwise("failed").alias("status"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (n * 37 % 500).cast("int")).alias("checked_at"),
+    )
+    return A.evidence_as_of(rows, "2025-01-01", 90)
+
+
+@query("doc_evidence_as_of", f"WITH {DATED} SELECT repo_id, surface_id, library_id, source_ref, status, checked_at::VARCHAR AS checked_at FROM da")
+def doc_evidence_as_of(spark, sf):
+    return dated_evidence(spark, sf).withColumn("checked_at", F.col("checked_at").cast("string"))
+
+
+@query("doc_evidence_unknown_surfaces", recursive(*EV_CTES, *SURFACE_CTES, DATED, select="SELECT * EXCLUDE (checked_at) FROM da WHERE NOT EXISTS (SELECT 1 FROM sn WHERE sn.repo_id = da.repo_id AND format('surface-{:03d}', sn.surface) = da.surface_id)"))
+def doc_evidence_unknown_surfaces(spark, sf):
+    ev = evidence_of(spark, sf)
+    own = A.surface_rows(A.surfaces(A.candidates(ev), ev))
+    return A.unknown_surfaces(dated_evidence(spark, sf), own).drop("checked_at")
+
+
+@query(
+    "api_verified_verdict",
+    recursive(
+        *EV_CTES, *SURFACE_CTES, DATED,
+        select="""SELECT r.repo_id, CASE WHEN NOT EXISTS (SELECT 1 FROM sn WHERE sn.repo_id = r.repo_id) THEN 'not-applicable'
+ WHEN EXISTS (SELECT 1 FROM da JOIN sn ON sn.repo_id = da.repo_id AND format('surface-{:03d}', sn.surface) = da.surface_id WHERE da.repo_id = r.repo_id AND status = 'verified') THEN 'verified' ELSE 'triage' END AS verdict
+ FROM (SELECT DISTINCT repo_id FROM files) r""",
+    ),
+)
+def api_verified_verdict(spark, sf):
+    """Surfaces of the files, document checks as they stood at a date, and the verdict that both give."""
+    files = corpus(spark, sf)
+    ev = A.collect(files)
+    resolved = stage(A.surfaces(A.candidates(ev), ev), "surfaces")
+    rows = A.verdicts(files, resolved).select("repo_id", "verdict")
+    return A.verified_verdicts(rows, dated_evidence(spark, sf), A.surface_rows(resolved))
+
+
 # ---- document evidence ------------------------------------------------------------------------------------------
 
 

@@ -95,6 +95,8 @@ RULES = [
 ]
 ENV_PATTERN = r"OPENAI_API_KEY|ANTHROPIC_API_KEY|GEMINI_API_KEY|GOOGLE_API_KEY|AZURE_OPENAI_(?:ENDPOINT|API_KEY)|OPENROUTER_API_KEY"
 ENV_PROVIDER = {r.label[4:]: r.provider for r in RULES if r.kind == "env"}
+# as rows of a table, rules are tried one by one: a name inside a longer name is not a match of its own
+TABLE_PATTERNS = {"env-OPENAI_API_KEY": "(?<!AZURE_)OPENAI_API_KEY"}
 LINE_RULES = [r for r in RULES if r.kind != "env"]
 
 SUFFIXES = [

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repoaudit.operators.rule_index import RULES
 from repoaudit.plans.rollup import bucket_of
 from repoaudit.rules import catalog
 from repoaudit.schemas import SEVERITIES
@@ -26,6 +27,12 @@ def read_query_seeds(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("query_seeds").alias("key", "seeds"))
 
 
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Line rules from JSON lines with the columns of ``rule_index.RULES``; absent flags are false."""
+    rows = spark.read.schema(RULES).json(path)
+    return rows.withColumn("every", F.coalesce("every", F.lit(False)))
+
+
 def read_contracts(spark: SparkSession, path: str) -> DataFrame:
     """Verdict contracts as rows: skill, verdict, bucket."""
     raw = spark.read.schema(CONTRACT_SCHEMA).json(path, multiLine=True)
