@@ -19,15 +19,6 @@ def window_starts(lines: Column, step: int) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
 
-def first_in(hits: Column, start: Column, size: int) -> Column:
-    """Smallest hit line inside the window (start, start+size], or null."""
-    return F.array_min(F.filter(hits, lambda h: (h > start) & (h <= start + size)))
-
-
-def chunk(lines: Column, start: Column, size: int) -> Column:
-    return F.array_join(F.slice(lines, start + 1, F.lit(size)), "\n")
-
-
 def shingles(files: DataFrame, language: Column, n: int = SHINGLE_LINES, min_chars: int = SHINGLE_MIN_CHARS) -> DataFrame:
     """One row per window of ``n`` normalised code lines: start and digest.
 

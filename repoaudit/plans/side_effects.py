@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoaudit.functions.regex import fold, has_any, strip
-from repoaudit.functions.text import first_match_line, hit_lines, line_array, line_at
+from repoaudit.functions.regex import bank, fold, has_any, jvm, strip
+from repoaudit.functions.text import first_match_line, line_array, line_at
 from repoaudit.operators.findings import expand, finding, per_repo, severity_counts, union_findings
-from repoaudit.operators.windows import chunk, first_in, window_starts
+from repoaudit.operators.windows import window_starts
 from repoaudit.rules import side_effects as R
 from repoaudit.schemas import FINDING
 from repoaudit.session import stage
@@ -19,33 +22,94 @@ def make(category: str, severity: str, confidence: str, line: Column, evidence:
     return finding(category, severity, confidence, R.TITLES[category], line, evidence, merge_gate=gate)
 
 
-def window_findings(lines: Column, commits: Column, effects: Column) -> Column:
-    """Ordering findings of every 40-line window (step 10) of one file, as one array."""
-    none = F.lit(None).cast(FINDING)
+#: A call whose parenthesis stands on a later line: what its line ends with, for each bank that has calls.
+CALL = r"\s*\("
+TAILS = {k: bank(*(p.removesuffix(CALL) + r"\s*\z" for p in b.patterns if p.endswith(CALL)), ignore_case=True) for k, b in (("retry", R.RETRY), ("effect", R.EFFECT))}
+
+
+def block_signals(lines: Column) -> Column:
+    """What every ten lines of a file hold: the first hit of each bank, and where calls end that begin in them.
+
+    Each line is matched once. A bank that the whole text does not hold is not looked for again.
+    """
+    size = F.lit(R.WINDOW_STEP)
+
+    def opens_after(n: Column) -> Column:
+        """The line after line ``n`` on which a call goes on, if a window can still hold both."""
+        later = F.transform(
+            F.slice(lines, n + 1, F.lit(R.WINDOW_LINES - 1)),
+            lambda x, j: F.when(x.rlike(jvm(r"\S")), F.struct((n + j + 1).alias("at"), x.rlike(jvm(r"^\s*\(")).alias("opens"))),
+        )
+        next_line = F.array_min(later)
+        return F.when(next_line["opens"], next_line["at"])
 
     def one(start: Column) -> Column:
-        commit = first_in(commits, start, R.WINDOW_LINES)
-        effect = first_in(effects, start, R.WINDOW_LINES)
-        text = chunk(lines, start, R.WINDOW_LINES)
+        part = F.slice(lines, start + 1, size)
+        first = lambda rules: F.array_min(F.transform(part, lambda x, i: F.when(has_any(x, rules), start + i + 1)))
+        held = lambda rules: F.exists(part, lambda x: has_any(x, rules))
+        ends = lambda k: F.array_min(F.transform(part, lambda x, i: F.when(has_any(x, TAILS[k]), opens_after(start + i + 1))))
+        if_any = lambda flag, value: F.when(F.col(flag), value)
+        return F.struct(
+            if_any("commit", first(R.COMMIT)).alias("commit"),
+            first(R.EFFECT).alias("effect"),
+            if_any("retry", first(R.RETRY)).alias("retry"),
+            F.coalesce(if_any("flag_outbox", held(R.OUTBOX)), F.lit(False)).alias("outbox"),
+            F.coalesce(if_any("flag_idempotency", held(R.IDEMPOTENCY)), F.lit(False)).alias("idempotency"),
+            *[if_any("split_calls", ends(k)).alias(f"{k}_ends") for k in TAILS],
+        )
+
+    return F.transform(window_starts(lines, R.WINDOW_STEP), one)
+
+
+def window_signals(blocks: Column) -> Column:
+    """First hits and rule outcomes of every 40-line window (step 10), from the blocks that it is made of."""
+
+    def one(block: Column, i: Column) -> Column:
+        inside = [F.get(blocks, i + k) for k in range(R.WINDOW_LINES // R.WINDOW_STEP)]
+        start = i * R.WINDOW_STEP
+        commit, effect, retry = (F.least(*(b[k] for b in inside)) for k in ("commit", "effect", "retry"))
+        held = lambda k: F.greatest(*(F.coalesce(b[k], F.lit(False)) for b in inside))
+        split = lambda k: F.coalesce(F.least(*(b[f"{k}_ends"] for b in inside)) <= start + R.WINDOW_LINES, F.lit(False))
         both = commit.isNotNull() & effect.isNotNull()
-        commit_text, effect_text = strip(line_at(lines, commit)), strip(line_at(lines, effect))
+        dual = both & (effect >= commit)
+        retried = (retry.isNotNull() | split("retry")) & (effect.isNotNull() | split("effect")) & ~held("idempotency")
+        return F.struct(
+            commit.alias("commit"), effect.alias("effect"), F.coalesce(retry, start + 1).alias("retry"),
+            (both & (effect < commit)).alias("early"), dual.alias("dual"), (dual & ~held("outbox")).alias("no_outbox"), retried.alias("retried"),
+        )
+
+    return F.transform(blocks, one)
+
+
+def window_findings(lines: Column, windows: Column) -> Column:
+    """Ordering findings of one file, as one array in order of windows.
+
+    A line is in four windows at most, so a finding is new where none of the three windows before gave it.
+    """
+    none = F.lit(None).cast(FINDING)
+
+    def one(w: Column, i: Column) -> Column:
+        text = lambda key: strip(line_at(lines, w[key]))
+
+        def fresh(flag: str, key: str) -> Column:
+            earlier = [F.get(windows, i - k) for k in range(1, R.WINDOW_LINES // R.WINDOW_STEP)]
+            return w[flag] & ~reduce(or_, (F.coalesce(x[flag] & (x[key] == w[key]), F.lit(False)) for x in earlier))
+
         ordering = (
             F.when(
-                both & (effect < commit),
-                make(
-                    "pre-commit-side-effect", "critical", "high", effect, F.array(effect_text, commit_text), "block-now"
-                ),
+                fresh("early", "effect"),
+                make("pre-commit-side-effect", "critical", "high", w["effect"], F.array(text("effect"), text("commit")), "block-now"),
             )
             .when(
-                both,
-                make("dual-write-hazard", "high", "high", commit, F.array(commit_text, effect_text), "block-now"),
+                fresh("dual", "commit"),
+                make("dual-write-hazard", "high", "high", w["commit"], F.array(text("commit"), text("effect")), "block-now"),
             )
             .otherwise(none)
         )
         outbox = F.when(
-            both & (effect >= commit) & ~has_any(text, R.OUTBOX),
+            fresh("no_outbox", "commit"),
             make(
-                "outbox-gap", "high", "medium", commit,
+                "outbox-gap", "high", "medium", w["commit"],
                 F.array(
                     F.lit("commit + side effect detected"),
                     F.lit("no local outbox / relay keyword detected in the surrounding flow"),
@@ -53,17 +117,12 @@ def window_findings(lines: Column, commits: Column, effects: Column) -> Column:
                 "block-changed-files",
             ),
         ).otherwise(none)
-        retry_at = F.coalesce(first_match_line(F.slice(lines, start + 1, F.lit(R.WINDOW_LINES)), R.RETRY), F.lit(1))
         retry = F.when(
-            has_any(text, R.RETRY) & has_any(text, R.EFFECT) & ~has_any(text, R.IDEMPOTENCY),
-            make(
-                "unsafe-retry", "high", "medium", start + retry_at, F.array(strip(line_at(lines, start + retry_at))),
-                "block-changed-files",
-            ),
+            fresh("retried", "retry"), make("unsafe-retry", "high", "medium", w["retry"], F.array(text("retry")), "block-changed-files")
         ).otherwise(none)
-        return F.array(ordering, outbox, retry)
+        return F.filter(F.array(ordering, outbox, retry), lambda f: f.isNotNull())
 
-    return F.flatten(F.transform(window_starts(lines, R.WINDOW_STEP), one))
+    return F.flatten(F.transform(windows, one))
 
 
 def file_signals(files: DataFrame) -> DataFrame:
@@ -81,17 +140,14 @@ def file_signals(files: DataFrame) -> DataFrame:
         has_any(text, R.CONSUMER, low).alias("consumer"),
         has_any(text, R.MUTATION, low).alias("mutation"),
         has_any(text, R.RETRY, low).alias("retry"),
+        text.rlike(r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]\s*\(").alias("split_calls"),
         *[has_any(text, b, low).alias(f"flag_{k}") for k, b in R.FLAG_BANKS.items()],
     )
     lines = F.col("lines")
     none = F.array().cast(f"array<{FINDING.simpleString()}>")
     worth = F.col("effect") & (F.col("commit") | F.col("retry"))
-    hits = flags.withColumns(
-        {
-            "commits": F.when(worth, hit_lines(lines, R.COMMIT)),
-            "effects": F.when(worth, hit_lines(lines, R.EFFECT)),
-        }
-    )
+    # each step is a column of its own: inlined into the next, it would be computed again for every window
+    hits = flags.withColumn("blocks", F.when(worth, block_signals(lines))).withColumn("windows", window_signals(F.col("blocks")))
     words = lambda names, c: _any_word(c, names)
     consumer_at = F.coalesce(first_match_line(lines, R.CONSUMER), first_match_line(lines, R.MUTATION), F.lit(1))
     guarded = ~F.col("flag_idempotency") & F.col("mutation") & (
@@ -103,22 +159,17 @@ def file_signals(files: DataFrame) -> DataFrame:
         "effect",
         *[f"flag_{k}" for k in R.FLAG_BANKS],
         (F.col("effect") | F.col("commit") | F.col("consumer") | words(R.RELEVANT_WORDS, low)).alias("relevant"),
-        F.filter(
-            F.array_distinct(
-                F.concat(
-                    F.when(worth, window_findings(lines, F.col("commits"), F.col("effects"))).otherwise(none),
-                    F.array(
-                        F.when(
-                            guarded,
-                            make(
-                                "idempotency-gap", "high", "medium", consumer_at,
-                                F.array(strip(line_at(lines, consumer_at))), "block-changed-files",
-                            ),
-                        )
-                    ),
-                )
-            ),
-            lambda f: f.isNotNull(),
+        F.concat(
+            F.coalesce(window_findings(lines, F.col("windows")), none),
+            F.when(
+                guarded,
+                F.array(
+                    make(
+                        "idempotency-gap", "high", "medium", consumer_at,
+                        F.array(strip(line_at(lines, consumer_at))), "block-changed-files",
+                    )
+                ),
+            ).otherwise(none),
         ).alias("found"),
     )
 
