@@ -16,8 +16,10 @@ size and by the rank of the shared shingle. Buckets are streams over range-sorte
 
 Large buckets of unrelated documents (a passage that many share): more shingles than the prefix are posted, so that
 the shingles of buckets above ``BUCKET`` members can be moved to the end of the order once their sizes are known. A
-document whose posted shingles still hold a whole prefix without them needs no pair from such a bucket. Only the few
-documents that consist mostly of such shingles meet the others there. No bucket is cut.
+document whose posted shingles still hold a whole prefix without them needs no pair from such a bucket. Documents that
+consist mostly of such shingles are compared by their rare shingles and, as classes of equal frequent parts, by numbers
+(see ``_late_pairs``). No bucket is cut, and none is paired with itself. What can still grow faster than the input are
+classes: many different sets of frequent shingles that are nearly, but not quite, similar.
 
 Defined cases: texts without words have an empty set and no links; texts of one to four words have one shingle; several
 rows with one id are one document with the sets of all; a null id is one id, below all others.
@@ -153,6 +155,16 @@ def _sets(shared_frequent):
     return run
 
 
+def _spelled(batches):
+    """Every shingle of every row."""
+    for batch in batches:
+        sets = [shingles(text) for text in texts(batch.column(2))]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        every = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+        spread = [np.repeat(batch.column(i).to_numpy(), sizes) for i in range(2)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*spread, np.repeat(sizes, sizes), every)], names=["node", "row_key", "n", "hi"])
+
+
 def _meet(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if len(a) > len(b):
@@ -193,6 +205,16 @@ class _Classes:
     def __init__(self, docs: DataFrame, own: DataFrame, frequent):
         self.docs, self.own, self.frequent = docs, own, frequent
 
+    def rows_of(self, nodes: DataFrame) -> DataFrame:
+        """``node, row_key, text``: one row of each of the nodes, a column ``end``."""
+        wanted = self.own.join(nodes, F.col("node") == F.col("end"), "left_semi").select("doc", "row_key", "node")
+        return keyed(self.docs).join(wanted.distinct(), ["doc", "row_key"]).select("node", "row_key", "text")
+
+    def tokens(self, members: DataFrame) -> DataFrame:
+        """``hi, node, row_key, n, label``: every shingle of the members' whole sets, row by row."""
+        spelled = self.rows_of(members.select(F.col("node").alias("end"))).mapInArrow(_spelled, "node long, row_key int, n long, hi long")
+        return spelled.distinct().join(members, "node")
+
     def linked(self, pairs: DataFrame, name: str) -> DataFrame:
         """The linked ones of the candidate pairs: by ranges of hashes, by further orders, by whole sets."""
         side = lambda k: self.own.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("ranges").alias(f"ranges_{k}"))
@@ -201,9 +223,7 @@ class _Classes:
             sized.select("a", "b", "n_a", "n_b", "ranges_a", "ranges_b").mapInArrow(_near, "a long, b long").distinct(), f"{name}-near"
         )
         ends = near.select("a").unionAll(near.select("b")).distinct().withColumnRenamed("a", "end")
-        wanted = self.own.join(ends, F.col("node") == F.col("end"), "left_semi").select("doc", "row_key", "node")
-        rows = keyed(self.docs).join(wanted.distinct(), ["doc", "row_key"]).select("node", "row_key", "text")
-        sets, sets_at = written(rows.mapInArrow(_sets(self.frequent), SETS), f"{name}-sets")
+        sets, sets_at = written(self.rows_of(ends).mapInArrow(_sets(self.frequent), SETS), f"{name}-sets")
         side = lambda k: sets.select(F.col("doc").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("tokens", "second", "third")))
         columns = [f"{c}_{k}" for c in ("tokens", "second", "third") for k in ("a", "b")]
         full = near.join(side("b"), "b").join(side("a"), "a").select("a", "b", *columns)
@@ -213,6 +233,63 @@ class _Classes:
         return links
 
 
+def _late_pairs(classes: "_Classes", rows: DataFrame) -> list[DataFrame]:
+    """Candidates ``node_a, node_b`` of documents that consist mostly of late shingles.
+
+    These, and the documents of a like size in the same late buckets, meet on their whole sets. Of a similar pair either
+    a rare shingle is in both prefixes, under the order of their number here, and buckets of rare shingles are small; or
+    all that the two share are frequent shingles. Then the numbers alone decide: documents with the same frequent part
+    are one class, and a class is compared with others once, not by its members. Where a member and any document of a
+    class share enough, so do that member and the smallest document of the class; hence links with smallest documents
+    connect all that is linked, one for each member within its class and one in the best of the other classes.
+    """
+    size = F.col("slot").bitwiseAND(F.lit(2**32 - 1))
+    members = rows.where("late").select("hi", "node", "label", "short", size.alias("n"))
+    reach = members.where("short").groupBy("hi").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    near = members.join(reach, "hi").where("short OR (5 * n >= 4 * least AND 4 * n <= 5 * most)")
+    chosen = stage(near.select("node", "label").distinct(), "late-members")
+    tokens = stage(classes.tokens(chosen), "late-shingles")
+    counts = tokens.groupBy("hi").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
+    # a shingle of one component only is shared with no document of another
+    counted = tokens.join(counts.where("low < high").select("hi", "c"), "hi")
+    order = F.array_sort(F.collect_list(F.struct("c", "hi")))  # of one document
+    sets = counted.groupBy("node", "row_key", "label", "n").agg(order.alias("t")).withColumn(
+        "prefix", (F.col("n") - F.expr("(4 * n + 4) div 5") + 1 - (F.col("n") - F.size("t"))).cast("int")
+    )
+    rare = F.filter("t", lambda x: x["c"] <= BUCKET)
+    ordered_sets = stage(sets.where("prefix > 0").select("*", F.size(rare).alias("n_rare")), "late-sets")
+
+    met = ordered_sets.select("node", "label", "n", F.explode(F.slice("t", F.lit(1), F.least("prefix", "n_rare"))).alias("x")).select("x.hi", "node", "label", "n")
+    side = lambda df, p: df.select(*(F.col(c).alias(c if c == "hi" else f"{c}_{p}") for c in df.columns))
+    alike = "5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) AND node_a < node_b"
+    by_rare = side(met, "a").join(side(met, "b"), "hi").where(f"label_a <> label_b AND {alike}").select("node_a", "node_b").distinct()
+
+    often = F.transform(F.filter("t", lambda x: x["c"] > BUCKET), lambda x: x["hi"])
+    mostly = stage(ordered_sets.where("n_rare < prefix").select("node", "label", "n", often.alias("part")), "late-parts")
+    smallest = F.min(F.struct("n", "node", "label")).alias("m")
+    groups = stage(mostly.groupBy("part").agg(smallest).select("part", F.size("part").alias("p"), "m.*"), "late-classes")
+    own = mostly.join(groups.select("part", "p", F.col("n").alias("n_m"), F.col("node").alias("node_m"), F.col("label").alias("label_m")), "part")
+    stars = own.where("node <> node_m AND label <> label_m AND 9 * p >= 4 * (n + n_m)").select(
+        F.least("node", "node_m").alias("node_a"), F.greatest("node", "node_m").alias("node_b")
+    )
+
+    needed = F.expr("cast(p - (4 * n + 4) div 5 + 1 as int)")
+    heads = groups.where(needed > 0).select("node", "n", F.explode(F.slice("part", F.lit(1), needed)).alias("hi"))
+    found = side(heads, "a").join(side(heads, "b"), "hi").where(alike).select("node_a", "node_b").distinct()
+    whole = groups.select("node", "label", "n", "part")
+    both = found.join(side(whole, "a"), "node_a").join(side(whole, "b"), "node_b").withColumn("o", F.size(F.array_intersect("part_a", "part_b")))
+    pairs = stage(both.where("9 * o >= 4 * (n_a + n_b)").select("node_a", "node_b", "n_a", "n_b", "label_a", "label_b", "o"), "late-class-pairs")
+    heard = [
+        pairs.select(F.col(f"node_{x}").alias("node_m"), F.struct((9 * F.col("o") - 4 * F.col(f"n_{y}")).alias("room"), F.col(f"node_{y}").alias("to"), F.col(f"label_{y}").alias("label_to")).alias("w"))
+        for x, y in ("ab", "ba")
+    ]
+    best = heard[0].unionAll(heard[1]).groupBy("node_m").agg(F.max("w").alias("w")).select("node_m", "w.*")
+    across = own.where("node <> node_m").join(best, "node_m").where("4 * n <= room AND label <> label_to").select(
+        F.least("node", "to").alias("node_a"), F.greatest("node", "to").alias("node_b")
+    )
+    return [by_rare, stars, pairs.where("label_a <> label_b").select("node_a", "node_b"), across]
+
+
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``doc, row_key, n, node`` of every row (nodes are classes of equal sets), and ``node, label`` of linked nodes."""
     spark = docs.sparkSession
@@ -280,23 +357,20 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     moved = F.coalesce("moved", F.lit(0))
     rows, rows_at = written(
         left.join(late, F.col("node") == F.col("of"), "left").select(
-            "hi", "node", "slot", "label", "late", moved.alias("moved"), (posted - moved < prefix).alias("short"), (posted == n).alias("complete")
+            "hi", "node", "slot", "label", "late", moved.alias("moved"), (posted - moved < prefix).alias("short")
         ),
         "open-rows",
     )
     discard(spark, left_at)
 
-    def crossed(a: DataFrame, b: DataFrame, filters) -> DataFrame:
-        side = lambda df, p: df.select("hi", *(F.col(c).alias(f"{c}_{p}") for c in ("node", "slot", "label", "moved")))
-        return side(a, "a").join(side(b, "b"), "hi").where((F.col("label_a") != F.col("label_b")) & filters)
+    def crossed(members: DataFrame, filters) -> DataFrame:
+        side = lambda p: members.select("hi", *(F.col(c).alias(f"{c}_{p}") for c in ("node", "slot", "label", "moved")))
+        return side("a").join(side("b"), "hi").where((F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b")) & filters)
 
     # ranks in the new order are lower by no more than the number of shingles moved
-    small = crossed(rows.where("NOT late"), rows.where("NOT late"), (F.col("node_a") < F.col("node_b")) & fits("slot_a", "slot_b", "moved_a", "moved_b"))
-    # a set that is posted whole needs partners there only among sets that are short as well
-    among = (F.col("node_a") < F.col("node_b")) & fits("slot_a", "slot_b")
-    whole_sets = crossed(rows.where("late AND short AND complete"), rows.where("late AND short AND complete"), among)
-    large = crossed(rows.where("late AND short AND NOT complete"), rows.where("late"), fits("slot_a", "slot_b"))
-    both = reduce(DataFrame.unionAll, [x.select("node_a", "node_b") for x in (small, whole_sets, large)])
+    small = crossed(rows.where("NOT late"), fits("slot_a", "slot_b", "moved_a", "moved_b")).select("node_a", "node_b")
+    parts = [small, *_late_pairs(classes, rows)]
+    both = reduce(DataFrame.unionAll, parts)
     rest = stage(pairs(both, "node_a", "node_b").join(star, ["a", "b"], "left_anti"), "rest-pairs")
     discard(spark, rows_at)
     if rest.limit(1).count():

@@ -61,6 +61,63 @@ def test_line_in_every_document_keeps_the_last(make_docs):
     assert sum(n for _, _, n, _ in got) == 299 and (299, 2, 0, sha("the very same line for all of them\nown")) in got
 
 
+def components_by_hand(rows):
+    """``doc: (set size, component)``, all pairs compared."""
+    sets = {}
+    for doc, text in rows:
+        w = WORD.findall((text or "").translate(FOLD))
+        sets[doc] = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+def test_texts_that_are_mostly_shared_passages(make_docs):
+    """Passages of all lengths in many texts, with own words around the threshold, some with parts of a second passage."""
+    rng = random.Random(7)
+    fresh = lambda k, tag: [f"{tag}{rng.randint(0, 10**9)}" for _ in range(k)]
+    passages, texts = [fresh(n, "p") for n in (50, 80, 120, 300)], []
+    for p in passages:
+        for k in (4, 8, 11, 14, 20, 30, 60):
+            for _ in range(9):
+                cut, own = p[rng.randint(0, 4) :], fresh(rng.randint(max(1, k - 2), k + 2), "o")
+                extra = rng.choice(passages)[: rng.randint(10, 50)] if rng.random() < 0.2 else []
+                texts.append(" ".join((own + cut if rng.random() < 0.5 else cut + own) + extra))
+    texts += [" ".join(fresh(rng.randint(5, 150), "z")) for _ in range(60)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r.doc: (r.n_shingles, r.component) for r in ngram_join.clusters(make_docs(rows, parts=40)).collect()}
+    assert got == components_by_hand(rows)
+
+
+def test_one_passage_in_many_texts_makes_few_candidates(make_docs, monkeypatch):
+    """No pair of them is similar; candidates do not grow with the square of their number."""
+    rng = random.Random(1)
+    fresh = lambda k: [f"w{rng.randint(0, 10**9)}" for _ in range(k)]
+    passage, seen = fresh(60), []
+    whole = ngram_join._Classes.linked
+
+    def counted(self, pairs, name):
+        seen.append(pairs.count())
+        return whole(self, pairs, name)
+
+    monkeypatch.setattr(ngram_join._Classes, "linked", counted)
+    rows = [(i, " ".join(passage + fresh(11))) for i in range(200)]
+    got = {r.doc: r.component for r in ngram_join.clusters(make_docs(rows, parts=100)).collect()}
+    assert got == {i: i for i in range(200)} and sum(seen) <= len(rows)
+
+
 def passages_by_hand(rows):
     n, first = substrings.PASSAGE, {}
     words = [(doc, WORD.findall(text or "")) for doc, text in rows]
