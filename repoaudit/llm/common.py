@@ -13,7 +13,10 @@ NO_ID = -(2**63)
 #: Texts handed to one Python call; a single longer text goes alone.
 BATCH_BYTES = 8 * 1024 * 1024
 
-__all__ = ["NO_ID", "discard", "documents", "keyed", "narrow_batches", "stage", "stage_path", "texts", "written"]
+#: Columns that name a row.
+ROW = ["doc", "row_key", "key"]
+
+__all__ = ["NO_ID", "ROW", "discard", "documents", "keyed", "narrow_batches", "stage", "stage_path", "texts", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,14 +28,19 @@ def narrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``doc, row_key, text`` of every row: the id as a sort key, 31 bits of the text, the text itself."""
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """``doc, row_key, text, key`` of every row: the id as a sort key, the text, and 31 and 64 independent bits of it.
+
+    Columns named in ``more`` follow. ``ROW`` names a row: rows with one id, or none, are told apart by 95 bits of their texts.
+    """
     narrow_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
         F.xxhash64(text).bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("row_key"),
         text.alias("text"),
+        F.xxhash64(F.lit(1), text).alias("key"),
+        *more,
     )
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repoaudit.llm.common import documents, keyed, real_id, texts
+from repoaudit.llm.common import ROW, documents, keyed, real_id, texts
 
 WINDOW = 10
 #: Item words in one automaton: about 10 trie nodes of 60 bytes a word.
@@ -111,17 +111,18 @@ def _scan(shared):
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:2],
+                    batch.column(3),
                     pa.array(n_words, pa.int64()),
                     pa.array(found_ranges, pa.list_(pa.int32())),
                     pa.array(items, pa.list_(pa.string())),
                 ],
-                names=["doc", "row_key", "n_words", "ranges", "items"],
+                names=["doc", "row_key", "key", "n_words", "ranges", "items"],
             )
 
     return run
 
 
-SCANNED = "doc long, row_key int, n_words long, ranges array<int>, items array<string>"
+SCANNED = "doc long, row_key int, key long, n_words long, ranges array<int>, items array<string>"
 
 
 def union(ranges: list[int]) -> list[tuple[int, int]]:
@@ -137,21 +138,21 @@ def union(ranges: list[int]) -> list[tuple[int, int]]:
 
 def _finish(batches):
     for batch in batches:
-        ranges = [union(r) for r in batch.column(3).to_pylist()]
-        items = [sorted(set(x)) for x in batch.column(4).to_pylist()]
+        ranges = [union(r) for r in batch.column(4).to_pylist()]
+        items = [sorted(set(x)) for x in batch.column(5).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
-                *batch.columns[:3],
+                *batch.columns[:4],
                 pa.array([sum(b - a for a, b in r) for r in ranges], pa.int64()),
                 pa.array([[x for ab in r for x in ab] for r in ranges], pa.list_(pa.int32())),
                 pa.array(items, pa.list_(pa.string())),
             ],
-            names=["doc", "row_key", "n_words", "n_hit", "ranges", "items"],
+            names=["doc", "row_key", "key", "n_words", "n_hit", "ranges", "items"],
         )
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame, most_words: int = AUTOMATON_WORDS) -> DataFrame:
-    """``doc, row_key, n_words, n_hit, ranges, items`` of every row; ``ranges`` are starts and ends in words."""
+    """``doc, row_key, key, n_words, n_hit, ranges, items`` of every row; ``ranges`` are starts and ends in words."""
     spark = docs.sparkSession
     texts_of = keyed(docs)
     parts = [
@@ -161,22 +162,22 @@ def scanned(docs: DataFrame, benchmark: DataFrame, most_words: int = AUTOMATON_W
     if len(parts) == 1:
         both = parts[0]
     else:  # every block sees every row; identical rows stay apart by their number
-        number = Window.partitionBy("doc", "row_key").orderBy("n_words")
+        number = Window.partitionBy(*ROW).orderBy("n_words")
         both = reduce(DataFrame.unionAll, [p.withColumn("copy", F.row_number().over(number)) for p in parts])
-        both = both.groupBy("doc", "row_key", "copy").agg(
+        both = both.groupBy(*ROW, "copy").agg(
             F.first("n_words").alias("n_words"),
             F.flatten(F.collect_list("ranges")).alias("ranges"),
             F.flatten(F.collect_list("items")).alias("items"),
         ).drop("copy")
     return both.mapInArrow(
-        _finish, "doc long, row_key int, n_words long, n_hit long, ranges array<int>, items array<string>"
+        _finish, "doc long, row_key int, key long, n_words long, n_hit long, ranges array<int>, items array<string>"
     )
 
 
 def spans(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """``doc_id, spans`` of contaminated rows: offsets of the hits in the original text."""
     place = F.udf(lambda text, r: offsets(text, list(zip(r[::2], r[1::2], strict=True))), "array<struct<start: int, end: int>>")
-    rows = keyed(docs).join(hits.where(F.col("n_hit") > 0).select("doc", "row_key", "ranges").distinct(), ["doc", "row_key"])
+    rows = keyed(docs).join(hits.where(F.col("n_hit") > 0).select(*ROW, "ranges").distinct(), ROW)
     return rows.select(real_id(F.col("doc")).alias("doc_id"), place("text", "ranges").alias("spans"))
 
 

@@ -1,6 +1,7 @@
 """Streams over range-sorted hashes: which rows share a hash with another document, and with which one first.
 
-Rows ``(hi, lo, doc, slot)`` are range-partitioned and sorted by all four columns, so that the rows of one hash lie
+Rows ``(hi, lo, doc, slot, key)`` are range-partitioned and sorted by the first four columns (``key`` tells rows of one
+document apart and only travels along), so that the rows of one hash lie
 together with the smallest ``doc`` (its owner) in front. A task streams its range in batches and holds back no more
 than the rows of a group's first documents. A frequent hash is cut into several ranges by the secondary sort; the
 groups at the two ends of a range are left open, and their short summaries (at most two groups of a few rows from
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 
 from repoaudit.llm.common import discard, written
 
-ROWS = "hi long, lo long, doc long, slot long"
+ROWS = "hi long, lo long, doc long, slot long, key long"
 DECIDED, OPEN, SUMMARY = 0, 1, 2
-OUT = "doc long, slot long, owner long, owner_slot long, hi long, lo long, kind byte"
+OUT = "doc long, slot long, owner long, owner_slot long, hi long, lo long, kind byte, key long"
 
 
 class _Group:
@@ -28,22 +29,22 @@ class _Group:
         self.key, self.open = key, is_open
         self.docs: list[int] = []
         self.slots: list[int] = []
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
 
 def _stream(min_docs: int, with_owner: bool):
-    def rows(doc, slot, owner, owner_slot, key, kind=DECIDED):
+    def rows(doc, slot, own, owner, owner_slot, key, kind=DECIDED):
         full = lambda v, t=np.int64: v if isinstance(v, np.ndarray) else np.full(len(doc), v, t)
         return pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (doc, slot, full(owner), full(owner_slot), full(key[0]), full(key[1]), full(kind, np.int8))],
-            names=["doc", "slot", "owner", "owner_slot", "hi", "lo", "kind"],
+            [pa.array(x) for x in (doc, slot, full(owner), full(owner_slot), full(key[0]), full(key[1]), full(kind, np.int8), own)],
+            names=["doc", "slot", "owner", "owner_slot", "hi", "lo", "kind", "key"],
         )
 
-    def decided(doc, slot, group):
+    def decided(doc, slot, own, group):
         keep = slice(None) if with_owner else doc != group.docs[0]
-        return rows(doc[keep], slot[keep], group.docs[0], group.slots[0], group.key)
+        return rows(doc[keep], slot[keep], own[keep], group.docs[0], group.slots[0], group.key)
 
-    def feed(group: _Group, doc, slot):
+    def feed(group: _Group, doc, slot, own):
         """More rows of the group; what can be said about them now."""
         if group.open or len(group.docs) < min_docs:
             for i in np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])[: min_docs + 1]:
@@ -51,23 +52,24 @@ def _stream(min_docs: int, with_owner: bool):
                     group.docs.append(int(doc[i]))
                     group.slots.append(int(slot[i]))
         if group.open:
-            yield rows(doc, slot, 0, 0, group.key, OPEN)
+            yield rows(doc, slot, own, 0, 0, group.key, OPEN)
         elif len(group.docs) >= min_docs:
-            for held in [*group.held, (doc, slot)]:
+            for held in [*group.held, (doc, slot, own)]:
                 yield decided(*held, group)
             group.held = []
         else:
-            group.held.append((doc, slot))
+            group.held.append((doc, slot, own))
 
     def summary(group: _Group):
-        yield rows(np.array(group.docs, np.int64), np.array(group.slots, np.int64), 0, 0, group.key, SUMMARY)
+        docs = np.array(group.docs, np.int64)
+        yield rows(docs, np.array(group.slots, np.int64), np.zeros(len(docs), np.int64), 0, 0, group.key, SUMMARY)
 
     def run(batches):
         group = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            hi, lo, doc, slot = (batch.column(i).to_numpy() for i in range(4))
+            hi, lo, doc, slot, own = (batch.column(i).to_numpy() for i in range(5))
             n = len(hi)
             turn = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
             starts = np.r_[0, np.flatnonzero(turn) + 1]
@@ -91,8 +93,8 @@ def _stream(min_docs: int, with_owner: bool):
                         keep &= d != owner
                     if keep.any():
                         at = np.flatnonzero(keep) + first_end
-                        yield rows(doc[at], slot[at], owner[keep], owner_slot[keep], (hi[at], lo[at]))
-                yield from feed(group, doc[a:b], slot[a:b])
+                        yield rows(doc[at], slot[at], own[at], owner[keep], owner_slot[keep], (hi[at], lo[at]))
+                yield from feed(group, doc[a:b], slot[a:b], own[a:b])
         if group is not None:
             yield from summary(group)
             if not group.open:
@@ -108,7 +110,7 @@ def _close(known, with_owner: bool):
     def run(batches):
         firsts = known.value
         for batch in batches:
-            doc, slot, owner, owner_slot, hi, lo, kind = (batch.column(i).to_numpy() for i in range(7))
+            doc, slot, owner, owner_slot, hi, lo, kind, own = (batch.column(i).to_numpy() for i in range(8))
             keep = kind == DECIDED
             late = np.flatnonzero(~keep)
             if len(late):
@@ -121,19 +123,19 @@ def _close(known, with_owner: bool):
                         at = late[a:b]
                         keep[at] = with_owner | (doc[at] != first[0])
                         owner[at], owner_slot[at] = first
-            columns = [pa.array(c[keep]) for c in (hi, lo, doc, slot, owner, owner_slot)]
-            yield pa.RecordBatch.from_arrays(columns, names=["hi", "lo", "doc", "slot", "owner", "owner_slot"])
+            columns = [pa.array(c[keep]) for c in (hi, lo, doc, slot, own, owner, owner_slot)]
+            yield pa.RecordBatch.from_arrays(columns, names=["hi", "lo", "doc", "slot", "key", "owner", "owner_slot"])
 
     return run
 
 
 def shared(found: DataFrame, name: str, min_docs: int = 2, with_owner: bool = False) -> tuple[DataFrame, str]:
-    """``hi, lo, doc, slot, owner, owner_slot`` of the rows whose hash at least ``min_docs`` documents hold, and the table's place.
+    """``hi, lo, doc, slot, key, owner, owner_slot`` of the rows whose hash at least ``min_docs`` documents hold, and the table's place.
 
     ``owner`` is the smallest document of the hash, ``owner_slot`` its first slot there; the owner's own rows are left out unless ``with_owner``.
     """
     spark = found.sparkSession
-    rows, at = written(found.select("hi", "lo", "doc", "slot"), f"{name}-rows")
+    rows, at = written(found.select("hi", "lo", "doc", "slot", "key"), f"{name}-rows")
     order = ["hi", "lo", "doc", "slot"]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     said, place = written(ranged.mapInArrow(_stream(min_docs, with_owner), OUT), f"{name}-shared")

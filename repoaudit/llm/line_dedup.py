@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repoaudit.llm.common import documents, keyed, real_id, texts
+from repoaudit.llm.common import ROW, documents, keyed, real_id, texts
 from repoaudit.llm.groups import ROWS, shared
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -32,9 +32,9 @@ def _long_enough(key: bytes, least: int) -> bool:
 def _hashes(least: int):
     def run(batches):
         for batch in batches:
-            hi, lo, doc, slot = [], [], [], []
-            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for d, r, text in zip(ids, keys, texts(batch.column(2)), strict=True):
+            hi, lo, doc, slot, row = [], [], [], [], []
+            ids, keys, rows = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            for d, r, text, key64 in zip(ids, keys, texts(batch.column(2)), rows, strict=True):
                 base = r << 32
                 for pos, line in enumerate(text.lower().split(b"\n")):
                     if len(line) >= least and _long_enough(key := line.strip(SPACE), least):
@@ -43,14 +43,16 @@ def _hashes(least: int):
                         lo.append(h & (2**64 - 1))
                         doc.append(~d)
                         slot.append(base | pos)
+                        row.append(key64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.array(hi, np.uint64).view(np.int64)),
                     pa.array(np.array(lo, np.uint64).view(np.int64)),
                     pa.array(np.array(doc, np.int64)),
                     pa.array(np.array(slot, np.int64)),
+                    pa.array(np.array(row, np.int64)),
                 ],
-                names=["hi", "lo", "doc", "slot"],
+                names=["hi", "lo", "doc", "slot", "key"],
             )
 
     return run
@@ -59,17 +61,17 @@ def _hashes(least: int):
 def _bitmaps(batches):
     for batch in batches:
         maps = []
-        for gone in batch.column(2).to_pylist():
+        for gone in batch.column(3).to_pylist():
             bits = np.ones(max(gone) // 8 * 8 + 8, bool)  # whole bytes
             bits[gone] = False
             maps.append(zlib.compress(np.packbits(bits).tobytes(), 1))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(maps, pa.binary())], names=["doc", "row_key", "keep"]
+            [*batch.columns[:3], pa.array(maps, pa.binary())], names=["doc", "row_key", "key", "keep"]
         )
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """``doc, row_key, keep``: a compressed bitmap (1: keep) over the lines of each document that loses any.
+    """``doc, row_key, key, keep``: a compressed bitmap (1: keep) over the lines of each document that loses any.
 
     Lines behind the end of the bitmap stay.
     """
@@ -79,9 +81,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
         gone.groupBy(
             F.bitwise_not("doc").alias("doc"),
             F.shiftright("slot", 32).cast("int").alias("row_key"),
+            "key",
         )
         .agg(F.collect_list(F.col("slot").bitwiseAND(F.lit(2**32 - 1)).cast("int")).alias("gone"))
-        .mapInArrow(_bitmaps, "doc long, row_key int, keep binary")
+        .mapInArrow(_bitmaps, "doc long, row_key int, key long, keep binary")
     )
 
 
@@ -96,7 +99,7 @@ def kept_lines(text: bytes, keep: bytes | None) -> tuple[int, list[bytes]]:
 
 def with_bitmaps(docs: DataFrame, **rules) -> DataFrame:
     """``doc, row_key, text, keep`` of every row."""
-    return keyed(docs).join(keep_bitmaps(docs, **rules), ["doc", "row_key"], "left")
+    return keyed(docs).join(keep_bitmaps(docs, **rules), ROW, "left")
 
 
 def _digests(batches):

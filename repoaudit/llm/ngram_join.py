@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repoaudit.llm.common import NO_ID, discard, documents, keyed, real_id, stage, texts, written
+from repoaudit.llm.common import NO_ID, ROW, discard, documents, keyed, real_id, stage, texts, written
 from repoaudit.llm.graph import components
 from repoaudit.llm.groups import ROWS, shared
 from repoaudit.llm.wordhash import SECOND, mix, window_hashes, word_numbers
@@ -47,7 +47,7 @@ FREQUENT = 2e-4
 BUCKET = 24
 #: Shingles posted beyond the prefix: a tenth of the set, and no fewer than these.
 RESERVE = 60
-PROFILE = "doc long, row_key int, n long, hi long, lo long, ranges binary, count long"
+PROFILE = "doc long, row_key int, key long, n long, hi long, lo long, ranges binary, count long"
 SETS = "doc long, n long, hi long, lo long, tokens binary, second binary, third binary"
 
 
@@ -101,15 +101,15 @@ def _profile(batches):
             ranges.append(np.minimum(in_range, 255).astype(np.uint8).tobytes())
         nothing = pa.nulls(len(sizes), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:2], pa.array(sizes, pa.int64()), _signed(hi), _signed(lo), pa.array(ranges, pa.binary()), nothing],
-            names=["doc", "row_key", "n", "hi", "lo", "ranges", "count"],
+            [*batch.columns[:2], batch.column(3), pa.array(sizes, pa.int64()), _signed(hi), _signed(lo), pa.array(ranges, pa.binary()), nothing],
+            names=["doc", "row_key", "key", "n", "hi", "lo", "ranges", "count"],
         )
         tokens, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0), np.empty(0))
         often = counts >= 3
         n = int(often.sum())
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), _signed(tokens[often]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(counts[often].astype(np.int64))],
-            names=["doc", "row_key", "n", "hi", "lo", "ranges", "count"],
+            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), _signed(tokens[often]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(counts[often].astype(np.int64))],
+            names=["doc", "row_key", "key", "n", "hi", "lo", "ranges", "count"],
         )
 
 
@@ -128,8 +128,8 @@ def _postings(shared_frequent):
                     slot.append((np.arange(len(first), dtype=np.int64) << 32) | n)
             hi = np.concatenate(hi)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hi), pa.array(np.zeros(len(hi), np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(slot))],
-                names=["hi", "lo", "doc", "slot"],
+                [pa.array(hi), zeros := pa.array(np.zeros(len(hi), np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(slot)), zeros],
+                names=["hi", "lo", "doc", "slot", "key"],
             )
 
     return run
@@ -161,8 +161,8 @@ def _spelled(batches):
         sets = [shingles(text) for text in texts(batch.column(2))]
         sizes = np.array([len(x) for x in sets], np.int64)
         every = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-        spread = [np.repeat(batch.column(i).to_numpy(), sizes) for i in range(2)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*spread, np.repeat(sizes, sizes), every)], names=["node", "row_key", "n", "hi"])
+        spread = [np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 1, 3)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*spread, np.repeat(sizes, sizes), every)], names=["node", "row_key", "key", "n", "hi"])
 
 
 def _meet(a: np.ndarray, b: np.ndarray) -> int:
@@ -206,13 +206,13 @@ class _Classes:
         self.docs, self.own, self.frequent = docs, own, frequent
 
     def rows_of(self, nodes: DataFrame) -> DataFrame:
-        """``node, row_key, text``: one row of each of the nodes, a column ``end``."""
-        wanted = self.own.join(nodes, F.col("node") == F.col("end"), "left_semi").select("doc", "row_key", "node")
-        return keyed(self.docs).join(wanted.distinct(), ["doc", "row_key"]).select("node", "row_key", "text")
+        """``node, row_key, text, key``: the rows of each of the nodes, a column ``end``."""
+        wanted = self.own.join(nodes, F.col("node") == F.col("end"), "left_semi").select(*ROW, "node")
+        return keyed(self.docs).join(wanted.distinct(), ROW).select("node", "row_key", "text", "key")
 
     def tokens(self, members: DataFrame) -> DataFrame:
-        """``hi, node, row_key, n, label``: every shingle of the members' whole sets, row by row."""
-        spelled = self.rows_of(members.select(F.col("node").alias("end"))).mapInArrow(_spelled, "node long, row_key int, n long, hi long")
+        """``hi, node, row_key, key, n, label``: every shingle of the members' whole sets, row by row."""
+        spelled = self.rows_of(members.select(F.col("node").alias("end"))).mapInArrow(_spelled, "node long, row_key int, key long, n long, hi long")
         return spelled.distinct().join(members, "node")
 
     def linked(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -253,7 +253,7 @@ def _late_pairs(classes: "_Classes", rows: DataFrame) -> list[DataFrame]:
     # a shingle of one component only is shared with no document of another
     counted = tokens.join(counts.where("low < high").select("hi", "c"), "hi")
     order = F.array_sort(F.collect_list(F.struct("c", "hi")))  # of one document
-    sets = counted.groupBy("node", "row_key", "label", "n").agg(order.alias("t")).withColumn(
+    sets = counted.groupBy("node", "row_key", "key", "label", "n").agg(order.alias("t")).withColumn(
         "prefix", (F.col("n") - F.expr("(4 * n + 4) div 5") + 1 - (F.col("n") - F.size("t"))).cast("int")
     )
     rare = F.filter("t", lambda x: x["c"] <= BUCKET)
@@ -291,11 +291,11 @@ def _late_pairs(classes: "_Classes", rows: DataFrame) -> list[DataFrame]:
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``doc, row_key, n, node`` of every row (nodes are classes of equal sets), and ``node, label`` of linked nodes."""
+    """``doc, row_key, key, n, node`` of every row (nodes are classes of equal sets), and ``node, label`` of linked nodes."""
     spark = docs.sparkSession
     rows = keyed(docs)
     said = stage(rows.mapInArrow(_profile, PROFILE), "shingle-profile")
-    profile = said.where("count IS NULL").select("doc", "row_key", "n", "hi", "lo", "ranges")
+    profile = said.where("count IS NULL").select(*ROW, "n", "hi", "lo", "ranges")
     total = profile.count()
     often = said.where("count IS NOT NULL").groupBy("hi").agg(F.sum("count").alias("count"))
     often = often.where(F.col("count") >= F.lit(max(3.0, FREQUENT * total))).toPandas()
@@ -306,7 +306,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     whole = profile.where("n > 0").withColumn("slot", F.shiftleft(F.col("row_key").cast("long"), 32))
     copies, _ = shared(whole, "equal-sets")
-    copies = copies.select("doc", F.shiftright("slot", 32).cast("int").alias("row_key"), "owner").distinct()
+    copies = copies.select("doc", F.shiftright("slot", 32).cast("int").alias("row_key"), "key", "owner").distinct()
     owner = stage(copies.groupBy("doc").agg(F.min("owner").alias("owner")), "set-owner")
 
     def node_of(df: DataFrame, doc: str, out: str) -> DataFrame:
@@ -316,8 +316,8 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     joined = copies.join(owner.withColumnRenamed("owner", "node"), "doc").where("owner <> node").select(
         F.col("owner").alias("a"), F.col("node").alias("b")
     )
-    single = profile.where("n > 0").join(copies.select("doc", "row_key"), ["doc", "row_key"], "left_anti")
-    own = stage(node_of(single.select("doc", "row_key", "n", "ranges"), "doc", "node"), "set-classes")
+    single = profile.where("n > 0").join(copies.select(*ROW), ROW, "left_anti")
+    own = stage(node_of(single.select(*ROW, "n", "ranges"), "doc", "node"), "set-classes")
     classes = _Classes(docs, own, frequent)
 
     met, met_at = shared(rows.mapInArrow(_postings(frequent), ROWS), "postings", with_owner=True)
@@ -377,28 +377,32 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         second = classes.linked(rest, "rest-links")
         if second.limit(1).count():
             labels = components(links.unionAll(second), "all")
-    return node_of(profile.select("doc", "row_key", "n"), "doc", "node"), labels
+    return node_of(profile.select(*ROW, "n"), "doc", "node"), labels
 
 
 def clusters(docs: DataFrame) -> DataFrame:
-    """``doc, row_key, n_shingles, component`` of every row."""
+    """``doc, row_key, key, n_shingles, component`` of every row."""
     rows, labels = linked(docs)
     both = rows.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
-    return both.select("doc", "row_key", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component"))
+    return both.select(*ROW, F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` of the smallest id of each component; of identical rows one."""
-    kept = clusters(docs).where(F.col("doc") == F.col("component")).select("doc", "row_key").distinct()
+    """The rows of ``docs`` of the smallest id of each component; of identical rows one.
+
+    A row without an id is a document of its own here: its text stands in for an id (62 bits of it, below all ids), so
+    that near copies among such rows go as well.
+    """
     own = docs.columns
     text = F.coalesce(F.col("row.text"), F.lit(""))
+    stand_in = F.lit(NO_ID) + F.xxhash64(F.lit(2), text).bitwiseAND(F.lit(2**62 - 1))
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row")).select(
-        "row",
-        F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
-        F.xxhash64(text).bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("row_key"),
+        "row", F.coalesce(F.col("row.doc_id").cast("long"), stand_in).alias("doc_id"), F.col("row.text").alias("text")
     )
-    same = Window.partitionBy("doc", "row_key").orderBy(F.lit(1))
-    once = packed.join(kept, ["doc", "row_key"], "left_semi").withColumn("nth", F.row_number().over(same)).where("nth = 1")
+    kept = clusters(packed.select("doc_id", "text")).where(F.col("doc") == F.col("component")).select(*ROW).distinct()
+    named = keyed(packed, "row")
+    same = Window.partitionBy(*ROW).orderBy(F.lit(1))
+    once = named.join(kept, ROW, "left_semi").withColumn("nth", F.row_number().over(same)).where("nth = 1")
     return once.select(*(F.col(f"row.`{c}`").alias(c) for c in own))
 
 

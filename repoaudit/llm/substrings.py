@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repoaudit.llm.common import discard, documents, keyed, real_id, stage, texts
+from repoaudit.llm.common import ROW, discard, documents, keyed, real_id, stage, texts
 from repoaudit.llm.groups import ROWS, shared
 from repoaudit.llm.wordhash import SECOND, window_hashes, word_numbers
 
@@ -35,16 +35,17 @@ COVER = (1, 5, 11, 24, 25, 27)
 WHOLE = 2**31 - 1
 
 
-def _batch(hi, lo, doc, slot):
+def _batch(hi, lo, doc, slot, row):
     as_array = lambda parts: pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64))
-    return pa.RecordBatch.from_arrays([as_array(x) for x in (hi, lo, doc, slot)], names=["hi", "lo", "doc", "slot"])
+    return pa.RecordBatch.from_arrays([as_array(x) for x in (hi, lo, doc, slot, row)], names=["hi", "lo", "doc", "slot", "key"])
 
 
 def _anchors(batches):
     at_cover = np.isin(np.arange(PERIOD), COVER)
     for batch in batches:
-        hi, lo, doc, slot = [], [], [], []
-        for d, r, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
+        hi, lo, doc, slot, row = [], [], [], [], []
+        ids, keys, rows = (batch.column(i).to_pylist() for i in (0, 1, 3))
+        for d, r, text, key in zip(ids, keys, texts(batch.column(2)), rows, strict=True):
             found = text.split()
             if len(found) < PASSAGE:
                 continue
@@ -56,15 +57,16 @@ def _anchors(batches):
             lo.append(np.r_[np.zeros(len(pos), np.int64), ends[1:]])
             doc.append(np.full(len(pos) + 1, d, np.int64))
             slot.append((r << 32) | np.r_[pos, WHOLE])
-        yield _batch(hi, lo, doc, slot)
+            row.append(np.full(len(pos) + 1, key, np.int64))
+        yield _batch(hi, lo, doc, slot, row)
 
 
 def _passages(batches):
     """Hashes of the passages that hold a shared anchor."""
     for batch in batches:
-        hi, lo, doc, slot = [], [], [], []
-        columns = [batch.column(i).to_pylist() for i in (0, 1)]
-        for d, r, text, anchors in zip(*columns, texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+        hi, lo, doc, slot, row = [], [], [], [], []
+        columns = [batch.column(i).to_pylist() for i in (0, 1, 3)]
+        for d, r, key, text, anchors in zip(*columns, texts(batch.column(2)), batch.column(4).to_pylist(), strict=True):
             numbers = word_numbers(text.split())
             last = len(numbers) - PASSAGE
             at = np.array(anchors, np.int64)
@@ -76,28 +78,29 @@ def _passages(batches):
             lo.append(window_hashes(numbers, PASSAGE, SECOND)[pos].view(np.int64))
             doc.append(np.full(len(pos), d, np.int64))
             slot.append((r << 32) | pos)
-        yield _batch(hi, lo, doc, slot)
+            row.append(np.full(len(pos), key, np.int64))
+        yield _batch(hi, lo, doc, slot, row)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """``doc, row_key, whole, starts``: rows whose words are repeated in whole, or from these starts on."""
+    """``doc, row_key, key, whole, starts``: rows whose words are repeated in whole, or from these starts on."""
     row_key = F.shiftright("slot", 32).cast("int").alias("row_key")
     pos = F.col("slot").bitwiseAND(F.lit(2**32 - 1)).cast("int")
     met, at = shared(keyed(docs).mapInArrow(_anchors, ROWS), "anchors", with_owner=True)
     per_doc = stage(
-        met.groupBy("doc", row_key).agg(
+        met.groupBy("doc", row_key, "key").agg(
             F.max((pos == WHOLE) & (F.col("doc") != F.col("owner"))).alias("whole"),
             F.collect_list(F.when(pos != WHOLE, pos)).alias("anchors"),
         ),
         "anchored",
     )
     discard(docs.sparkSession, at)
-    extend = per_doc.where(~F.col("whole") & (F.size("anchors") > 0)).select("doc", "row_key", "anchors")
-    rows = keyed(docs).join(extend, ["doc", "row_key"]).select("doc", "row_key", "text", "anchors")
+    extend = per_doc.where(~F.col("whole") & (F.size("anchors") > 0)).select(*ROW, "anchors")
+    rows = keyed(docs).join(extend, ROW).select("doc", "row_key", "text", "key", "anchors")
     gone, _ = shared(rows.mapInArrow(_passages, ROWS), "passages")
-    starts = gone.groupBy("doc", row_key).agg(F.collect_list(pos).alias("starts"))
-    return per_doc.where("whole").select("doc", "row_key", "whole", F.lit(None).cast("array<int>").alias("starts")).unionAll(
-        starts.select("doc", "row_key", F.lit(False), "starts")
+    starts = gone.groupBy("doc", row_key, "key").agg(F.collect_list(pos).alias("starts"))
+    return per_doc.where("whole").select(*ROW, "whole", F.lit(None).cast("array<int>").alias("starts")).unionAll(
+        starts.select(*ROW, F.lit(False), "starts")
     )
 
 
@@ -132,6 +135,6 @@ def _digests(batches):
 
 def op9_substring_dedup(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    rows = keyed(docs).join(repeated_passages(docs), ["doc", "row_key"], "left")
+    rows = keyed(docs).join(repeated_passages(docs), ROW, "left")
     rows = rows.select(real_id(F.col("doc")).alias("doc_id"), "text", "whole", "starts")
     return rows.mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -34,8 +34,11 @@ def test_shared_rows(spark, min_docs, with_owner):
     rows = sorted(set(rows))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
     try:
-        got, _ = shared(spark.createDataFrame(rows, ROWS).repartition(4), "t", min_docs, with_owner)
-        found = sorted((r.doc, r.slot, r.owner, r.owner_slot) for r in got.collect())
+        keyed = [(*r, 31 * r[2] + r[3] if abs(r[2]) < 1000 else 0) for r in rows]
+        got, _ = shared(spark.createDataFrame(keyed, ROWS).repartition(4), "t", min_docs, with_owner)
+        every = got.collect()
+        found = sorted((r.doc, r.slot, r.owner, r.owner_slot) for r in every)
+        assert all(r.key == (31 * r.doc + r.slot if abs(r.doc) < 1000 else 0) for r in every)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     assert found == brute(rows, min_docs, with_owner)
@@ -50,16 +53,16 @@ def test_stream_over_any_cut(cuts):
     said = []
     for a, b in zip(ends, ends[1:], strict=False):
         part = [rows[i : min(i + 2, b)] for i in range(a, b, 2)]
-        batches = (pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*p, strict=True)], names=list("abcd")) for p in part)
+        batches = (pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*((*r, 0) for r in p), strict=True)], names=list("abcde")) for p in part)
         for out in _stream(2, True)(batches):
             said += list(zip(*(c.to_pylist() for c in out.columns), strict=True))
     firsts = defaultdict(set)
-    for doc, slot, _, _, hi, _, kind in said:
+    for doc, slot, _, _, hi, _, kind, _ in said:
         if kind == SUMMARY:
             firsts[hi].add((doc, slot))
     known = {h: min(s) for h, s in firsts.items() if len({d for d, _ in s}) >= 2}
-    got = [(d, s, o, os) for d, s, o, os, _, _, k in said if k == DECIDED]
-    got += [(d, s, *known[hi]) for d, s, _, _, hi, _, k in said if k == OPEN and hi in known]
+    got = [(d, s, o, os) for d, s, o, os, _, _, k, _ in said if k == DECIDED]
+    got += [(d, s, *known[hi]) for d, s, _, _, hi, _, k, _ in said if k == OPEN and hi in known]
     assert sorted(got) == brute(rows, 2, True)
 
 

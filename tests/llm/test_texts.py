@@ -8,10 +8,11 @@ import re
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from repoaudit.llm import decontaminate, line_dedup, ngram_join, substrings
-from repoaudit.llm.common import real_id
+from repoaudit.llm.common import keyed, real_id
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -61,63 +62,6 @@ def test_line_in_every_document_keeps_the_last(make_docs):
     assert sum(n for _, _, n, _ in got) == 299 and (299, 2, 0, sha("the very same line for all of them\nown")) in got
 
 
-def components_by_hand(rows):
-    """``doc: (set size, component)``, all pairs compared."""
-    sets = {}
-    for doc, text in rows:
-        w = WORD.findall((text or "").translate(FOLD))
-        sets[doc] = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
-    root = {d: d for d in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    ids = sorted(sets)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {d: (len(sets[d]), find(d)) for d in sets}
-
-
-def test_texts_that_are_mostly_shared_passages(make_docs):
-    """Passages of all lengths in many texts, with own words around the threshold, some with parts of a second passage."""
-    rng = random.Random(7)
-    fresh = lambda k, tag: [f"{tag}{rng.randint(0, 10**9)}" for _ in range(k)]
-    passages, texts = [fresh(n, "p") for n in (50, 80, 120, 300)], []
-    for p in passages:
-        for k in (4, 8, 11, 14, 20, 30, 60):
-            for _ in range(9):
-                cut, own = p[rng.randint(0, 4) :], fresh(rng.randint(max(1, k - 2), k + 2), "o")
-                extra = rng.choice(passages)[: rng.randint(10, 50)] if rng.random() < 0.2 else []
-                texts.append(" ".join((own + cut if rng.random() < 0.5 else cut + own) + extra))
-    texts += [" ".join(fresh(rng.randint(5, 150), "z")) for _ in range(60)]
-    rng.shuffle(texts)
-    rows = list(enumerate(texts))
-    got = {r.doc: (r.n_shingles, r.component) for r in ngram_join.clusters(make_docs(rows, parts=40)).collect()}
-    assert got == components_by_hand(rows)
-
-
-def test_one_passage_in_many_texts_makes_few_candidates(make_docs, monkeypatch):
-    """No pair of them is similar; candidates do not grow with the square of their number."""
-    rng = random.Random(1)
-    fresh = lambda k: [f"w{rng.randint(0, 10**9)}" for _ in range(k)]
-    passage, seen = fresh(60), []
-    whole = ngram_join._Classes.linked
-
-    def counted(self, pairs, name):
-        seen.append(pairs.count())
-        return whole(self, pairs, name)
-
-    monkeypatch.setattr(ngram_join._Classes, "linked", counted)
-    rows = [(i, " ".join(passage + fresh(11))) for i in range(200)]
-    got = {r.doc: r.component for r in ngram_join.clusters(make_docs(rows, parts=100)).collect()}
-    assert got == {i: i for i in range(200)} and sum(seen) <= len(rows)
-
-
 def passages_by_hand(rows):
     n, first = substrings.PASSAGE, {}
     words = [(doc, WORD.findall(text or "")) for doc, text in rows]
@@ -133,7 +77,7 @@ def passages_by_hand(rows):
 
 
 def run_passages(docs):
-    rows = substrings.keyed(docs).join(substrings.repeated_passages(docs), ["doc", "row_key"], "left")
+    rows = substrings.keyed(docs).join(substrings.repeated_passages(docs), substrings.ROW, "left")
     rows = rows.select(real_id(F.col("doc")).alias("doc_id"), "text", "whole", "starts")
     return [tuple(r) for r in rows.mapInArrow(substrings._digests, "doc_id long, n_words long, n_removed long, kept_sha256 string").collect()]
 
@@ -217,6 +161,40 @@ def test_near_duplicates(make_docs, monkeypatch, bucket):
     assert sorted(run_join(make_docs(rows))) == components_by_hand(rows)
 
 
+def test_texts_that_are_mostly_shared_passages(make_docs):
+    """Passages of all lengths in many texts, with own words around the threshold, some with parts of a second passage."""
+    rng = random.Random(7)
+    fresh = lambda k, tag: [f"{tag}{rng.randint(0, 10**9)}" for _ in range(k)]
+    passages, texts = [fresh(n, "p") for n in (50, 80, 120, 300)], []
+    for p in passages:
+        for k in (4, 8, 11, 14, 20, 30, 60):
+            for _ in range(9):
+                cut, own = p[rng.randint(0, 4) :], fresh(rng.randint(max(1, k - 2), k + 2), "o")
+                extra = rng.choice(passages)[: rng.randint(10, 50)] if rng.random() < 0.2 else []
+                texts.append(" ".join((own + cut if rng.random() < 0.5 else cut + own) + extra))
+    texts += [" ".join(fresh(rng.randint(5, 150), "z")) for _ in range(60)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert sorted(run_join(make_docs(rows, parts=40))) == components_by_hand(rows)
+
+
+def test_one_passage_in_many_texts_makes_few_candidates(make_docs, monkeypatch):
+    """No pair of them is similar; candidates do not grow with the square of their number."""
+    rng = random.Random(1)
+    fresh = lambda k: [f"w{rng.randint(0, 10**9)}" for _ in range(k)]
+    passage, seen = fresh(60), []
+    whole = ngram_join._Classes.linked
+
+    def counted(self, pairs, name):
+        seen.append(pairs.count())
+        return whole(self, pairs, name)
+
+    monkeypatch.setattr(ngram_join._Classes, "linked", counted)
+    rows = [(i, " ".join(passage + fresh(11))) for i in range(200)]
+    got = {r.doc: r.component for r in ngram_join.clusters(make_docs(rows, parts=100)).collect()}
+    assert got == {i: i for i in range(200)} and sum(seen) <= len(rows)
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     got = Counter(run_join(odd_docs))
     assert got[(3, 1, 3)] == 2 and got[(4, 2, 4)] == 1 and got[(5, 2, 4)] == 1 and got[(1, 0, 1)] == 1
@@ -269,3 +247,41 @@ def test_decontamination_spans_and_empty_tables(spark, make_docs, odd_docs, no_d
     assert [(r.doc_id, "Zero, ONE -- two\nthree!"[r.spans[0].start : r.spans[0].end]) for r in got] == [(1, "ONE -- two\nthree")]
     assert decontaminate.scanned(no_docs, bench).count() == 0
     assert decontaminate.scanned(odd_docs, bench.limit(0)).count() == odd_docs.count()
+
+
+@pytest.fixture(scope="module")
+def alike():
+    """Two different texts that agree in the 31 bits which a row carries beside its position."""
+    seen = {}
+    for i in range(400_000):
+        text = f"the first line of the text number {i}\n" + " ".join(f"w{i}x{j}" for j in range(60))
+        low = xxhash.xxh64_intdigest(text.encode(), 42) & (2**31 - 1)
+        if low in seen:
+            return seen[low], text
+        seen[low] = text
+    raise AssertionError("no collision")
+
+
+def test_rows_that_share_a_short_key_stay_apart(spark, make_docs, alike):
+    a, b = alike
+    keys = keyed(make_docs([(None, a), (None, b)])).collect()
+    assert len({r.row_key for r in keys}) == 1 and len({r.key for r in keys}) == 2
+    line = a.split("\n")[0]
+    lines = run_lines(make_docs([(None, a), (None, b), (1, line), (2, line)]))
+    assert sorted(n for d, _, n, _ in lines if d is None) == [0, 1]
+    words = run_passages(make_docs([(5, a), (5, b), (1, a.split("\n")[1])]))
+    assert sorted(n for d, _, n, _ in words if d == 5) == [0, 60]
+    kept = ngram_join.representatives(make_docs([(None, a), (None, b)])).collect()
+    assert {r.text for r in kept} == {a, b}
+    bench = spark.createDataFrame([(1, a.split("\n")[1]), (2, "no such words here at all")], "item_id long, text string")
+    hits = decontaminate.scanned(make_docs([(None, a), (None, b)]), bench, 10)
+    assert sorted((r.n_words, r.n_hit) for r in hits.collect()) == [(68, 0), (68, 60)]
+
+
+def test_near_copies_without_an_id_are_reduced_to_one(make_docs):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    near = [" ".join(base[:k] + ["other"] + base[k + 1 :]) for k in (3, 50, 97)]
+    rows = [(None, " ".join(base)), *((None, t) for t in near), (None, near[0]), (None, "a text of its own that has nobody like it"), (9, " ".join(base))]
+    kept = ngram_join.representatives(make_docs(rows)).collect()
+    assert len(kept) == 2 and {len((r.text or "").split()) for r in kept} == {100, 10} and all(r.doc_id is None for r in kept)
