@@ -267,15 +267,19 @@ def _late_pairs(classes: "_Classes", rows: DataFrame) -> list[DataFrame]:
     often = F.transform(F.filter("t", lambda x: x["c"] > BUCKET), lambda x: x["hi"])
     mostly = stage(ordered_sets.where("n_rare < prefix").select("node", "label", "n", often.alias("part")), "late-parts")
     smallest = F.min(F.struct("n", "node", "label")).alias("m")
-    groups = stage(mostly.groupBy("part").agg(smallest).select("part", F.size("part").alias("p"), "m.*"), "late-classes")
+    one_label = F.when(F.min("label") == F.max("label"), F.min("label")).alias("only")  # no label: its documents are of several components
+    groups = stage(mostly.groupBy("part").agg(smallest, one_label).select("part", F.size("part").alias("p"), "m.*", "only"), "late-classes")
     own = mostly.join(groups.select("part", "p", F.col("n").alias("n_m"), F.col("node").alias("node_m"), F.col("label").alias("label_m")), "part")
     stars = own.where("node <> node_m AND label <> label_m AND 9 * p >= 4 * (n + n_m)").select(
         F.least("node", "node_m").alias("node_a"), F.greatest("node", "node_m").alias("node_b")
     )
 
     needed = F.expr("cast(p - (4 * n + 4) div 5 + 1 as int)")
-    heads = groups.where(needed > 0).select("node", "n", F.explode(F.slice("part", F.lit(1), needed)).alias("hi"))
-    found = side(heads, "a").join(side(heads, "b"), "hi").where(alike).select("node_a", "node_b").distinct()
+    heads = groups.where(needed > 0).select("node", "n", "p", "only", F.posexplode(F.slice("part", F.lit(1), needed)).alias("at", "hi"))
+    # of two components; the first shingle that a similar pair shares leaves room for all others
+    apart = "NOT (only_a <=> only_b AND only_a IS NOT NULL)"
+    room = "9 * least(p_a - at_a, p_b - at_b) >= 4 * (n_a + n_b)"
+    found = side(heads, "a").join(side(heads, "b"), "hi").where(f"{apart} AND {alike} AND {room}").select("node_a", "node_b").distinct()
     whole = groups.select("node", "label", "n", "part")
     both = found.join(side(whole, "a"), "node_a").join(side(whole, "b"), "node_b").withColumn("o", F.size(F.array_intersect("part_a", "part_b")))
     pairs = stage(both.where("9 * o >= 4 * (n_a + n_b)").select("node_a", "node_b", "n_a", "n_b", "label_a", "label_b", "o"), "late-class-pairs")
