@@ -73,18 +73,18 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, min(r.r) AS component_i
 FROM doc d LEFT JOIN size s ON d.doc_id = s.doc_id JOIN reach r ON d.doc_id = r.doc_id GROUP BY d.doc_id, s.n"""
 
 _MEASURES = {
-    "symbol_rate": ("n_symbols * 10000 // n_words", 1000),
-    "dup_line_rate": ("n_dup_lines * 100000 // n_words", 3000),
-    "repeat_rate": ("n_repeat_words * 10000 // n_words", 3000),
-    "mean_chars": ("word_chars * 10 // n_words", 20),
+    "symbol_rate": ("(n_symbols + 1) * 1000000 // word_chars", 2),
+    "dup_line_rate": ("(n_dup_lines + 1) * 1000000 // n_words", 3),
+    "mean_chars": ("word_chars * 1000 // n_words", 5),
 }
 
 
 def _quartiles(name: str, keys: str) -> str:
-    """First and third quartile of merged sketches: the bucket at which a quarter, and three, have been seen."""
+    """First and third quartile of merged sketches: where the bucket begins at which a quarter has been seen, and the one of three quarters ends."""
     by = f"{keys}, " if keys else ""
+    end = "min(bucket + (1::BIGINT << greatest(length(bin(bucket)) - 8, 0)) - 1)"
     return (
-        f"{name} AS (SELECT {by}measure, max(n) AS n, min(bucket) FILTER (WHERE seen * 4 >= n) AS q1, min(bucket) FILTER (WHERE seen * 4 >= n * 3) AS q3 FROM "
+        f"{name} AS (SELECT {by}measure, max(n) AS n, (min(bucket) FILTER (WHERE seen * 4 >= n))::DOUBLE AS q1, ({end} FILTER (WHERE seen * 4 >= n * 3))::DOUBLE AS q3 FROM "
         f"(SELECT {by}measure, bucket, sum(sum(c)) OVER (PARTITION BY {by}measure ORDER BY bucket) AS seen, sum(sum(c)) OVER (PARTITION BY {by}measure) AS n FROM sketch GROUP BY {by}measure, bucket) GROUP BY {by}measure)"
     )
 
@@ -99,20 +99,21 @@ WITH doc AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {WORDS} AS w,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM doc d LEFT JOIN rep ON d.doc_id = rep.doc_id),
  rows AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, """
-    + ", ".join(f"CASE WHEN n_words > 0 THEN {e} END AS {m}" for m, (e, _) in _MEASURES.items())
+    + ", ".join(f"CASE WHEN n_words > 0 THEN greatest({e}, 1) END AS {m}" for m, (e, _) in _MEASURES.items())
     + """ FROM counted),
  long AS ("""
     + " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM rows WHERE NOT base_failed" for m in _MEASURES)
     + """),
- sketch AS (SELECT lang, source, measure, (v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) AS bucket, count(*) AS c FROM long GROUP BY 1, 2, 3, 4),
+ sketch AS (SELECT lang, source, measure, (v >> greatest(length(bin(v)) - 8, 0)) << greatest(length(bin(v)) - 8, 0) AS bucket, count(*) AS c FROM long GROUP BY 1, 2, 3, 4),
  """
     + ", ".join([_quartiles("own", "lang, source"), _quartiles("per_lang", "lang"), _quartiles("of_all", "")])
     + """,
  picked AS (SELECT o.lang, o.source, o.measure, CASE WHEN o.n >= 100 THEN o.q1 WHEN p.n >= 100 THEN p.q1 ELSE g.q1 END AS q1, CASE WHEN o.n >= 100 THEN o.q3 WHEN p.n >= 100 THEN p.q3 ELSE g.q3 END AS q3
   FROM own o JOIN per_lang p ON o.lang IS NOT DISTINCT FROM p.lang AND o.measure = p.measure JOIN of_all g ON o.measure = g.measure),
+ ratio AS (SELECT *, q3 / q1 AS r FROM picked),
  fence AS (SELECT lang, source, """
-    + ", ".join(f"max(q3 + greatest({slack}, 3 * (q3 - q1))) FILTER (WHERE measure = '{m}') AS most_{m}" for m, (_, slack) in _MEASURES.items())
-    + """, max(q1 - greatest(20, 3 * (q3 - q1))) FILTER (WHERE measure = 'mean_chars') AS least FROM picked GROUP BY 1, 2)
+    + ", ".join(f"max(q3 * ({' * '.join(['r'] * reach)})) FILTER (WHERE measure = '{m}') AS most_{m}" for m, (_, reach) in _MEASURES.items())
+    + """, max(q1 / (r * r * r * r * r)) FILTER (WHERE measure = 'mean_chars') AS least FROM ratio GROUP BY 1, 2)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(mean_chars >= least AND """
     + " AND ".join(f"{m} <= most_{m}" for m in _MEASURES)
     + """, true) AS kept

@@ -1,19 +1,23 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches per language and source.
 
-Counts of a text are taken in one pass. Each measure (an integer, a rate per 10 000 words where it depends on length)
-goes to a sketch of logarithmic buckets: a value keeps its five leading bits, so a bucket is at most a sixteenth wide
-and sketches merge by adding counts. A group's fences are Tukey's (three interquartile ranges beyond the quartiles,
-and no nearer to them than a slack that clean text needs), read off the sketch of its language and source, or of its language,
-or of all texts where the finer group has fewer than ``LEAST`` texts. Texts join their group's fences and fail
-outside them. Texts that fail the base rules do not enter sketches. Repeated words have no fence: the base rule alone
-decides on them.
+Counts of a text are taken in one pass. Each measure is a whole number above zero (rates count one occurrence more
+than there are, so that texts without any still differ by their length) and goes to a sketch of logarithmic buckets: a
+value keeps its eight leading bits, so a bucket is at most a 128th wide and sketches merge by adding counts. Fences are
+Tukey's on the scale of ratios: the third quartile times the ratio of the quartiles to the power of the measure's reach,
+and for the mean word length the first quartile divided by it. Quartiles are those of the text's language and source,
+or of its language, or of all texts where the finer group has fewer than ``LEAST`` texts. No threshold is a constant.
+Texts join their group's fences and fail outside them. Texts that fail the base rules do not enter sketches. Repeated words have no
+fence: the base rule alone decides on them.
 
 Defined cases: a null or empty text has no words and fails the base rules; null languages and sources are groups of
-their own.
+their own; repeated rows count as often as they occur; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import mul
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,10 +31,10 @@ SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
 #: Texts a group needs for fences of its own.
 LEAST = 100
-#: Interquartile ranges beyond the quartiles.
-REACH = 3
-#: How far a fence is from its quartile at least, in the measure's unit.
-SLACK = {"symbol_rate": 1000, "dup_line_rate": 3000, "mean_chars": 20}
+#: Ratios of the quartiles beyond the quartiles.
+REACH = {"symbol_rate": 2, "dup_line_rate": 3, "mean_chars": 5}
+#: Leading bits that a value keeps in a sketch.
+BITS = 8
 COUNTED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -67,15 +71,20 @@ def _counts(batches):
 
 
 def bucket(value: Column) -> Column:
-    """The value with all but its five leading bits cleared."""
-    drop = F.greatest(F.length(F.bin(value)) - 5, F.lit(0))
+    """The value with all but its leading bits cleared."""
+    drop = F.greatest(F.length(F.bin(value)) - BITS, F.lit(0))
     return F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop)
 
 
+def bucket_end(start: Column) -> Column:
+    """The largest value of a bucket."""
+    return start + F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(start)) - BITS, F.lit(0))) - 1
+
+
 MEASURES = {
-    "symbol_rate": "n_symbols * 10000 div n_words",
-    "dup_line_rate": "n_dup_lines * 100000 div n_words",
-    "mean_chars": "word_chars * 10 div n_words",
+    "symbol_rate": "(n_symbols + 1) * 1000000 div word_chars",
+    "dup_line_rate": "(n_dup_lines + 1) * 1000000 div n_words",
+    "mean_chars": "word_chars * 1000 div n_words",
 }
 
 
@@ -88,7 +97,7 @@ def counts(docs: DataFrame) -> DataFrame:
     return rows.select(
         "*",
         failed.alias("base_failed"),
-        *(F.when(F.col("n_words") > 0, F.expr(e)).alias(m) for m, e in MEASURES.items()),
+        *(F.when(F.col("n_words") > 0, F.greatest(F.expr(e), F.lit(1))).alias(m) for m, e in MEASURES.items()),
     )
 
 
@@ -108,7 +117,7 @@ def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     parts = merged.groupBy(*keys, "measure").agg(
         F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("parts")
-    )  # a sketch has at most 16 buckets for each of 64 powers of two
+    )  # a sketch has at most 128 buckets for each of 64 powers of two
 
     def at(share: float) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("hit"))
@@ -122,31 +131,25 @@ def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
             lambda s: s["hit"],
         )
 
-    return parts.select(*keys, "measure", "n", at(0.25).alias("low"), at(0.75).alias("high"))
+    return parts.select(*keys, "measure", "n", at(0.25).alias("low"), bucket_end(at(0.75)).alias("high"))
 
 
 def fences(sketch: DataFrame) -> DataFrame:
     """One row per language and source with an upper fence per measure and a lower one for the mean word length."""
-    own = quartiles(sketch, "lang", "source")
-    per_lang = quartiles(sketch, "lang").select(
-        F.col("lang").alias("p_lang"), F.col("measure").alias("p_measure"), *(F.col(c).alias(f"p_{c}") for c in ("n", "low", "high"))
-    )
-    of_all = quartiles(sketch).select(F.col("measure").alias("a_measure"), *(F.col(c).alias(f"a_{c}") for c in ("low", "high")))
+    named = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns))
+    own, per_lang, of_all = quartiles(sketch, "lang", "source"), named(quartiles(sketch, "lang"), "p"), named(quartiles(sketch), "a")
     joined = own.join(
         per_lang, F.col("lang").eqNullSafe(F.col("p_lang")) & (F.col("measure") == F.col("p_measure"))
     ).join(of_all, F.col("measure") == F.col("a_measure"))
 
     def pick(c: str) -> Column:
         coarse = F.when(F.col("p_n") >= LEAST, F.col(f"p_{c}")).otherwise(F.col(f"a_{c}"))
-        return F.when(F.col("n") >= LEAST, F.col(c)).otherwise(coarse)
-
-    reach = lambda m: F.greatest(F.lit(SLACK[m]), REACH * (F.col("q3") - F.col("q1")))
-    wide = joined.select("lang", "source", "measure", pick("low").alias("q1"), pick("high").alias("q3"))
-    upper = [
-        F.max(F.when(F.col("measure") == m, F.col("q3") + reach(m))).alias(f"most_{m}")
-        for m in MEASURES
-    ]
-    lower = F.max(F.when(F.col("measure") == "mean_chars", F.col("q1") - reach("mean_chars")))
+        return F.when(F.col("n") >= LEAST, F.col(c)).otherwise(coarse).cast("double")
+
+    wide = joined.select("lang", "source", "measure", pick("low").alias("q1"), pick("high").alias("q3")).withColumn("r", F.col("q3") / F.col("q1"))
+    times = lambda m: reduce(mul, [F.col("r")] * REACH[m])
+    upper = [F.max(F.when(F.col("measure") == m, F.col("q3") * times(m))).alias(f"most_{m}") for m in MEASURES]
+    lower = F.max(F.when(F.col("measure") == "mean_chars", F.col("q1") / times("mean_chars")))
     return wide.groupBy("lang", "source").agg(*upper, lower.alias("least_mean_chars"))
 
 
