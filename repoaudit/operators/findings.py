@@ -130,23 +130,24 @@ def top_findings(found: DataFrame, n: int, by: list[str] | None = None) -> DataF
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def number_within(df: DataFrame, group: str, order: list[str], out: str = "seq") -> DataFrame:
+def number_within(df: DataFrame, group: str | list[str], order: list[str], out: str = "seq") -> DataFrame:
     """Running number per group in a total order, without gathering a group in one task.
 
     Rows are range partitioned on (group, order), numbered inside each partition, and
     shifted by the counts of the earlier partitions. Only the (partition, group) counts
     meet in one place: one row per pair that occurs together, however large a group is.
     """
+    groups = [group] if isinstance(group, str) else group
     placed = stage(
-        df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()), f"number-{out}"
+        df.repartitionByRange(*groups, *order).withColumn("_part", F.spark_partition_id()), f"number-{out}"
     )
-    inside = Window.partitionBy("_part", group).orderBy(*order)
-    counts = placed.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy("_part", *groups).orderBy(*order)
+    counts = placed.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(*groups, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     return (
         placed.withColumn("_rn", F.row_number().over(inside))
-        .join(shifts, [group, "_part"])
+        .join(shifts, [*groups, "_part"])
         .withColumn(out, (F.col("_rn") + F.col("_shift")).cast("int"))
         .drop("_rn", "_shift", "_part")
     )
@@ -190,13 +191,22 @@ def top_values(df: DataFrame, keys: list[str], value: str, order: str, n: int) -
     )
 
 
+def first_places(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """Distinct values per key and where each occurred first."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(order).alias("first"))
+
+
+def ordered_distinct_rows(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """Distinct values per key as rows, numbered by first occurrence; no list, whatever their number."""
+    return number_within(first_places(df, keys, value, order), keys, ["first", value]).drop("first")
+
+
 def ordered_distinct(df: DataFrame, keys: list[str], value: str, order: str, out: str) -> DataFrame:
-    """Distinct values per key in order of first occurrence.
+    """Distinct values per key in order of first occurrence, as one list.
 
-    Values are reduced to one row each before the list is built, so the list holds
-    distinct values only.
+    For values that a rule table or catalog bounds; ``ordered_distinct_rows`` keeps any number of them.
     """
-    firsts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(order).alias("first"))
+    firsts = first_places(df, keys, value, order)
     pairs = F.array_sort(F.collect_list(F.struct("first", F.col(value).alias("v"))))
     return firsts.groupBy(*keys).agg(F.transform(pairs, lambda s: s["v"]).alias(out))
 

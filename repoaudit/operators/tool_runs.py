@@ -6,12 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoaudit.functions.paths import strings
+from repoaudit.operators.findings import number_within
 
 ISSUES_SCHEMA = "struct<issues: array<map<string, string>>>"
 
 
+def tool_details(runs: DataFrame) -> DataFrame:
+    """``repo_id, tool, seq, detail``: the details of all batches of a tool in order, as numbered rows.
+
+    The detail lists of single batches are spread and numbered over ranges, so a tool with any number of them meets in
+    no task.
+    """
+    spread = runs.select("repo_id", "tool", "batch", F.posexplode("details").alias("pos", "detail"))
+    return number_within(spread, ["repo_id", "tool"], ["batch", "pos", "detail"]).select("repo_id", "tool", "seq", "detail")
+
+
 def merge_tool_runs(runs: DataFrame, expected: DataFrame | None = None) -> DataFrame:
-    """One run per repository and tool: worst status, summed issues, all details in order.
+    """One run per repository and tool: worst status, summed issues, all details in order as one list.
+
+    The list is for reports; ``tool_details`` gives the same details as rows.
 
     ``failed`` beats ``issues`` beats ``passed``. The exit code is that of the last run
     with the winning status. The details of one tool run are one list, as in its batches.

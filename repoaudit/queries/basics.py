@@ -247,6 +247,13 @@ def ordered_distinct_values(spark, sf):
     return d.withColumn("event_types", F.array_join("event_types", ","))
 
 
+@query("ordered_distinct_rows", "SELECT l_returnflag, l_linestatus, l_partkey, CAST(row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY f, l_partkey) AS INTEGER) AS seq FROM (SELECT l_returnflag, l_linestatus, l_partkey, min(l_orderkey) AS f FROM lineitem GROUP BY 1, 2, 3)")
+def ordered_distinct_rows(spark, sf):
+    """Parts of three large groups in order of first occurrence, as rows."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return FI.ordered_distinct_rows(li, ["l_returnflag", "l_linestatus"], "l_partkey", "l_orderkey")
+
+
 @query("top_value_lists", "SELECT user_id, string_agg(event_type, ',' ORDER BY rn) AS top FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) AS rn FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2)) WHERE rn <= 3 GROUP BY 1")
 def top_value_lists(spark, sf):
     t = FI.top_values(spark.read.parquet(f"{sf}/events.parquet"), ["user_id"], "event_type", "event_id", 3)

@@ -151,6 +151,15 @@ def tool_runs_merged(spark, sf):
     return m.withColumn("details", F.array_join("details", " | "))
 
 
+@query(
+    "tool_run_details",
+    "WITH " + D.tool_runs_cte() + ", fl AS (SELECT repo_id, tool, batch, unnest(details) AS detail, generate_subscripts(details, 1) AS i FROM tool_runs) "
+    "SELECT repo_id, tool, CAST(row_number() OVER (PARTITION BY repo_id, tool ORDER BY batch, i, detail) AS INTEGER) AS seq, detail FROM fl",
+)
+def tool_run_details(spark, sf):
+    return T.tool_details(D.tool_runs(spark, sf))
+
+
 TOTALS = """iss AS (SELECT repo_id, tool, unnest(CAST(json_extract(payload, '$.issues') AS JSON[])) AS j FROM tool_runs WHERE json_valid(payload)),
  tot AS (SELECT repo_id, tool, key, sum(json_array_length(json_extract(j, '$.' || key))) AS total FROM (SELECT *, unnest(json_keys(j)) AS key FROM iss) WHERE key <> 'file' GROUP BY 1, 2, 3)"""
 
