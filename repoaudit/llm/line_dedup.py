@@ -5,7 +5,7 @@ range is streamed once, and the first document of a hash keeps its lines. What c
 compressed bitmap of the lines to keep, not text.
 
 Defined cases: null or empty text is one empty line; several rows with one id count as one document; rows without a
-dropped line have a null bitmap.
+dropped line have a null bitmap; repeated rows lose the same lines; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Running sums never gather a source in one task: the shuffle order is cut into bu
 bucket totals are added up over a table that has one row per source and bucket.
 
 Defined cases: null text has no words; the null source is a source like any other, last in order; rows without words
-are never taken and have no finish time beyond their predecessor's; identical rows are documents of their own.
+are never taken and have no finish time beyond their predecessor's; identical rows are documents of their own;
+an empty table has no targets and gives no rows. Extra columns are passed through.
 """
 
 from __future__ import annotations

@@ -22,7 +22,8 @@ consist mostly of such shingles are compared by their rare shingles and, as clas
 classes: many different sets of frequent shingles that are nearly, but not quite, similar.
 
 Defined cases: texts without words have an empty set and no links; texts of one to four words have one shingle; several
-rows with one id are one document with the sets of all; a null id is one id, below all others.
+rows with one id are one document with the sets of all; a null id is one id, below all others (in ``representatives`` a row
+without an id is a document of its own); an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ Factors are fitted piecewise, on the mentions of at most ``FIT_ROWS`` texts chos
 are labelled; no text is cut.
 
 Defined cases: a null or empty text has no spans; identical rows get identical spans; without mentions to fit on,
-only base spans are returned.
+only base spans are returned; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ copy of a smaller document's text needs no extension.
 Both rounds sort hashes over ranges (see ``groups``); no pairs are formed and no group is gathered.
 
 Defined cases: null or empty texts have no words and keep none; texts shorter than a passage stay whole; rows with
-equal ids take nothing from each other.
+equal ids take nothing from each other; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ bytes less merges. Texts are cut into chunks that cannot influence each other, s
 worker's memory is merged once.
 
 Defined cases: a null or empty text has no bytes and no tokens. Special strings inside a text are single tokens, as
-the tokenizer's library treats them by default.
+the tokenizer's library treats them by default. Repeated rows get equal counts; an empty table gives no rows. Extra
+columns are not read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ Distinct pieces of a text (see ``chunks``) are encoded once while a worker remem
 inside is encoded whole.
 
 Defined cases: a null or empty text is the end id alone; rows with null ids come first; rows with equal ids follow
-each other in text order, each with a place of its own.
+each other in text order, each with a place of its own; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
