@@ -3,6 +3,10 @@
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that the one before it kept. All but the last return
 the columns of their input. SQL can express neither the fitted trees of the first stage nor the tokenizer of the last,
 so there is no statement for the whole.
+
+Defined cases: a null text is an empty one and goes through all stages; a null id is below all others, and in the near
+duplicates a row without an id is a document of its own; of identical rows one stays there; ties go to the smaller id;
+an empty table gives no rows; columns of any other name are passed through up to the last stage.
 """
 
 from __future__ import annotations
