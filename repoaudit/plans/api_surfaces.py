@@ -161,22 +161,34 @@ def candidates(ev: DataFrame) -> DataFrame:
     occurrence breaking ties. A repository has at most as many rows as the rule table has
     distinct keys.
     """
-    k = keyed(ev)
-    agg = k.groupBy(*KEY).agg(
-        F.min("at").alias("first"),
+    # one count for each language and SDK of a key, then one row a key: the rule table bounds what meets there
+    parts = keyed(ev).groupBy(*KEY, "language", "sdk").agg(
+        F.min("at").alias("at"),
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("strength") == "strong").alias("strong"),
         F.bool_or(F.col("kind") == "manifest-package").alias("manifest"),
         F.bool_or(F.col("kind") == "base-url").alias("host"),
     )
+    rows = parts.groupBy(*KEY).agg(
+        F.min("at").alias("first"),
+        F.sum("n").alias("n"),
+        F.sum("strong").alias("strong"),
+        F.bool_or("manifest").alias("manifest"),
+        F.bool_or("host").alias("host"),
+        F.collect_list(F.struct("language", "sdk", "n", "at")).alias("parts"),
+    )
 
-    def mode(col: str, out: str) -> DataFrame:
-        # per value: count and first place, then the best value by (count, earliest)
-        c = k.where(F.col(col).isNotNull()).groupBy(*KEY, col).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
-        w = Window.partitionBy(*KEY).orderBy(F.desc("n"), "at")
-        return c.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(*KEY, F.col(col).alias(out))
-
-    rows = agg.join(mode("language", "language"), KEY).join(mode("sdk", "primary_sdk"), KEY)
+    def mode(field: str) -> Column:
+        """The value with the most evidence, the earliest of equals."""
+        having = lambda v: F.filter("parts", lambda x: x[field] == v)
+        total = lambda v: F.aggregate(having(v), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+        values = F.filter(F.array_distinct(F.transform("parts", lambda x: x[field])), lambda v: v.isNotNull())
+        ranked = F.transform(
+            values, lambda v: F.struct((-total(v)).alias("k"), F.array_min(F.transform(having(v), lambda x: x["at"])).alias("at"), v.alias("v"))
+        )
+        return F.array_min(ranked)["v"]
+
+    rows = rows.withColumns({"language": mode("language"), "primary_sdk": mode("sdk")})
     named = F.col("provider") != ""
     level = (
         F.when(named & (F.col("strong") > 0), "provider-resolved")

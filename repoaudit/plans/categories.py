@@ -95,16 +95,45 @@ def counters(files: DataFrame, domain: str) -> DataFrame:
     return files.select("repo_id").distinct().join(found, "repo_id", "left").fillna(0, zero)
 
 
+def history_content(history: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Commits and contents of ``repo_id, commit, path, text``: a file that many commits leave as it is is one content.
+
+    ``repo_id, commit, path, blob`` and ``path, blob, text``; a content is its SHA-256. Callers that hold history by
+    content already pass such tables themselves.
+    """
+    named = history.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("blob", F.sha2("text", 256))
+    return named.select("repo_id", "commit", "path", "blob"), named.groupBy("path", "blob").agg(F.any_value("text").alias("text"))
+
+
+def content_hits(blobs: DataFrame) -> DataFrame:
+    """``path, blob, hits, line``: contents with secret material; every content is scanned once."""
+    rows = blobs.select(F.col("blob").alias("repo_id"), "path", "text", F.octet_length("text").cast("long").alias("size_bytes"))
+    found = file_signals(rows, AUDITS[SECRET_DOMAIN]).where("n_material > 0")
+    return found.select("path", F.col("repo_id").alias("blob"), F.col("n_material").alias("hits"), F.col("at_material.line").alias("line"))
+
+
+def history_exposures(commits: DataFrame, hits: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """``repo_id, path, blob, hits, line, commits``: secret contents of each repository and how many commits hold them.
+
+    With ``files`` (the working tree) only contents that are no longer there as they were.
+    """
+    held = commits.join(hits, ["path", "blob"]).groupBy("repo_id", "path", "blob").agg(
+        F.min("hits").alias("hits"), F.min("line").alias("line"), F.countDistinct("commit").alias("commits")
+    )
+    if files is None:
+        return held
+    now = files.select("repo_id", "path", F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
+    return held.join(now, ["repo_id", "path", "blob"], "left_anti")
+
+
 def with_history(rows: DataFrame, history: DataFrame | None) -> DataFrame:
-    """Secret hits in historical content; null (a trust gap) where no history was given."""
+    """Secret hits in historical content, each content of a repository once; null (a trust gap) where no history was given."""
     if history is None:
         return rows.withColumn("n_history", F.lit(None).cast("long"))
-    audit = AUDITS[SECRET_DOMAIN]
-    past = (
-        repo_counters(file_signals(history.withColumn("size_bytes", F.octet_length("text")), audit), audit)
-        .select("repo_id", F.col("n_material").alias("n_history"))
-    )
-    return rows.join(past, "repo_id", "left")
+    commits, blobs = history_content(history)
+    found = history_exposures(commits, content_hits(blobs)).groupBy("repo_id").agg(F.sum("hits").alias("n"))
+    past = commits.select("repo_id").distinct().join(found, "repo_id", "left")
+    return rows.join(past.select("repo_id", F.coalesce("n", F.lit(0)).alias("n_history")), "repo_id", "left")
 
 
 def states(rows: DataFrame, domain: str) -> DataFrame:

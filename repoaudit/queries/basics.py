@@ -331,3 +331,30 @@ def secret_history(spark, sf):
     return states.where("category = 'history-exposure'").select("repo_id", "category", "state")
 
 
+
+
+#: Text that two commits held and the tree no longer holds.
+LEAKED = "aws_key = " + "AKIA" + "QWERTYUIOPASDFGH"
+
+
+def commits_of(spark, sf):
+    """Four commits: in two of them every seventh file holds a key that the tree does not, the others are as the tree."""
+    files = corpus(spark, sf)
+    leaked = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("\n" + LEAKED))).otherwise(F.col("text"))
+    return files, files.select("repo_id", F.explode(F.array(*[F.lit(f"c{i}") for i in range(4)])).alias("commit"), "path", "text", leaked.alias("before")).select(
+        "repo_id", "commit", "path", F.when(F.col("commit").isin("c0", "c1"), F.col("before")).otherwise(F.col("text")).alias("text")
+    )
+
+
+@query(
+    "secret_history_exposures",
+    f"WITH {D.files_cte()}, old AS (SELECT f.repo_id, f.path, f.text || chr(10) || {sql_text(LEAKED)} AS text FROM files f JOIN documents d ON d.doc_id = TRY_CAST(regexp_extract(f.path, 'doc_(\\d+)', 1) AS BIGINT) WHERE d.doc_id % 7 = 0 "
+    "AND NOT regexp_matches(path, '(?:^|/)\\.council-runtime/(?:.*/)?site-packages/')), "
+    "ln AS (SELECT repo_id, path, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM (SELECT repo_id, path, string_split(text, chr(10)) AS ls FROM old)) "
+    f"SELECT repo_id, path, count(*)::BIGINT AS hits, min(n)::INT AS line, 2::BIGINT AS commits FROM ln WHERE {rx('line', RULE.hits)} AND NOT {rx('line', RULE.unless)} GROUP BY 1, 2",
+)
+def secret_history_exposures(spark, sf):
+    """Secret contents that commits hold and the tree no longer does."""
+    files, history = commits_of(spark, sf)
+    commits, blobs = CA.history_content(history)
+    return CA.history_exposures(commits, CA.content_hits(blobs), files).select("repo_id", "path", F.col("hits").cast("long").alias("hits"), "line", "commits")

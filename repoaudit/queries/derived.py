@@ -102,7 +102,9 @@ SNIPPETS = [
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    """The given file is a single row group, which one task would read and scan; its rows are dealt to all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    return rows.repartition(spark.sparkContext.defaultParallelism, "doc_id")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

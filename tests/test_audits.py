@@ -86,6 +86,21 @@ def test_test_quality(make_files):
     assert states["mock"]["mock-discipline"] == "watch" and states["mock"]["skip-retry-governance"] == "watch"
 
 
+def test_secrets_of_history_by_content(make_files, spark):
+    key = "k = AKIA" + "QWERTYUIOPASDFGH\n"
+    files = make_files({r: {"a.py": "x = 1\n", ".gitignore": ".env\n*.pem\n*.key\n"} for r in ("gone", "clean", "none")})
+    rows = [("gone", f"c{i}", "a.py", key if i < 3 else "x = 1\n") for i in range(5)] + [("clean", "c0", "a.py", "x = 1\n"), ("clean", "c1", "a.py", None)]
+    history = spark.createDataFrame(rows, "repo_id string, commit string, path string, text string")
+    states = categories.audit(files, "secrets-and-hardcode", history)[0].where("category = 'history-exposure'").collect()
+    assert {r.repo_id: r.state for r in states} == {"gone": "watch", "clean": "clean", "none": "watch"}
+    commits, blobs = categories.history_content(history)
+    assert blobs.count() == 3  # of seven rows
+    found = categories.history_exposures(commits, categories.content_hits(blobs), files).collect()
+    assert [(r.repo_id, r.path, r.hits, r.line, r.commits) for r in found] == [("gone", "a.py", 1, 1, 3)]
+    still = make_files({"gone": {"a.py": key}})
+    assert categories.history_exposures(commits, categories.content_hits(blobs), still).count() == 0
+
+
 def test_secrets_history_is_a_trust_gap(make_files, spark):
     files = make_files({"r": {"a.py": "key = 1\n", ".gitignore": ".env\n*.pem\n*.key\n"}, "leak": {"a.py": 'password = "hunter2hunter2"\ntoken = "${TOKEN}"\n'}})
     states, verdicts = states_of(files, "secrets-and-hardcode")
