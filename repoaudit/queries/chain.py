@@ -43,10 +43,11 @@ def rollup_runs_of_tree(spark, sf):
     )
 
 
+#: The first place of a category decides ties; a finding without a line stands at line 0.
 CHAINED = ("cleanup", "distributed-side-effects")
 _FOUND = {
-    "cleanup": with_files(CLEAN_CTE, GAP_CTE, select="SELECT repo_id, category, path, line FROM found UNION ALL SELECT repo_id, category, path, line FROM gaps"),
-    "distributed-side-effects": f"SELECT repo_id, category, path, line FROM ({ORACLES['side_effect_findings']})",
+    "cleanup": with_files(CLEAN_CTE, GAP_CTE, select="SELECT repo_id, category, path, coalesce(line, 0) AS line FROM found UNION ALL SELECT repo_id, category, path, coalesce(line, 0) FROM gaps"),
+    "distributed-side-effects": f"SELECT repo_id, category, path, coalesce(line, 0) AS line FROM ({ORACLES['side_effect_findings']})",
 }
 _VERDICTS = {"cleanup": ORACLES["cleanup_verdict"], "distributed-side-effects": ORACLES["side_effect_verdict"]}
 _BUCKET = "CASE domain || '/' || verdict " + " ".join(f"WHEN '{d}/{v}' THEN '{b}'" for d in CHAINED for v, b in C.VERDICT_BUCKETS[d].items()) + " END"
