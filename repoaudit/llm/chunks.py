@@ -24,6 +24,7 @@ AFTER_SPACE = tuple(" " + c for c in " " + PLAIN_WHITE)
 WORDS_KEPT, OTHERS_KEPT = 600_000, 60_000
 #: Marks that often end a chunk; each is a piece of its own behind a letter.
 END_MARKS = frozenset(".,;:!?")
+AFTER_SPACE = tuple(" " + c for c in " " + PLAIN_WHITE)
 
 
 def chunks(text: str) -> list[str]:
@@ -35,29 +36,18 @@ def chunks(text: str) -> list[str]:
 
 
 class Memory(dict):
-    """Key to value. ``fill`` computes a missing value.
-
-    Two generations: a full memory becomes the older one and what is still asked for moves over, so that frequent keys
-    stay and keys seen once go. Both together hold ``most`` keys.
-    """
+    """Key to value. ``fill`` computes a missing value; a full memory starts anew."""
 
     def __init__(self, fill, most: int):
         super().__init__()
-        self.fill, self.most = fill, most // 2
-        self.older: dict = {}
+        self.fill, self.most = fill, most
 
     def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.fill(key)
-        self.keep(key, value)
-        return value
-
-    def keep(self, key, value) -> None:
+        value = self.fill(key)
         if len(self) >= self.most:
-            self.older = dict(self)
             self.clear()
         self[key] = value
+        return value
 
 
 class Words(Memory):
@@ -70,16 +60,16 @@ class Words(Memory):
         self.mixed = Memory(lambda chunk: self.pieces(" " + chunk), OTHERS_KEPT)
 
     def __missing__(self, chunk):
-        value = self.older.get(chunk)
-        if value is None:
-            if not chunk.isalpha():
-                mark = chunk[-1:]
-                if mark in END_MARKS and (word := chunk[:-1]).isalpha():
-                    return self[word] + self.other[mark]
-                return self.mixed[chunk]
+        if chunk.isalpha():
             value = self.fill(" " + chunk)
-        self.keep(chunk, value)
-        return value
+            if len(self) >= self.most:
+                self.clear()
+            self[chunk] = value
+            return value
+        mark = chunk[-1:]
+        if mark in END_MARKS and chunk[:-1].isalpha():
+            return self[chunk[:-1]] + self.other[mark]
+        return self.mixed[chunk]
 
     def pieces(self, text: str):
         found = PIECES.findall(text)
