@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repoaudit.session import spread
 
 DIRS = [
     "src", "tests", "docs", ".github/workflows", "src/legacy", "contexts/orders/domain", "generated",
@@ -342,9 +343,8 @@ def summary_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the keys are tiny, so adaptive coalescing would leave the JSON work that follows to one task
-    cores = spark.sparkContext.defaultParallelism
-    keys = summary_keys(spark, sf_dir).repartition(cores, "repo_id", "domain")
+    # the keys are tiny, so adaptive coalescing would leave the JSON work that follows to few tasks
+    keys = summary_keys(spark, sf_dir).repartition(spread(spark), "k")
     return keys.select("repo_id", "domain", F.expr(SUMMARY_TEXT).alias("json"))
 
 

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, count, islice
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoaudit.functions import paths as P
 from repoaudit.rules.surface import SURFACES
 from repoaudit.schemas import FILES
-from repoaudit.session import stage
+from repoaudit.session import spread, stage
 
 
 def read_corpus(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFrame:
@@ -105,6 +110,65 @@ def write_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"written": [len(batch)]})
 
 
+def write_archives(rows: DataFrame, root: str) -> None:
+    """The tree of ``write_tree`` as members ``<repo_id>/<path>`` of compressed tar archives below ``root``.
+
+    For trees of many small files, each of which would take a block of the disk and another one for its directory. A
+    task writes an archive for every ``pack_files.members`` rows, named by its partition, so that a task that runs again
+    replaces its own archives.
+    """
+    out = rows.select("repo_id", "path", "text").withColumn("root", F.lit(root.rstrip("/")))
+    out.mapInArrow(pack_files, "written long").write.format("noop").mode("overwrite").save()
+
+
+def pack_files(batches: Iterator[pa.RecordBatch], members: int = 10_000) -> Iterator[pa.RecordBatch]:
+    part = TaskContext.get().partitionId()
+    rows = (r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns]))
+    for n in count():
+        first = next(rows, None)
+        if first is None:
+            return
+        fs, place = open_place(first[3])
+        fs.create_dir(place, recursive=True)
+        written = 0
+        with (
+            fs.open_output_stream(f"{place}/part-{part:05d}-{n:05d}.tar.gz", compression=None) as f,
+            tarfile.open(fileobj=f, mode="w|gz", compresslevel=1, format=tarfile.GNU_FORMAT, encoding="utf-8") as tar,
+        ):
+            for repo, path, text, _ in chain([first], islice(rows, members - 1)):
+                data = (text or "").encode()
+                info = tarfile.TarInfo(f"{repo}/{path}")
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+                written += 1
+        yield pa.RecordBatch.from_pydict({"written": [written]})
+
+
+def read_archives(spark: SparkSession, root: str) -> DataFrame:
+    """What ``write_archives`` wrote, as (repo_id, path, content); an archive is read by one task as a stream."""
+    top = spark.createDataFrame([("", root.rstrip("/"), "")], "repo_id string, place string, path string")
+    listed = top.mapInPandas(list_entries, ENTRIES).where("is_file").select("place")
+    return listed.repartition(spread(spark), "place").mapInArrow(unpack_files, "repo_id string, path string, content binary")
+
+
+def unpack_files(batches: Iterator[pa.RecordBatch], chunk: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Members in batches of ``chunk`` bytes."""
+    names = ["repo_id", "path", "content"]
+    for place in (p for batch in batches for p in batch.column("place").to_pylist()):
+        fs, base = open_place(place)
+        rows, size = [], 0
+        with fs.open_input_stream(base, compression=None) as f, tarfile.open(fileobj=f, mode="r|gz", encoding="utf-8") as tar:
+            for info in tar:
+                repo, _, path = info.name.partition("/")
+                rows.append((repo, path, tar.extractfile(info).read()))
+                size += info.size + 512
+                if size >= chunk:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+
+
 def open_place(place: str):
     return pafs.FileSystem.from_uri(place)
 

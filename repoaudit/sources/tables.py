@@ -9,6 +9,7 @@ from repoaudit.operators.rule_index import RULES
 from repoaudit.plans.rollup import bucket_of
 from repoaudit.rules import catalog
 from repoaudit.schemas import SEVERITIES
+from repoaudit.sources.corpus import read_archives
 
 ALIAS_SCHEMA = "package_aliases map<string, struct<provider: string, wrapper: string, surface_family: string, sdk: string>>, query_seeds map<string, array<string>>"
 CONTRACT_SCHEMA = "skill string, overall_verdicts array<string>, rollup_map map<string, string>"
@@ -50,6 +51,13 @@ def read_summary_tree(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(name(-3).alias("repo_id"), name(-2).alias("domain"), F.col("value").alias("json"))
 
 
+def read_summary_archives(spark: SparkSession, root: str) -> DataFrame:
+    """The documents of ``read_summary_tree`` where the tree is kept in archives (``corpus.write_archives``)."""
+    rows = read_archives(spark, root).where(F.substring_index("path", "/", -1) == "summary.json")
+    parts = F.split(F.concat_ws("/", "repo_id", "path"), "/")
+    return rows.select(F.element_at(parts, -3).alias("repo_id"), F.element_at(parts, -2).alias("domain"), F.col("content").cast("string").alias("json"))
+
+
 def read_summaries(spark: SparkSession, root: str, run_id: str | None = None, domains: list[str] | None = None) -> DataFrame:
     """What ``write_summaries`` wrote, as (repo_id, domain, run_id, json); runs and domains not asked for are not opened.
 

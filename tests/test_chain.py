@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from repoaudit.plans import chain, rollup
 from repoaudit.rules.catalog import DOMAINS, REQUIRED_SUMMARY_KEYS
 from repoaudit.sources import tables
-from repoaudit.sources.corpus import read_corpus, repositories, write_tree
+from repoaudit.sources.corpus import read_corpus, repositories, write_archives, write_tree
 
 FOUND = "repo_id string, path string, line int, category string, severity string"
 
@@ -127,6 +127,18 @@ def test_a_tree_of_summaries_keeps_names(spark, tmp_path):
     assert sorted(map(tuple, tables.read_summary_tree(spark, str(tmp_path / "t")).collect())) == sorted(rows)
 
 
+def test_summaries_in_archives_keep_names_and_take_no_block_each(spark, tmp_path):
+    named = [("r 1+%41", "cleanup", "{}"), ("r2", "module-shape", "{\nbroken"), ("é" * 120, "cleanup", "")]
+    rows = named + [(f"c{i}", "cleanup", '{"schema_version": "1.0"}') for i in range(500)]
+    df = spark.createDataFrame(rows, "repo_id string, domain string, json string").coalesce(2)
+    root = tmp_path / "t"
+    for _ in range(2):  # a repeated task replaces its archives
+        write_archives(df.select("repo_id", F.concat("domain", F.lit("/summary.json")).alias("path"), F.col("json").alias("text")), str(root))
+    assert sorted(map(tuple, tables.read_summary_archives(spark, str(root)).collect())) == sorted(rows)
+    files = [p for p in root.rglob("*") if p.is_file()]
+    assert len(files) == 2 and sum(p.stat().st_blocks * 512 for p in files) < 40 * len(rows)
+
+
 def test_every_audit_of_the_chain_writes_a_present_summary(spark, tmp_path, make_files):
     files = make_files({"r": {"src/a.py": "def f(x):\n    try:\n        return g(x)\n    except Exception:\n        pass\n", "tests/test_a.py": "def test_a():\n    assert 1\n"}, "bare": {"README.md": "# x\n"}})
     path = str(tmp_path / "s")
