@@ -85,8 +85,16 @@ def expand(rows: DataFrame, keys: list[str], found: Column) -> DataFrame:
     return rows.select(*keys, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select(*keys, "x.*")
 
 
-def validate_summaries(summaries: DataFrame) -> DataFrame:
-    """Keys, enumerations, types and cross-field rules of audit summaries (repo_id, domain, json)."""
+def least(rows: DataFrame, keys: list[str], found: Column) -> DataFrame:
+    """The first violation of each row alone, so that no sort ever holds the others."""
+    return expand(rows, keys, F.array(F.array_min(found)))
+
+
+def validate_summaries(summaries: DataFrame, first: bool = False) -> DataFrame:
+    """Keys, enumerations, types and cross-field rules of audit summaries (repo_id, domain, json).
+
+    ``first`` keeps the first violation of each row; ``first_violations`` then joins rows of one document.
+    """
     rows = summaries.select("repo_id", "domain", "json", F.try_parse_json("json").alias("v"))
     v, domain = F.col("v"), F.col("domain")
     text = lambda k: F.coalesce(at(v, f"$.{k}"), F.lit(""))
@@ -133,7 +141,8 @@ def validate_summaries(summaries: DataFrame) -> DataFrame:
         each(v, "$.categories", 26, state_checks),
     )
     broken = F.array(violation(0, "summary", "not a JSON object"))
-    return expand(rows, ["repo_id", "domain"], F.when(is_object, F.concat(F.array(*top), nested)).otherwise(broken))
+    keep = least if first else expand
+    return keep(rows, ["repo_id", "domain"], F.when(is_object, F.concat(F.array(*top), nested)).otherwise(broken))
 
 
 def validate_surface_summaries(summaries: DataFrame) -> DataFrame:

@@ -358,7 +358,7 @@ def validate_summaries(spark, sf):
 
 @query("validate_summaries_first", VCTES + f", vv AS ({SUMMARY_VIOLATIONS}) SELECT repo_id, domain, CAST(min(ord) AS INTEGER) AS ord FROM vv GROUP BY 1, 2")
 def validate_summaries_first(spark, sf):
-    return V.first_violations(V.validate_summaries(D.summaries(spark, sf)), ["repo_id", "domain"]).select("repo_id", "domain", "ord")
+    return V.first_violations(V.validate_summaries(D.summaries(spark, sf), first=True), ["repo_id", "domain"]).select("repo_id", "domain", "ord")
 
 
 SURF = """'{"audit_mode": "' || mode || '", "overall_verdict": "' || CASE WHEN doc_id % 7 = 0 THEN 'other' ELSE mode END || '", "dependency_status": "ready", "surface_resolution": [' || CASE WHEN doc_id % 5 = 0 THEN '' ELSE '{"surface_id": "s1", "resolution_level": "' || CASE WHEN doc_id % 6 = 0 THEN 'odd' ELSE 'ambiguous' END || '"}' END

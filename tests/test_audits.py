@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from repoaudit.operators.facts import parse_file, python_facts
+from repoaudit.operators.facts import parse_file, python_facts, small_parts
 from repoaudit.operators.findings import dedupe, number_within, severity_counts
 from repoaudit.operators.links import check_links
 from repoaudit.operators.windows import duplicate_stats
-from repoaudit.plans import categories, cleanup, domain_drift, module_shape, side_effects, silent_failure
+from repoaudit.plans import categories, cleanup, domain_drift, module_shape, side_effects, silent_failure, validation
 from repoaudit.plans.api_surfaces import alias_table, candidates, collect, detect, surface_rows, surfaces
 from repoaudit.sources.corpus import repositories, surface_coverage
 
@@ -302,3 +303,20 @@ def test_match_mark_in_a_source(make_files):
     from repoaudit.plans.silent_failure import detect_js
 
     assert detect_js(make_files({"r": {"a.ts": "let \u0001x = 2\n"}})).collect() == []
+
+
+def test_first_violation_of_a_document_leaves_its_row_alone(spark):
+    bad = '{"findings": [' + ", ".join(['{"line": 0}'] * 40) + "]}"
+    rows = [("r", "cleanup", bad), ("r", "cleanup", "nothing"), ("s", "cleanup", bad), ("t", "cleanup", None)]
+    df = spark.createDataFrame(rows, "repo_id string, domain string, json string")
+    keys = ["repo_id", "domain"]
+    least = validation.validate_summaries(df, first=True)
+    assert least.count() == len(rows)  # one row for each document row, not one for each violation
+    want = validation.first_violations(validation.validate_summaries(df), keys).collect()
+    assert sorted(validation.first_violations(least, keys).collect()) == sorted(want)
+
+
+def test_python_facts_leave_the_worker_in_small_parts():
+    batch = pd.DataFrame({"text": ["x = 1"] * 1000})
+    sizes = [len(p) for p in small_parts(iter([batch, batch.iloc[:3]]))]
+    assert max(sizes) == 64 and sum(sizes) == 1003
