@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -317,6 +317,6 @@ def test_first_violation_of_a_document_leaves_its_row_alone(spark):
 
 
 def test_python_facts_leave_the_worker_in_small_parts():
-    batch = pd.DataFrame({"text": ["x = 1"] * 1000})
-    sizes = [len(p) for p in small_parts(iter([batch, batch.iloc[:3]]))]
+    batch = pa.RecordBatch.from_pydict({"text": ["x = 1"] * 1000})
+    sizes = [p.num_rows for p in small_parts(iter([batch, batch.slice(0, 3)]))]
     assert max(sizes) == 64 and sum(sizes) == 1003
