@@ -5,8 +5,8 @@ id, one file per range. A row holds its ids, its place within its file and its f
 a document in the whole sequence follows from one short sum per file. Readers split files by stripe; a look-up by id
 prunes files and stripes by their statistics and Bloom filters.
 
-Distinct pieces of a text (see ``chunks``) are encoded once while a worker remembers them; a text with a special string
-inside is encoded whole.
+Texts are cut into chunks (see ``chunks``) by Arrow, a batch of texts at a time; each distinct chunk of a batch is looked
+up once, and its pieces are encoded once while a worker remembers them. A text with a special string inside is encoded whole.
 
 Defined cases: a null or empty text is the end id alone; rows with null ids come first; rows with equal ids follow
 each other in text order, each with a place of its own; an empty table gives no rows. Extra columns are not read.
@@ -14,21 +14,28 @@ each other in text order, each with a place of its own; an empty table gives no
 
 from __future__ import annotations
 
-import struct
+import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from repoaudit.llm.chunks import Chunked, byte_letters
+from repoaudit.llm.chunks import OTHER_WHITE, Chunked, byte_letters
 from repoaudit.llm.common import documents, narrow_batches, stage_path
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 0
 ROWS = "doc_id long, part int, place long, n_tokens long, ids array<int>"
+#: Texts whose chunks are held at once; a batch has few texts if they are long.
+PART_ROWS = 1024
+#: Begin a chunk that no space precedes: the head of a text, its end id, the number of a text encoded by itself.
+HEAD, END, WHOLE = "\x1c", "\x1d", "\x1e"
+#: White space that a cut at every space and line feed would tear apart, and the characters above.
+UNEVEN = f"[\t\x0b\x0c\r\x1c-\x1f{OTHER_WHITE}]|  | \n|\n\n| \\z"
 
 
 class Encoder:
@@ -42,19 +49,48 @@ class Encoder:
         self.letters = byte_letters()
         self.space = self.letters[32]
         self.plain = Chunked(self._piece, b"".join)
+        self.packed = [i.to_bytes(4, "little") for i in range(self.lib.get_vocab_size())]
+        self.by_itself = "|".join([UNEVEN, *map(re.escape, self.special)])
 
     def _piece(self, piece: str) -> bytes:
         if piece[0] == " " and piece.isascii() and piece[1:].isalpha():
             letters = self.space + piece[1:]
         else:
             letters = piece.encode().decode("latin-1").translate(self.letters)
-        return struct.pack(f"<{len(found := self.lib.model.tokenize(letters))}i", *[t.id for t in found])
+        return b"".join([self.packed[t.id] for t in self.lib.model.tokenize(letters)])
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
         return self.plain(text)
 
+    def encode_all(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by ``end``, and how many ids each text has."""
+        wide = pa.large_string()
+        texts = texts.cast(wide).fill_null("")
+        alone = pc.match_substring_regex(texts, self.by_itself)
+        none, head, tail = (pa.scalar(x, wide) for x in ("", HEAD, f" {END}"))
+        numbers = pa.array([f"{WHOLE}{i}" for i in range(len(texts))], wide)
+        framed = pc.binary_join_element_wise(head, pc.replace_substring(texts, "\n", " \n"), tail, none)
+        cut = pc.split_pattern(pc.if_else(alone, numbers, framed), " ")
+        found = cut.flatten().dictionary_encode()
+        words, pieces, other = self.plain.words, self.plain.words.pieces, self.plain.words.other
+
+        def marked(chunk: str) -> bytes:
+            first, rest = chunk[0], chunk[1:]
+            if first == "\n":
+                return other[first] + other[rest] if rest.isalpha() else pieces(chunk)
+            if first == HEAD:
+                return pieces(rest)
+            return end if first == END else self.encode(texts[int(rest)].as_py()) + end
+
+        known = [words[c] if c[0] > " " else marked(c) for c in found.dictionary.to_pylist()]
+        values = pa.array(known, pa.large_binary()).take(found.indices)
+        _, offsets, data = values.buffers()
+        bounds = np.frombuffer(offsets, np.int64, len(values) + 1) // 4
+        starts = bounds[np.r_[0, np.cumsum(pc.list_value_length(cut).to_numpy(), dtype=np.int64)]]
+        return np.frombuffer(data, "<i4", int(starts[-1])) if len(values) else np.empty(0, "<i4"), np.diff(starts)
+
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
@@ -68,25 +104,22 @@ def _encoded(vocabulary: str, end_id: int):
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part, place = encoder(public_tokenizers.path(vocabulary)).encode, TaskContext.get().partitionId(), 0
-        for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), 256):
-                blobs = [encode(t) + end for t in texts[at : at + 256]]
-                sizes = np.array([len(b) // 4 for b in blobs], np.int64)
-                starts = np.r_[0, np.cumsum(sizes)]
-                values = pa.array(np.frombuffer(b"".join(blobs), "<i4"))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(at, len(blobs)),
-                        pa.array(np.full(len(blobs), part, np.int32)),
-                        pa.array(place + starts[:-1]),
-                        pa.array(sizes),
-                        pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), values),
-                    ],
-                    names=["doc_id", "part", "place", "n_tokens", "ids"],
-                )
-                place += int(starts[-1])
+        encode_all, part, place = encoder(public_tokenizers.path(vocabulary)).encode_all, TaskContext.get().partitionId(), 0
+        for batch in (b.slice(at, PART_ROWS) for b in batches for at in range(0, b.num_rows, PART_ROWS)):
+            ids, sizes = encode_all(batch.column(1), end)
+            starts = np.r_[0, np.cumsum(sizes)]
+            rows = pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(np.full(len(sizes), part, np.int32)),
+                    pa.array(place + starts[:-1]),
+                    pa.array(sizes),
+                    pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids)),
+                ],
+                names=["doc_id", "part", "place", "n_tokens", "ids"],
+            )
+            yield from (rows.slice(at, 256) for at in range(0, len(sizes), 256))
+            place += int(starts[-1])
 
     return run
 

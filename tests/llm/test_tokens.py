@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -41,6 +42,33 @@ def test_any_text(text):
     assert np.frombuffer(token_output.encoder(PATH).encode(text), "<i4").tolist() == ids(text)
 
 
+def test_a_batch_of_texts_looks_distinct_chunks_up_once():
+    rng = random.Random(2)
+    texts = [None, "", " ", "\n", "a\n\nb", "x\ny", "\nz", "a b\n", " a", "a ", "a\x1cb c", "a \x1d", "\x1e0", "end<|endoftext|> of", "a\u2003b c"]
+    texts += ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    texts += [" ".join(rng.choice(["the", "Word.", "x\ny", "é!!", "12", "日,", "a\n1"]) for _ in range(30)) for _ in range(500)]
+    made = token_output.Encoder(PATH)
+    for kind in (pa.string(), pa.large_string()):
+        got, sizes = made.encode_all(pa.array(["cut off", *texts], kind).slice(1), b"\0\0\0\0")
+        want = [[*ids(t or ""), 0] for t in texts]
+        assert sizes.tolist() == [len(w) for w in want]
+        assert got.tolist() == [i for w in want for i in w]
+    asked = []
+    made.plain.words.__class__ = type("Counted", (type(made.plain.words),), {"__getitem__": lambda self, k: asked.append(k) or dict.__getitem__(self, k)})
+    got, sizes = made.encode_all(pa.array(["the word the word\nthe word"] * 50), b"\0\0\0\0")
+    assert sizes.tolist() == [len(ids("the word the word\nthe word")) + 1] * 50
+    assert sorted(asked) == ["the", "word"]
+    assert [len(x) for x in made.encode_all(pa.array([], pa.string()), b"\0\0\0\0")] == [0, 0]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.characters(max_codepoint=0x24FF, exclude_categories=["Cs", "Cn"]), max_size=60), max_size=5))
+def test_any_batch(texts):
+    got, sizes = token_output.encoder(PATH).encode_all(pa.array(texts, pa.string()), b"\0\0\0\0")
+    assert got.tolist() == [i for t in texts for i in [*ids(t), 0]]
+    assert sizes.tolist() == [len(ids(t)) + 1 for t in texts]
+
+
 def test_long_single_piece():
     text = "ab" * 20_000
     assert token_counts.counter(PATH).count(text) == len(ids(text))
