@@ -53,29 +53,37 @@ def python_list(items: Column) -> Column:
 
 def parse_summaries(rows: DataFrame) -> DataFrame:
     """Fields of the JSON documents that the roll-up needs; text and parsed form end here."""
-    v = F.col("v")
-    parsed = rows.select("repo_id", "domain", "json", F.try_parse_json("json").alias("v"))
+    v, findings = F.col("v"), F.col("findings")
+    parsed = rows.select("repo_id", "domain", F.try_parse_json("json").alias("v"), F.json_object_keys("json").alias("keys"))
+    # text with a point is no whole number; a cast would find that out by raising an error
+    fraction = (kind_of(v, "$.schema_version") == "STRING") & at(v, "$.schema_version").contains(".")
+    version = F.when(fraction, 1).otherwise(F.coalesce(at(v, "$.schema_version", "int"), F.lit(1)))
+    # an entry of a version 2 record stands for all findings of its category; both are read once a document, not once an entry
+    listed = parsed.select(
+        "*",
+        F.try_variant_get(v, "$.findings", "array<variant>").alias("findings"),
+        (version >= 2).alias("counted"),
+    )
     failures = F.try_variant_get(v, "$.dependency_failures", FAILURES)
-    findings = F.try_variant_get(v, "$.findings", "array<variant>")
     text = lambda f, k: F.when(F.schema_of_variant(F.try_variant_get(f, f"$.{k}", "variant")) == "STRING", at(f, f"$.{k}"))
-    # an entry of a version 2 record stands for all findings of its category
-    counted = F.coalesce(at(v, "$.schema_version", "int"), F.lit(1)) >= 2
-    number = lambda f: F.when(counted, F.greatest(F.coalesce(at(f, "$.count", "long"), F.lit(1)), F.lit(1))).otherwise(1).cast("long")
+    number = lambda f: F.when(F.col("counted"), F.greatest(F.coalesce(at(f, "$.count", "long"), F.lit(1)), F.lit(1))).otherwise(1).cast("long")
     categories = F.transform(
         findings, lambda f: F.struct(F.coalesce(*[text(f, k) for k in ("category", "gate", "domain", "kind")]).alias("name"), number(f).alias("n"))
     )
+    # null unless the value is a list
     objects = F.forall(findings, lambda f: F.schema_of_variant(f).startswith("OBJECT"))
-    fields = parsed.select(
+    fields = listed.select(
         "repo_id",
         "domain",
-        F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("is_object"),
-        F.coalesce(F.json_object_keys("json"), strings([])).alias("keys"),
+        # text that is not valid has no parsed form, and only an object has keys
+        (v.isNotNull() & F.col("keys").isNotNull()).alias("is_object"),
+        F.coalesce("keys", strings([])).alias("keys"),
         *[F.coalesce(at(v, f"$.{k}"), F.lit("")).alias(k) for k in ("run_id", "overall_verdict", "rollup_bucket", "dependency_status")],
         F.coalesce(at(v, "$.skill"), F.lit("")).alias("actual_skill"),
         (F.coalesce(kind_of(v, "$.overall_verdict"), F.lit("")) == "STRING").alias("verdict_is_text"),
         is_list(v, "$.bootstrap_actions").alias("actions_list"),
         is_list(v, "$.dependency_failures").alias("failures_list"),
-        (is_list(v, "$.findings") & F.coalesce(objects, F.lit(False))).alias("findings_list"),
+        F.coalesce(objects, F.lit(False)).alias("findings_list"),
         F.coalesce(failures, F.array().cast(FAILURES)).alias("failures"),
         *[at(v, f"$.severity_counts.{s}", "int").alias(s) for s in SEVERITIES],
         F.filter(F.coalesce(categories, F.array().cast("array<struct<name: string, n: bigint>>")), lambda c: c["name"].isNotNull()).alias("names"),
