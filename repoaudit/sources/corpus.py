@@ -145,10 +145,14 @@ def pack_files(batches: Iterator[pa.RecordBatch], members: int = 10_000) -> Iter
 
 
 def read_archives(spark: SparkSession, root: str) -> DataFrame:
-    """What ``write_archives`` wrote, as (repo_id, path, content); an archive is read by one task as a stream."""
+    """What ``write_archives`` wrote, as (repo_id, path, content); an archive is read by one task as a stream.
+
+    The planner knows the size of the list of archives only and would broadcast what they hold by it, so a join of the
+    members is a sort-merge join.
+    """
     top = spark.createDataFrame([("", root.rstrip("/"), "")], "repo_id string, place string, path string")
     listed = top.mapInPandas(list_entries, ENTRIES).where("is_file").select("place")
-    return listed.repartition(spread(spark), "place").mapInArrow(unpack_files, "repo_id string, path string, content binary")
+    return listed.repartition(spread(spark), "place").mapInArrow(unpack_files, "repo_id string, path string, content binary").hint("merge")
 
 
 def unpack_files(batches: Iterator[pa.RecordBatch], chunk: int = 1 << 22) -> Iterator[pa.RecordBatch]:

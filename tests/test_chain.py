@@ -139,6 +139,15 @@ def test_summaries_in_archives_keep_names_and_take_no_block_each(spark, tmp_path
     assert len(files) == 2 and sum(p.stat().st_blocks * 512 for p in files) < 40 * len(rows)
 
 
+def test_summaries_in_archives_are_not_broadcast_by_the_size_of_their_list(spark, tmp_path):
+    rows = spark.range(2_000).select(F.format_string("c%04d", "id").alias("repo_id"), F.lit("cleanup/summary.json").alias("path"), F.repeat(F.lit(" "), 10_000).alias("text"))
+    write_archives(rows.coalesce(1), str(tmp_path / "t"))
+    runs = rollup.classify_runs(tables.read_summary_archives(spark, str(tmp_path / "t")), "r", rows)
+    got = runs.where("domain = 'cleanup'").select("repo_id", "status")
+    assert sorted(map(tuple, got.collect())) == [(f"c{i:04d}", "invalid") for i in range(2_000)]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_every_audit_of_the_chain_writes_a_present_summary(spark, tmp_path, make_files):
     files = make_files({"r": {"src/a.py": "def f(x):\n    try:\n        return g(x)\n    except Exception:\n        pass\n", "tests/test_a.py": "def test_a():\n    assert 1\n"}, "bare": {"README.md": "# x\n"}})
     path = str(tmp_path / "s")
